@@ -1,0 +1,194 @@
+"""DuckDB oracle SQL for the registered queries.
+
+The oracle recomputes each query independently in DuckDB (RE2 regexes):
+match offsets from ``regexp_split_to_array`` lengths, the conflict walk as
+a recursive CTE over candidates ordered by (start, rank, template, match
+number), and the splice with ``string_agg``.  RE2 has no look-around:
+
+* ``ssn`` matches without its look-aheads and filters the groups (exact: no
+  valid 3-digit token can start inside a rejected match);
+* the key-value YAML template drops its look-behind against ``http:`` /
+  ``https:`` / ``ftp:`` -- exact only on text where no key follows those
+  (true of the supplied documents, which contain no URL scheme).
+"""
+
+from __future__ import annotations
+
+from scrubline import fixed as FX
+from scrubline.functions import regex as RX
+from scrubline.operators.patterns import BUILTINS, global_priority
+
+
+def lit(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def hits(source_sql: str, re2: str, keys: list[str], first_only: bool = False, text: str = "text",
+         group: int | None = None) -> str:
+    """(keys, seq, start, "end", match[, grp]) for every match of ``re2``."""
+    k = ", ".join(keys)
+    grp_sel = f", regexp_extract_all({text}, {lit(re2)}, {group}) AS vs" if group is not None else ""
+    grp_out = ", vs[i] AS grp" if group is not None else ""
+    cap = "1" if first_only else str(FX.MAX_MATCHES_PER_REGEX)
+    return f"""
+    SELECT {k}, CAST(i - 1 AS INTEGER) AS seq,
+      CAST(coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0)
+           + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start,
+      CAST(coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0)
+           + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) AS INTEGER) AS "end",
+      ms[i] AS match{grp_out}
+    FROM (SELECT {k}, ms, gs{', vs' if group is not None else ''}, generate_subscripts(ms, 1) AS i
+          FROM (SELECT {k}, regexp_extract_all({text}, {lit(re2)}) AS ms,
+                       regexp_split_to_array({text}, {lit(re2)}) AS gs{grp_sel}
+                FROM ({source_sql}) src0) m0
+          WHERE len(ms) > 0) u0
+    WHERE i <= {cap}"""
+
+
+def builtin_hits(source_sql: str, name: str, keys: list[str]) -> str:
+    """Hits of builtin ``name`` (ssn: look-aheads applied as group filters)."""
+    b = BUILTINS[name]
+    if name != "ssn":
+        return hits(source_sql, b.re2, keys)
+    k = ", ".join(keys)
+    inner = hits(source_sql, b.re2, keys)
+    re = lit(b.re2)
+    return f"""
+    SELECT {k}, CAST(row_number() OVER (PARTITION BY {k} ORDER BY start) - 1 AS INTEGER) AS seq, start, "end", match
+    FROM ({inner}) h0
+    WHERE regexp_extract(match, {re}, 1) NOT IN ('000', '666') AND regexp_extract(match, {re}, 1) NOT LIKE '9%'
+      AND regexp_extract(match, {re}, 2) <> '00' AND regexp_extract(match, {re}, 3) <> '0000'"""
+
+
+def _kv_re2(key: str) -> list[tuple[int, str, bool]]:
+    """(sub, RE2 pattern, trailing-quote template) for a key-value rule."""
+    cap = key[:1].upper() + key[1:]
+    variations = [v.format(key=key, Key=cap) for v in FX.KV_KEY_VARIATIONS]
+    out = []
+    sub = 0
+    for kvar in (variations[0], variations[2], variations[4]):
+        for t_no, tmpl in enumerate(FX.KV_TEMPLATES):
+            js = tmpl.format(k=kvar, K=kvar.upper()).replace("(?<!https?:)(?<!ftp:)", "")
+            out.append((sub, RX.to_re2(js, "gi").pattern, t_no in (0, 1, 2, 3)))
+            sub += 1
+    if key.lower() == "secret":
+        out.append((sub, RX.to_re2(FX.KV_SECRET_LOG_TEMPLATE, "gi").pattern, False))
+    return out
+
+
+def candidates(source_sql: str, rules: list[tuple], keys: list[str]) -> str:
+    """Candidates (keys, rank, sub, seq, start, "end", prio, match, rule_id,
+    kv_keep) for rules given as (rank, id, type, pattern, case_sensitive)."""
+    parts = []
+    for rank, rid, rtype, pattern, cs in rules:
+        prio = global_priority(rtype, pattern)
+        k = ", ".join(keys)
+        if rtype == "builtin":
+            h = builtin_hits(source_sql, pattern, keys)
+            parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
+                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) b{rank}")
+        elif rtype == "literal":
+            re2 = ("(?i)" if cs is False else "") + RX.quote_literal(pattern)
+            h = hits(source_sql, re2, keys)
+            parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
+                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) l{rank}")
+        elif rtype == "regex":
+            tr = RX.to_re2(pattern, cs or "g")
+            h = hits(source_sql, tr.pattern, keys, first_only=not tr.global_)
+            parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
+                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) r{rank}")
+        elif rtype == "kv":
+            kv_parts = []
+            for sub, re2, _tq in _kv_re2(pattern):
+                h = hits(source_sql, re2, keys, group=2)
+                kv_parts.append(f"SELECT {k}, {sub} AS sub, seq, start, \"end\", match, grp FROM ({h}) t{sub}")
+            allkv = " UNION ALL ".join(kv_parts)
+            parts.append(f"""
+            SELECT {k}, {rank} AS rank, sub, seq, start, "end", {prio} AS prio, match, {lit(rid)} AS rule_id,
+                   length(grp) >= {FX.KV_MIN_VALUE_LENGTH} AND NOT regexp_matches(grp, {lit('(?i)' + FX.KV_SKIP_VALUE)}) AS keep
+            FROM (SELECT *, row_number() OVER (PARTITION BY {k}, start, match ORDER BY sub) AS dup
+                  FROM ({allkv}) a{rank}) d{rank}
+            WHERE dup = 1""")
+    body = " UNION ALL ".join(parts)
+    return f"SELECT * FROM ({body}) c WHERE keep"
+
+
+def resolved(cands_sql: str, keys: list[str]) -> str:
+    """The conflict walk (D8) as a recursive CTE: kept candidates."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"o.{x} = w.{x}" for x in keys)
+    return f"""
+    WITH RECURSIVE ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY start, rank, sub, seq) AS rn,
+             count(*) OVER (PARTITION BY {k}) AS cnt
+      FROM ({cands_sql}) c0),
+    walk AS (
+      SELECT {k}, rn, cnt, rn AS ci, "end" AS ce, prio AS cp, CAST(NULL AS BIGINT) AS emit
+      FROM ordered WHERE rn = 1
+      UNION ALL
+      SELECT {', '.join('o.' + x for x in keys)}, o.rn, o.cnt,
+        CASE WHEN o.start < w.ce AND NOT (o.prio < w.cp) THEN w.ci ELSE o.rn END,
+        CASE WHEN o.start < w.ce AND NOT (o.prio < w.cp) THEN w.ce ELSE o."end" END,
+        CASE WHEN o.start < w.ce AND NOT (o.prio < w.cp) THEN w.cp ELSE o.prio END,
+        CASE WHEN o.start < w.ce THEN NULL ELSE w.ci END
+      FROM walk w JOIN ordered o ON {on} AND o.rn = w.rn + 1),
+    kept_rn AS (
+      SELECT {k}, emit AS rn FROM walk WHERE emit IS NOT NULL
+      UNION ALL
+      SELECT {k}, ci AS rn FROM walk WHERE rn = cnt)
+    SELECT o.* FROM ordered o JOIN kept_rn USING ({k})
+    WHERE o.rn = kept_rn.rn"""
+
+
+def spliced(source_sql: str, kept_sql: str, keys: list[str], repl_sql: str, text: str = "text") -> str:
+    """Text with each kept span replaced by ``repl_sql`` (an expression over
+    the kept row, e.g. a CASE on rule_id)."""
+    k = ", ".join(keys)
+    return f"""
+    WITH src AS ({source_sql}),
+    kept AS (SELECT *, {repl_sql} AS repl FROM ({kept_sql}) k0),
+    k2 AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY {k} ORDER BY start) AS prev_end,
+                  row_number() OVER (PARTITION BY {k} ORDER BY start DESC) AS back FROM kept),
+    pieces AS (
+      SELECT {', '.join('k2.' + x for x in keys)}, k2.start AS ord,
+             substr(src.{text}, k2.prev_end + 1, k2.start - k2.prev_end) || k2.repl AS piece
+      FROM k2 JOIN src USING ({k})
+      UNION ALL
+      SELECT {', '.join('k2.' + x for x in keys)}, 2147483647 AS ord, substr(src.{text}, k2."end" + 1) AS piece
+      FROM k2 JOIN src USING ({k}) WHERE k2.back = 1),
+    joined AS (SELECT {k}, string_agg(piece, '' ORDER BY ord) AS s FROM pieces GROUP BY {k})
+    SELECT {', '.join('src.' + x for x in keys)}, coalesce(joined.s, src.{text}) AS sanitized
+    FROM src LEFT JOIN joined USING ({k})"""
+
+
+# ---------------------------------------------------------------- functions
+
+def js_hash_sql(s: str) -> str:
+    """G1 in DuckDB: djb2 over UTF-16 units (surrogates for code points
+    above U+FFFF), first 1000 units, 0 -> 1."""
+    units = (f"flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) >= 65536 "
+             f"THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] "
+             f"ELSE [unicode(c)] END))")
+    h = (f"list_reduce(({units})[1:1000], lambda h, u: (h * 33 + u) & 2147483647, CAST(5381 AS BIGINT))")
+    return f"(CASE WHEN {h} = 0 THEN 1 ELSE {h} END)"
+
+
+def rng_first_values_sql(seed: str, n: int) -> str:
+    """List of the first ``n`` xorshift128 outputs after 10 warm-up steps,
+    with the 32-bit state kept as unsigned BIGINTs."""
+    m32 = 4294967295
+    s = f"(CASE WHEN ({seed}) % 2147483647 = 0 THEN 1 ELSE ({seed}) % 2147483647 END)"
+    init = (f"{{'a': CAST({s} AS BIGINT), 'b': xor(CAST({s} AS BIGINT), 305419896), "
+            f"'c': xor(CAST({s} AS BIGINT), 2271560481), 'd': xor(CAST({s} AS BIGINT), 2882400001), "
+            f"'v': CAST([] AS DOUBLE[])}}")
+    t1 = "xor(st.d, (st.d << 11) & 4294967295)"
+    na = f"xor(xor(xor({t1}, {t1} >> 8), st.a), st.a >> 19)"
+    signed = f"(CASE WHEN {na} >= 2147483648 THEN {na} - 4294967296 ELSE {na} END)"
+    val = f"(abs({signed}) / 2147483647.0)"
+    step = (f"lambda st, i: {{'a': {na} & {m32}, 'b': st.a, 'c': st.b, 'd': st.c, "
+            f"'v': CASE WHEN i >= 10 THEN list_append(st.v, {val}) ELSE st.v END}}")
+    return f"(list_reduce(range({n} + 10), {step}, {init}).v)"
+
+
+def mask_word_sql(s: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({s}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '0', 'g')"
