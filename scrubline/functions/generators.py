@@ -28,10 +28,37 @@ _NOT_EOL = r"[^\n\r\u2028\u2029]"
 JWT_HEADER = base64.urlsafe_b64encode(FX.JWT_HEADER_JSON.encode()).decode().rstrip("=")
 
 
+_shared: dict | None = None
+
+
 def _with_vals(m: str, n: int | str, body) -> str:
+    """``body(vals)`` with ``vals`` = the first ``n`` draws seeded by ``m``.
+    Inside :func:`shared_stream` for the same ``m`` the caller's stream is
+    used (and the draw count recorded) instead of a new one."""
+    if _shared is not None and _shared["m"] == m:
+        _shared["draws"].append(str(n))
+        return body(_shared["var"])
     return let(R.rng_values(R.js_hash(m), n), body)
 
 
+class shared_stream:
+    """Context: generators for match ``m`` read draws from lambda variable
+    ``var``; ``draws`` collects how many each one needs."""
+
+    def __init__(self, m: str, var: str):
+        self.state = {"m": m, "var": var, "draws": []}
+
+    def __enter__(self):
+        global _shared
+        _shared = self.state
+        return self.state
+
+    def __exit__(self, *exc):
+        global _shared
+        _shared = None
+        return False
+
+
 def _str(e: str) -> str:
     return f"CAST({e} AS STRING)"
 

@@ -36,7 +36,9 @@ _X1, _X2, _X3 = (_i32(x) for x in FX.RNG_SEED_XORS)
 def js_hash(s: str) -> str:
     """djb2 (h = h*33 + unit, masked to 31 bits) over the first 1000 UTF-16
     code units of ``s``; 0 maps to 1.  Supplementary characters contribute
-    their two surrogate units, as JavaScript ``charCodeAt`` sees them."""
+    their two surrogate units, as JavaScript ``charCodeAt`` sees them.
+    The empty string hashes to 5381 (the original falls back to the clock
+    there; matches are never empty)."""
     a, c = name("h"), name("c")
     cp = f"ascii({c})"
     hi = f"(55296 + shiftright({cp} - 65536, 10))"
@@ -48,7 +50,9 @@ def js_hash(s: str) -> str:
         f"ELSE CASE WHEN {a}.n < {FX.HASH_PREFIX_UNITS} THEN (({a}.h * 33 + {cp}) & {_M31}) ELSE {a}.h END END, "
         f"'n', {a}.n + CASE WHEN {cp} >= 65536 THEN 2 ELSE 1 END)"
     )
-    return (f"aggregate(split(left({s}, {FX.HASH_PREFIX_UNITS}), '', -1), "
+    e = name("e")
+    chars = f"filter(split(left({s}, {FX.HASH_PREFIX_UNITS}), '', -1), {e} -> {e} != '')"
+    return (f"aggregate({chars}, "
             f"named_struct('h', CAST({FX.HASH_START} AS BIGINT), 'n', 0), ({a}, {c}) -> {step}, "
             f"{a} -> CASE WHEN {a}.h = 0 THEN CAST(1 AS BIGINT) ELSE {a}.h END)")
 

@@ -29,6 +29,7 @@ import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scrubline import fixed as FX
 from scrubline.functions import generators as G
@@ -305,20 +306,41 @@ def _replacement(comp: Compiled, c: str, opts: Options) -> str:
     if fixed:
         table = "array(" + ", ".join(q(fixed.get(k)) for k in range(max(fixed) + 1)) + ")"
         branches.append((sorted(fixed), f"element_at({table}, {c}.rank + 1)"))
+    # Builtin generators seeded by the match share one random stream per
+    # detection, sized by the rule's draw count (one expression instead of
+    # one per generator).
+    sv = name("sv")
+    draws = []
     for key, ranks in groups.items():
         if key[0] == "kv":
             value = f"substr({m}, {c}.vstart + 1, {c}.vend - {c}.vstart)"
             val = (f"concat(left({m}, {c}.vstart), {let(value, lambda v: G.fake_value(key[1], v))}, "
                    f"substr({m}, {c}.vend + 1))")
         elif key[0] == "builtin":
-            val = G.builtin_generator(key[1], opts.jwt_epoch)(m)
+            with G.shared_stream(m, sv) as st:
+                val = G.builtin_generator(key[1], opts.jwt_epoch)(m)
+            if st["draws"]:
+                # constant counts as they are; a count that depends on the
+                # match (hex length, value length) is bounded by the match
+                # length -- extra draws do not change the ones used
+                consts = [int(d) for d in st["draws"] if d.isdigit()]
+                dynamic = len(consts) < len(st["draws"])
+                n = (f"greatest({max(consts or [0])}, least(length({m}), {FX.MAX_RANDOM_STRING}))"
+                     if dynamic else str(max(consts)))
+                draws.append((ranks, n))
         else:
             val = R.preserve_shape(m)
         branches.append((ranks, val))
     if not branches:
         return m
     whens = " ".join(f"WHEN {c}.rank IN ({', '.join(map(str, ranks))}) THEN {val}" for ranks, val in branches)
-    return f"CASE {whens} ELSE {m} END"
+    case = f"CASE {whens} ELSE {m} END"
+    if not draws:
+        return case
+    n_case = "CASE " + " ".join(f"WHEN {c}.rank IN ({', '.join(map(str, r))}) THEN {n}" for r, n in draws) + " ELSE 0 END"
+    vals = (f"CASE WHEN {n_case} > 0 THEN {R.rng_values(R.js_hash(m), n_case)} "
+            f"ELSE CAST(array() AS ARRAY<DOUBLE>) END")
+    return f"get(transform(array({vals}), {sv} -> {case}), 0)"
 
 
 def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -> DataFrame:
@@ -361,9 +383,27 @@ def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -
     return df5.selectExpr(*base, "`__dets`", f"{public} AS detections")
 
 
-def detect(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None) -> DataFrame:
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least ``defaultParallelism`` tasks when the input
+    has fewer partitions (one small file is one task; the regex work is CPU
+    bound).  Inputs that already have enough splits -- any large table --
+    are returned unchanged, so no shuffle is added at scale.  The spread
+    hashes a per-row id rather than the text, so duplicate texts do not
+    pile up in one task; streams are left alone."""
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.monotonically_increasing_id())
+
+
+def detect(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
+           balance: bool = True) -> DataFrame:
     """Adds ``detections`` (and internal ``__dets``) for column ``text``.
     Null or empty text gives an empty list."""
     opts = opts or Options()
     comp = compile_rules(rules, df.sparkSession)
+    if balance:
+        df = balanced(df)
     return detection_columns(candidate_columns(df, text, comp), text, comp, opts)

@@ -26,7 +26,8 @@ def regex_hits(df: DataFrame, text: str, java_pattern: str, keys: list[str], fir
     if guard:
         base = f"lower({x})" if guard_lower else x
         g = "(" + " OR ".join(f"contains({base}, {q(s)})" for s in guard) + ")"
-    m1 = df.selectExpr(*k, x, f"{matches(x, java_pattern, 0, first_only, g)} AS `__m`")
+    from scrubline.operators.detect import balanced
+    m1 = balanced(df).selectExpr(*k, x, f"{matches(x, java_pattern, 0, first_only, g)} AS `__m`")
     m2 = m1.selectExpr(*k, f"{spans_from(x, '`__m`', java_pattern)} AS `__sp`")
     return _inline(m2, k, "`__sp`", "seq").select(*keys, "seq", "start", "end", "match")
 

@@ -48,6 +48,8 @@ def sanitize_nested(df: DataFrame, col: str, rules: list[Rule], opts: Options |
     _leaves(dtype, [], 0, leaves)
     if not leaves:
         return df
+    from scrubline.operators.detect import balanced
+    df = balanced(df)
     tmp = [f"__leaf{i}" for i in range(len(leaves))]
     work = df.select("*", *[F.col(col).getField(p[0]) if len(p) == 1 else F.col(f"{col}." + ".".join(p)) for p, _ in leaves])
     work = work.toDF(*df.columns, *tmp)
@@ -55,7 +57,7 @@ def sanitize_nested(df: DataFrame, col: str, rules: list[Rule], opts: Options |
         if depth > FX.MAX_JSON_DEPTH:
             work = work.withColumn(name, F.when(F.col(name).isNotNull(), F.lit(FX.MAX_DEPTH_MARKER)))
         else:
-            s = sanitize(work, name, rules, opts, out="__san")
+            s = sanitize(work, name, rules, opts, out="__san", balance=False)
             work = s.select(*[F.col(c) for c in work.columns if c != name], F.col("__san").alias(name))
     rebuilt = F.col(col)
     for name, (path, _) in zip(tmp, leaves):

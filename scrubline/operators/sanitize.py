@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from scrubline import fixed as FX
 from scrubline.functions.generators import builtin_generator
-from scrubline.operators.detect import Options, candidate_columns, compile_rules, detection_columns
+from scrubline.operators.detect import Options, balanced, candidate_columns, compile_rules, detection_columns
 from scrubline.operators.rules import Rule
 
 # JavaScript's String.prototype.trim removes these (ECMAScript WhiteSpace +
@@ -68,7 +68,7 @@ def select_detections(dets: Column, selected: list[str] | None) -> Column:
 
 
 def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
-             out: str = "sanitized") -> DataFrame:
+             out: str = "sanitized", balance: bool = True) -> DataFrame:
     """E2 + E1 + E3 + E4/E5 on column ``text``.
 
     Adds ``out`` (sanitized text), ``detections`` (all resolved detections,
@@ -78,6 +78,8 @@ def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None =
     """
     opts = opts or Options()
     comp = compile_rules(rules, df.sparkSession)
+    if balance:
+        df = balanced(df)
     det = detection_columns(candidate_columns(df, text, comp), text, comp, opts)
     x = F.col(text)
     status = input_status(x, opts.max_input_chars)
@@ -102,7 +104,7 @@ def sanitize_table(df: DataFrame, columns: list[str] | None, rules: list[Rule],
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     out = df
     for c in cols:
-        s = sanitize(out, c, rules, opts, out="__sanitized")
+        s = sanitize(out, c, rules, opts, out="__sanitized", balance=False)
         keep = [F.col(k) for k in out.columns if k != c]
         out = s.select(*keep, F.col("__sanitized").alias(c)).select(*df.columns)
     return out
