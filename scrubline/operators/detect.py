@@ -383,6 +383,26 @@ def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -
     return df5.selectExpr(*base, "`__dets`", f"{public} AS detections")
 
 
+def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """D7 as a table operator: how often the candidates of two rules overlap
+    (half-open intervals), before conflict resolution.  Per row, the
+    candidates are sorted by start, so a candidate's partners are the later
+    ones that start before it ends; pairs are counted per (rule_a, rule_b)
+    with a partial aggregate.  Only overlapping pairs are formed, never all
+    pairs of a row."""
+    comp = compile_rules(rules, df.sparkSession)
+    cands = candidate_columns(balanced(df), text, comp)
+    c, i, o = name("c"), name("i"), name("o")
+    pairs = (f"flatten(transform(`__cands`, ({c}, {i}) -> transform(filter(slice(`__cands`, {i} + 2, "
+             f"greatest(size(`__cands`) - {i} - 1, 0)), {o} -> {o}.start < {c}.`end`), "
+             f"{o} -> named_struct('a', {c}.rank, 'b', {o}.rank))))")
+    ids = "CAST(array(" + ", ".join(q(r.id) for r in comp.ranked) + ") AS ARRAY<STRING>)"
+    exploded = cands.selectExpr(f"inline_outer({pairs})").where("a IS NOT NULL")
+    return (exploded.groupBy("a", "b").count()
+            .selectExpr(f"element_at({ids}, a + 1) AS rule_a", f"element_at({ids}, b + 1) AS rule_b",
+                        "`count` AS n"))
+
+
 def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread rows over at least ``defaultParallelism`` tasks when the input
     has fewer partitions (one small file is one task; the regex work is CPU

@@ -192,3 +192,14 @@ def rng_first_values_sql(seed: str, n: int) -> str:
 
 def mask_word_sql(s: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({s}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '0', 'g')"
+
+
+def overlap_pairs(cands_sql: str, keys: list[str]) -> str:
+    """Pairs of overlapping candidates (earlier by sort order first)."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    return f"""
+    WITH c AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY start, rank, sub, seq) AS rn
+               FROM ({cands_sql}) c0)
+    SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n
+    FROM c a JOIN c b ON {on} AND b.rn > a.rn AND b.start < a."end"
+    GROUP BY ALL"""

@@ -146,6 +146,17 @@ def resolve_conflicts_sql():
     return f'SELECT doc_id, rule_id, start, "end", match FROM ({kept}) k'
 
 
+def overlap_pairs(spark, sf_dir):
+    """How often the four conflicting rules' candidates overlap."""
+    from scrubline.operators.detect import overlap_pairs as op
+    return op(_docs(spark, sf_dir), "text", CONFLICT_RULES)
+
+
+def overlap_pairs_sql():
+    keys = ["doc_id"]
+    return O.overlap_pairs(O.candidates("SELECT doc_id, text FROM documents", _rule_tuples(CONFLICT_RULES), keys), keys)
+
+
 def _fixed_repl_case():
     return "CASE " + " ".join(f"WHEN rule_id = {O.lit(r.id)} THEN {O.lit(r.replacement)}" for r in FIXED_RULES) + " END"
 
@@ -394,7 +405,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
     for qn in ("detect_literal_ci", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
-               "resolve_conflicts", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
+               "resolve_conflicts", "overlap_pairs", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize"):
