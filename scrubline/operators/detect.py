@@ -35,7 +35,6 @@ from scrubline import fixed as FX
 from scrubline.functions import generators as G
 from scrubline.functions import regex as RX
 from scrubline.functions import rng as R
-from scrubline.functions.spans import matches
 from scrubline.functions.sqlx import ident, let, name, q
 from scrubline.operators.patterns import BUILTINS, global_priority
 from scrubline.operators.rules import Rule, rank_rule_list
@@ -173,22 +172,29 @@ def _guard(spec: Spec, x: str, xl: str | None) -> str | None:
 
 
 _SPEC_EMPTY = "CAST(NULL AS ARRAY<STRING>)"
+_SPEC_TYPE = ("ARRAY<STRUCT<rank:INT, sub:INT, prio:INT, kv:BOOLEAN, tq:BOOLEAN, kg:BOOLEAN, m:ARRAY<STRING>, "
+              "g:ARRAY<STRING>, v2:ARRAY<STRING>, v1:ARRAY<STRING>>>")
 
 
-def _spec_struct(i: int, s: Spec, prio: int, x: str) -> str:
-    """Per-spec inputs of the generic candidate builder: rule rank, template,
-    priority, kv flags, the matches, the gaps (split) and the value groups.
-    Splits and group extraction only run when the spec matched."""
-    m = f"`__m{i}`"
-    hit = f"size({m}) > 0"
-    g = f"CASE WHEN {hit} THEN split({x}, {q(s.java)}, -1) END"
+def _spec_entry(s: Spec, prio: int, x: str, guard: str | None) -> str:
+    """``array(spec struct)`` when spec ``s`` matched the row, else an empty
+    (constant) array.  The struct carries the generic candidate builder's
+    inputs: rule rank, template, priority, kv flags, the matches, the gaps
+    (split) and the value groups.  The regex runs only when the guard
+    passes; split and group extraction only when it matched."""
     cap = FX.MAX_MATCHES_PER_REGEX
-    v2 = f"CASE WHEN {hit} THEN slice(regexp_extract_all({x}, {q(s.java)}, 2), 1, {cap}) END" if s.kv else _SPEC_EMPTY
-    v1 = (f"CASE WHEN {hit} THEN slice(regexp_extract_all({x}, {q(s.java)}, 1), 1, {cap}) END"
-          if s.kv and s.key_groups else _SPEC_EMPTY)
-    return (f"named_struct('rank', {s.rank}, 'sub', {s.sub}, 'prio', {prio}, 'kv', {str(s.kv).lower()}, "
-            f"'tq', {str(s.trail_quote).lower()}, 'kg', {str(s.key_groups).lower()}, 'm', {m}, 'g', {g}, "
-            f"'v2', {v2}, 'v1', {v1})")
+    first = 1 if s.first_only else cap
+    def body(m):
+        v2 = f"slice(regexp_extract_all({x}, {q(s.java)}, 2), 1, {cap})" if s.kv else _SPEC_EMPTY
+        v1 = f"slice(regexp_extract_all({x}, {q(s.java)}, 1), 1, {cap})" if s.kv and s.key_groups else _SPEC_EMPTY
+        st = (f"named_struct('rank', {s.rank}, 'sub', {s.sub}, 'prio', {prio}, 'kv', {str(s.kv).lower()}, "
+              f"'tq', {str(s.trail_quote).lower()}, 'kg', {str(s.key_groups).lower()}, 'm', {m}, "
+              f"'g', split({x}, {q(s.java)}, -1), 'v2', {v2}, 'v1', {v1})")
+        return f"CASE WHEN size({m}) > 0 THEN array({st}) ELSE CAST(array() AS {_SPEC_TYPE}) END"
+    entry = let(f"slice(regexp_extract_all({x}, {q(s.java)}, 0), 1, {first})", body)
+    if guard is None:
+        return f"coalesce({entry}, CAST(array() AS {_SPEC_TYPE}))"
+    return f"CASE WHEN {guard} THEN coalesce({entry}, CAST(array() AS {_SPEC_TYPE})) ELSE CAST(array() AS {_SPEC_TYPE}) END"
 
 
 def _spec_candidates(z: str, x: str) -> str:
@@ -244,20 +250,37 @@ def _dedup_kv(srt: str) -> str:
 
 
 def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
-    """Stages 1-3: adds ``__cands`` (sorted, de-duplicated candidates)."""
+    """Stages 1-3: adds ``__cands`` (sorted, de-duplicated candidates).
+
+    Stage 1 evaluates each distinct guard once per row (many specs share
+    one: the 15 templates of a key-value rule, '://' for URL patterns);
+    stage 2 gathers the specs that matched; stage 3 builds candidates."""
     x = ident(text)
     base = [ident(c) for c in df.columns]
-    need_lower = any(s.guard_lower and s.guard for s in comp.specs)
-    xl = "`__xl`" if need_lower else None
-    df1 = df.selectExpr(*base, f"lower({x}) AS `__xl`") if need_lower else df
-    mcols = [f"{matches(x, s.java, 0, s.first_only, _guard(s, x, xl))} AS `__m{i}`" for i, s in enumerate(comp.specs)]
-    df2 = df1.selectExpr(*base, *mcols)
     if not comp.specs:
-        return df2.selectExpr(*base, f"CAST(array() AS {CAND_TYPE}) AS `__cands`")
-    z = name("z")
-    specs = "array(" + ", ".join(_spec_struct(i, s, comp.prio[s.rank], x) for i, s in enumerate(comp.specs)) + ")"
-    hits = f"filter({specs}, {z} -> size({z}.m) > 0)"
-    df3 = df2.selectExpr(*base, f"{hits} AS `__specs`")
+        return df.selectExpr(*base, f"CAST(array() AS {CAND_TYPE}) AS `__cands`")
+    guards: dict[tuple, str] = {}
+    gexprs = []
+    need_lower = any(s.guard_lower and s.guard for s in comp.specs)
+    for s in comp.specs:
+        key = (s.guard, s.guard_lower)
+        if s.guard and key not in guards:
+            col = f"`__g{len(guards)}`"
+            guards[key] = col
+            src = "lower(" + x + ")" if s.guard_lower else x
+            gexprs.append((key, col, src))
+    df0 = df
+    if need_lower:
+        df0 = df.selectExpr(*base, f"lower({x}) AS `__xl`")
+    g_sql = []
+    for (lits, lower), col, _ in gexprs:
+        src = "`__xl`" if lower else x
+        g_sql.append("(" + " OR ".join(f"contains({src}, {q(l)})" for l in lits) + f") AS {col}")
+    df1 = df0.selectExpr(*base, *g_sql)
+    entries = [_spec_entry(s, comp.prio[s.rank], x, guards.get((s.guard, s.guard_lower)) if s.guard else None)
+               for s in comp.specs]
+    specs = entries[0] if len(entries) == 1 else f"concat({', '.join(entries)})"
+    df3 = df1.selectExpr(*base, f"{specs} AS `__specs`")
     z2 = name("z")
     flat = f"array_sort(flatten(transform(`__specs`, {z2} -> {_spec_candidates(z2, x)})))"
     return df3.selectExpr(*base, f"{let(flat, _dedup_kv)} AS `__cands`")

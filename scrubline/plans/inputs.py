@@ -95,3 +95,19 @@ def documents_with_planted(spark: SparkSession, sf_dir: str, pattern: str) -> Da
 def oracle_documents_with_planted(pattern: str) -> str:
     return (f"SELECT 'doc' AS src, doc_id, text FROM documents UNION ALL "
             f"SELECT 'planted' AS src, doc_id, {planted_text_sql(pattern)} AS text FROM documents")
+
+
+def all_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, doc_id, text): one planted row per document and builtin
+    pattern (src = the pattern name).  Built from a single scan (explode of
+    the pattern names + CASE): a 51-way UNION would make Catalyst copy every
+    downstream projection into each branch."""
+    docs = table(spark, sf_dir, "documents")
+    names = "array(" + ", ".join(f"'{n}'" for n in PLANTED) + ")"
+    case = "CASE src " + " ".join(f"WHEN '{n}' THEN {planted_text_sql(n)}" for n in PLANTED) + " END"
+    return docs.selectExpr(f"explode({names}) AS src", "doc_id").selectExpr("src", "doc_id", f"{case} AS text")
+
+
+def oracle_all_planted() -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS src, doc_id, {planted_text_sql(name)} AS text FROM documents"
+                              for name in PLANTED)

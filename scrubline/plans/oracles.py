@@ -84,6 +84,8 @@ def candidates(source_sql: str, rules: list[tuple], keys: list[str]) -> str:
         prio = global_priority(rtype, pattern)
         k = ", ".join(keys)
         if rtype == "builtin":
+            if pattern not in BUILTINS:
+                continue  # unknown builtin: detects nothing
             h = builtin_hits(source_sql, pattern, keys)
             parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
                          f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) b{rank}")

@@ -215,6 +215,34 @@ def sanitize_default_conversations(spark, sf_dir):
     return sanitize(conv, "text", default_rules()).select("conv_id", "turn", "sanitized", "detections_count")
 
 
+def detect_default(spark, sf_dir):
+    """All 60 default rules over documents: every resolved detection."""
+    d = detect(_docs(spark, sf_dir), "text", default_rules())
+    return explode_detections(d, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match")
+
+
+def detect_default_sql():
+    keys = ["doc_id"]
+    kept = O.resolved(O.candidates("SELECT doc_id, text FROM documents", _rule_tuples(default_rules()), keys), keys)
+    return f'SELECT doc_id, rule_id, start, "end", match FROM ({kept}) k'
+
+
+def detect_default_planted(spark, sf_dir):
+    """All 60 default rules over the planted text of every builtin: the
+    resolved detections, including cross-pattern conflicts."""
+    from scrubline.plans.inputs import all_planted
+    d = detect(all_planted(spark, sf_dir), "text", default_rules())
+    return explode_detections(d, ["src", "doc_id"]).select("src", "doc_id", "rule_id", "start", "end", "match")
+
+
+def detect_default_planted_sql():
+    from scrubline.plans.inputs import oracle_all_planted
+    keys = ["src", "doc_id"]
+    kept = O.resolved(O.candidates("SELECT * FROM planted_src", _rule_tuples(default_rules()), keys), keys)
+    return (f"WITH planted_src AS MATERIALIZED ({oracle_all_planted()}) "
+            f'SELECT src, doc_id, rule_id, start, "end", match FROM ({kept}) k')
+
+
 def rule_hit_counts(spark, sf_dir):
     """B16 over a table: resolved detections per rule under the default
     rules (a partial aggregate on a handful of keys)."""
@@ -405,7 +433,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
     for qn in ("detect_literal_ci", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
-               "resolve_conflicts", "overlap_pairs", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
+               "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize"):
