@@ -366,13 +366,11 @@ def _replacement(comp: Compiled, c: str, opts: Options) -> str:
     return f"get(transform(array({vals}), {sv} -> {case}), 0)"
 
 
-def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -> DataFrame:
-    """Stages 4-5: ``__dets`` (internal, with byte offsets) and the public
-    ``detections`` array, ordered by (priority, start) (D9)."""
-    base = [ident(c) for c in df.columns if c != "__cands"]
-    df4 = df.selectExpr(*base, f"{resolve('`__cands`')} AS `__res`")
+def dets_sql(res: str, x: str, comp: Compiled, opts: Options) -> str:
+    """Stage 5 as an expression over resolved candidates ``res``: detection
+    structs ordered by (priority, start) (D9), with internal byte offsets."""
     z, w = name("z"), name("w")
-    ordered = (f"transform(array_sort(transform(`__res`, {z} -> named_struct('p', {z}.prio, 's', {z}.start, 'c', {z}))), "
+    ordered = (f"transform(array_sort(transform({res}, {z} -> named_struct('p', {z}.prio, 's', {z}.start, 'c', {z}))), "
                f"{w} -> {w}.c)")
 
     def arr(vals):
@@ -381,7 +379,6 @@ def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -
     names = arr([(r.name or r.pattern) for r in comp.ranked])
     cats = arr([r.category for r in comp.ranked])
     pats = arr([r.pattern for r in comp.ranked])
-    x = ident(text)
     c = name("d")
     fields = [
         f"'rule_id', element_at({ids}, {c}.rank + 1)", f"'rule_name', element_at({names}, {c}.rank + 1)",
@@ -397,7 +394,15 @@ def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -
         after = f"substr({x}, {c}.`end` + 1, {n})"
         fields.append(f"'context', named_struct('before', {before}, 'match', {c}.match, 'after', {after}, "
                       f"'full', concat({before}, {c}.match, {after}))")
-    df5 = df4.selectExpr(*base, f"transform({ordered}, {c} -> named_struct({', '.join(fields)})) AS `__dets`")
+    return f"transform({ordered}, {c} -> named_struct({', '.join(fields)}))"
+
+
+def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -> DataFrame:
+    """Stages 4-5: ``__dets`` (internal, with byte offsets) and the public
+    ``detections`` array, ordered by (priority, start) (D9)."""
+    base = [ident(c) for c in df.columns if c != "__cands"]
+    df4 = df.selectExpr(*base, f"{resolve('`__cands`')} AS `__res`")
+    df5 = df4.selectExpr(*base, f"{dets_sql('`__res`', ident(text), comp, opts)} AS `__dets`")
     pub = ["rule_id", "rule_name", "category", "pattern", "match", "start", "end", "replacement", "selected"]
     if opts.include_context:
         pub.append("context")
@@ -406,6 +411,64 @@ def detection_columns(df: DataFrame, text: str, comp: Compiled, opts: Options) -
     return df5.selectExpr(*base, "`__dets`", f"{public} AS detections")
 
 
+def splice_sql(x: str, dets: str) -> str:
+    """E2 splice as an expression: cut the UTF-8 bytes of ``x`` at the
+    detections' byte offsets and join gaps and replacements (linear)."""
+    z, d0, i, xb = name("z"), name("d"), name("i"), name("xb")
+    srt = (f"array_sort(transform({dets}, {z} -> named_struct('bs', {z}.bstart, 'be', {z}.bend, "
+           f"'r', coalesce({z}.replacement, ''))))")
+
+    def body(d):
+        def with_bytes(b):
+            prev = f"CASE WHEN {i} = 0 THEN 0 ELSE element_at({d}, {i}).be END"
+            piece = f"concat(CAST(substr({b}, {prev} + 1, {z}.bs - ({prev})) AS STRING), {z}.r)"
+            last = f"element_at({d}, -1).be"
+            tail = f"CAST(substr({b}, {last} + 1, octet_length({x}) - {last} + 1) AS STRING)"
+            return f"concat(array_join(transform({d}, ({z}, {i}) -> {piece}), ''), {tail})"
+        return f"CASE WHEN size({d}) = 0 THEN {x} ELSE {let(f"encode({x}, 'UTF-8')", with_bytes)} END"
+    return let(srt, body)
+
+
+def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
+    """The whole pipeline (guards, candidates, resolution, generation,
+    selection, splice) as one expression over the string expression ``x``
+    -- for strings nested inside arrays and maps.  Null, empty and
+    oversized strings come back unchanged (E1)."""
+    if not comp.specs:
+        return x
+    gkeys: dict[tuple, str] = {}
+    for s in comp.specs:
+        if s.guard and (s.guard, s.guard_lower) not in gkeys:
+            gkeys[(s.guard, s.guard_lower)] = f"g{len(gkeys)}"
+
+    def with_lower(xl):
+        def with_guards(gv):
+            entries = [_spec_entry(s, comp.prio[s.rank], x, f"{gv}.{gkeys[(s.guard, s.guard_lower)]}" if s.guard else None)
+                       for s in comp.specs]
+            specs = entries[0] if len(entries) == 1 else f"concat({', '.join(entries)})"
+            z = name("z")
+            flat = f"array_sort(flatten(transform({specs}, {z} -> {_spec_candidates(z, x)})))"
+            cands = let(flat, _dedup_kv)
+
+            def with_dets(dv):
+                chosen = dv
+                if opts.selected_rule_ids:
+                    ids = "array(" + ", ".join(q(r) for r in opts.selected_rule_ids) + ")"
+                    e = name("e")
+                    chosen = f"filter({dv}, {e} -> array_contains({ids}, {e}.rule_id))"
+                return splice_sql(x, chosen)
+            return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), with_dets)
+        if not gkeys:
+            return with_guards("NULL")
+        gstruct = "named_struct(" + ", ".join(
+            f"{q(k)}, (" + " OR ".join(f"contains({xl if low else x}, {q(l)})" for l in lits) + ")"
+            for (lits, low), k in gkeys.items()) + ")"
+        return let(gstruct, with_guards)
+    body = let(f"lower({x})", with_lower)
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' OR length({x}) > {opts.max_input_chars} THEN {x} "
+            f"ELSE {body} END")
+
+
 def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """D7 as a table operator: how often the candidates of two rules overlap
     (half-open intervals), before conflict resolution.  Per row, the

@@ -1,65 +1,56 @@
-"""Sanitize the string leaves of a struct column, keys untouched.
-
-The walk happens on the driver, over the *schema* (not the data): every
-string leaf reachable through structs becomes a temporary top-level column,
-all of them are sanitized by the ordinary row pipeline, and the struct is
-rebuilt with ``withField``.  Non-string leaves are kept.  Leaves deeper
-than 50 levels become '[MAX_DEPTH_EXCEEDED]'.  Cycles cannot occur in a
-Spark schema.  Strings inside arrays or maps are not handled here (they
-would need the pipeline inside a lambda); ``sanitize_nested`` rejects them.
+"""Sanitize the string leaves of a nested column, keys untouched.
+
+The walk happens on the driver over the column's *schema* (not the data)
+and yields one expression: structs are rebuilt with ``named_struct`` (a
+null struct stays null), arrays with ``transform``, maps with
+``transform_values`` (keys kept), and every string leaf becomes the whole
+sanitize pipeline as a single expression (``sanitized_sql``).  Other
+scalars are kept.  Leaves more than 50 container levels deep become
+'[MAX_DEPTH_EXCEEDED]'.  Cycles cannot occur in a Spark schema.  The
+result is a narrow projection: no explode, no regrouping.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline import fixed as FX
-from scrubline.operators.detect import Options
+from scrubline.functions.sqlx import ident, name, q
+from scrubline.operators.detect import Options, balanced, compile_rules, sanitized_sql
 from scrubline.operators.rules import Rule
-from scrubline.operators.sanitize import sanitize
 
 
-def _leaves(dtype: T.DataType, path: list[str], depth: int, out: list):
+def _walk(expr: str, dtype: T.DataType, depth: int, leaf) -> str:
+    if isinstance(dtype, T.StringType):
+        if depth > FX.MAX_JSON_DEPTH:
+            return f"CASE WHEN {expr} IS NULL THEN NULL ELSE {q(FX.MAX_DEPTH_MARKER)} END"
+        return leaf(expr)
     if isinstance(dtype, T.StructType):
-        for f in dtype.fields:
-            _leaves(f.dataType, path + [f.name], depth + 1, out)
-    elif isinstance(dtype, T.StringType):
-        out.append((path, depth))
-    elif isinstance(dtype, (T.ArrayType, T.MapType)):
-        def has_string(t):
-            if isinstance(t, T.StringType):
-                return True
-            if isinstance(t, T.ArrayType):
-                return has_string(t.elementType)
-            if isinstance(t, T.MapType):
-                return has_string(t.valueType)
-            if isinstance(t, T.StructType):
-                return any(has_string(f.dataType) for f in t.fields)
-            return False
-        if has_string(dtype):
-            raise NotImplementedError(f"strings inside arrays/maps at {'.'.join(path)} are not supported")
+        if not dtype.fields:
+            return expr
+        parts = ", ".join(f"{q(f.name)}, {_walk(f'{expr}.{ident(f.name)}', f.dataType, depth + 1, leaf)}"
+                          for f in dtype.fields)
+        return f"CASE WHEN {expr} IS NULL THEN NULL ELSE named_struct({parts}) END"
+    if isinstance(dtype, T.ArrayType):
+        e = name("e")
+        return f"transform({expr}, {e} -> {_walk(e, dtype.elementType, depth + 1, leaf)})"
+    if isinstance(dtype, T.MapType):
+        k, v = name("k"), name("v")
+        return f"transform_values({expr}, ({k}, {v}) -> {_walk(v, dtype.valueType, depth + 1, leaf)})"
+    return expr
+
+
+def nested_sql(col: str, dtype: T.DataType, rules: list[Rule], opts: Options | None = None, spark=None) -> str:
+    """The E6 expression for column ``col`` of type ``dtype``."""
+    opts = opts or Options()
+    comp = compile_rules(rules, spark)
+    return _walk(ident(col), dtype, 0, lambda e: sanitized_sql(e, comp, opts))
 
 
 def sanitize_nested(df: DataFrame, col: str, rules: list[Rule], opts: Options | None = None) -> DataFrame:
+    """Column ``col`` with every string leaf sanitized; other columns kept."""
     dtype = df.schema[col].dataType
-    leaves: list = []
-    _leaves(dtype, [], 0, leaves)
-    if not leaves:
-        return df
-    from scrubline.operators.detect import balanced
+    expr = nested_sql(col, dtype, rules, opts, df.sparkSession)
     df = balanced(df)
-    tmp = [f"__leaf{i}" for i in range(len(leaves))]
-    work = df.select("*", *[F.col(col).getField(p[0]) if len(p) == 1 else F.col(f"{col}." + ".".join(p)) for p, _ in leaves])
-    work = work.toDF(*df.columns, *tmp)
-    for name, (path, depth) in zip(tmp, leaves):
-        if depth > FX.MAX_JSON_DEPTH:
-            work = work.withColumn(name, F.when(F.col(name).isNotNull(), F.lit(FX.MAX_DEPTH_MARKER)))
-        else:
-            s = sanitize(work, name, rules, opts, out="__san", balance=False)
-            work = s.select(*[F.col(c) for c in work.columns if c != name], F.col("__san").alias(name))
-    rebuilt = F.col(col)
-    for name, (path, _) in zip(tmp, leaves):
-        rebuilt = rebuilt.withField(".".join(path), F.col(name))
-    return work.select(*[rebuilt.alias(c) if c == col else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"{expr} AS {ident(c)}" if c == col else ident(c) for c in df.columns])

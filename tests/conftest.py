@@ -20,6 +20,7 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scrubline-test-", dir="/tmp"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -113,3 +113,22 @@ def test_context_and_selection(spark):
     s = sanitize(df, "text", default_rules(), Options(selected_rule_ids=["builtin_ip"])).collect()[0]
     assert "a@b.co" in s["sanitized"] and "10.1.2.3" not in s["sanitized"]
     assert s["detections_count"] == 2 and s["patterns_replaced"] == 1
+
+
+def test_nested_arrays_maps_structs(spark):
+    from scrubline.operators.nested import sanitize_nested
+    from scrubline.operators.sanitize import sanitize
+    rows = [(1, {"a": ["mail x@y.com", None, "ip 10.1.2.3"], "m": {"k@z.io": "card 4111111111111111"},
+                 "s": {"t": "ok a@b.co", "n": 7}}),
+            (2, None)]
+    schema = ("id int, v struct<a: array<string>, m: map<string,string>, s: struct<t: string, n: int>>")
+    df = spark.createDataFrame(rows, schema)
+    out = {r["id"]: r["v"] for r in sanitize_nested(df, "v", default_rules()).collect()}
+    assert out[2] is None
+    v = out[1]
+    flat = spark.createDataFrame([(i, t) for i, t in enumerate(["mail x@y.com", "ip 10.1.2.3", "card 4111111111111111",
+                                                                "ok a@b.co"])], "i int, text string")
+    exp = [r["sanitized"] for r in sanitize(flat, "text", default_rules()).orderBy("i").collect()]
+    assert v["a"] == [exp[0], None, exp[1]]
+    assert v["m"] == {"k@z.io": exp[2]}            # keys untouched
+    assert v["s"]["t"] == exp[3] and v["s"]["n"] == 7
