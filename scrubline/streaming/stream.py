@@ -53,8 +53,11 @@ def run_file_stream(spark: SparkSession, directory: str, text: str, rules: list[
 
 
 def audit_stream(spark: SparkSession, stream: DataFrame, text: str, id_col: str, ts_col: str, rules: list[Rule],
-                 audit_path: str, opts: Options | None = None, trigger: str = DEFAULT_DEBOUNCE):
-    """H2 + H3: sanitize a stream and append audit rows per micro-batch."""
+                 audit_path: str, opts: Options | None = None, trigger: str = DEFAULT_DEBOUNCE,
+                 available_now: bool = False):
+    """H2 + H3: sanitize a stream and append audit rows per micro-batch
+    (processing-time trigger = the debounce; ``available_now`` drains the
+    source once, for batch-like runs and tests)."""
     from scrubline.operators.audit import audit_entries
     san = sanitize_stream(stream, text, rules, opts)
 
@@ -63,5 +66,6 @@ def audit_stream(spark: SparkSession, stream: DataFrame, text: str, id_col: str,
         entries.write.mode("overwrite").parquet(f"{audit_path}/batch={batch_id}")
 
     ckpt = checkpoint_dir(spark).rstrip("/") + f"/audit-{uuid.uuid4().hex}"
-    return (san.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-            .trigger(processingTime=trigger).start())
+    w = san.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()
