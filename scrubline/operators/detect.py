@@ -57,6 +57,9 @@ class Options:
     jwt_epoch: int = FX.DEFAULT_JWT_EPOCH
     kv_fixed_replacement: bool = False
     max_input_chars: int = FX.MAX_INPUT_CHARS
+    # False: detection only -- ``replacement`` is left null and no generator
+    # is planned or run (for counts and span reports)
+    generate_replacements: bool = True
 
 
 @dataclass
@@ -384,7 +387,8 @@ def dets_sql(res: str, x: str, comp: Compiled, opts: Options) -> str:
         f"'rule_id', element_at({ids}, {c}.rank + 1)", f"'rule_name', element_at({names}, {c}.rank + 1)",
         f"'category', element_at({cats}, {c}.rank + 1)", f"'pattern', element_at({pats}, {c}.rank + 1)",
         f"'match', {c}.match", f"'start', {c}.start", f"'end', {c}.`end`",
-        f"'replacement', {_replacement(comp, c, opts)}", "'selected', true",
+        f"'replacement', {_replacement(comp, c, opts) if opts.generate_replacements else 'CAST(NULL AS STRING)'}",
+        "'selected', true",
         f"'bstart', {c}.bstart", f"'bend', {c}.bend", f"'priority', {c}.prio",
     ]
     if opts.include_context:

@@ -50,6 +50,8 @@ CONFLICT_RULES = [
 WORDS = CustomWords(company_name="elle", project_names=("the",), custom_words=("tion",))
 CUSTOM_REGEX = r"\b[A-Z][a-z]+tion\b"
 AUDIT_BASE = dt.datetime(2024, 1, 1)
+# queries that report spans or counts do not plan or run the generators
+SPANS_ONLY = Options(generate_replacements=False)
 AUDIT_AS_OF = dt.datetime(2024, 1, 21, 15, 30)
 
 
@@ -123,7 +125,7 @@ def detect_kv_token(spark, sf_dir):
     """The key-value rule for 'token' (15 templates, de-duplicated, value
     filters) over documents; resolved spans."""
     rules = [CONFLICT_RULES[0]]
-    d = detect(_docs(spark, sf_dir), "text", rules)
+    d = detect(_docs(spark, sf_dir), "text", rules, SPANS_ONLY)
     return explode_detections(d, ["doc_id"]).select("doc_id", "start", "end", "match")
 
 
@@ -136,7 +138,7 @@ def detect_kv_token_sql():
 def resolve_conflicts(spark, sf_dir):
     """Four overlapping rules (kv 1000, aws_secret_key 3014, hex_key 3017,
     log_key_value 3999): the surviving detection per span."""
-    d = detect(_docs(spark, sf_dir), "text", CONFLICT_RULES)
+    d = detect(_docs(spark, sf_dir), "text", CONFLICT_RULES, SPANS_ONLY)
     return explode_detections(d, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match")
 
 
@@ -217,7 +219,7 @@ def sanitize_default_conversations(spark, sf_dir):
 
 def detect_default(spark, sf_dir):
     """All 60 default rules over documents: every resolved detection."""
-    d = detect(_docs(spark, sf_dir), "text", default_rules())
+    d = detect(_docs(spark, sf_dir), "text", default_rules(), SPANS_ONLY)
     return explode_detections(d, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match")
 
 
@@ -231,7 +233,7 @@ def detect_default_planted(spark, sf_dir):
     """All 60 default rules over the planted text of every builtin: the
     resolved detections, including cross-pattern conflicts."""
     from scrubline.plans.inputs import all_planted
-    d = detect(all_planted(spark, sf_dir), "text", default_rules())
+    d = detect(all_planted(spark, sf_dir), "text", default_rules(), SPANS_ONLY)
     return explode_detections(d, ["src", "doc_id"]).select("src", "doc_id", "rule_id", "start", "end", "match")
 
 
@@ -246,7 +248,7 @@ def detect_default_planted_sql():
 def rule_hit_counts(spark, sf_dir):
     """B16 over a table: resolved detections per rule under the default
     rules (a partial aggregate on a handful of keys)."""
-    d = detect(_docs(spark, sf_dir), "text", default_rules())
+    d = detect(_docs(spark, sf_dir), "text", default_rules(), SPANS_ONLY)
     return explode_detections(d, ["doc_id"]).groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
