@@ -43,3 +43,14 @@ def test_exports(spark, tmp_path):
         raise AssertionError("empty export must be refused")
     except ValueError:
         pass
+
+
+def test_sql_functions(spark):
+    from scrubline.functions.sql_surface import register_sql_functions
+    from scrubline.plans.queries import FIXED_RULES
+    names = register_sql_functions(spark, FIXED_RULES, prefix="t")
+    assert names == ["t_text", "t_mask", "t_hash"]
+    r = spark.sql("SELECT t_text('mail a@b.co from 10.0.0.1') AS s, t_mask('Azure365!') AS m, "
+                  "t_hash('john@company.com') AS h, t_text(NULL) AS n").collect()[0]
+    assert r["s"] == "mail [EMAIL] from [IP]" and r["m"] == "Xxxxx000!" and r["n"] is None
+    assert r["h"] == 2127814104
