@@ -189,7 +189,7 @@ def rng_first_values_sql(seed: str, n: int) -> str:
     val = f"(abs({signed}) / 2147483647.0)"
     step = (f"lambda st, i: {{'a': {na} & {m32}, 'b': st.a, 'c': st.b, 'd': st.c, "
             f"'v': CASE WHEN i >= 10 THEN list_append(st.v, {val}) ELSE st.v END}}")
-    return f"(list_reduce(range({n} + 10), {step}, {init}).v)"
+    return f"(list_reduce(range(({n}) + 10), {step}, {init}).v)"
 
 
 def mask_word_sql(s: str) -> str:
@@ -205,3 +205,81 @@ def overlap_pairs(cands_sql: str, keys: list[str]) -> str:
     SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n
     FROM c a JOIN c b ON {on} AND b.rn > a.rn AND b.start < a."end"
     GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- generators
+
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_HEX = "abcdef0123456789"
+
+
+def _draw_int(v: str, k: int, lo: int, hi: int) -> str:
+    return f"CAST(CAST(floor({v}[{k + 1}] * {hi - lo + 1}) + {lo} AS BIGINT) AS VARCHAR)"
+
+
+def _draw_chars(v: str, k: int, n: str, alpha: str) -> str:
+    size = len(alpha)
+    return (f"(CASE WHEN ({n}) <= 0 OR ({n}) > 1000 THEN '' ELSE array_to_string(list_transform({v}[{k + 1}:{k} + ({n})], "
+            f"lambda z: CASE WHEN floor(z * {size}) >= {size} THEN 'undefined' "
+            f"ELSE substr({lit(alpha)}, CAST(floor(z * {size}) AS INTEGER) + 1, 1) END), '') END)")
+
+
+def fake_sql(pattern: str, m: str = "match") -> tuple[str, str]:
+    """(number of draws, fake expression over draws ``v``) for a builtin."""
+    if pattern == "ip":
+        return "4", "concat_ws('.', " + ", ".join(_draw_int("v", i, 1, 254) for i in range(4)) + ")"
+    if pattern == "phone":
+        return "2", f"'+1-555-' || {_draw_int('v', 0, 100, 999)} || '-' || {_draw_int('v', 1, 1000, 9999)}"
+    if pattern == "ssn":
+        sep = (f"CASE WHEN contains({m}, '-') THEN '-' WHEN contains({m}, '.') THEN '.' "
+               f"WHEN contains({m}, ' ') THEN ' ' ELSE '-' END")
+        return "3", (f"lpad({_draw_int('v', 0, 100, 665)}, 3, '0') || {sep} || lpad({_draw_int('v', 1, 10, 99)}, 2, '0') "
+                     f"|| {sep} || lpad({_draw_int('v', 2, 1000, 9999)}, 4, '0')")
+    if pattern == "aws_secret_key":
+        return "40", _draw_chars("v", 0, "40", _ALNUM)
+    if pattern == "hex_key":
+        return f"least(length({m}), 1000)", _draw_chars("v", 0, f"length({m})", _HEX)
+    if pattern == "github_token":
+        return "36", "'ghp_' || " + _draw_chars("v", 0, "36", _ALNUM)
+    if pattern == "aws_access_key":
+        return "16", f"left({m}, 4) || " + _draw_chars("v", 0, "16", _ALNUM)
+    if pattern == "slack_token":
+        return "20", f"left({m}, 4) || '-' || " + _draw_chars("v", 0, "20", _ALNUM)
+    if pattern == "ipv6":
+        h = _draw_chars("v", 0, "32", _HEX)
+        return "32", (f"CASE WHEN {m} = '::1' THEN '::1' ELSE concat_ws(':', "
+                      + ", ".join(f"substr({h}, {4 * i + 1}, 4)" for i in range(8)) + ") END")
+    if pattern == "twilio_account_sid":
+        return "32", "'AC' || " + _draw_chars("v", 0, "32", _HEX)
+    if pattern == "stripe_secret_key":
+        return "24", (f"'sk_' || CASE WHEN contains({m}, 'live') THEN 'live' ELSE 'test' END || '_' || "
+                      + _draw_chars("v", 0, "24", _ALNUM))
+    if pattern == "gcp_service_key":
+        return "2", (f"'service-' || {_draw_int('v', 0, 1000, 9999)} || '@project-' || {_draw_int('v', 1, 1000, 9999)} "
+                     f"|| '.iam.gserviceaccount.com'")
+    if pattern == "gcp_kms_path":
+        return "3", (f"'projects/project-' || {_draw_int('v', 0, 1000, 9999)} || '/locations/us-central1/keyRings/ring-' "
+                     f"|| {_draw_int('v', 1, 100, 999)} || '/cryptoKeys/key-' || {_draw_int('v', 2, 100, 999)}")
+    if pattern == "repository_url":
+        dom = (f"CASE WHEN contains({m}, 'gitlab') THEN 'gitlab.com' WHEN contains({m}, 'bitbucket') THEN 'bitbucket.org' "
+               f"ELSE 'github.com' END")
+        return "2", f"'https://' || {dom} || '/user' || {_draw_int('v', 0, 1000, 9999)} || '/repo' || {_draw_int('v', 1, 100, 999)}"
+    if pattern == "cvv":
+        return "1", (f"CASE WHEN regexp_matches({m}, '[0-9]{{4}}') THEN lpad({_draw_int('v', 0, 100, 9999)}, 4, '0') "
+                     f"ELSE lpad({_draw_int('v', 0, 100, 999)}, 3, '0') END")
+    if pattern == "sendgrid_api_key":
+        return "65", "'SG.' || " + _draw_chars("v", 0, "22", _ALNUM) + " || '.' || " + _draw_chars("v", 22, "43", _ALNUM)
+    if pattern == "discord_token":
+        return "56", (f"left({m}, 1) || " + _draw_chars("v", 0, "23", _ALNUM) + " || '.' || "
+                      + _draw_chars("v", 23, "6", _ALNUM) + " || '.' || " + _draw_chars("v", 29, "27", _ALNUM))
+    raise KeyError(pattern)
+
+
+def pseudonyms(source_sql: str, pattern: str, keys: list[str]) -> str:
+    """Distinct matches of ``pattern`` and their fakes, computed in DuckDB."""
+    n, expr = fake_sql(pattern)
+    v = rng_first_values_sql(js_hash_sql("match"), "n_draws")
+    return f"""
+    SELECT match, {expr} AS fake FROM (
+      SELECT match, {v} AS v FROM (
+        SELECT match, {n} AS n_draws FROM (SELECT DISTINCT match FROM ({builtin_hits(source_sql, pattern, keys)}) h) d) d2) d3"""

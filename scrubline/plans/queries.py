@@ -268,6 +268,21 @@ def pseudonym_email_sql():
             f"FROM (SELECT DISTINCT match FROM ({hits}) h) d")
 
 
+FAKE_PATTERNS = ["ip", "phone", "ssn", "aws_secret_key", "hex_key", "github_token", "aws_access_key", "slack_token",
+                 "ipv6", "twilio_account_sid", "stripe_secret_key", "gcp_service_key", "gcp_kms_path",
+                 "repository_url", "cvv", "sendgrid_api_key", "discord_token"]
+
+
+def _pseudonym(pattern: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """E10 for one builtin: distinct values in documents plus planted
+        text and their format-preserving fakes."""
+        from scrubline.functions.generators import builtin_fake_col
+        h = pattern_hits(documents_with_planted(spark, sf_dir, pattern), "text", pattern, ["src", "doc_id"])
+        return h.select("match").distinct().select("match", builtin_fake_col("match", pattern).alias("fake"))
+    return q
+
+
 def safe_hash(spark, sf_dir):
     """G1 over whole document texts (first 1000 UTF-16 units each)."""
     return _docs(spark, sf_dir).select("doc_id", R.js_hash_col("text").alias("h"))
@@ -440,6 +455,8 @@ def registry() -> dict[str, tuple[Query, str | None]]:
                "audit_retain", "audit_date_week", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize"):
         reg[qn] = (g[qn], g[qn + "_sql"]())
+    for p in FAKE_PATTERNS:
+        reg[f"pseudonym_{p}"] = (_pseudonym(p), O.pseudonyms(oracle_documents_with_planted(p), p, ["src", "doc_id"]))
     for qn in ("sanitize_default", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts"):
         reg[qn] = (g[qn], None)
     return reg
