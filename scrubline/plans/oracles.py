@@ -88,26 +88,28 @@ def candidates(source_sql: str, rules: list[tuple], keys: list[str]) -> str:
                 continue  # unknown builtin: detects nothing
             h = builtin_hits(source_sql, pattern, keys)
             parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
-                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) b{rank}")
+                         f"{lit(rid)} AS rule_id, TRUE AS keep, NULL AS grp, FALSE AS tq FROM ({h}) b{rank}")
         elif rtype == "literal":
             re2 = ("(?i)" if cs is False else "") + RX.quote_literal(pattern)
             h = hits(source_sql, re2, keys)
             parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
-                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) l{rank}")
+                         f"{lit(rid)} AS rule_id, TRUE AS keep, NULL AS grp, FALSE AS tq FROM ({h}) l{rank}")
         elif rtype == "regex":
             tr = RX.to_re2(pattern, cs or "g")
             h = hits(source_sql, tr.pattern, keys, first_only=not tr.global_)
             parts.append(f"SELECT {k}, {rank} AS rank, 0 AS sub, seq, start, \"end\", {prio} AS prio, match, "
-                         f"{lit(rid)} AS rule_id, TRUE AS keep FROM ({h}) r{rank}")
+                         f"{lit(rid)} AS rule_id, TRUE AS keep, NULL AS grp, FALSE AS tq FROM ({h}) r{rank}")
         elif rtype == "kv":
             kv_parts = []
             for sub, re2, _tq in _kv_re2(pattern):
                 h = hits(source_sql, re2, keys, group=2)
-                kv_parts.append(f"SELECT {k}, {sub} AS sub, seq, start, \"end\", match, grp FROM ({h}) t{sub}")
+                kv_parts.append(f"SELECT {k}, {sub} AS sub, seq, start, \"end\", match, grp, {str(_tq).upper()} AS tq "
+                                f"FROM ({h}) t{sub}")
             allkv = " UNION ALL ".join(kv_parts)
             parts.append(f"""
             SELECT {k}, {rank} AS rank, sub, seq, start, "end", {prio} AS prio, match, {lit(rid)} AS rule_id,
-                   length(grp) >= {FX.KV_MIN_VALUE_LENGTH} AND NOT regexp_matches(grp, {lit('(?i)' + FX.KV_SKIP_VALUE)}) AS keep
+                   length(grp) >= {FX.KV_MIN_VALUE_LENGTH} AND NOT regexp_matches(grp, {lit('(?i)' + FX.KV_SKIP_VALUE)}) AS keep,
+                   grp, tq
             FROM (SELECT *, row_number() OVER (PARTITION BY {k}, start, match ORDER BY sub) AS dup
                   FROM ({allkv}) a{rank}) d{rank}
             WHERE dup = 1""")
@@ -283,3 +285,16 @@ def pseudonyms(source_sql: str, pattern: str, keys: list[str]) -> str:
     SELECT match, {expr} AS fake FROM (
       SELECT match, {v} AS v FROM (
         SELECT match, {n} AS n_draws FROM (SELECT DISTINCT match FROM ({builtin_hits(source_sql, pattern, keys)}) h) d) d2) d3"""
+
+
+def kv_secret_token_replacement(m: str = "match", value: str = "grp", tq: str = "tq") -> str:
+    """The key-value replacement for keys of the secret/token branch: the
+    value (at the end of the match, before an optional closing quote) is
+    swapped for a fake seeded by the value."""
+    trail = f"(CASE WHEN {tq} AND ends_with({m}, '\"') THEN 1 ELSE 0 END)"
+    vstart = f"(length({m}) - {trail} - length({value}))"
+    p = f"regexp_extract({value}, '^([a-zA-Z]{{2,4}}_)', 1)"
+    n = f"(CASE WHEN {p} <> '' THEN greatest(8, length({value}) - length({p})) ELSE greatest(16, length({value})) END)"
+    v = rng_first_values_sql(js_hash_sql(value), f"least(greatest(length({value}), 40) + 1, 1001)")
+    fake = f"{p} || " + _draw_chars(v, 0, n, _ALNUM)
+    return f"left({m}, {vstart}) || {fake} || substr({m}, {vstart} + length({value}) + 1)"

@@ -135,6 +135,19 @@ def detect_kv_token_sql():
     return f'SELECT doc_id, start, "end", match FROM ({kept}) k'
 
 
+def sanitize_kv_token(spark, sf_dir):
+    """Documents sanitized by the 'token' key-value rule: each value is
+    swapped (by its span) for a fake seeded by the value."""
+    return sanitize(_docs(spark, sf_dir), "text", [CONFLICT_RULES[0]]).select("doc_id", "sanitized")
+
+
+def sanitize_kv_token_sql():
+    keys = ["doc_id"]
+    src = "SELECT doc_id, text FROM documents"
+    kept = O.resolved(O.candidates(src, _rule_tuples([CONFLICT_RULES[0]]), keys), keys)
+    return O.spliced(src, kept, keys, O.kv_secret_token_replacement())
+
+
 def resolve_conflicts(spark, sf_dir):
     """Four overlapping rules (kv 1000, aws_secret_key 3014, hex_key 3017,
     log_key_value 3999): the surviving detection per span."""
@@ -450,7 +463,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
     for qn in ("detect_literal_ci", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
-               "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
+               "sanitize_kv_token", "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize"):
