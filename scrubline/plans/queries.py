@@ -411,6 +411,18 @@ def audit_date_week_sql():
     return f"SELECT id FROM ({_audit_sql()}) a WHERE ts >= TIMESTAMP '{midnight:%Y-%m-%d %H:%M:%S}'"
 
 
+def audit_delete(spark, sf_dir):
+    """delete by id -- the ids of entries without detections, as a
+    table, removed with a left-anti join."""
+    audit = _audit(spark, sf_dir)
+    ids = audit.where(F.col("detections_count") == 0).select("id")
+    return A.delete(audit, ids).select("id", "detections_count")
+
+
+def audit_delete_sql():
+    return f"SELECT id, detections_count FROM ({_audit_sql()}) a WHERE detections_count > 0"
+
+
 def audit_by_category(spark, sf_dir):
     """detections per (category, rule) over the audit table."""
     return A.by_category(_audit(spark, sf_dir))
@@ -465,7 +477,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     for qn in ("detect_literal_ci", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
                "sanitize_kv_token", "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
-               "audit_retain", "audit_date_week", "audit_by_category", "sanitize_nested_customer",
+               "audit_retain", "audit_date_week", "audit_delete", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize"):
         reg[qn] = (g[qn], g[qn + "_sql"]())
     for p in FAKE_PATTERNS:
