@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, exact_dedup, language_id, mixing
+from scrubline.llm import chat_format, exact_dedup, language_id, mixing, piece_wfst
 from scrubline.llm.common import table
 
 
@@ -50,8 +50,14 @@ def op9_chat_formatting(spark, sf_dir):
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op10_piece_encoding(spark, sf_dir):
+    """Piece ids of every whole document, and whether decoding gives it back."""
+    return piece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "round_trip")
+
+
 def registry():
     g = globals()
     sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
-        "op2_source_mixing", "op4_language_id", "op5_exact_dedup", "op9_chat_formatting", "llm_language_id_pages")}
+        "op2_source_mixing", "op4_language_id", "op5_exact_dedup", "op9_chat_formatting", "op10_piece_encoding",
+        "llm_language_id_pages")}
