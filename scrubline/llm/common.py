@@ -3,7 +3,10 @@ tables in the shared folder, Arrow batch size and safe input columns."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per Spark context, so Python
+    workers import it wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scrubline_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="scrubline-"), "scrubline.zip")  # the driver serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._scrubline_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the memory of Python workers: few rows per Arrow batch."""
+    """Before Python stages: few rows per Arrow batch bound the memory of the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -53,3 +75,38 @@ def text_or_empty(col):
 def q(name: str) -> str:
     """A column name quoted for expressions (names may hold dots)."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def map_runs(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] | None = None) -> DataFrame:
+    """``fn(pandas frame) -> pandas frame`` for every group of ``keys``.
+
+    The rows are dealt out by key and sorted, and each task walks the runs
+    of equal keys in its stream, so very many small groups cost no call into
+    Python each.  Only one group at a time is held: callers bound its size.
+    """
+    import pandas as pd
+
+    ship(df.sparkSession)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
+
+    def run(frames):
+        rest = None
+        for f in frames:
+            if rest is not None:
+                f = pd.concat([rest, f], ignore_index=True)
+            if not len(f):
+                continue
+            k = f[keys]
+            new = (k != k.shift()).any(axis=1).to_numpy()
+            at = new.nonzero()[0].tolist()
+            rest = f.iloc[at[-1]:]  # may go on in the next batch
+            out = [fn(f.iloc[a:b]) for a, b in zip(at, at[1:])]
+            out = [o for o in out if o is not None and len(o)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if rest is not None and len(rest):
+            o = fn(rest)
+            if o is not None and len(o):
+                yield o
+
+    return dealt.mapInPandas(run, schema)

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import cut, drop_cut
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every vertex hangs on one smaller vertex that hangs on none."""
+    k = e.groupBy("u").agg(F.count("*").alias("n"))
+    if not k.where("n > 1").isEmpty():
+        return False
+    return e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """Rows ``(id, component_id)`` for every vertex that has an edge;
     ``component_id`` is the smallest vertex reachable.
@@ -21,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = cut(e.where("u is not null and v is not null and u <> v").distinct(), name)  # u > v: each row points down
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u hangs on u's minimum
@@ -33,12 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         nxt = cut(small, name)
         drop_cut(large)
-        # a star forest: one edge per vertex and no vertex is both child and root
-        t = nxt.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
-        done = t.n == t.d and nxt.select("u").join(nxt.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
         drop_cut(e)
         e = nxt
-        if done:
-            break
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, exact_dedup, language_id, mixing, piece_wfst
+from scrubline.llm import chat_format, exact_dedup, language_id, minhash_odd, mixing, piece_wfst
 from scrubline.llm.common import table
 
 
@@ -45,6 +45,28 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 """
 
 
+def op8_minhash_odd(spark, sf_dir):
+    """Near-duplicates of whole texts: 3-word shingles, similarity of at least 0.85."""
+    r = minhash_odd.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=85, den=100)
+    return r.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, hash(sh) AS sh FROM (SELECT DISTINCT doc_id, sh FROM (
+       SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT v.b, r.c FROM r JOIN v ON v.a = r.id),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id
+"""
+
+
 def op9_chat_formatting(spark, sf_dir):
     """Maximal conversations, rendered."""
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
@@ -57,7 +79,7 @@ def op10_piece_encoding(spark, sf_dir):
 
 def registry():
     g = globals()
-    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
+    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
-        "op2_source_mixing", "op4_language_id", "op5_exact_dedup", "op9_chat_formatting", "op10_piece_encoding",
+        "op2_source_mixing", "op4_language_id", "op5_exact_dedup", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
         "llm_language_id_pages")}
