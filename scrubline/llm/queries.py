@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, exact_dedup, language_id, minhash_odd, mixing, piece_wfst
+from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, piece_wfst
 from scrubline.llm.common import table
 
 
@@ -14,6 +14,12 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix_sources(docs).select("doc_id", "source", "copy_no", "shuffle_key")
 
 
+def op3_embedding_caps(spark, sf_dir):
+    """Near-duplicate vectors of a label at a cosine of at least 0.93."""
+    r = embed_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return r.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op4_language_id(spark, sf_dir):
     """Language of every document: text, declared language and source prior."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -79,7 +85,7 @@ def op10_piece_encoding(spark, sf_dir):
 
 def registry():
     g = globals()
-    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
+    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_embedding_caps": embed_caps.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
-        "op2_source_mixing", "op4_language_id", "op5_exact_dedup", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
+        "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
         "llm_language_id_pages")}
