@@ -96,7 +96,6 @@ def text_scores(df: DataFrame, text_col: str, model: np.ndarray, keep: list[str]
     """``keep`` columns, ``__ll`` (tempered log likelihood by class) and
     ``__tri`` (number of trigrams)."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x classes floats: fixed size
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__tri", T.LongType())])
     src = df.select(*[F.col(q(c)) for c in keep], F.col(q(text_col)).alias("__text"))
@@ -162,6 +161,7 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_id", "lang_posterior", "lang_kept")])
     keep = [c for c in (keep or df.columns) if c in df.columns]
     cols = [F.col(q(c)) for c in keep]
+    small_batches(df.sparkSession)
     langs = languages(df, declared_col) if declared_col else []
     if not langs:
         return df.select(*cols, F.lit(UNDETERMINED).alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(False).alias("lang_kept"))

@@ -27,9 +27,9 @@ from scrubline.llm.common import cut, map_runs, q, small_batches
 from scrubline.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Bands x rows of the MinHash: at a similarity of 0.85 a pair misses all
-#: buckets with a probability of 3e-7.
-BANDS, ROWS = 32, 6
+#: Bands x rows of the MinHash: a pair misses all buckets with a probability
+#: of 7e-9 at a similarity of 0.85 and of 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
 #: Bits of each parity bitmap.
 SKETCH_BITS = 1024
 #: Standard errors below the threshold at which an estimate rules a pair out.
