@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, piece_wfst
+from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, piece_wfst, suffix_repeats
 from scrubline.llm.common import table
 
 
+def op1_suffix_repeats(spark, sf_dir):
+    """Bytes of documents covered by 400-byte strings that occur twice, removed."""
+    r = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_source_mixing(spark, sf_dir):
     """Documents repeated so that sources reach shares ~ size^0.5, in global random order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -87,5 +93,5 @@ def registry():
     g = globals()
     sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_embedding_caps": embed_caps.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
-        "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
+        "op1_suffix_repeats", "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
         "llm_language_id_pages")}
