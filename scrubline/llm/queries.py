@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, suffix_repeats
+from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, suffix_repeats
 from scrubline.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op6_page_diff(spark, sf_dir):
     return page_diff.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark, sf_dir):
+    """Quality of every document, learned from labels that are not held out."""
+    return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_odd(spark, sf_dir):
     """Near-duplicates of whole texts: 3-word shingles, similarity of at least 0.85."""
     r = minhash_odd.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=85, den=100)
@@ -98,5 +103,5 @@ def registry():
     g = globals()
     sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_embedding_caps": embed_caps.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
-        "op1_suffix_repeats", "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op6_page_diff", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
+        "op1_suffix_repeats", "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op6_page_diff", "op7_quality", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
         "llm_language_id_pages")}
