@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import q, small_batches
 
 BUCKETS, DIM, NONZERO = 8192, 32, 4
+FEATURES = 2 * DIM + 3
 #: Labelled rows the network is fitted on (a bound in expectation), and its size and training.
 FIT_ROWS = 4000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 600, 0.02, 1e-3
@@ -110,15 +111,18 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
 
 def pooled(text: str | None, table: np.ndarray) -> np.ndarray:
     """Features of a whole text: the mean word vector, the mean index
-    vector of the shapes, how concentrated the words are, and the length."""
-    n, v, s, w = 0, np.zeros(DIM), np.zeros(DIM), np.zeros(DIM)
+    vector of the shapes, how concentrated the words are, how often a word's
+    vector is that of the word before, and the length."""
+    n, v, s, w, again, last = 0, np.zeros(DIM), np.zeros(DIM), np.zeros(DIM), 0, -1
     for words, shapes in word_codes(text):
         n += len(words)
+        again += int((words[1:] == words[:-1]).sum()) + int(words[0] == last)
+        last = words[-1]
         v += table[words].sum(0, dtype=np.float64)
         s += INDEX[shapes].sum(0)
         w += INDEX[words].sum(0)
     k = max(n, 1)
-    return np.concatenate([v / k, s / k, [np.linalg.norm(w) / k, np.log1p(n)]])
+    return np.concatenate([v / k, s / k, [np.linalg.norm(w) / k, again / k, np.log1p(n)]])
 
 
 class Network:
@@ -195,13 +199,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     # FIT_ROWS narrow rows: a broadcast of a proven size
     rows = (docs.join(F.broadcast(sample), docs[q(id_col)] == sample["__id"])
             .select("__y", F.col(q(text_col)).cast("string").alias("t")).mapInArrow(features, "y int, x array<double>").toPandas())
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), 2 * DIM + 2)
+    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), FEATURES)
     order = np.lexsort(np.column_stack([x, rows["y"].to_numpy()]).T) if len(rows) else np.empty(0, np.int64)  # the order of arrival does not matter
     net = spark.sparkContext.broadcast(Network(x[order], rows["y"].to_numpy(np.float64)[order]))
 
     def score(batches):
         for t in batches:
-            x = np.array([pooled(v, shared.value) for v in t.column(2).to_pylist()]).reshape(t.num_rows, 2 * DIM + 2)
+            x = np.array([pooled(v, shared.value) for v in t.column(2).to_pylist()]).reshape(t.num_rows, FEATURES)
             s = net.value.score(x)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
