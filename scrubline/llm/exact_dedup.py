@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import q, text_or_empty
+from scrubline.llm.common import cut, q, text_or_empty
 
 #: Code points of the prefix that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -58,7 +58,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = df.select(
         *cols, F.col(q(id_col)).alias("__id"), F.octet_length(norm).alias("__len"),
         F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("__pre"),
-        norm.alias("__norm"), F.monotonically_increasing_id().alias("__tie"))
+        norm.alias("__norm"))
     bitmap = _survivor_bitmap(keyed.select("__len", "__pre"))
     slot = F.pmod(F.xxhash64("__len", "__pre"), F.lit(BITMAP_BITS))
     pos = slot % ROW_BITS
@@ -69,9 +69,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     alone = marked.where("not __twice").select(
         *cols, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # full content is hashed only where length and prefix occur twice
-    rank = F.struct(F.col("__id"), F.col("__tie"))
-    rows = marked.where("__twice").select(*cols, "__len", "__pre", F.sha2("__norm", 256).alias("__full"),
-                                          rank.alias("__rank"))
+    rank = F.struct(F.col("__id"), F.monotonically_increasing_id().alias("__tie"))
+    rows = cut(marked.where("__twice").select(*cols, "__len", "__pre", F.sha2("__norm", 256).alias("__full"),
+                                              rank.alias("__rank")), "twice")  # written, so ties are broken once
     best = (rows.groupBy("__len", "__pre", "__full")
             .agg(F.max("__rank").alias("__best"), F.count("*").alias("group_size")))
     # sort-merge join: adaptive execution splits a hot group
