@@ -114,7 +114,7 @@ def fake_value(branch: str, v: str) -> str:
         return _with_vals(v, 2, lambda vals: (
             f"concat(coalesce(try_element_at({words}, CAST({R.next_int(vals, 0, 0, len(FX.PASSWORD_WORDS) - 1)} + 1 AS INT)), "
             f"'undefined'), 'Pass', {_str(R.next_int(vals, 1, 100, 999))}, '!')"))
-    need = f"least(greatest(length({v}), 40) + 1, {FX.MAX_RANDOM_STRING + 1})"
+    need = f"greatest(length({v}), 40) + 1"
     if branch == "secret_token":
         return _with_vals(v, need, lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,4}_)", 8, 16))
     if branch == "api":
@@ -351,7 +351,7 @@ def sendgrid(m):
 
 
 def hex_key(m):
-    return _with_vals(m, f"least(length({m}), {FX.MAX_RANDOM_STRING})", lambda v: R.hexs(v, 0, f"length({m})"))
+    return _with_vals(m, f"length({m})", lambda v: R.hexs(v, 0, f"length({m})"))
 
 
 def gcp_kms_path(m):

@@ -34,8 +34,8 @@ _X1, _X2, _X3 = (_i32(x) for x in FX.RNG_SEED_XORS)
 
 
 def js_hash(s: str) -> str:
-    """djb2 (h = h*33 + unit, masked to 31 bits) over the first 1000 UTF-16
-    code units of ``s``; 0 maps to 1.  Supplementary characters contribute
+    """djb2 (h = h*33 + unit, masked to 31 bits) over the UTF-16 code
+    units of ``s``; 0 maps to 1.  Supplementary characters contribute
     their two surrogate units, as JavaScript ``charCodeAt`` sees them.
     The empty string hashes to 5381 (the original falls back to the clock
     there; matches are never empty)."""
@@ -43,18 +43,12 @@ def js_hash(s: str) -> str:
     cp = f"ascii({c})"
     hi = f"(55296 + shiftright({cp} - 65536, 10))"
     lo = f"(56320 + (({cp} - 65536) & 1023))"
-    step = (
-        f"named_struct('h', CASE WHEN {cp} >= 65536 THEN "
-        f"CASE WHEN {a}.n + 1 < {FX.HASH_PREFIX_UNITS} THEN (((({a}.h * 33 + {hi}) & {_M31}) * 33 + {lo}) & {_M31}) "
-        f"WHEN {a}.n < {FX.HASH_PREFIX_UNITS} THEN (({a}.h * 33 + {hi}) & {_M31}) ELSE {a}.h END "
-        f"ELSE CASE WHEN {a}.n < {FX.HASH_PREFIX_UNITS} THEN (({a}.h * 33 + {cp}) & {_M31}) ELSE {a}.h END END, "
-        f"'n', {a}.n + CASE WHEN {cp} >= 65536 THEN 2 ELSE 1 END)"
-    )
+    step = (f"CASE WHEN {cp} >= 65536 THEN (((({a} * 33 + {hi}) & {_M31}) * 33 + {lo}) & {_M31}) "
+            f"ELSE (({a} * 33 + {cp}) & {_M31}) END")
     e = name("e")
-    chars = f"filter(split(left({s}, {FX.HASH_PREFIX_UNITS}), '', -1), {e} -> {e} != '')"
-    return (f"aggregate({chars}, "
-            f"named_struct('h', CAST({FX.HASH_START} AS BIGINT), 'n', 0), ({a}, {c}) -> {step}, "
-            f"{a} -> CASE WHEN {a}.h = 0 THEN CAST(1 AS BIGINT) ELSE {a}.h END)")
+    chars = f"filter(split({s}, '', -1), {e} -> {e} != '')"
+    return (f"aggregate({chars}, CAST({FX.HASH_START} AS BIGINT), ({a}, {c}) -> {step}, "
+            f"{a} -> CASE WHEN {a} = 0 THEN CAST(1 AS BIGINT) ELSE {a} END)")
 
 
 def _seed(seed: str) -> str:
@@ -96,11 +90,11 @@ def next_int(vals: str, k: int | str, lo: int, hi: int) -> str:
 
 def pick_chars(vals: str, k: int | str, n: int | str, alphabet: str) -> str:
     """String of ``n`` characters of ``alphabet`` from draws k, k+1, ...
-    (n <= 0 or n > 1000 gives ''); a draw of exactly 1.0 indexes past the
+    (n <= 0 gives ''); a draw of exactly 1.0 indexes past the
     alphabet and yields 'undefined', as in JavaScript."""
     z = name("z")
     size = len(alphabet)
-    n_ok = f"(CASE WHEN ({n}) <= 0 OR ({n}) > {FX.MAX_RANDOM_STRING} THEN 0 ELSE ({n}) END)"
+    n_ok = f"greatest({n}, 0)"
     pick = (f"CASE WHEN floor({z} * {size}) >= {size} THEN 'undefined' "
             f"ELSE substr({q(alphabet)}, CAST(floor({z} * {size}) AS INT) + 1, 1) END")
     return f"array_join(transform(slice({vals}, ({k}) + 1, {n_ok}), {z} -> {pick}), '')"
@@ -115,14 +109,14 @@ def hexs(vals: str, k: int | str, n: int | str) -> str:
 
 
 def preserve_shape(s: str) -> str:
-    """Per character of the first 100 UTF-16 units, a-z / A-Z / 0-9 are
+    """Per character, a-z / A-Z / 0-9 are
     replaced by a random character of the same class (one draw each), other
     characters kept; seeded by ``js_hash(s)``; empty -> '[REDACTED]'."""
     def body(seed):
         w, wi = name("w"), name("i")
-        warm_step = (f"named_struct('a', {_next_a(w)}, 'b', {w}.a, 'c', {w}.b, 'd', {w}.c, 'n', {w}.n, "
+        warm_step = (f"named_struct('a', {_next_a(w)}, 'b', {w}.a, 'c', {w}.b, 'd', {w}.c, "
                      f"'out', {w}.out)")
-        warm = (f"aggregate(sequence(1, {FX.RNG_WARMUP}), {_init_state(seed, ", 'n', 0, 'out', ''")}, "
+        warm = (f"aggregate(sequence(1, {FX.RNG_WARMUP}), {_init_state(seed, ", 'out', ''")}, "
                 f"({w}, {wi}) -> {warm_step})")
         acc, ch = name("p"), name("ch")
         na = _next_a(acc)
@@ -138,16 +132,13 @@ def preserve_shape(s: str) -> str:
                     f"ELSE substr({q(alpha)}, CAST(floor({val} * {n}) AS INT) + 1, 1) END")
         newch = (f"CASE WHEN {lower} THEN {pick(FX.LOWER_ALPHABET)} WHEN {upper} THEN {pick(FX.UPPER_ALPHABET)} "
                  f"WHEN {digit} THEN {pick(FX.DIGIT_ALPHABET)} ELSE {ch} END")
-        units = f"CASE WHEN ascii({ch}) >= 65536 THEN 2 ELSE 1 END"
         step = (f"named_struct("
                 f"'a', CASE WHEN {draw} THEN {na} ELSE {acc}.a END, "
                 f"'b', CASE WHEN {draw} THEN {acc}.a ELSE {acc}.b END, "
                 f"'c', CASE WHEN {draw} THEN {acc}.b ELSE {acc}.c END, "
                 f"'d', CASE WHEN {draw} THEN {acc}.c ELSE {acc}.d END, "
-                f"'n', {acc}.n + {units}, "
-                f"'out', CASE WHEN {acc}.n + {units} <= {FX.SHAPE_PREFIX_UNITS} THEN concat({acc}.out, {newch}) "
-                f"ELSE {acc}.out END)")
-        out = (f"aggregate(split(left({s}, {FX.SHAPE_PREFIX_UNITS}), '', -1), {warm}, ({acc}, {ch}) -> {step}, "
+                f"'out', concat({acc}.out, {newch}))")
+        out = (f"aggregate(split({s}, '', -1), {warm}, ({acc}, {ch}) -> {step}, "
                f"{acc} -> {acc}.out)")
         return let(out, lambda o: f"CASE WHEN {o} = '' THEN {q(FX.REDACTED)} ELSE {o} END")
     shaped = let(_seed(js_hash(s)), body)

@@ -164,7 +164,7 @@ def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
 def _common(rows: list[bytes]) -> np.ndarray:
     """Lengths of the common prefixes of neighbouring strings."""
-    wide = max(map(len, rows))
+    wide = max(1, *map(len, rows))
     size = np.array([len(r) for r in rows])
     m = np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in rows), np.uint8).reshape(len(rows), wide)
     differ = m[1:] != m[:-1]

@@ -6,7 +6,7 @@ executors each row goes through a fixed chain of projections, with no
 shuffle:
 
 1. ``__m<i>``: all matches of spec *i* (skipped when its guard literal is
-   absent), capped at 10 000 per regex and text;
+   absent);
 2. ``__s<i>``: offsets of those matches (split lengths, see ``spans``);
 3. ``__cands``: candidate structs of all rules, key-value duplicates
    removed and short / boolean / numeric values dropped, sorted by
@@ -35,6 +35,7 @@ from scrubline import fixed as FX
 from scrubline.functions import generators as G
 from scrubline.functions import regex as RX
 from scrubline.functions import rng as R
+from scrubline.functions.spans import block_fold
 from scrubline.functions.sqlx import ident, let, name, q
 from scrubline.operators.patterns import BUILTINS, global_priority
 from scrubline.operators.rules import Rule, rank_rule_list
@@ -56,7 +57,6 @@ class Options:
     context_length: int = FX.DEFAULT_CONTEXT_LENGTH
     jwt_epoch: int = FX.DEFAULT_JWT_EPOCH
     kv_fixed_replacement: bool = False
-    max_input_chars: int = FX.MAX_INPUT_CHARS
     # False: detection only -- ``replacement`` is left null and no generator
     # is planned or run (for counts and span reports)
     generate_replacements: bool = True
@@ -95,18 +95,30 @@ def _kv_specs(rank: int, key: str) -> list[Spec]:
     # the same matches and are removed by the (start, match) de-duplication,
     # so they are not run.
     distinct = [variations[0], variations[2], variations[4]]
+    # A match of a prefixed key may start only where its run of prefix
+    # characters starts: a later start reaches no key that this one missed.
+    # (``\\G``: right after a match; the last two: the run's first character
+    # is barred by the template's own look-behind, so the second stands in.)
+    classes = [None, "a-zA-Z", "a-zA-Z_"]
     specs = []
     groups = RX.capture_group_count(key) > 0
     guard = (key.lower(),) if _PLAIN_KEY.match(key) else ()
     sub = 0
-    for kvar in distinct:
+    for kvar, cls in zip(distinct, classes):
+        start = rf"(?:(?<![{cls}])|\G|(?<=https?:[{cls}])|(?<=ftp:[{cls}]))"
         for t_no, tmpl in enumerate(FX.KV_TEMPLATES):
-            js = tmpl.format(k=kvar, K=kvar.upper())
-            specs.append(Spec(rank, sub, RX.to_java(js, "gi").pattern, guard=guard, guard_lower=True, kv=True,
+            java = RX.to_java(tmpl.format(k=kvar, K=kvar.upper()), "gi").pattern
+            if cls and t_no in (1, 2, 3):
+                java = java.replace("(?i)", "(?i)" + start, 1)
+            elif cls and t_no == 4:
+                java = java.replace(r"(?:API\s+)?", rf"(?:API\s+|{start})", 1)
+            specs.append(Spec(rank, sub, java, guard=guard, guard_lower=True, kv=True,
                               trail_quote=t_no in (0, 1, 2, 3), key_groups=groups))
             sub += 1
     if key.lower() == "secret":
-        specs.append(Spec(rank, sub, RX.to_java(FX.KV_SECRET_LOG_TEMPLATE, "gi").pattern, guard=("secret",),
+        # the template's nested loop is any run of two or more that ends alphanumerically
+        java = RX.to_java(FX.KV_SECRET_LOG_TEMPLATE.replace("(?:[a-zA-Z0-9_]*[a-zA-Z0-9])+", "[a-zA-Z0-9]"), "gi").pattern
+        specs.append(Spec(rank, sub, java, guard=("secret",),
                           guard_lower=True, kv=True, key_groups=groups))
     return specs
 
@@ -130,7 +142,8 @@ def compile_rules(rules: list[Rule], spark=None) -> Compiled:
             if not r.pattern:
                 continue
             if r.case_sensitive is False:
-                java = "(?iu)" + RX.quote_literal(r.pattern)
+                # without the u flag JavaScript folds no other character onto ASCII
+                java = ("(?i)" if r.pattern.isascii() else "(?iu)") + RX.quote_literal(r.pattern)
                 guard = (r.pattern.lower(),) if r.pattern.isascii() else ()
                 comp.specs.append(Spec(rank, 0, java, guard=guard, guard_lower=True))
             else:
@@ -185,16 +198,15 @@ def _spec_entry(s: Spec, prio: int, x: str, guard: str | None) -> str:
     inputs: rule rank, template, priority, kv flags, the matches, the gaps
     (split) and the value groups.  The regex runs only when the guard
     passes; split and group extraction only when it matched."""
-    cap = FX.MAX_MATCHES_PER_REGEX
-    first = 1 if s.first_only else cap
     def body(m):
-        v2 = f"slice(regexp_extract_all({x}, {q(s.java)}, 2), 1, {cap})" if s.kv else _SPEC_EMPTY
-        v1 = f"slice(regexp_extract_all({x}, {q(s.java)}, 1), 1, {cap})" if s.kv and s.key_groups else _SPEC_EMPTY
+        v2 = f"regexp_extract_all({x}, {q(s.java)}, 2)" if s.kv else _SPEC_EMPTY
+        v1 = f"regexp_extract_all({x}, {q(s.java)}, 1)" if s.kv and s.key_groups else _SPEC_EMPTY
         st = (f"named_struct('rank', {s.rank}, 'sub', {s.sub}, 'prio', {prio}, 'kv', {str(s.kv).lower()}, "
               f"'tq', {str(s.trail_quote).lower()}, 'kg', {str(s.key_groups).lower()}, 'm', {m}, "
               f"'g', split({x}, {q(s.java)}, -1), 'v2', {v2}, 'v1', {v1})")
         return f"CASE WHEN size({m}) > 0 THEN array({st}) ELSE CAST(array() AS {_SPEC_TYPE}) END"
-    entry = let(f"slice(regexp_extract_all({x}, {q(s.java)}, 0), 1, {first})", body)
+    found = f"regexp_extract_all({x}, {q(s.java)}, 0)"
+    entry = let(f"slice({found}, 1, 1)" if s.first_only else found, body)
     if guard is None:
         return f"coalesce({entry}, CAST(array() AS {_SPEC_TYPE}))"
     return f"CASE WHEN {guard} THEN coalesce({entry}, CAST(array() AS {_SPEC_TYPE})) ELSE CAST(array() AS {_SPEC_TYPE}) END"
@@ -215,7 +227,7 @@ def _spec_candidates(z: str, x: str) -> str:
              f"({a}, {b}) -> named_struct('m', {a}, 'g', {b}))")
     st = f"({acc}.pos + length({p}.g))"
     bs = f"({acc}.bpos + octet_length({p}.g))"
-    j = f"size({acc}.out)"
+    j = f"({acc}.n0 + size({acc}.out))"
     val = (f"CASE WHEN {z}.kg AND coalesce(get({z}.v2, {j}), '') = '' THEN get({z}.v1, {j}) "
            f"ELSE get({z}.v2, {j}) END")
 
@@ -233,10 +245,7 @@ def _spec_candidates(z: str, x: str) -> str:
                     f"'prio', {z}.prio, 'match', {p}.m, 'vstart', {vstart}, 'vend', {vend})")
         return let(vs, with_vs)
     item = let(f"CASE WHEN {z}.kv THEN {val} ELSE '' END", with_value)
-    step = (f"named_struct('pos', {st} + length({p}.m), 'bpos', {bs} + octet_length({p}.m), "
-            f"'out', concat({acc}.out, array({item})))")
-    init = f"named_struct('pos', 0, 'bpos', 0, 'out', CAST(array() AS {CAND_TYPE}))"
-    return f"aggregate({pairs}, {init}, ({acc}, {p}) -> {step}, {acc} -> {acc}.out)"
+    return block_fold(pairs, acc, p, item, CAND_TYPE)
 
 
 def _dedup_kv(srt: str) -> str:
@@ -351,7 +360,7 @@ def _replacement(comp: Compiled, c: str, opts: Options) -> str:
                 # length -- extra draws do not change the ones used
                 consts = [int(d) for d in st["draws"] if d.isdigit()]
                 dynamic = len(consts) < len(st["draws"])
-                n = (f"greatest({max(consts or [0])}, least(length({m}), {FX.MAX_RANDOM_STRING}))"
+                n = (f"greatest({max(consts or [0])}, length({m}))"
                      if dynamic else str(max(consts)))
                 draws.append((ranks, n))
         else:
@@ -436,8 +445,8 @@ def splice_sql(x: str, dets: str) -> str:
 def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
     """The whole pipeline (guards, candidates, resolution, generation,
     selection, splice) as one expression over the string expression ``x``
-    -- for strings nested inside arrays and maps.  Null, empty and
-    oversized strings come back unchanged (E1)."""
+    -- for strings nested inside arrays and maps.  Null and
+    empty strings come back unchanged (E1)."""
     if not comp.specs:
         return x
     gkeys: dict[tuple, str] = {}
@@ -469,8 +478,7 @@ def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
             for (lits, low), k in gkeys.items()) + ")"
         return let(gstruct, with_guards)
     body = let(f"lower({x})", with_lower)
-    return (f"CASE WHEN {x} IS NULL OR {x} = '' OR length({x}) > {opts.max_input_chars} THEN {x} "
-            f"ELSE {body} END")
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {body} END"
 
 
 def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
@@ -481,7 +489,7 @@ def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     with a partial aggregate.  Only overlapping pairs are formed, never all
     pairs of a row."""
     comp = compile_rules(rules, df.sparkSession)
-    cands = candidate_columns(balanced(df), text, comp)
+    cands = candidate_columns(df, text, comp)
     c, i, o = name("c"), name("i"), name("o")
     pairs = (f"flatten(transform(`__cands`, ({c}, {i}) -> transform(filter(slice(`__cands`, {i} + 2, "
              f"greatest(size(`__cands`) - {i} - 1, 0)), {o} -> {o}.start < {c}.`end`), "
@@ -494,10 +502,11 @@ def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
 
 
 def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over at least ``defaultParallelism`` tasks when the input
-    has fewer partitions (one small file is one task; the regex work is CPU
-    bound).  Inputs that already have enough splits -- any large table --
-    are returned unchanged, so no shuffle is added at scale.  The spread
+    """Spread the rows of a plain scan over at least ``defaultParallelism``
+    tasks when it has fewer partitions (one small file is one task; the
+    regex work is CPU bound).  Nothing calls it unasked: it shuffles the
+    texts, and on anything but a scan it plans the input to count its
+    partitions.  The spread
     hashes a per-row id rather than the text, so duplicate texts do not
     pile up in one task; streams are left alone."""
     if df.isStreaming:
@@ -509,7 +518,7 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def detect(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
-           balance: bool = True) -> DataFrame:
+           balance: bool = False) -> DataFrame:
     """Adds ``detections`` (and internal ``__dets``) for column ``text``.
     Null or empty text gives an empty list."""
     opts = opts or Options()

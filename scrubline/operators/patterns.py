@@ -84,11 +84,36 @@ _RE2_OVERRIDES = {
     "ssn": r"\b(\d{3})[-.\s](\d{2})[-.\s](\d{4})\b",
 }
 
+_B = RX.ASCII_BOUNDARY
+_HOST_TAIL = r"(?:internal|local|corp|intranet|private|lan|staging|stage|stg)(?:\.\w+)?(?::\d+)?" + _B
+_URL_WORD = r"(?:staging|internal|dev|test|sandbox|admin|api|auth|stg|uat|preprod|qa)[\w.-]*\.[\w.-]"
+# Java spellings that find the same matches in linear time and constant
+# stack.  Label loops are possessive (a label ends at its dot, so there is
+# nothing to give back) and walk from one label that carries the keyword to
+# the next; the last one found is where the greedy original ends.  A start
+# is skipped if an earlier start of the same run has already failed: the run
+# holds no later match then.  ``\\G`` lets the text right after a match start
+# anew; the counts inside look-behinds bound only what is skipped.
+_JAVA_OVERRIDES = {
+    "internal_hostname": (
+        r"(?i)" + _B + r"(?:(?<=\G-{0,16}(?:\.-{0,16})?)|(?<!\w-{0,16}(?:\.-{0,16})?))[\w-]++\."
+        rf"(?:(?!{_HOST_TAIL})[\w-]++\.)*+(?={_HOST_TAIL})"
+        rf"(?:[\w-]++\.(?:(?!{_HOST_TAIL})[\w-]++\.)*+(?={_HOST_TAIL}))*+{_HOST_TAIL}"),
+    "internal_url": (
+        r"(?i)" + _B + rf"https?://(?=(?:(?!{_URL_WORD})[\w-]++\.)*+{_URL_WORD})[\w.-]++(?::\d+)?(?:/[\w./-]*)?"),
+    "basic_auth": (
+        _B + r"(?:(?<=\G[a-zA-Z0-9+.-]{0,41})|(?<!(?<!\w)[a-zA-Z][a-zA-Z0-9]{0,32}[+.-]{1,8}))"
+        r"[a-zA-Z][a-zA-Z0-9+.-]*+://[a-zA-Z0-9._-]++:[a-zA-Z0-9._-]++@[a-zA-Z0-9.-]++"),
+    "gcp_service_key": (
+        _B + r"(?:(?<=\G[a-z0-9-]{0,65})|(?<![a-z0-9]-{1,16})(?<!-[a-z0-9]{1,64}))"
+        r"[a-z0-9-]++@[a-z0-9-]++\.iam\.gserviceaccount\.com" + _B),
+}
+
 
 def _build() -> dict[str, Builtin]:
     out = {}
     for name, js, flags in FX.BUILTIN_PATTERNS:
-        java = RX.to_java(js, flags).pattern
+        java = _JAVA_OVERRIDES.get(name) or RX.to_java(js, flags).pattern
         if name in _RE2_OVERRIDES:
             re2 = _RE2_OVERRIDES[name]
         else:

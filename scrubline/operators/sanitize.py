@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from scrubline import fixed as FX
 from scrubline.functions.generators import builtin_generator
-from scrubline.operators.detect import Options, balanced, candidate_columns, compile_rules, detection_columns
+from scrubline.functions.sqlx import ident, name, q
+from scrubline.operators.detect import (Options, balanced, candidate_columns, compile_rules, detection_columns, sanitized_sql,
+                                        splice_sql)
 from scrubline.operators.rules import Rule
 
 # JavaScript's String.prototype.trim removes these (ECMAScript WhiteSpace +
@@ -35,79 +37,87 @@ def is_json(s: Column) -> Column:
     return F.coalesce(F.when(starts, F.try_parse_json(t).isNotNull()), F.lit(False))
 
 
-def input_status(s: Column, max_chars: int = FX.MAX_INPUT_CHARS) -> Column:
-    """E1: 'null' / 'empty' / 'too_large' / 'ok' (non-ok text stays as is)."""
-    return (F.when(s.isNull(), F.lit("null")).when(s == "", F.lit("empty"))
-            .when(F.length(s) > max_chars, F.lit("too_large")).otherwise(F.lit("ok")))
+def input_status(s: Column) -> Column:
+    """E1: 'null' / 'empty' / 'ok' (null and empty text stays as is; every
+    other text is sanitized, whatever its length)."""
+    return F.when(s.isNull(), F.lit("null")).when(s == "", F.lit("empty")).otherwise(F.lit("ok"))
 
 
-def splice(x: Column, dets: Column) -> Column:
-    """Replace each detection's byte range [bstart, bend) of ``x`` by its
-    replacement; detections must be disjoint (they are after resolution)."""
-    d = F.array_sort(F.transform(dets, lambda z: F.struct(z["bstart"].alias("bs"), z["bend"].alias("be"),
-                                                            F.coalesce(z["replacement"], F.lit("")).alias("r"))))
-    xb = F.encode(x, "UTF-8")
-
-    def piece(z, i):
-        prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(d, i)["be"])
-        gap = F.substr(xb, prev + 1, z["bs"] - prev).cast("string")
-        return F.concat(gap, z["r"])
-
-    last = F.element_at(d, -1)["be"]
-    tail = F.substr(xb, last + 1, F.octet_length(x) - last + 1).cast("string")
-    joined = F.concat(F.array_join(F.transform(d, piece), ""), tail)
-    return F.when(F.size(d) == 0, x).otherwise(joined)
-
-
-def select_detections(dets: Column, selected: list[str] | None) -> Column:
-    """Keep detections of the listed rule ids (empty/None keeps all)."""
+def _selected(dets: str, selected: list[str] | None) -> str:
+    """Detections of the listed rule ids (empty/None keeps all)."""
     if not selected:
         return dets
-    ids = F.array(*[F.lit(s) for s in selected])
-    return F.filter(dets, lambda d: F.array_contains(ids, d["rule_id"]))
+    return f"filter({dets}, d -> array_contains(array({', '.join(q(i) for i in selected)}), d.rule_id))"
+
+
+#: Columns that ``sanitize`` adds besides its output text.
+REPORT = ["detections", "detections_count", "patterns_replaced", "status", "input_type", "input_size", "output_size", "output_valid_json"]
 
 
 def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
-             out: str = "sanitized", balance: bool = True) -> DataFrame:
+             out: str = "sanitized", balance: bool = False) -> DataFrame:
     """E2 + E1 + E3 + E4/E5 on column ``text``.
 
     Adds ``out`` (sanitized text), ``detections`` (all resolved detections,
     by priority), ``detections_count``, ``patterns_replaced`` (selected),
     ``status`` (E1), ``input_type`` ('json' / 'text'), ``input_size`` and
-    ``output_size`` (characters).
+    ``output_size`` (characters) and ``output_valid_json`` (E5: whether the
+    sanitized JSON text still parses; null for other text).  An input column
+    with one of these names is rejected: rename it first.
     """
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in [out, *REPORT]}
+    if clash:
+        raise ValueError(f"input columns clash with the result: {sorted(clash)}")
     opts = opts or Options()
     comp = compile_rules(rules, df.sparkSession)
     if balance:
         df = balanced(df)
     det = detection_columns(candidate_columns(df, text, comp), text, comp, opts)
-    x = F.col(text)
-    status = input_status(x, opts.max_input_chars)
-    chosen = select_detections(F.col("__dets"), opts.selected_rule_ids)
-    sanitized = F.when(status == "ok", splice(x, chosen)).otherwise(x)
-    base = [F.col(c) for c in df.columns]
-    return det.select(
-        *base,
-        sanitized.alias(out),
+    x, base = ident(text), [ident(c) for c in df.columns]
+    spliced = det.selectExpr(*base, "detections", f"{_selected('`__dets`', opts.selected_rule_ids)} AS `__chosen`")
+    spliced = spliced.selectExpr(*base, "detections", "size(`__chosen`) AS patterns_replaced", f"{splice_sql(x, '`__chosen`')} AS `__out`")
+    t, o = F.col(x), F.col("__out")
+    json = is_json(t)
+    return spliced.select(
+        *[F.col(c) for c in base],
+        o.alias(out),
         F.col("detections"),
         F.size(F.col("detections")).alias("detections_count"),
-        F.when(status == "ok", F.size(chosen)).otherwise(F.lit(0)).alias("patterns_replaced"),
-        status.alias("status"),
-        F.when(is_json(x), F.lit("json")).otherwise(F.lit("text")).alias("input_type"),
-        F.length(x).alias("input_size"),
-        F.length(sanitized).alias("output_size"),
+        F.col("patterns_replaced"),
+        input_status(t).alias("status"),
+        F.when(json, F.lit("json")).otherwise(F.lit("text")).alias("input_type"),
+        F.length(t).alias("input_size"),
+        F.length(o).alias("output_size"),
+        F.when(json, output_valid_json(o)).alias("output_valid_json"),
     )
 
 
+def run_statistics(sanitized: DataFrame) -> DataFrame:
+    """One row for a whole run: rows, rows with detections, rows changed
+    by type, detections, replacements, characters in and out."""
+    return sanitized.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("detections_count") > 0).alias("rows_with_detections"),
+        F.count_if(F.col("input_type") == "json").alias("json_rows"),
+        F.coalesce(F.sum("detections_count"), F.lit(0)).alias("detections"),
+        F.coalesce(F.sum("patterns_replaced"), F.lit(0)).alias("replacements"),
+        F.coalesce(F.sum("input_size"), F.lit(0)).alias("input_chars"),
+        F.coalesce(F.sum("output_size"), F.lit(0)).alias("output_chars"))
+
+
 def sanitize_table(df: DataFrame, columns: list[str] | None, rules: list[Rule], opts: Options | None = None) -> DataFrame:
-    """Sanitize the chosen (default: all string) columns in place."""
+    """Sanitize the chosen (default: all string) columns in place; the
+    columns may have any names."""
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    out = df
-    for c in cols:
-        s = sanitize(out, c, rules, opts, out="__sanitized", balance=False)
-        keep = [F.col(k) for k in out.columns if k != c]
-        out = s.select(*keep, F.col("__sanitized").alias(c)).select(*df.columns)
-    return out
+    comp = compile_rules(rules, df.sparkSession)
+    opts = opts or Options()
+    if not cols:
+        return df
+    # one pipeline for all of them: the texts of a row form one array
+    texts = "array(" + ", ".join(ident(c) for c in cols) + ")"
+    v = name("v")
+    done = df.selectExpr(*[ident(c) for c in df.columns], f"transform({texts}, {v} -> {sanitized_sql(v, comp, opts)}) AS `__done`")
+    return done.selectExpr(*[f"get(`__done`, {cols.index(c)}) AS {ident(c)}" if c in cols else ident(c) for c in df.columns])
 
 
 def output_valid_json(s: Column) -> Column:

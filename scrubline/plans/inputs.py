@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrubline.operators.detect import balanced  # noqa: E402
+
 H = "md5(cast(doc_id as string))"
 
 # Value expressions per builtin (FIXTURES.md section 3); ``h`` stands for H.
@@ -80,7 +82,9 @@ def planted_text_sql(pattern: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.  The small tables are one file, so one task: a scan
+    with fewer splits than cores is spread; a large table is left as it is."""
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents_with_planted(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:

@@ -29,7 +29,7 @@ def hits(source_sql: str, re2: str, keys: list[str], first_only: bool = False, t
     k = ", ".join(keys)
     grp_sel = f", regexp_extract_all({text}, {lit(re2)}, {group}) AS vs" if group is not None else ""
     grp_out = ", vs[i] AS grp" if group is not None else ""
-    cap = "1" if first_only else str(FX.MAX_MATCHES_PER_REGEX)
+    cap = "WHERE i <= 1" if first_only else ""
     return f"""
     SELECT {k}, CAST(i - 1 AS INTEGER) AS seq,
       CAST(coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0)
@@ -42,7 +42,7 @@ def hits(source_sql: str, re2: str, keys: list[str], first_only: bool = False, t
                        regexp_split_to_array({text}, {lit(re2)}) AS gs{grp_sel}
                 FROM ({source_sql}) src0) m0
           WHERE len(ms) > 0) u0
-    WHERE i <= {cap}"""
+    {cap}"""
 
 
 def builtin_hits(source_sql: str, name: str, keys: list[str]) -> str:
@@ -169,11 +169,11 @@ def spliced(source_sql: str, kept_sql: str, keys: list[str], repl_sql: str, text
 
 def js_hash_sql(s: str) -> str:
     """G1 in DuckDB: djb2 over UTF-16 units (surrogates for code points
-    above U+FFFF), first 1000 units, 0 -> 1."""
+    above U+FFFF), 0 -> 1."""
     units = (f"flatten(list_transform(string_split({s}, ''), lambda c: CASE WHEN unicode(c) >= 65536 "
              f"THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] "
              f"ELSE [unicode(c)] END))")
-    h = (f"list_reduce(({units})[1:1000], lambda h, u: (h * 33 + u) & 2147483647, CAST(5381 AS BIGINT))")
+    h = (f"list_reduce(({units}), lambda h, u: (h * 33 + u) & 2147483647, CAST(5381 AS BIGINT))")
     return f"(CASE WHEN {h} = 0 THEN 1 ELSE {h} END)"
 
 
@@ -221,7 +221,7 @@ def _draw_int(v: str, k: int, lo: int, hi: int) -> str:
 
 def _draw_chars(v: str, k: int, n: str, alpha: str) -> str:
     size = len(alpha)
-    return (f"(CASE WHEN ({n}) <= 0 OR ({n}) > 1000 THEN '' ELSE array_to_string(list_transform({v}[{k + 1}:{k} + ({n})], "
+    return (f"(CASE WHEN ({n}) <= 0 THEN '' ELSE array_to_string(list_transform({v}[{k + 1}:{k} + ({n})], "
             f"lambda z: CASE WHEN floor(z * {size}) >= {size} THEN 'undefined' "
             f"ELSE substr({lit(alpha)}, CAST(floor(z * {size}) AS INTEGER) + 1, 1) END), '') END)")
 
@@ -240,7 +240,7 @@ def fake_sql(pattern: str, m: str = "match") -> tuple[str, str]:
     if pattern == "aws_secret_key":
         return "40", _draw_chars("v", 0, "40", _ALNUM)
     if pattern == "hex_key":
-        return f"least(length({m}), 1000)", _draw_chars("v", 0, f"length({m})", _HEX)
+        return f"length({m})", _draw_chars("v", 0, f"length({m})", _HEX)
     if pattern == "github_token":
         return "36", "'ghp_' || " + _draw_chars("v", 0, "36", _ALNUM)
     if pattern == "aws_access_key":

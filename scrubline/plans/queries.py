@@ -297,7 +297,7 @@ def _pseudonym(pattern: str) -> Query:
 
 
 def safe_hash(spark, sf_dir):
-    """G1 over whole document texts (first 1000 UTF-16 units each)."""
+    """G1 over whole document texts."""
     return _docs(spark, sf_dir).select("doc_id", R.js_hash_col("text").alias("h"))
 
 

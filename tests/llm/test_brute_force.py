@@ -48,6 +48,7 @@ def test_suffix_repeats_made(spark, block, monkeypatch):
     noise = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
     p, r = noise(700), noise(430)
     texts = [noise(50) + p + noise(60), p[100:] + noise(30), noise(300) + r + noise(10) + r, "ab " * 500, noise(10) + p[:390], p[:401], "x" * 399, "x" * 400, "x" * 401]
+    texts += [p + noise(5 + i) for i in range(3)] + [noise(3) + p] * 2
     texts += [noise(rnd.randint(0, 200)) + p[rnd.randint(0, 200):rnd.randint(500, 700)] + noise(20) for _ in range(12)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_repeats.remove_repeats(df).collect()}
