@@ -20,6 +20,7 @@ import html
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -222,40 +223,70 @@ def _path_key(path: str) -> str:
     return re.sub(r"\d+", lambda m: m.group().zfill(12), path.rstrip("/"))
 
 
-def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """The pages with a 128-bit key of the row: rows with one key are equal."""
     small_batches(pages.sparkSession)
-    src = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(q(id_col)).alias("page_id"),
-                       F.col(q(url_col)).cast("string").alias("url"), F.col(q(html_col)).cast("string").alias("html"))
-    kind = src.schema["page_id"].dataType.simpleString()
+    src = pages.select(F.col(q(id_col)).alias("page_id"), F.col(q(url_col)).cast("string").alias("url"), F.col(q(html_col)).cast("string").alias("html"))
+    key = [F.xxhash64(F.lit(k), "page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "html") for k in (1, 2)]
+    return src.select(key[0].alias("k1"), key[1].alias("k2"), *src.columns)
 
+
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, host, path, zones, hashes): narrow rows, a hash for every line."""
     def run(batches):
         for t in batches:
-            host, path, packed, hashes = [], [], [], []
+            host, path, marks, hashes = [], [], [], []
             for u, page in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
                 m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*([^?#]*)", u or "")
                 host.append(m.group(1).lower() if m else None)
                 path.append(_path_key(m.group(2)) if m else None)
                 lines, zones = page_lines(page)
-                packed.append(zlib.compress("\n".join([bytes(zones).hex(), *lines]).encode("utf-8", "surrogatepass"), 1))
+                marks.append(bytes(zones))
                 hashes.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in lines])
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(host, pa.string()), pa.array(path, pa.string()),
-                                              pa.array(packed, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                                             ["rid", "page_id", "url", "host", "path", "packed", "hashes"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()),
+                                              pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+                                             ["k1", "k2", "host", "path", "zones", "hashes"])
 
-    return src.mapInArrow(run, f"rid long, page_id {kind}, url string, host string, path string, packed binary, hashes array<long>")
+    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, "k1 long, k2 long, host string, path string, zones binary, hashes array<long>")
 
 
-def _ranked(parsed: DataFrame) -> DataFrame:
-    """(rank, rid, host, path): the global order of (host, path, row), from a
-    range sort and one offset per partition."""
-    s = parsed.where("host is not null").select("host", "path", "rid").orderBy("host", "path", "rid")
+def _ranked(lines: DataFrame) -> DataFrame:
+    """(rank, k1, k2, host, path): the global order of (host, path, key),
+    equal rows once, from a range sort and one offset per partition."""
+    s = lines.where("host is not null").select("host", "path", "k1", "k2").distinct().orderBy("host", "path", "k1", "k2")
     s = cut(s.withColumn("at", F.monotonically_increasing_id()), "order")
     part = F.shiftright("at", 33)
     n = s.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     # one row per partition of the sort
     off = n.withColumn("off", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     return (s.withColumn("part", part).join(F.broadcast(off), "part")
-            .select((F.coalesce("off", F.lit(0)) + F.col("at") - F.col("first")).alias("rank"), "rid", "host", "path"))
+            .select((F.coalesce("off", F.lit(0)) + F.col("at") - F.col("first")).alias("rank"), "k1", "k2", "host", "path"))
+
+
+def _decisions(lines: DataFrame) -> DataFrame:
+    """(k1, k2, keep): for every page with a host, the lines that stay, as a bitmap."""
+    once = lines.where("host is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", "zones", "hashes")
+    rank = _ranked(lines)
+    own = rank.join(once, ["k1", "k2"]).drop("k1", "k2")
+    mates = cut(own, "rank")
+    def mate(step, name):
+        return mates.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name))
+    met = mates.join(mate(1, "before"), "rank", "left").join(mate(-1, "after"), "rank", "left")
+    same = lambda n, c: F.when(F.col(f"{n}_host") == F.col("host"), F.col(c))
+    met = met.select("rank", "path", "zones", "hashes", same("before", "before_path").alias("bp"), same("before", "before").alias("before"),
+                     same("after", "after_path").alias("ap"), same("after", "after").alias("after"))
+
+    def run(batches):
+        for t in batches:
+            keep = []
+            for _, path, zones, hashes, bp, before, ap, after in zip(*(c.to_pylist() for c in t.columns)):
+                near = [(before, after)[i] or [] for i in nearest(path or "", bp, ap)]
+                bits = np.zeros(len(hashes), bool)
+                bits[kept_lines(zones, hashes, near)] = True
+                keep.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(keep, pa.binary())], ["rank", "keep"])
+
+    return rank.join(met.mapInArrow(run, "rank long, keep binary"), "rank").select("k1", "k2", "keep")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -264,32 +295,38 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Character references are decoded, white space in a block is one space,
     blocks are joined by one space.  A null or empty page has an empty text.
     A page without a URL has no neighbours and is judged by its markup
-    alone, and so is the only page of a host.  Repeated rows are neighbours
-    like others; as they share every line, they say nothing of each other.
+    alone, and so is the only page of a host.  Repeated rows are one page,
+    each with its text; equal pages under other ids say nothing of each
+    other, as they share every line.
     Very long pages are parsed whole.  An empty table gives an empty result;
     other columns are ignored.
     """
-    parsed = cut(_parsed(pages, id_col, url_col, html_col), "parsed")
-    rank = cut(_ranked(parsed).join(parsed.select("rid", "hashes"), "rid"), "rank")
-    mine = rank.select("rank", "rid", "host", "path")
-    def mate(step, name):
-        return rank.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name))
-    met = mine.join(mate(1, "before"), "rank", "left").join(mate(-1, "after"), "rank", "left")
-    same = lambda n, c: F.when(F.col(f"{n}_host") == F.col("host"), F.col(c))
-    met = met.select("rid", "path", same("before", "before_path").alias("before_path"), same("before", "before").alias("before"),
-                     same("after", "after_path").alias("after_path"), same("after", "after").alias("after"))
-    src = parsed.select("rid", "page_id", "url", "packed", "hashes").join(met, "rid", "left").drop("rid")
-    kind = src.schema["page_id"].dataType.simpleString()
+    keyed = _keyed(pages, id_col, url_col, html_col)
+    keep = _decisions(cut(_lines(keyed), "lines"))
+    kind = keyed.schema["page_id"].dataType.simpleString()
+
+    # the texts are parsed again from the scan: they move once, packed, and are never written between
+    def pack(batches):
+        for t in batches:
+            packed = []
+            for page in t.column(4).to_pylist():
+                lines, zones = page_lines(page)
+                packed.append(zlib.compress("\n".join([bytes(zones).hex(), *lines]).encode("utf-8", "surrogatepass"), 6))
+            yield pa.RecordBatch.from_arrays([*t.columns[:4], pa.array(packed, pa.binary())], ["k1", "k2", "page_id", "url", "packed"])
+
+    src = (keyed.mapInArrow(pack, f"k1 long, k2 long, page_id {kind}, url string, packed binary")
+           .join(keep, ["k1", "k2"], "left").select("page_id", "url", "packed", "keep"))
 
     def run(batches):
         for t in batches:
-            c = {n: t.column(i).to_pylist() for i, n in enumerate(t.schema.names)}
             texts = []
-            for k in range(t.num_rows):
-                zones, *lines = zlib.decompress(c["packed"][k]).decode("utf-8", "surrogatepass").split("\n")
-                order = nearest(c["path"][k] or "", c["before_path"][k], c["after_path"][k])
-                mates = [(c["before"][k], c["after"][k])[i] or [] for i in order]
-                texts.append(" ".join(lines[i] for i in kept_lines(bytes.fromhex(zones), c["hashes"][k], mates)))
+            for packed, kept in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
+                zones, *lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+                if kept is None:  # no neighbours
+                    at = kept_lines(bytes.fromhex(zones), [], [])
+                else:
+                    at = np.nonzero(np.unpackbits(np.frombuffer(kept, np.uint8))[:len(lines)])[0].tolist()
+                texts.append(" ".join(lines[i] for i in at))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
