@@ -318,7 +318,7 @@ def resolve(cands: str) -> str:
     return f"transform({kept}, {k} -> get({cands}, {k}))"
 
 
-def _replacement(comp: Compiled, c: str, opts: Options) -> str:
+def replacement_sql(comp: Compiled, c: str, opts: Options) -> str:
     """Fixed replacement, else the builtin generator, else a key-value
     value swap, else shape preservation -- dispatched on the rule rank."""
     m = f"{c}.match"
@@ -396,7 +396,7 @@ def dets_sql(res: str, x: str, comp: Compiled, opts: Options) -> str:
         f"'rule_id', element_at({ids}, {c}.rank + 1)", f"'rule_name', element_at({names}, {c}.rank + 1)",
         f"'category', element_at({cats}, {c}.rank + 1)", f"'pattern', element_at({pats}, {c}.rank + 1)",
         f"'match', {c}.match", f"'start', {c}.start", f"'end', {c}.`end`",
-        f"'replacement', {_replacement(comp, c, opts) if opts.generate_replacements else 'CAST(NULL AS STRING)'}",
+        f"'replacement', {replacement_sql(comp, c, opts) if opts.generate_replacements else 'CAST(NULL AS STRING)'}",
         "'selected', true",
         f"'bstart', {c}.bstart", f"'bend', {c}.bend", f"'priority', {c}.prio",
     ]

@@ -91,17 +91,6 @@ def collect_rules(df: DataFrame) -> list[Rule]:
 
 # ---------------------------------------------------------------- B1
 
-def _js_regex_ok(pattern: str | None, flags: str | None) -> bool:
-    from scrubline.functions.regex import RegexSyntaxError, to_java
-    if pattern is None:
-        return False
-    try:
-        to_java(pattern, flags or "")
-    except (RegexSyntaxError, ValueError):
-        return False
-    return True
-
-
 def validate_rules(df: DataFrame) -> DataFrame:
     """B1: adds ``validation struct<is_valid, errors array<string>, warnings>``.
 
@@ -111,7 +100,9 @@ def validate_rules(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     pats = [(r["pattern"], r["flags"]) for r in
-            df.where(F.col("type") == "regex").select("pattern", "flags").distinct().limit(MAX_RULES).collect()]
+            df.where(F.col("type") == "regex").select("pattern", "flags").distinct().limit(MAX_RULES + 1).collect()]
+    if len(pats) > MAX_RULES:
+        raise ValueError(f"rule set larger than {MAX_RULES} rules")
     bad = [f"{p}\u0000{f or ''}" for p, f in pats if not _java_compiles(spark, p, f)]
     key = F.concat(F.coalesce(F.col("pattern"), F.lit("")), F.lit("\u0000"), F.coalesce(F.col("flags"), F.lit("")))
     bad_regex = (F.col("type") == "regex") & (key.isin(bad) if bad else F.lit(False))
@@ -144,14 +135,6 @@ def _java_compiles(spark: SparkSession, pattern: str | None, flags: str | None)
         return False
 
 
-def matches_empty(spark: SparkSession, pattern: str, flags: str | None) -> bool:
-    """True when a regex can match the empty string (such rules are rejected
-    by the span primitive; their only match would be zero-width)."""
-    from scrubline.functions.regex import to_java
-    jvm = spark.sparkContext._jvm
-    return bool(jvm.java.util.regex.Pattern.compile(to_java(pattern, flags or "").pattern).matcher("").find())
-
-
 # ---------------------------------------------------------------- B2-B7
 
 def enabled_rules(df: DataFrame) -> DataFrame:
@@ -259,19 +242,50 @@ def toggle_rule(df: DataFrame, rule_id: str) -> DataFrame:
                          .otherwise(F.col("enabled")))
 
 
-def builtin_known(name: str | None) -> bool:
-    return name in BUILTINS
+# ---------------------------------------------------------------- B15
+
+#: A profile is the rows of a rule table that carry its name; the profile
+#: table holds one row per profile.
+PROFILE_SCHEMA = "profile string, created timestamp, last_modified timestamp, current boolean"
+DEFAULT_PROFILE = "default"
+
+
+def profile_rules(rules: DataFrame, name: str = DEFAULT_PROFILE) -> DataFrame:
+    """The rules of one profile (rules without a profile are the default's)."""
+    return rules.where(F.coalesce(F.col("profile"), F.lit(DEFAULT_PROFILE)) == name)
+
+
+def save_profile(rules: DataFrame, profiles: DataFrame, name: str, new: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """The two tables with profile ``name`` holding the rules ``new``; a
+    profile that exists keeps its creation time."""
+    other = rules.where(F.coalesce(F.col("profile"), F.lit(DEFAULT_PROFILE)) != name)
+    out = other.unionByName(new.withColumn("profile", F.lit(name)).select(*rules.columns))
+    old = profiles.where(F.col("profile") == name)
+    one = profiles.sparkSession.createDataFrame([(name, at)], "profile string, at timestamp").join(
+        old.select("profile", "created", "current"), "profile", "left")
+    row = one.select("profile", F.coalesce("created", "at").alias("created"), F.col("at").alias("last_modified"),
+                     F.coalesce("current", F.lit(False)).alias("current"))
+    return out, profiles.where(F.col("profile") != name).unionByName(row)
+
+
+def delete_profile(rules: DataFrame, profiles: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables without profile ``name``; the default one stays, and
+    becomes the current one if the deleted one was."""
+    if name == DEFAULT_PROFILE:
+        raise ValueError("the default profile cannot be deleted")
+    left = profiles.where(F.col("profile") != name)
+    gone = profiles.where((F.col("profile") == name) & F.col("current")).select(F.lit(DEFAULT_PROFILE).alias("profile"), F.lit(True).alias("__up"))
+    left = left.join(gone, "profile", "left").withColumn("current", F.coalesce("__up", F.col("current"))).drop("__up")
+    return rules.where(F.coalesce(F.col("profile"), F.lit(DEFAULT_PROFILE)) != name), left.select("profile", "created", "last_modified", "current")
+
 
+def select_profile(profiles: DataFrame, name: str) -> DataFrame:
+    """The profile table with ``name`` as the current profile."""
+    return profiles.withColumn("current", F.col("profile") == name)
 
-@dataclass
-class Profile:
-    """A named rule set with settings and timestamps."""
-    name: str
-    rules: list[Rule] = field(default_factory=list)
-    settings: dict = field(default_factory=dict)
-    created: str | None = None
-    last_modified: str | None = None
 
-    @property
-    def is_default(self) -> bool:
-        return self.name == "default"
+def current_profile(profiles: DataFrame) -> DataFrame:
+    """The current profile's row (the default's if none is marked)."""
+    marked = profiles.agg(F.max("current").alias("__any"))  # one row
+    return (profiles.join(F.broadcast(marked)).where(F.when(F.col("__any"), F.col("current")).otherwise(F.col("profile") == DEFAULT_PROFILE))
+            .drop("__any"))

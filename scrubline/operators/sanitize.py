@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from scrubline import fixed as FX
 from scrubline.functions.generators import builtin_generator
 from scrubline.functions.sqlx import ident, name, q
-from scrubline.operators.detect import (Options, balanced, candidate_columns, compile_rules, detection_columns, sanitized_sql,
-                                        splice_sql)
+from scrubline.operators.detect import (Options, balanced, candidate_columns, compile_rules, detection_columns, replacement_sql, resolve,
+                                        sanitized_sql, splice_sql)
 from scrubline.operators.rules import Rule
 
 # JavaScript's String.prototype.trim removes these (ECMAScript WhiteSpace +
@@ -92,6 +92,46 @@ def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None =
     )
 
 
+_FOUND = ["rule_id", "match", "vstart", "vend"]
+
+
+def _found(df: DataFrame, text: str, comp, keep: list[str]) -> DataFrame:
+    """Resolved candidates as rows: ``keep``, rule_id, the candidate ``c``."""
+    res = candidate_columns(df, text, comp).selectExpr(*keep, f"{resolve('`__cands`')} AS `__res`")
+    ids = "CAST(array(" + ", ".join(q(r.id) for r in comp.ranked) + ") AS ARRAY<STRING>)"
+    rows = res.selectExpr(*keep, "explode_outer(`__res`) AS c").where("c.start IS NOT NULL")
+    return rows.selectExpr(*keep, f"element_at({ids}, c.rank + 1) AS rule_id", "c.match AS match", "c.vstart AS vstart", "c.vend AS vend", "c")
+
+
+def replacement_map(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None) -> DataFrame:
+    """(rule_id, match, vstart, vend, replacement), one row for every
+    distinct value that the rules find in ``text``; ``vstart``/``vend`` give
+    the part of a key-value match that is swapped (-1 otherwise).  Values
+    are made distinct map-side first and each replacement is generated once.
+    """
+    opts = opts or Options()
+    comp = compile_rules(rules, df.sparkSession)
+    one = _found(df.selectExpr(ident(text)), text, comp, []).selectExpr(
+        *_FOUND, "c.rank AS rank").distinct()
+    c = one.selectExpr("*", "named_struct('rank', rank, 'match', match, 'vstart', vstart, 'vend', vend) AS c")
+    return c.selectExpr(*_FOUND, f"{replacement_sql(comp, 'c', opts)} AS replacement")
+
+
+def apply_replacements(df: DataFrame, text: str, key: str, rules: list[Rule], mapping: DataFrame, out: str = "sanitized") -> DataFrame:
+    """E10 joined back: (key, out) with the replacements of ``mapping``
+    spliced into every text.  ``key`` must identify a row.  The join is on
+    the value; Spark chooses it, and adaptive execution splits a value that
+    is very frequent."""
+    comp = compile_rules(rules, df.sparkSession)
+    k, x = ident(key), ident(text)
+    found = _found(df.selectExpr(k, x), text, comp, [k])
+    joined = found.join(mapping, _FOUND).selectExpr(
+        k, "named_struct('bstart', c.bstart, 'bend', c.bend, 'replacement', replacement) AS d")
+    per_row = joined.groupBy(key).agg(F.collect_list("d").alias("__d"))
+    both = df.selectExpr(k, x).join(per_row, key, "left")
+    return both.selectExpr(k, f"CASE WHEN `__d` IS NULL THEN {x} ELSE {splice_sql(x, '`__d`')} END AS {ident(out)}")
+
+
 def run_statistics(sanitized: DataFrame) -> DataFrame:
     """One row for a whole run: rows, rows with detections, rows changed
     by type, detections, replacements, characters in and out."""

@@ -1,139 +1,131 @@
-"""Custom sensitive words (B11-B14): a word list turned into literal rules.
-
-The configuration is a small record (company name, competitor / project /
-custom word lists, strategy).  ``words_to_rules`` produces ordinary literal
-rules (case-insensitive), which then run through the normal detection
-path.  ``word_table`` is the same configuration as a DataFrame for table
-operations (statistics, dedup, add/remove).
+"""Custom sensitive words (B11-B14) as tables.
+
+A word table has one row per word: ``word``, ``word_category`` (company,
+competitor, project, custom) and ``ordinal``, its place in its list.  The
+operators are ordinary joins and projections over such tables, so the words
+may come from anywhere, a dimension table for instance; ``word_rules`` turns
+them into a rule table of case-insensitive literals for the normal
+detection path.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass, field, replace
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrubline import fixed as FX
-from scrubline.operators.rules import Rule
-
-
-@dataclass(frozen=True)
-class CustomWords:
-    enabled: bool = True
-    company_name: str = ""
-    competitor_names: tuple[str, ...] = field(default_factory=tuple)
-    project_names: tuple[str, ...] = field(default_factory=tuple)
-    custom_words: tuple[str, ...] = field(default_factory=tuple)
-    replacement_strategy: str = "generic"
-
-
-def mask_word_text(word: str) -> str:
-    """G11 for a driver-side word: A-Z -> X, a-z -> x, 0-9 -> 0."""
-    out = []
-    for ch in word:
-        if "A" <= ch <= "Z":
-            out.append("X")
-        elif "a" <= ch <= "z":
-            out.append("x")
-        elif "0" <= ch <= "9":
-            out.append("0")
-        else:
-            out.append(ch)
-    return "".join(out)
-
-
-def word_replacement(word: str, category: str, strategy: str) -> str:
-    """B14.  The 'competitor' strategy picks one of five names by a hash of
-    the word (deterministic; X5) instead of at random."""
-    if strategy == "competitor":
-        if category == "company":
-            k = int(hashlib.md5(word.encode()).hexdigest(), 16) % len(FX.COMPETITOR_NAMES)
-            return FX.COMPETITOR_NAMES[k]
-        return f"[{category.upper()}_REDACTED]"
-    if strategy == "generic":
-        return FX.GENERIC_WORD_REPLACEMENT.get(category, FX.REDACTED)
-    if strategy == "custom":
-        return mask_word_text(word)
-    return FX.REDACTED
-
-
-def words_to_rules(cfg: CustomWords) -> list[Rule]:
-    """Company -> ``custom_company_name``; competitors, projects and
-    words -> ``custom_competitor_{i}`` / ``custom_project_{i}`` /
-    ``custom_word_{i}``; all literal, case-insensitive."""
-    if not cfg.enabled:
-        return []
-    out: list[Rule] = []
-
-    def add(rid, word, cat, rule_cat, name, desc):
-        out.append(Rule(id=rid, type="literal", pattern=word,
-                        replacement=word_replacement(word, cat, cfg.replacement_strategy),
-                        category=rule_cat, enabled=True, name=name, description=desc, case_sensitive=False,
-                        ordinal=10_000 + len(out)))
-    if cfg.company_name:
-        add("custom_company_name", cfg.company_name, "company", "company", "Company Name",
-            "Custom company name detection")
-    for i, w in enumerate(cfg.competitor_names):
-        add(f"custom_competitor_{i}", w, "competitor", "company", f"Competitor: {w}", "Custom competitor name detection")
-    for i, w in enumerate(cfg.project_names):
-        add(f"custom_project_{i}", w, "project", "company", f"Project: {w}", "Custom project name detection")
-    for i, w in enumerate(cfg.custom_words):
-        add(f"custom_word_{i}", w, "custom", "custom", f"Custom Word: {w}", "User-defined sensitive word")
+from scrubline.operators.rules import RULE_SCHEMA, Rule, collect_rules
+
+LISTS = ("company", "competitor", "project", "custom")
+
+
+def word_table(spark: SparkSession, **lists) -> DataFrame:
+    """A word table from lists by category, e.g. ``project=["x", "y"]``."""
+    unknown = set(lists) - set(LISTS)
+    if unknown:
+        raise ValueError(f"unknown word categories: {sorted(unknown)}")
+    one = spark.createDataFrame([tuple(list(lists.get(c, ())) for c in LISTS)], ", ".join(f"{c} array<string>" for c in LISTS))
+    parts = [one.select(F.posexplode(c).alias("ordinal", "word")).select("word", F.lit(c).alias("word_category"), "ordinal") for c in LISTS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def with_custom_words(rules: list[Rule], cfg: CustomWords | None) -> list[Rule]:
-    """Rules + custom-word rules, added once."""
-    return list(rules) + (words_to_rules(cfg) if cfg else [])
-
-
-def add_word(cfg: CustomWords, word: str, category: str = "custom") -> CustomWords:
-    """B13 add: ``trim().lower()``; company overwrites, lists de-duplicate."""
-    if not word:
-        return cfg
-    w = word.strip().lower()
-    if category == "company":
-        return replace(cfg, company_name=w)
-    attr = {"competitor": "competitor_names", "project": "project_names"}.get(category, "custom_words")
-    cur = getattr(cfg, attr)
-    return cfg if w in cur else replace(cfg, **{attr: tuple(cur) + (w,)})
-
-
-def remove_word(cfg: CustomWords, word: str, category: str = "custom") -> CustomWords:
-    """B13 remove (company clears)."""
-    if not word:
-        return cfg
-    w = word.strip().lower()
-    if category == "company":
-        return replace(cfg, company_name="")
-    attr = {"competitor": "competitor_names", "project": "project_names"}.get(category, "custom_words")
-    return replace(cfg, **{attr: tuple(x for x in getattr(cfg, attr) if x != w)})
-
-
-def word_stats(cfg: CustomWords) -> dict:
-    """Counts per list and total."""
-    company = 1 if cfg.company_name else 0
-    d = {"company": company, "competitors": len(cfg.competitor_names), "projects": len(cfg.project_names),
-         "custom": len(cfg.custom_words)}
-    d["total"] = sum(d.values())
-    return d
-
-
-def word_table(spark: SparkSession, cfg: CustomWords) -> DataFrame:
-    """The configuration as a table (word, word_category, ordinal)."""
-    rows = []
-    if cfg.company_name:
-        rows.append((cfg.company_name, "company", 0))
-    for cat, words in (("competitor", cfg.competitor_names), ("project", cfg.project_names),
-                       ("custom", cfg.custom_words)):
-        rows.extend((w, cat, i) for i, w in enumerate(words))
-    return spark.createDataFrame(rows, "word string, word_category string, ordinal int")
-
-
-def normalize_words(df: DataFrame, col: str = "word") -> DataFrame:
-    """B13 as a table operation: ``lower(trim(word))``, de-duplicated per
-    category (first ordinal kept)."""
-    w = F.lower(F.trim(F.col(col)))
-    return (df.withColumn(col, w).groupBy(col, "word_category").agg(F.min("ordinal").alias("ordinal")))
+def words_from(df: DataFrame, col: str, category: str = "custom") -> DataFrame:
+    """The distinct values of a column as a word table, in their own order."""
+    words = normalize_words(df.select(F.col(col).alias("word"), F.lit(category).alias("word_category"), F.lit(0).alias("ordinal")))
+    w = Window.partitionBy("word_category").orderBy("word")  # a rule set: bounded by MAX_RULES where it is compiled
+    return words.withColumn("ordinal", F.row_number().over(w) - 1)
+
+
+def normalize_words(words: DataFrame) -> DataFrame:
+    """Trimmed, lower case, once per category (first place kept);
+    null and blank words drop out."""
+    w = F.lower(F.trim(F.col("word")))
+    return (words.select(w.alias("word"), "word_category", "ordinal").where("word <> ''")
+            .groupBy("word", "word_category").agg(F.min("ordinal").alias("ordinal")))
+
+
+def add_words(words: DataFrame, new: DataFrame) -> DataFrame:
+    """B13 add: normalised new words that their list lacks come after its
+    last; a new company replaces the old one.  One grouping of the union and
+    one window per list (a rule set, bounded by MAX_RULES)."""
+    both = words.select("word", "word_category", "ordinal", F.lit(0).alias("new")).unionByName(
+        normalize_words(new).select("word", "word_category", "ordinal", F.lit(1).alias("new")))
+    once = both.groupBy("word", "word_category").agg(F.min("new").alias("new"), F.min_by("ordinal", "new").alias("ordinal"))
+    of_list = Window.partitionBy("word_category")
+    k = F.row_number().over(Window.partitionBy("word_category", "new").orderBy("ordinal", "word"))
+    placed = once.select("word", "word_category", "new", "ordinal", k.alias("k"), F.max("new").over(of_list).alias("any_new"),
+                         F.max(F.when(F.col("new") == 0, F.col("ordinal"))).over(of_list).alias("last"))
+    replaced = (F.col("word_category") == "company") & (F.col("new") < F.col("any_new"))
+    at = F.when(F.col("new") == 0, F.col("ordinal")).when(F.col("word_category") == "company", F.col("k") - 1).otherwise(
+        F.coalesce("last", F.lit(-1)) + F.col("k"))
+    return placed.where(~replaced).select("word", "word_category", at.cast("int").alias("ordinal"))
+
+
+def remove_words(words: DataFrame, gone: DataFrame) -> DataFrame:
+    """B13 remove: an anti join; any company row clears the company."""
+    g = normalize_words(gone)
+    left = words.join(g.select("word", "word_category"), ["word", "word_category"], "left_anti")
+    return left.join(g.where("word_category = 'company'").select("word_category").distinct(), "word_category", "left_anti").select(*words.columns)
+
+
+def word_stats(words: DataFrame) -> DataFrame:
+    """One row with the size of each list and the total."""
+    n = lambda c: F.count_if(F.col("word_category") == c)
+    return words.agg(n("company").alias("company"), n("competitor").alias("competitors"), n("project").alias("projects"),
+                     n("custom").alias("custom"), F.count("*").alias("total"))
+
+
+def word_replacement(word: Column, category: Column, strategy: str) -> Column:
+    """B14 as a column.  'competitor' picks one of the fixed names by a hash
+    of the word, so equal words get equal names in any task."""
+    if strategy == "custom":
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "[A-Z]", "X"), "[a-z]", "x"), "[0-9]", "0")
+    if strategy == "competitor":
+        names = F.array(*[F.lit(n) for n in FX.COMPETITOR_NAMES])
+        pick = F.get(names, F.pmod(F.xxhash64(word), F.lit(len(FX.COMPETITOR_NAMES))).cast("int"))
+        return F.when(category == "company", pick).otherwise(F.concat(F.lit("["), F.upper(category), F.lit("_REDACTED]")))
+    if strategy == "generic":
+        table = F.create_map(*[x for k, v in FX.GENERIC_WORD_REPLACEMENT.items() for x in (F.lit(k), F.lit(v))])
+        return F.coalesce(F.try_element_at(table, category), F.lit(FX.REDACTED))
+    return F.lit(FX.REDACTED)
+
+
+def word_rules(words: DataFrame, strategy: str = "generic") -> DataFrame:
+    """A rule table (RULE_SCHEMA) with one literal rule per word, in
+    the order company, competitors, projects, words."""
+    cat, word = F.col("word_category"), F.col("word")
+    labels = FX.WORD_RULE_LABELS
+    def pick(field):
+        out = None
+        for c in LISTS:
+            v = F.lit(labels[c][field])
+            out = F.when(cat == c, v) if out is None else out.when(cat == c, v)
+        return out
+    listed = F.array(*[F.lit(c) for c in LISTS])
+    rid = F.when(cat == "company", pick("id")).otherwise(F.concat(pick("id"), F.lit("_"), F.col("ordinal").cast("string")))
+    name = F.when(cat == "company", pick("name")).otherwise(F.concat(pick("name"), F.lit(": "), word))
+    order = Window.orderBy(F.array_position(listed, cat), "ordinal", "word")  # a rule set, bounded by MAX_RULES
+    fixed = {"id": rid, "type": F.lit("literal"), "pattern": word, "replacement": word_replacement(word, cat, strategy),
+             "category": pick("category"), "enabled": F.lit(True), "name": name, "description": pick("description"),
+             "case_sensitive": F.lit(False), "ordinal": (F.row_number().over(order) + 9_999)}
+    return words.where(F.array_contains(listed, cat)).select(
+        *[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields])
+
+
+def with_custom_words(rules: list[Rule], words: DataFrame | None, strategy: str = "generic") -> list[Rule]:
+    """A rule list with the rules of a word table, added once; the rule
+    set is compiled on the driver and bounded by MAX_RULES."""
+    if words is None:
+        return list(rules)
+    have = {r.id for r in rules}
+    return list(rules) + [r for r in collect_rules(word_rules(words, strategy)) if r.id not in have]
+
+
+def rules_with_words(rules: DataFrame, words: DataFrame, strategy: str = "generic") -> DataFrame:
+    """B8 on tables: the union, a word rule replacing one of the same id."""
+    new = word_rules(words, strategy)
+    return rules.join(new.select("id"), "id", "left_anti").select(*rules.columns).unionByName(new.select(*rules.columns))
+

@@ -27,7 +27,7 @@ from scrubline.operators.nested import sanitize_nested
 from scrubline.operators.patterns import BUILTIN_NAMES
 from scrubline.operators.rules import Rule, default_rules
 from scrubline.operators.sanitize import is_json, sanitize
-from scrubline.operators.words import CustomWords, words_to_rules
+from scrubline.operators.words import with_custom_words, word_table, words_from
 from scrubline.plans import oracles as O
 from scrubline.plans.inputs import documents_with_planted, oracle_documents_with_planted, table
 
@@ -47,7 +47,13 @@ CONFLICT_RULES = [
     Rule(id="builtin_hex_key", type="builtin", pattern="hex_key", category="secrets", ordinal=2),
     Rule(id="builtin_log_key_value", type="builtin", pattern="log_key_value", category="secrets", ordinal=3),
 ]
-WORDS = CustomWords(company_name="elle", project_names=("the",), custom_words=("tion",))
+WORDS = {"company": ["elle"], "project": ["the"], "custom": ["tion"]}
+# the rules that the oracle expects of these words
+WORD_RULES = [
+    Rule(id="custom_company_name", type="literal", pattern="elle", replacement="CompanyName", category="company", case_sensitive=False),
+    Rule(id="custom_project_0", type="literal", pattern="the", replacement="ProjectName", category="company", case_sensitive=False),
+    Rule(id="custom_word_0", type="literal", pattern="tion", replacement="[REDACTED]", category="custom", case_sensitive=False),
+]
 CUSTOM_REGEX = r"\b[A-Z][a-z]+tion\b"
 AUDIT_BASE = dt.datetime(2024, 1, 1)
 # queries that report spans or counts do not plan or run the generators
@@ -86,18 +92,35 @@ def _detect_builtin_sql(name: str) -> str:
 def detect_literal_ci(spark, sf_dir):
     """Custom words (company, project, word) as case-insensitive literal
     rules over documents; resolved detections, one row per detection."""
-    d = detect(_docs(spark, sf_dir), "text", words_to_rules(WORDS))
+    d = detect(_docs(spark, sf_dir), "text", with_custom_words([], word_table(spark, **WORDS)))
     return explode_detections(d, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match", "replacement")
 
 
 def detect_literal_ci_sql():
     keys = ["doc_id"]
-    kept = O.resolved(O.candidates("SELECT doc_id, text FROM documents", _rule_tuples(words_to_rules(WORDS)), keys), keys)
-    repl = {r.id: r.replacement for r in words_to_rules(WORDS)}
+    kept = O.resolved(O.candidates("SELECT doc_id, text FROM documents", _rule_tuples(WORD_RULES), keys), keys)
+    repl = {r.id: r.replacement for r in WORD_RULES}
     case = "CASE " + " ".join(f"WHEN rule_id = {O.lit(k)} THEN {O.lit(v)}" for k, v in repl.items()) + " END"
     return f'SELECT doc_id, rule_id, start, "end", match, {case} AS replacement FROM ({kept}) k'
 
 
+def detect_words_nation(spark, sf_dir):
+    """Custom words taken from a table (nation names), detected in documents
+    and in a line about every nation: hits by word."""
+    words = words_from(table(spark, sf_dir, "nation"), "n_name", "project")
+    text = _docs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "nation").select(
+        F.concat_ws(" ", F.lit("from"), "n_name", F.lit("and"), F.initcap("n_name")).alias("text")))
+    d = detect(text, "text", with_custom_words([], words), SPANS_ONLY)
+    return explode_detections(d, ["text"]).groupBy(F.lower("match").alias("word")).agg(F.count("*").alias("hits"))
+
+
+def detect_words_nation_sql():
+    return """WITH t AS (SELECT text FROM documents UNION ALL SELECT 'from ' || n_name || ' and ' || upper(n_name[1]) || lower(n_name[2:]) FROM nation),
+      p AS (SELECT '(?i)' || string_agg(lower(n_name), '|' ORDER BY lower(n_name)) AS re FROM nation),
+      h AS (SELECT unnest(regexp_extract_all(t.text, p.re)) AS m FROM t, p)
+      SELECT lower(m) AS word, count(*) AS hits FROM h GROUP BY 1"""
+
+
 def detect_regex_custom(spark, sf_dir):
     """A user regex rule (global) over documents: every match."""
     return js_regex_hits(_docs(spark, sf_dir), "text", CUSTOM_REGEX, "g", ["doc_id"])
@@ -202,13 +225,13 @@ def sanitize_fixed_pages_sql():
 
 def sanitize_words(spark, sf_dir):
     """Custom words (generic strategy) sanitized out of documents."""
-    return sanitize(_docs(spark, sf_dir), "text", words_to_rules(WORDS)).select("doc_id", "sanitized")
+    return sanitize(_docs(spark, sf_dir), "text", with_custom_words([], word_table(spark, **WORDS))).select("doc_id", "sanitized")
 
 
 def sanitize_words_sql():
     keys = ["doc_id"]
     src = "SELECT doc_id, text FROM documents"
-    rules = words_to_rules(WORDS)
+    rules = WORD_RULES
     kept = O.resolved(O.candidates(src, _rule_tuples(rules), keys), keys)
     case = "CASE " + " ".join(f"WHEN rule_id = {O.lit(r.id)} THEN {O.lit(r.replacement)}" for r in rules) + " END"
     return O.spliced(src, kept, keys, case)
@@ -458,8 +481,9 @@ def sanitize_nested_customer_sql():
 def stream_sanitize(spark, sf_dir):
     """H1: conversations read as a file stream, sanitized per micro-batch
     (stateless), written with an exactly-once file sink; returns the sink."""
+    import uuid
     from scrubline.streaming.stream import run_file_stream
-    return run_file_stream(spark, sf_dir, "text", FIXED_RULES, keys=["conv_id", "turn"],
+    return run_file_stream(spark, sf_dir, "text", FIXED_RULES, keys=["conv_id", "turn"], name=f"query-{uuid.uuid4().hex}",
                            glob="conversations.parquet").select("conv_id", "turn", "sanitized")
 
 
@@ -467,6 +491,12 @@ def stream_sanitize_sql():
     return _fixed_sanitized_sql("SELECT conv_id, turn, text FROM conversations", ["conv_id", "turn"])
 
 
+def replacement_map_default(spark, sf_dir):
+    """Every distinct value that the default rules find in documents,
+    with its replacement."""
+    return replacement_map(_docs(spark, sf_dir), "text", default_rules()).select("rule_id", "match", "replacement")
+
+
 # ---------------------------------------------------------------- registry
 
 def registry() -> dict[str, tuple[Query, str | None]]:
@@ -474,7 +504,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     for name in BUILTIN_NAMES:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
-    for qn in ("detect_literal_ci", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
+    for qn in ("detect_literal_ci", "detect_words_nation", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
                "sanitize_kv_token", "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_delete", "audit_by_category", "sanitize_nested_customer",
@@ -482,6 +512,6 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         reg[qn] = (g[qn], g[qn + "_sql"]())
     for p in FAKE_PATTERNS:
         reg[f"pseudonym_{p}"] = (_pseudonym(p), O.pseudonyms(oracle_documents_with_planted(p), p, ["src", "doc_id"]))
-    for qn in ("sanitize_default", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts"):
+    for qn in ("sanitize_default", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts", "replacement_map_default"):
         reg[qn] = (g[qn], None)
     return reg

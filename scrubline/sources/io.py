@@ -8,22 +8,30 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline import fixed as FX
 from scrubline.operators import audit as A
-from scrubline.operators.rules import RULE_SCHEMA, validate_rules
+from scrubline.operators.sanitize import run_statistics
+from scrubline.operators.rules import MAX_RULES, RULE_SCHEMA, validate_rules
 
 _JSON_RULE = T.StructType([f for f in RULE_SCHEMA.fields if f.name not in ("ordinal", "profile")])
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """A2: a rule table stored as JSON lines (one rule per line) or as a
-    table with RULE_SCHEMA.  Missing ordinals follow file order."""
-    df = spark.read.schema(RULE_SCHEMA).json(path)
-    return df.withColumn("ordinal", F.coalesce(F.col("ordinal"), F.monotonically_increasing_id().cast("int")))
+    table with RULE_SCHEMA.  Missing ordinals follow file name and place in
+    the file, after the given ones."""
+    df = spark.read.schema(RULE_SCHEMA).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start",
+                                                          F.monotonically_increasing_id().alias("__at"))
+    # a rule set is one small table; the place within a file is the order of the reader's ids in a block
+    w = Window.orderBy(F.col("ordinal").asc_nulls_last(), "file_path", "file_block_start", "__at")
+    last = df.agg(F.max("ordinal").alias("__last"), F.count("ordinal").alias("__given"))
+    return (df.withColumn("__row", F.row_number().over(w)).join(F.broadcast(last))
+            .withColumn("ordinal", F.coalesce(F.col("ordinal"), (F.coalesce("__last", F.lit(-1)) + F.col("__row") - F.col("__given")).cast("int")))
+            .select(*[f.name for f in RULE_SCHEMA.fields]))
 
 
 def import_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +52,11 @@ def export_rules(rules: DataFrame, path: str, export_date: dt.datetime | None =
     """A4: one JSON document ``{rules, exportDate, version}``."""
     when = (export_date or dt.datetime.now(dt.timezone.utc)).isoformat()
     cols = [f.name for f in _JSON_RULE.fields]
-    doc = rules.orderBy("ordinal").agg(F.collect_list(F.struct(*cols)).alias("rules")).select(
+    size = rules.limit(MAX_RULES + 1).count()
+    if size > MAX_RULES:
+        raise ValueError(f"rule set larger than {MAX_RULES} rules")
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", F.struct(*cols).alias("rule"))))
+    doc = rules.agg(F.transform(ordered, lambda x: x["rule"]).alias("rules")).select(
         "rules", F.lit(when).alias("exportDate"), F.lit(FX.EXPORT_VERSION).alias("version"))
     doc.coalesce(1).write.mode("overwrite").json(path)
 
@@ -57,9 +69,12 @@ def export_audit(audit: DataFrame, path: str) -> None:
 
 
 def export_results(df: DataFrame, path: str, fmt: str = "json", include_detections: bool = True,
-                   text: str = "sanitized") -> None:
+                   text: str = "sanitized", include_metadata: bool = False) -> None:
     """Sanitized results as text, json or csv (detections as a JSON
-    string for csv; text keeps only the sanitized text)."""
+    string for csv; text keeps only the sanitized text).  With
+    ``include_metadata`` the run's statistics go to ``path-metadata``."""
+    if include_metadata:
+        run_statistics(df).write.mode("overwrite").json(f"{path}-metadata")
     if fmt == "text":
         df.select(F.coalesce(F.col(text), F.lit(""))).write.mode("overwrite").text(path)
         return

@@ -20,7 +20,7 @@ def test_audit_stream_available_now(spark):
            .withColumn("id", F.concat_ws("-", "conv_id", "turn"))
            .withColumn("ts", F.lit(dt.datetime(2024, 1, 1))))
     path = checkpoint_dir(spark).rstrip("/") + "/audit-stream-test"
-    q = audit_stream(spark, src, "text", "id", "ts", FIXED_RULES, path, available_now=True)
+    q = audit_stream(spark, src, "text", "id", "ts", FIXED_RULES, path, "audit-test", available_now=True)
     q.awaitTermination()
     audit = spark.read.parquet(path)
     n = spark.read.parquet(f"{SF}/conversations.parquet").count()
@@ -28,6 +28,20 @@ def test_audit_stream_available_now(spark):
     assert set(A.AUDIT_SCHEMA.fieldNames()) <= set(audit.columns)
 
 
+def test_restart(spark, tmp_path):
+    """Stop, new files, start again: every row once, in both streams."""
+    from scrubline.streaming.stream import run_file_stream
+    src, path = str(tmp_path / "in"), str(tmp_path / "audit")
+    rows = lambda a, b: spark.createDataFrame([(i, f"mail u{i}@b.co", dt.datetime(2024, 1, 1)) for i in range(a, b)], "id long, text string, ts timestamp")
+    for a, b in ((0, 3), (3, 5)):
+        rows(a, b).coalesce(1).write.mode("append").parquet(src)
+        out = run_file_stream(spark, src, "text", FIXED_RULES, ["id"], "restart-" + tmp_path.name)
+        stream = spark.readStream.schema(rows(0, 1).schema).parquet(src).withColumn("id", F.col("id").cast("string"))
+        audit_stream(spark, stream, "text", "id", "ts", FIXED_RULES, path, "restart-audit-" + tmp_path.name, available_now=True).awaitTermination()
+        assert sorted(r.id for r in out.collect()) == list(range(b))
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [str(i) for i in range(b)]
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, "a@b.co", "[EMAIL]")], "id int, text string, sanitized string").withColumn(
         "detections", F.array(F.struct(F.lit("fx_email").alias("rule_id"))))

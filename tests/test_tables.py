@@ -53,23 +53,79 @@ def test_crud(spark):
     assert RL.delete_rule(df3, "x1").count() == 60
 
 
-def test_words():
-    cfg = W.CustomWords()
-    cfg = W.add_word(cfg, "  Acme ", "company")
-    cfg = W.add_word(cfg, "Rival", "competitor")
-    cfg = W.add_word(cfg, "rival", "competitor")
-    cfg = W.add_word(cfg, "Zeus9", "custom")
-    assert cfg.company_name == "acme" and cfg.competitor_names == ("rival",)
-    assert W.word_stats(cfg) == {"company": 1, "competitors": 1, "projects": 0, "custom": 1, "total": 3}
-    rules = W.words_to_rules(cfg)
+def test_words(spark):
+    none = W.word_table(spark)
+    one = lambda word, cat: spark.createDataFrame([(word, cat, 0)], "word string, word_category string, ordinal int")
+    t = W.add_words(none, one("  Acme ", "company"))
+    t = W.add_words(t, one("Rival", "competitor"))
+    t = W.add_words(t, one("rival", "competitor"))
+    t = W.add_words(t, one("Zeus9", "custom"))
+    t = W.add_words(t, one(None, "custom"))
+    assert sorted((r.word, r.word_category) for r in t.collect()) == [("acme", "company"), ("rival", "competitor"), ("zeus9", "custom")]
+    assert tuple(W.word_stats(t).first()) == (1, 1, 0, 1, 3)
+    rules = RL.collect_rules(W.word_rules(t))
     assert [r.id for r in rules] == ["custom_company_name", "custom_competitor_0", "custom_word_0"]
     assert [r.replacement for r in rules] == ["CompanyName", "CompetitorName", "[REDACTED]"]
-    custom = W.words_to_rules(W.CustomWords(custom_words=("Azure365!",), replacement_strategy="custom"))
+    custom = RL.collect_rules(W.word_rules(W.word_table(spark, custom=["Azure365!"]), "custom"))
     assert custom[0].replacement == "Xxxxx000!"
-    comp = W.words_to_rules(W.CustomWords(company_name="acme", project_names=("p",), replacement_strategy="competitor"))
+    comp = RL.collect_rules(W.word_rules(W.word_table(spark, company=["acme"], project=["p"]), "competitor"))
     assert comp[0].replacement in ("TechCorp", "InnovateCo", "GlobalTech", "FutureSoft", "NextGen")
     assert comp[1].replacement == "[PROJECT_REDACTED]"
-    assert W.remove_word(cfg, "RIVAL", "competitor").competitor_names == ()
+    assert {r.word for r in W.remove_words(t, one("RIVAL", "competitor")).collect()} == {"acme", "zeus9"}
+    assert {r.word for r in W.add_words(t, one("Other", "company")).collect()} == {"other", "rival", "zeus9"}
+    both = W.rules_with_words(RL.default_rules_df(spark), t)
+    assert both.count() == 63
+
+
+def test_profiles(spark):
+    rules = RL.default_rules_df(spark)
+    at = dt.datetime(2024, 5, 1)
+    profiles = spark.createDataFrame([("default", at, at, True)], RL.PROFILE_SCHEMA)
+    rules2, profiles = RL.save_profile(rules, profiles, "team", rules.limit(2), at)
+    assert RL.profile_rules(rules2, "team").count() == 2 and RL.profile_rules(rules2).count() == 60
+    profiles = RL.select_profile(profiles, "team")
+    assert RL.current_profile(profiles).first().profile == "team"
+    rules3, profiles = RL.delete_profile(rules2, profiles, "team")
+    assert rules3.count() == 60 and RL.current_profile(profiles).first().profile == "default"
+
+
+def test_rule_files(spark, tmp_path):
+    """Two files, no ordinals: file order, no overflow; export keeps the order."""
+    from scrubline.sources import io as IO
+    for i, name in enumerate(("a.json", "b.json")):
+        (tmp_path / name).write_text("".join('{"id": "r%d%d", "type": "literal", "pattern": "x"}\n' % (i, k) for k in range(3)))
+    r = IO.read_rules(spark, str(tmp_path / "*.json"))
+    assert [(x.id, x.ordinal) for x in r.orderBy("ordinal").collect()] == [(f"r{i}{k}", 3 * i + k) for i in range(2) for k in range(3)]
+    IO.export_rules(RL.default_rules_df(spark).repartition(7), str(tmp_path / "out"))
+    back = IO.import_rules(spark, str(tmp_path / "out")).orderBy("ordinal").collect()
+    assert [x.id for x in back] == [x.id for x in RL.default_rules()]
+
+
+def test_table_with_status_column(spark):
+    from scrubline.operators.sanitize import run_statistics, sanitize, sanitize_table
+    df = spark.createDataFrame([("a@b.co", "call 10.0.0.1", 1), (None, "", 2)], "status string, detections string, n int")
+    rules = [r for r in RL.default_rules() if r.pattern in ("email", "ip")]
+    rows = sanitize_table(df, None, rules).collect()
+    assert rows[0].status != "a@b.co" and rows[0].status.endswith("@example.com") and "10.0.0.1" not in rows[0].detections
+    assert tuple(rows[1]) == (None, "", 2)
+    try:
+        sanitize(df, "status", rules)
+        raise AssertionError("a clash must be refused")
+    except ValueError:
+        pass
+    s = run_statistics(sanitize(df.select(F.col("status").alias("text")), "text", rules)).first()
+    assert (s.rows, s.rows_with_detections, s.replacements) == (2, 1, 1)
+
+
+def test_replacement_map(spark):
+    from conftest import SF
+    from scrubline.operators.sanitize import apply_replacements, replacement_map, sanitize
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rules = RL.default_rules()
+    mapping = replacement_map(docs, "text", rules)
+    got = {r.doc_id: r.sanitized for r in apply_replacements(docs, "text", "doc_id", rules, mapping).collect()}
+    want = {r.doc_id: r.sanitized for r in sanitize(docs, "text", rules).collect()}
+    assert got == want
 
 
 def _audit(spark):
