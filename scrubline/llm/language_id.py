@@ -33,6 +33,10 @@ HOST_KAPPA = 20.0
 ALPHA = 0.5
 #: Documents whose best posterior is lower are rejected (language 'und').
 MIN_POSTERIOR = 0.5
+#: Hosts whose priors are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
+#: Stands for all values of a declared language or suffix below MIN_SHARE.
+OTHER = "\u0000other"
 UNDETERMINED = "und"
 #: Code points handled at once: bounds the memory for very long texts.
 BLOCK = 1 << 20
@@ -117,6 +121,17 @@ def text_scores(df: DataFrame, text_col: str, model: np.ndarray, keep: list[str]
     return src.mapInArrow(score, out)
 
 
+def _lumped(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """``rows`` with the rare values of evidence columns made one value, so
+    that every column has at most 1 / MIN_SHARE + 1 values; one small table
+    of frequent values each reaches the driver."""
+    for col in cols:
+        n = rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+        often = [r[0] for r in n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).where(F.col("n") >= MIN_SHARE * F.col("t")).select(col).collect()]
+        rows = rows.withColumn(col, F.when(F.col(col).isNull() | F.col(col).isin(often), F.col(col)).otherwise(F.lit(OTHER)))
+    return rows
+
+
 def _log_table(rows: DataFrame, col: str, langs: list[str]) -> DataFrame:
     """(col, lp): log P(value | language) for each language, smoothed."""
     k = len(langs)
@@ -179,10 +194,15 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     usable = (F.col("__tri") > 0) & (best_text >= F.col("__ll")[k])
     rows = (scored.withColumn("__ok", usable)
             .withColumn("__top", F.when(F.col("__ok"), F.array_position(F.slice("__ll", 1, k), best_text) - 1)))
+    rows = _lumped(rows, ["__declared", "__suffix"])
     out = rows.select(*cols, *ev, "__ll", "__ok")
-    tables = [_log_table(rows, "__declared", langs), _log_table(rows, "__suffix", langs), host_priors(rows, langs)]
-    for col, t in zip(["__declared", "__suffix", "__host"], tables):
-        out = out.join(t, col, "left")  # Spark broadcasts small tables; a hot value is split by adaptive execution
+    # at most 1 / MIN_SHARE + 1 rows each
+    out = out.join(F.broadcast(_log_table(rows, "__declared", langs)), "__declared", "left")
+    out = out.join(F.broadcast(_log_table(rows, "__suffix", langs)), "__suffix", "left")
+    hosts = cut(host_priors(rows, langs), "hosts")
+    # a shuffle would move the texts: few hosts are broadcast; beyond the bound adaptive execution splits a hot host
+    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    out = out.join(F.broadcast(hosts) if small else hosts, "__host", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     lp = F.zip_with(F.slice("__ll", 1, k), F.coalesce("__declared_lp", zero), lambda a, b: a + b)
     lp = F.zip_with(lp, F.coalesce("__suffix_lp", zero), lambda a, b: a + b)
