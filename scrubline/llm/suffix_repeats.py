@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from scrubline.llm.common import cut, map_runs, q, small_batches, text_or_empty
 
 #: Bytes of the strings an anchor is chosen by; a longer string means fewer false meetings and more anchors.
-WIDTH = 100
+WIDTH = 200
 #: Members of a group that one task sorts.
-BLOCK = 4096
+BLOCK = 1 << 15
 #: Bytes of a text handled at once when anchors are chosen.
 PIECE = 1 << 18
 RADIX = 0x9E3779B97F4A7C15
@@ -217,11 +217,11 @@ def _group(length: int):
         if not found:
             return None
         m, a, e = map(np.array, zip(*found))
-        out = []
-        for k in np.unique(m):
-            s, t = _merge(-a[m == k], e[m == k])
-            out.append(pd.DataFrame({"c1": c1[first[k]], "c2": c2[first[k]], "s": s, "e": t}))
-        return pd.concat(out, ignore_index=True)
+        # every member's covers in a lane of their own, merged at once
+        lane, zero = 4 * length, length
+        s, t = _merge(m * lane + zero - a, m * lane + zero + e)
+        k = s // lane
+        return pd.DataFrame({"c1": c1[first[k]], "c2": c2[first[k]], "s": s - k * lane - zero, "e": t - k * lane - zero})
 
     return one
 
@@ -268,19 +268,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(q(id_col)).cast("long").alias("id"), text.alias("text"))
     docs = docs.withColumn("h", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     cls = cut(_classes(docs, length), "cls")
-    at = cls.select("h", "id", F.explode(F.arrays_zip("keys", "pos")).alias("x")).select("h", "id", F.col("x.keys").alias("key"), F.col("x.pos").alias("pos"))
-    place = F.struct("h", "pos")
+    at = cls.select("h", F.explode(F.arrays_zip("keys", "pos")).alias("x")).select("h", F.col("x.keys").alias("key"), F.col("x.pos").alias("pos"))
+    place = F.xxhash64("h", "pos")
     met = at.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("key")
-    places = at.join(met, "key").groupBy("h", "id").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
+    places = (at.join(met, "key").groupBy("h").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
+              .join(cls.select("h", "id"), "h"))
     ctx = cut(_contexts(docs, places, length), "ctx")
     # keys whose anchors all have one context need no sorting
     mixed = ctx.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a < b").select("key")
     covers = cut(_covers(ctx.join(mixed, "key", "left_semi"), length), "covers")
     where = ctx.select("c1", "c2", "h", "pos", "l", "r")
     once = cls.where("copies = 1").select("h", "id")
+    # a context that occurs twice is covered whole; covers found by sorting concern the others
+    count = where.groupBy("c1", "c2").count()
+    covers = covers.groupBy("c1", "c2", "s").agg(F.max("e").alias("e")).join(count.where("count = 1").drop("count"), ["c1", "c2"], "left_semi")
     sorted_ = where.join(covers, ["c1", "c2"]).select("h", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
-    twice = where.groupBy("c1", "c2").count().where("count > 1").drop("count")
-    equal = where.where(F.col("l") + F.col("r") >= length).join(twice, ["c1", "c2"], "left_semi").select(
+    equal = where.where(F.col("l") + F.col("r") >= length).join(count.where("count > 1").drop("count"), ["c1", "c2"], "left_semi").select(
         "h", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
     own = cls.where("size(spans) > 0").select("h", F.explode(F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(
         F.get("spans", i).alias("s"), F.get("spans", i + 1).alias("e")))).alias("x")).select("h", "x.s", "x.e")
