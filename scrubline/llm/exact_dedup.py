@@ -42,9 +42,10 @@ def _survivor_bitmap(keyed: DataFrame) -> DataFrame:
             .groupBy("__bucket").agg(F.bitmap_construct_agg("pos").alias("__bits")))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every input row with ``keep_id`` (largest id of the rows with an equal
-    normalised text), ``group_size`` and ``kept``, all other columns kept.
+    normalised text), ``group_size`` and ``kept``, and the columns ``keep``
+    (default: all; without the text no text is written or moved).
 
     Null and empty texts are equal to each other.  Rows that repeat the id
     and the text of the row that stays are dropped but for one.  A null id
@@ -54,7 +55,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("keep_id", "group_size", "kept")])
     norm = normalised(F.col(q(text_col)))
-    cols = [F.col(q(c)) for c in df.columns]
+    cols = [F.col(q(c)) for c in df.columns if keep is None or c in keep]
     keyed = df.select(
         *cols, F.col(q(id_col)).alias("__id"), F.octet_length(norm).alias("__len"),
         F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("__pre"),

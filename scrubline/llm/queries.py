@@ -47,7 +47,7 @@ def op5_exact_dedup(spark, sf_dir):
     """Exact duplicates of whole texts (A-Z lower-cased), largest doc_id stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup(docs, keep=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP5_SQL = """
