@@ -26,7 +26,7 @@ from scrubline.operators.hits import explode_detections, js_regex_hits, pattern_
 from scrubline.operators.nested import sanitize_nested
 from scrubline.operators.patterns import BUILTIN_NAMES
 from scrubline.operators.rules import Rule, default_rules
-from scrubline.operators.sanitize import is_json, sanitize
+from scrubline.operators.sanitize import is_json, replacement_map, sanitize
 from scrubline.operators.words import with_custom_words, word_table, words_from
 from scrubline.plans import oracles as O
 from scrubline.plans.inputs import documents_with_planted, oracle_documents_with_planted, table
