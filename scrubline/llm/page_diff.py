@@ -4,9 +4,11 @@ Pages of a host are put in the order of their URL paths and each is paired
 with its nearest neighbour.  The text lines (blocks) of the two pages are
 aligned by a longest common subsequence, and lines they share are deleted:
 menus, notices and footers repeat from page to page, the article does not.
-An exact check by the markup follows: shared lines that the page itself
-marks as its article come back, and lines that it marks as navigation,
+A check by the markup follows: lines that the page marks as navigation,
 footer, sidebar, advert, form or comment go even if no neighbour has them.
+What stands inside a marked article and is shared goes too, and what stands
+beside it and is not shared stays.  A neighbour that shares nearly all of
+the text is a copy of the page and says nothing of its lines.
 
 Ordering is a global range sort of narrow rows, so a host with a third of
 all pages is spread over tasks like any other, and neighbours meet by an
@@ -45,6 +47,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A page that shares more than this part of another's text (in characters) is a copy of it.
+COPY = 0.8
 #: What the markup says of a line.
 APART, OPEN, ARTICLE = 1, 2, 3
 
@@ -140,8 +144,6 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             apart += mark
             article += root
     flush()
-    if ARTICLE in zones:  # the page marks its article: all else is apart
-        zones = [APART if z == OPEN else z for z in zones]
     return lines, zones
 
 
@@ -204,19 +206,18 @@ def nearest(path: str, before: str | None, after: str | None) -> list[int]:
     return [i for i, p in sorted(have, key=lambda x: near(x[1]), reverse=True)] if len(have) < 2 or near(before) != near(after) else [0, 1]
 
 
-def kept_lines(zones: bytes, hashes: list[int], mates: list[list[int]]) -> list[int]:
-    """Positions of the lines that stay.  A mate that shares every open line
-    is the same article at another address and says nothing; then the next
-    one is compared."""
-    shared: set[int] = set()
-    open_ = {i for i, z in enumerate(zones) if z == OPEN}
+def kept_lines(zones: bytes, hashes: list[int], sizes: list[int], mates: list[list[int]]) -> list[int]:
+    """Positions of the lines that stay: those that the nearest mate does not
+    share, without the ones marked as apart.  A mate that shares nearly all
+    text is the same article at another address and says nothing; then the
+    next one is compared."""
+    rest = [i for i, z in enumerate(zones) if z != APART]
+    most = COPY * sum(sizes[i] for i in rest)
     for mate in mates:
         found = set(common_positions(hashes, mate))
-        if not open_ or open_ - found:
-            shared = found
-            break
-    # the check by markup: the marked article stays though shared, marked parts go though not shared
-    return [i for i, z in enumerate(zones) if z == ARTICLE or z == OPEN and i not in shared]
+        if sum(sizes[i] for i in rest if i in found) <= most:
+            return [i for i in rest if i not in found]
+    return rest
 
 
 def _path_key(path: str) -> str:
@@ -232,10 +233,10 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, host, path, zones, hashes): narrow rows, a hash for every line."""
+    """(k1, k2, host, path, zones, hashes, sizes): narrow rows, a hash and a length for every line."""
     def run(batches):
         for t in batches:
-            host, path, marks, hashes = [], [], [], []
+            host, path, marks, hashes, sizes = [], [], [], [], []
             for u, page in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
                 m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*([^?#]*)", u or "")
                 host.append(m.group(1).lower() if m else None)
@@ -243,11 +244,12 @@ def _lines(keyed: DataFrame) -> DataFrame:
                 lines, zones = page_lines(page)
                 marks.append(bytes(zones))
                 hashes.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in lines])
+                sizes.append([len(x) for x in lines])
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()),
-                                              pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                                             ["k1", "k2", "host", "path", "zones", "hashes"])
+                                              pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
+                                             ["k1", "k2", "host", "path", "zones", "hashes", "sizes"])
 
-    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, "k1 long, k2 long, host string, path string, zones binary, hashes array<long>")
+    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, "k1 long, k2 long, host string, path string, zones binary, hashes array<long>, sizes array<int>")
 
 
 def _ranked(lines: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def _ranked(lines: DataFrame) -> DataFrame:
 
 def _decisions(lines: DataFrame) -> DataFrame:
     """(k1, k2, keep): for every page with a host, the lines that stay, as a bitmap."""
-    once = lines.where("host is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", "zones", "hashes")
+    once = lines.where("host is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", "zones", "hashes", "sizes")
     rank = _ranked(lines)
     own = rank.join(once, ["k1", "k2"]).drop("k1", "k2")
     mates = cut(own, "rank")
@@ -273,16 +275,16 @@ def _decisions(lines: DataFrame) -> DataFrame:
         return mates.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name))
     met = mates.join(mate(1, "before"), "rank", "left").join(mate(-1, "after"), "rank", "left")
     same = lambda n, c: F.when(F.col(f"{n}_host") == F.col("host"), F.col(c))
-    met = met.select("rank", "path", "zones", "hashes", same("before", "before_path").alias("bp"), same("before", "before").alias("before"),
+    met = met.select("rank", "path", "zones", "hashes", "sizes", same("before", "before_path").alias("bp"), same("before", "before").alias("before"),
                      same("after", "after_path").alias("ap"), same("after", "after").alias("after"))
 
     def run(batches):
         for t in batches:
             keep = []
-            for _, path, zones, hashes, bp, before, ap, after in zip(*(c.to_pylist() for c in t.columns)):
+            for _, path, zones, hashes, sizes, bp, before, ap, after in zip(*(c.to_pylist() for c in t.columns)):
                 near = [(before, after)[i] or [] for i in nearest(path or "", bp, ap)]
                 bits = np.zeros(len(hashes), bool)
-                bits[kept_lines(zones, hashes, near)] = True
+                bits[kept_lines(zones, hashes, sizes, near)] = True
                 keep.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(keep, pa.binary())], ["rank", "keep"])
 
@@ -323,7 +325,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             for packed, kept in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
                 zones, *lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
                 if kept is None:  # no neighbours
-                    at = kept_lines(bytes.fromhex(zones), [], [])
+                    at = kept_lines(bytes.fromhex(zones), [], [len(x) for x in lines], [])
                 else:
                     at = np.nonzero(np.unpackbits(np.frombuffer(kept, np.uint8))[:len(lines)])[0].tolist()
                 texts.append(" ".join(lines[i] for i in at))
