@@ -33,7 +33,7 @@ from scrubline.llm.common import cut, q, small_batches
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "object", "xmp", "noembed", "noframes"}
 #: Elements that hold no part of an article.
 ASIDE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "datalist", "label", "input"}
-#: Roles and words in class or id that mark such parts (compared by whole words).
+#: Roles that mark such parts, and words of which a class or an id that marks them consists.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion",
          "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "footer", "header", "masthead",
@@ -49,36 +49,41 @@ TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"
 HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: A page that shares more than this part of another's text (in characters) is a copy of it.
 COPY = 0.8
-#: What the markup says of a line.
-APART, OPEN, ARTICLE = 1, 2, 3
+#: What the markup says of a line; DOUBT is a block inside the article with a class or id of WORDS.
+APART, OPEN, ARTICLE, DOUBT = 1, 2, 3, 4
+#: How an element is marked as apart: by what it is, or only by the words of its class or id.
+SURE, NAMED = 2, 1
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no part of an article; a header within the
-    article belongs to it."""
+def _marked(tag: str, attrs: str, inside: bool) -> int:
+    """How an element is marked as holding no part of an article; a header
+    within the article belongs to it.  A class or an id counts if it is made
+    of WORDS only: 'cookie-notice' does, 'has-sidebar' does not."""
     if tag in ASIDE or tag == "header" and not inside:
-        return True
+        return SURE
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    named = 0
     for name, *values in HINT.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if name in ("class", "id"):
-            words = {w for part in value.split() for w in re.split(r"[^a-z0-9]+", part)}
-            if (words - {"header"} if inside else words) & WORDS:
-                return True
-    return False
+            for part in value.split():
+                words = {w for w in re.split(r"[^a-z0-9]+", part) if w}
+                if words and words <= (WORDS - {"header"} if inside else WORDS):
+                    named = NAMED
+    return named
 
 
 def page_lines(page: str | None) -> tuple[list[str], list[int]]:
     """Text lines (blocks) of a page with what its markup says of each."""
     page = page or ""
     lines, zones = [], []
-    buf, buf_apart, buf_art = [], False, False
-    stack: list[tuple[str, bool, bool]] = []  # tag, apart, article root
-    apart = article = 0
+    buf, buf_zone = [], OPEN
+    stack: list[tuple[str, tuple]] = []  # tag, state outside of it
+    state = (False, False, False)  # apart for sure, apart by name, in an article
     at, n = 0, len(page)
 
     def flush():
@@ -86,15 +91,17 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             text = " ".join("".join(buf).split())
             if text:
                 lines.append(text)
-                zones.append(APART if buf_apart else ARTICLE if buf_art else OPEN)
+                zones.append(buf_zone)
             buf.clear()
 
     def add(text):
-        nonlocal buf_apart, buf_art
+        nonlocal buf_zone
         if text:
-            if buf and buf_apart != (apart > 0):
+            sure, named, article = state
+            zone = APART if sure or named and not article else DOUBT if named else ARTICLE if article else OPEN
+            if buf and buf_zone != zone:
                 flush()
-            buf_apart, buf_art = apart > 0, article > 0
+            buf_zone = zone
             buf.append(html.unescape(text))
 
     while at < n:
@@ -112,12 +119,10 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
         if m.group(1) or m.group(4):  # an end tag closes what is open inside
             if tag in BLOCKS:
                 flush()
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, _ in stack):
                 flush() if tag in BLOCKS else None
                 while True:
-                    t, a, r = stack.pop()
-                    apart -= a
-                    article -= r
+                    t, state = stack.pop()
                     if t == tag:
                         break
             continue
@@ -132,17 +137,16 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
         if tag in BLOCKS:
             flush()
             while stack and tag in CLOSES.get(stack[-1][0], ()):
-                _, a, r = stack.pop()
-                apart -= a
-                article -= r
+                _, state = stack.pop()
         if tag in VOID:
             continue
-        mark = _marked(tag, attrs, article > 0)
-        root = not mark and (tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attrs)))
+        sure, named, article = state
+        mark = _marked(tag, attrs, article)
+        root = mark != SURE and (tag in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attrs)))
         if mark or tag in BLOCKS or root:
-            stack.append((tag, mark, root))
-            apart += mark
-            article += root
+            stack.append((tag, state))
+            # names around an article do not hide it
+            state = (sure or mark == SURE, not root and (named or mark == NAMED), article or root)
     flush()
     return lines, zones
 
@@ -210,14 +214,15 @@ def kept_lines(zones: bytes, hashes: list[int], sizes: list[int], mates: list[li
     """Positions of the lines that stay: those that the nearest mate does not
     share, without the ones marked as apart.  A mate that shares nearly all
     text is the same article at another address and says nothing; then the
-    next one is compared."""
+    next one is compared.  A block of the article that only its class or id
+    marks goes if the mate shares it, or if there is no mate to ask."""
     rest = [i for i, z in enumerate(zones) if z != APART]
     most = COPY * sum(sizes[i] for i in rest)
-    for mate in mates:
+    for mate in filter(None, mates):
         found = set(common_positions(hashes, mate))
         if sum(sizes[i] for i in rest if i in found) <= most:
             return [i for i in rest if i not in found]
-    return rest
+    return [i for i in rest if zones[i] != DOUBT]
 
 
 def _path_key(path: str) -> str:

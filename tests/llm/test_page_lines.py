@@ -25,3 +25,22 @@ def test_a_near_copy_deletes_nothing_of_the_article(spark):
                         ("http://a.example.org/y/1", "<div>Shared top</div><p>Something else altogether is told at this address</p>")])
     assert all("A long paragraph" in t and "one more" in t for t in got[:2])
     assert "Shared top" not in got[1] and got[2] == "Something else altogether is told at this address"
+
+
+def test_names_of_wrappers_do_not_hide_the_text(spark):
+    shapes = ['<div class="layout has-sidebar"><article>Text {}</article></div>', '<div id="page-header-content"><main>Text {}</main></div>',
+              '<div class="sidebar"><article>Text {}</article><p>Side</p></div>', '<div class="no-sidebar"><p>Text {}</p></div><div class="sidebar">Side {}</div>',
+              '<main><div class="related">Text {}</div><p>Tail</p><div class="share">Send it on</div></main><nav class="x">Menu {}</nav>']
+    for shape in shapes:
+        for z, pages in (("z", (1, 2, 3)), ("one", (1,))):
+            got = texts(spark, [(f"http://{z}.example.org/{k}", shape.format(k, k)) for k in pages])
+            if "related" in shape and z == "one":  # no other page to ask
+                assert got == ["Tail"]
+            else:
+                assert got == [f"Text {k}" for k in pages]
+
+
+def test_marks_that_stay_sure():
+    lines, zones = page_diff.page_lines('<aside><article>Teaser</article></aside><div class="ad">Buy</div><div id="cookie-notice">We</div><article>A<p hidden>B</p></article>')
+    assert lines == ["Teaser", "Buy", "We", "A", "B"]
+    assert zones == [page_diff.APART] * 3 + [page_diff.ARTICLE, page_diff.APART]
