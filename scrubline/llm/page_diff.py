@@ -238,10 +238,12 @@ def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, host, path, zones, hashes, sizes): narrow rows, a hash and a length for every line."""
+    """(k1, k2, d1, d2, host, path, zones, hashes, sizes): narrow rows, a hash
+    and a length for every line; (d1, d2) is a key of the host and its lines,
+    so copies of a page have one."""
     def run(batches):
         for t in batches:
-            host, path, marks, hashes, sizes = [], [], [], [], []
+            host, path, marks, hashes, sizes, keys = [], [], [], [], [], ([], [])
             for u, page in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
                 m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*([^?#]*)", u or "")
                 host.append(m.group(1).lower() if m else None)
@@ -250,31 +252,35 @@ def _lines(keyed: DataFrame) -> DataFrame:
                 marks.append(bytes(zones))
                 hashes.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in lines])
                 sizes.append([len(x) for x in lines])
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()),
+                digest = np.frombuffer(hashlib.blake2b(np.array(hashes[-1], np.int64).tobytes() + marks[-1] + (host[-1] or "").encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64)
+                for k, v in zip(keys, digest.tolist()):
+                    k.append(v)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *(pa.array(k, pa.int64()) for k in keys), pa.array(host, pa.string()), pa.array(path, pa.string()),
                                               pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                                             ["k1", "k2", "host", "path", "zones", "hashes", "sizes"])
+                                             ["k1", "k2", "d1", "d2", "host", "path", "zones", "hashes", "sizes"])
 
-    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, "k1 long, k2 long, host string, path string, zones binary, hashes array<long>, sizes array<int>")
+    return keyed.select("k1", "k2", "url", "html").mapInArrow(run, "k1 long, k2 long, d1 long, d2 long, host string, path string, zones binary, hashes array<long>, sizes array<int>")
 
 
 def _ranked(lines: DataFrame) -> DataFrame:
-    """(rank, k1, k2, host, path): the global order of (host, path, key),
-    equal rows once, from a range sort and one offset per partition."""
-    s = lines.where("host is not null").select("host", "path", "k1", "k2").distinct().orderBy("host", "path", "k1", "k2")
+    """(rank, d1, d2, host, path): the global order of (host, path, key),
+    copies once by their first path, from a range sort and one offset per partition."""
+    s = lines.where("host is not null").groupBy("host", "d1", "d2").agg(F.min("path").alias("path")).orderBy("host", "path", "d1", "d2")
     s = cut(s.withColumn("at", F.monotonically_increasing_id()), "order")
     part = F.shiftright("at", 33)
     n = s.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     # one row per partition of the sort
     off = n.withColumn("off", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     return (s.withColumn("part", part).join(F.broadcast(off), "part")
-            .select((F.coalesce("off", F.lit(0)) + F.col("at") - F.col("first")).alias("rank"), "k1", "k2", "host", "path"))
+            .select((F.coalesce("off", F.lit(0)) + F.col("at") - F.col("first")).alias("rank"), "d1", "d2", "host", "path"))
 
 
 def _decisions(lines: DataFrame) -> DataFrame:
     """(k1, k2, keep): for every page with a host, the lines that stay, as a bitmap."""
-    once = lines.where("host is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", "zones", "hashes", "sizes")
+    paged = lines.where("host is not null")
+    once = paged.dropDuplicates(["d1", "d2"]).select("d1", "d2", "zones", "hashes", "sizes")
     rank = _ranked(lines)
-    own = rank.join(once, ["k1", "k2"]).drop("k1", "k2")
+    own = rank.join(once, ["d1", "d2"]).drop("d1", "d2")
     mates = cut(own, "rank")
     def mate(step, name):
         return mates.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hashes").alias(name))
@@ -293,7 +299,9 @@ def _decisions(lines: DataFrame) -> DataFrame:
                 keep.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(keep, pa.binary())], ["rank", "keep"])
 
-    return rank.join(met.mapInArrow(run, "rank long, keep binary"), "rank").select("k1", "k2", "keep")
+    keep = rank.join(met.mapInArrow(run, "rank long, keep binary"), "rank").select("d1", "d2", "keep")
+    # every copy takes the decision on its lines
+    return paged.select("k1", "k2", "d1", "d2").distinct().join(keep, ["d1", "d2"]).select("k1", "k2", "keep")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -303,8 +311,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     blocks are joined by one space.  A null or empty page has an empty text.
     A page without a URL has no neighbours and is judged by its markup
     alone, and so is the only page of a host.  Repeated rows are one page,
-    each with its text; equal pages under other ids say nothing of each
-    other, as they share every line.
+    each with its text; pages of a host with equal lines are one page too, so
+    the neighbours that are compared differ from it.
     Very long pages are parsed whole.  An empty table gives an empty result;
     other columns are ignored.
     """

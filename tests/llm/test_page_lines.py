@@ -44,3 +44,9 @@ def test_marks_that_stay_sure():
     lines, zones = page_diff.page_lines('<aside><article>Teaser</article></aside><div class="ad">Buy</div><div id="cookie-notice">We</div><article>A<p hidden>B</p></article>')
     assert lines == ["Teaser", "Buy", "We", "A", "B"]
     assert zones == [page_diff.APART] * 3 + [page_diff.ARTICLE, page_diff.APART]
+
+
+def test_copies_at_consecutive_addresses_are_one_page(spark):
+    page = "<div>Menu of the site</div><p>Article {} is told in these words</p><div>End of the page</div>"
+    got = texts(spark, [(f"http://a.example.org/a/{k}", page.format("one")) for k in (1, 2, 3)] + [(f"http://a.example.org/b/{k}", page.format("two")) for k in (1, 2, 3)])
+    assert got == ["Article one is told in these words"] * 3 + ["Article two is told in these words"] * 3
