@@ -21,8 +21,8 @@ from scrubline.llm.common import cut, q, small_batches
 
 #: Documents per declared language the trigram model is fitted on (a bound in expectation).
 FIT_DOCS = 1000
-#: Declared languages below this share of the rows are no class of their own.
-MIN_SHARE = 0.005
+#: Documents with letters that a declared language needs to be a class: with fewer there is nothing to fit a model on.
+MIN_DOCS = 10
 #: Hash buckets of the trigram model.
 BUCKETS = 1 << 14
 #: Weight of the text: log likelihoods count as TEXT_SCALE * sqrt(trigrams) independent ones.
@@ -33,10 +33,9 @@ HOST_KAPPA = 20.0
 ALPHA = 0.5
 #: Documents whose best posterior is lower are rejected (language 'und').
 MIN_POSTERIOR = 0.5
-#: Hosts whose priors are broadcast (about 100 bytes each); more are joined by a shuffle.
+#: Hosts, suffixes or declared values whose tables are broadcast (8 bytes a class each; fewer if
+#: there are more than 8 classes); more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
-#: Stands for all values of a declared language or suffix below MIN_SHARE.
-OTHER = "\u0000other"
 UNDETERMINED = "und"
 #: Code points handled at once: bounds the memory for very long texts.
 BLOCK = 1 << 20
@@ -59,18 +58,20 @@ def _blocks(text: str):
         yield text[i:i + BLOCK]
 
 
-def languages(df: DataFrame, declared_col: str) -> list[str]:
-    """The classes: declared languages with at least ``MIN_SHARE`` of the
-    rows, so at most 1 / MIN_SHARE values reach the driver."""
-    n = df.where(F.col(q(declared_col)).isNotNull()).groupBy(F.col(q(declared_col)).alias("l")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("t"))
-    return sorted(r.l for r in n.join(F.broadcast(total)).where(F.col("n") >= MIN_SHARE * F.col("t")).select("l").collect())
+def languages(df: DataFrame, text_col: str, declared_col: str) -> list[str]:
+    """The classes: declared languages of at least ``MIN_DOCS`` texts with
+    letters, whatever their share of the rows; only they reach the driver."""
+    d = df.where(F.col(q(declared_col)).isNotNull() & F.col(q(text_col)).rlike(r"\p{L}"))
+    n = d.groupBy(F.col(q(declared_col)).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    return sorted(r.l for r in n.where(F.col("n") >= MIN_DOCS).select("l").collect())
 
 
 def fit_text_model(df: DataFrame, text_col: str, declared_col: str, langs: list[str]) -> np.ndarray:
     """log P(bucket | language), one column per language and a flat last one
     for texts in none of them.  BUCKETS x languages counts reach the driver."""
-    d = df.select(F.col(q(declared_col)).alias("l"), F.col(q(text_col)).alias("x")).where(F.col("l").isin(langs) & F.col("x").isNotNull())
+    classes = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(langs)), "l int, name string"))
+    d = (df.select(F.col(q(declared_col)).cast("string").alias("name"), F.col(q(text_col)).alias("x")).where(F.col("x").isNotNull())
+         .join(classes, "name").select("l", "x"))
     n = d.groupBy("l").count()
     u = F.pmod(F.xxhash64("x", F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     sample = d.join(F.broadcast(n), "l").where(u < F.lit(float(FIT_DOCS)) / F.col("count")).select("l", "x")
@@ -84,13 +85,11 @@ def fit_text_model(df: DataFrame, text_col: str, declared_col: str, langs: list[
                     a += np.bincount(trigram_buckets(part), minlength=BUCKETS)
         for lang, a in acc.items():
             at = np.nonzero(a)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(a[at])], ["l", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.int32()), pa.array(at), pa.array(a[at])], ["l", "b", "n"])
 
-    counts = sample.mapInArrow(count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(count, "l int, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(langs) + 1), 0.0)
-    for i, lang in enumerate(langs):
-        own = counts[counts.l == lang]
-        table[own.b.to_numpy(), i] = own.n.to_numpy()
+    table[counts["b"].to_numpy(), counts["l"].to_numpy()] = counts["n"].to_numpy()
     table = np.log((table + 0.05) / (table.sum(0) + 0.05 * BUCKETS))
     table[:, -1] = -np.log(BUCKETS)
     return table.astype(np.float32)
@@ -121,40 +120,51 @@ def text_scores(df: DataFrame, text_col: str, model: np.ndarray, keep: list[str]
     return src.mapInArrow(score, out)
 
 
-def _lumped(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """``rows`` with the rare values of evidence columns made one value, so
-    that every column has at most 1 / MIN_SHARE + 1 values; one small table
-    of frequent values each reaches the driver."""
-    for col in cols:
-        n = rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-        often = [r[0] for r in n.join(F.broadcast(n.agg(F.sum("n").alias("t")))).where(F.col("n") >= MIN_SHARE * F.col("t")).select(col).collect()]
-        rows = rows.withColumn(col, F.when(F.col(col).isNull() | F.col(col).isin(often), F.col(col)).otherwise(F.lit(OTHER)))
-    return rows
+def _counts(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, __c): for every value the rows of each class, as an array."""
+    per = rows.where(F.col(by).isNotNull()).groupBy(by, "__top").agg(F.count("*").alias("n"))
+    m = per.groupBy(by).agg(F.map_from_entries(F.collect_list(F.when(F.col("__top").isNotNull(), F.struct("__top", "n")))).alias("m"))
+    return m.select(by, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("__c"))
 
 
-def _log_table(rows: DataFrame, col: str, langs: list[str]) -> DataFrame:
-    """(col, lp): log P(value | language) for each language, smoothed."""
-    k = len(langs)
-    per = rows.where(F.col(col).isNotNull()).groupBy(col).agg(*[F.sum((F.col("__top") == i).cast("long")).alias(f"c{i}") for i in range(k)])
-    tot = per.agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in range(k)], F.count("*").alias("d"))  # one row
-    return per.join(F.broadcast(tot)).select(col, F.array(*[
-        F.log((F.col(f"c{i}") + ALPHA) / (F.col(f"t{i}") + ALPHA * F.col("d"))) for i in range(k)]).alias(f"{col}_lp"))
+def _totals(rows: DataFrame, k: int) -> list[int]:
+    """The rows of each class: one number a class reaches the driver."""
+    n = {r[0]: r[1] for r in rows.where("__top is not null").groupBy("__top").count().collect()}
+    return [n.get(i, 0) for i in range(k)]
+
+
+def _numbers(values) -> F.Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
 
+def _log_table(rows: DataFrame, col: str, k: int) -> DataFrame:
+    """(col, lp): log P(value | language) for each language, smoothed; one
+    row for every value, however rare."""
+    per = cut(_counts(rows, col, k), "evidence")
+    d = per.count()
+    tot = _numbers(t + ALPHA * d for t in _totals(rows.where(F.col(col).isNotNull()), k))
+    return per.select(col, F.zip_with("__c", tot, lambda c, t: F.log((c + ALPHA) / t)).alias(f"{col}_lp"))
 
-def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
+
+def host_priors(rows: DataFrame, k: int) -> DataFrame:
     """(__host, __prior): P(language | host), each level smoothed by the one
     above: everything, registered domain (last two labels), host."""
-    k = range(len(langs))
-    n = [F.sum((F.col("__top") == i).cast("long")).alias(f"n{i}") for i in k]
-    host = rows.where("__host is not null").groupBy("__host").agg(*n).withColumn("__dom", F.substring_index("__host", ".", -2))
-    # the levels above are sums of host counts; the total also covers rows without a host
-    dom = host.groupBy("__dom").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in k])
-    tot = rows.agg(*[F.sum((F.col("__top") == i).cast("long")).alias(f"g{i}") for i in k])  # one row
-    sum_of = lambda p: sum((F.col(f"{p}{i}") for i in k), F.lit(0))
-    g = [(F.col(f"g{i}") + 1) / (sum_of("g") + len(langs)) for i in k]
-    d = [(F.col(f"d{i}") + HOST_KAPPA * g[i]) / (sum_of("d") + HOST_KAPPA) for i in k]
-    h = [(F.col(f"n{i}") + HOST_KAPPA * d[i]) / (sum_of("n") + HOST_KAPPA) for i in k]
-    return host.join(dom, "__dom").join(F.broadcast(tot)).select("__host", F.array(*h).alias("__prior"))
+    host = rows.where("__host is not null").withColumn("__dom", F.substring_index("__host", ".", -2))
+    n = _counts(host, "__host", k).withColumn("__dom", F.substring_index("__host", ".", -2)).withColumnRenamed("__c", "__n")
+    # the total also covers rows without a host
+    g = _totals(rows, k)
+    g = _numbers((x + 1) / (sum(g) + k) for x in g)
+    smooth = lambda c, up: F.zip_with(c, up, lambda x, u: (x + HOST_KAPPA * u) / (F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y) + HOST_KAPPA))
+    dom = _counts(host, "__dom", k).select("__dom", smooth("__c", g).alias("__d"))
+    return n.join(dom, "__dom").select("__host", smooth("__n", F.col("__d")).alias("__prior"))
+
+
+def _joined(out: DataFrame, table: DataFrame, col: str, k: int) -> DataFrame:
+    """``out`` with the row of its value.  A shuffle would move the texts: few
+    values are broadcast; beyond the bound adaptive execution splits a hot one."""
+    most = BROADCAST_HOSTS * 8 // max(k, 8)
+    small = table.limit(most + 1).count() <= most
+    return out.join(F.broadcast(table) if small else table, col, "left")
 
 
 def identify_language(df: DataFrame, text_col: str = "text", declared_col: str | None = "lang",
@@ -167,7 +177,9 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     letters (null, empty, digits only) is undetermined: ``lang_id`` 'und',
     posterior of the best class on the other evidence, not kept.  So is a
     text that a flat trigram distribution explains better than every
-    language, and one whose best posterior is below ``MIN_POSTERIOR``.  Very
+    language, and one whose best posterior is below ``MIN_POSTERIOR``.  A
+    language declared by fewer than ``MIN_DOCS`` texts is no class: its texts
+    get the class that explains them best, or 'und'.  Very
     long texts are scored whole in blocks.  Ties go to the first language in
     alphabetical order.  An empty table, or one without declared languages,
     gives rows that are all undetermined.  Repeated rows score alike; an
@@ -177,7 +189,7 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     keep = [c for c in (keep or df.columns) if c in df.columns]
     cols = [F.col(q(c)) for c in keep]
     small_batches(df.sparkSession)
-    langs = languages(df, declared_col) if declared_col else []
+    langs = languages(df, text_col, declared_col) if declared_col else []
     if not langs:
         return df.select(*cols, F.lit(UNDETERMINED).alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(False).alias("lang_kept"))
     k = len(langs)
@@ -193,16 +205,16 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     best_text = F.array_max(F.slice("__ll", 1, k))
     usable = (F.col("__tri") > 0) & (best_text >= F.col("__ll")[k])
     rows = (scored.withColumn("__ok", usable)
-            .withColumn("__top", F.when(F.col("__ok"), F.array_position(F.slice("__ll", 1, k), best_text) - 1)))
-    rows = _lumped(rows, ["__declared", "__suffix"])
+            .withColumn("__top", F.when(F.col("__ok"), (F.array_position(F.slice("__ll", 1, k), best_text) - 1).cast("int"))))
     out = rows.select(*cols, *ev, "__ll", "__ok")
-    # at most 1 / MIN_SHARE + 1 rows each
-    out = out.join(F.broadcast(_log_table(rows, "__declared", langs)), "__declared", "left")
-    out = out.join(F.broadcast(_log_table(rows, "__suffix", langs)), "__suffix", "left")
-    hosts = cut(host_priors(rows, langs), "hosts")
-    # a shuffle would move the texts: few hosts are broadcast; beyond the bound adaptive execution splits a hot host
-    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    out = out.join(F.broadcast(hosts) if small else hosts, "__host", "left")
+    if declared_col:
+        out = _joined(out, _log_table(rows, "__declared", k), "__declared", k)
+    if suffix_col:
+        out = _joined(out, _log_table(rows, "__suffix", k), "__suffix", k)
+    if host_col:
+        out = _joined(out, cut(host_priors(rows, k), "hosts"), "__host", k)
+    for have, name in ((declared_col, "__declared_lp"), (suffix_col, "__suffix_lp"), (host_col, "__prior")):
+        out = out if have else out.withColumn(name, F.lit(None).cast("array<double>"))
     zero = F.array(*[F.lit(0.0)] * k)
     lp = F.zip_with(F.slice("__ll", 1, k), F.coalesce("__declared_lp", zero), lambda a, b: a + b)
     lp = F.zip_with(lp, F.coalesce("__suffix_lp", zero), lambda a, b: a + b)
