@@ -11,7 +11,8 @@ their left: members that share a left extension long enough form a repeat
 with all its occurrences, not just neighbours.  What they cover is removed.
 
 Whole documents that occur twice are one class from the start.  Equal
-contexts in a group are one member.  A group with more than BLOCK members
+contexts in a group are one member, and a group with more than BLOCK rows is
+reduced to one row a member.  A group with more than BLOCK members
 is split by longer keys: windows that start far left of the anchor share
 more bytes there, windows that end far right share more on that side, so
 both halves are smaller groups of their own, down to single windows, whose
@@ -32,7 +33,7 @@ from scrubline.llm.common import cut, map_runs, q, small_batches, text_or_empty
 
 #: Bytes of the strings an anchor is chosen by; a longer string means fewer false meetings and more anchors.
 WIDTH = 200
-#: Members of a group that one task sorts.
+#: Rows of a group that one task holds and sorts.
 BLOCK = 1 << 15
 #: Bytes of a text handled at once when anchors are chosen.
 PIECE = 1 << 18
@@ -233,14 +234,19 @@ def _covers(ctx: DataFrame, length: int) -> DataFrame:
     result = None
     while True:
         g = ["key", "lo", "hi"]
-        size = members.groupBy(*g).agg(F.countDistinct("c1", "c2").alias("m")).where("m > 1")
-        small = members.join(size.where(f"m <= {BLOCK}").drop("m"), g)
-        part = map_runs(small, g, _group(length), "c1 long, c2 long, s int, e int")
+        size = members.groupBy(*g).agg(F.countDistinct("c1", "c2").alias("m"), F.count("*").alias("n")).where("m > 1")
+        many = size.where(f"n > {BLOCK}").select(*g, "m")
+        small = members.join(size.where(f"n <= {BLOCK}").select(*g), g)
+        if many.isEmpty():
+            part = map_runs(small, g, _group(length), "c1 long, c2 long, s int, e int")
+            return part if result is None else result.unionByName(part)
+        # many rows may carry few contexts: one row of each, reduced before they are dealt out
+        once = cut(members.join(many, g).groupBy(*g, "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("m", "l", "r", "ctx")]), "hot")
+        part = map_runs(small.unionByName(once.where(f"m <= {BLOCK}").select(*small.columns)), g, _group(length), "c1 long, c2 long, s int, e int")
         result = part if result is None else result.unionByName(part)
-        big = size.where(f"m > {BLOCK}")
-        if big.isEmpty():
+        hot = once.where(f"m > {BLOCK}").drop("m")
+        if hot.isEmpty():
             return result
-        hot = cut(members.join(big.drop("m"), g).groupBy(*g, "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("l", "r", "ctx")]), "hot")
         # one window left: the group itself is the repeat
         single = hot.where("lo = hi").select("c1", "c2", (-F.col("lo")).alias("s"), (F.lit(length) - F.col("lo")).cast("int").alias("e"))
         result = result.unionByName(single)
