@@ -12,16 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm import exact_dedup, language_id, minhash_odd, mixing, piece_wfst
-from scrubline.llm.common import cut, q, table
+from scrubline.llm.common import cut, table
 
 #: Not expressible in SQL: trained text model, MinHash, transducer.
 ORACLE_SQL = None
 
 
-def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(q(c)) for c in docs.columns])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; texts without letters, texts
     that no language explains and null texts go."""
@@ -41,11 +37,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of at least 0.8 (five-word
-    shingles), the one with the smallest doc_id.  Rows without a doc_id
-    stay, and so do texts without words."""
-    r = minhash_odd.near_duplicates(docs)
-    drop = r.where("id <> component_id").select(F.col("id").alias("__drop")).distinct()
-    return _same(docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti"), docs)
+    shingles), the row with the smallest doc_id; a null id comes last, and of
+    equal ids one row stays.  Texts without words stay."""
+    ren = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    # ids may be null or stand on several texts: rows are told apart by a written key
+    rows = cut(ren.withColumn("row", F.monotonically_increasing_id()), "rows")
+    r = minhash_odd.near_duplicates(rows, "row", at["text"]).select(F.col("id").alias("row"), "component_id")
+    r = cut(r.join(rows.select("row", F.col(at["doc_id"]).alias("id")), "row"), "near")
+    first = r.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
+    out = rows.join(r.select("row").join(first, "row", "left_anti"), "row", "left_anti")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
