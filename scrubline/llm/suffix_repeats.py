@@ -227,10 +227,11 @@ def _group(length: int):
     return one
 
 
-def _covers(ctx: DataFrame, length: int) -> DataFrame:
+def _covers(ctx: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     """(c1, c2, s, e): what each context covers, relative to its anchor."""
-    members = ctx.where("ctx is not null").select("key", "c1", "c2", "l", "r", "ctx")
-    members = members.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - WIDTH))
+    source = ctx.where("ctx is not null").select("key", "c1", "c2", "l", "r", "ctx")
+    source = source.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - WIDTH))
+    members = source.join(mixed, "key", "left_semi")
     result = None
     while True:
         g = ["key", "lo", "hi"]
@@ -241,7 +242,8 @@ def _covers(ctx: DataFrame, length: int) -> DataFrame:
             part = map_runs(small, g, _group(length), "c1 long, c2 long, s int, e int")
             return part if result is None else result.unionByName(part)
         # many rows may carry few contexts: one row of each, reduced before they are dealt out
-        once = cut(members.join(many, g).groupBy(*g, "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("m", "l", "r", "ctx")]), "hot")
+        # (at most one group for every BLOCK rows is broadcast)
+        once = cut(source.join(F.broadcast(many), g).groupBy(*g, "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("m", "l", "r", "ctx")]), "hot")
         part = map_runs(small.unionByName(once.where(f"m <= {BLOCK}").select(*small.columns)), g, _group(length), "c1 long, c2 long, s int, e int")
         result = part if result is None else result.unionByName(part)
         hot = once.where(f"m > {BLOCK}").drop("m")
@@ -256,7 +258,7 @@ def _covers(ctx: DataFrame, length: int) -> DataFrame:
         # the bytes that all windows of the half share
         split = split.where(F.col("l") >= F.col("lo")).where(F.col("r") >= F.lit(length) - F.col("hi"))
         shared = F.substring(F.col("ctx"), (F.col("l") - F.col("lo") + 1).cast("int"), (F.col("lo") + F.lit(length) - F.col("hi")).cast("int"))
-        members = split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi")
+        source = members = split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -282,7 +284,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ctx = cut(_contexts(docs, places, length), "ctx")
     # keys whose anchors all have one context need no sorting
     mixed = ctx.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a < b").select("key")
-    covers = cut(_covers(ctx.join(mixed, "key", "left_semi"), length), "covers")
+    covers = cut(_covers(ctx, mixed, length), "covers")
     where = ctx.select("c1", "c2", "h", "pos", "l", "r")
     once = cls.where("copies = 1").select("h", "id")
     # a context that occurs twice is covered whole; covers found by sorting concern the others
