@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, suffix_repeats
+from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, resample, suffix_repeats
 from scrubline.llm.common import table
 
 
@@ -99,9 +99,17 @@ def op10_piece_encoding(spark, sf_dir):
     return piece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "round_trip")
 
 
+def op13_importance_resample(spark, sf_dir):
+    """Documents drawn by importance towards the hashed unigrams of benchmark."""
+    r = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=resample.MAX_N)
+    return r.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def registry():
     g = globals()
-    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_embedding_caps": embed_caps.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL}
+    sql = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_embedding_caps": embed_caps.ORACLE_SQL, "op5_exact_dedup": OP5_SQL, "op8_minhash_odd": OP8_SQL, "op9_chat_formatting": chat_format.ORACLE_SQL,
+           "op13_importance_resample": resample.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
         "op1_suffix_repeats", "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op6_page_diff", "op7_quality", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
+        "op13_importance_resample",
         "llm_language_id_pages")}
