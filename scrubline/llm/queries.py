@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, resample, suffix_repeats
+from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, resample, secret_layers, suffix_repeats, token_align
 from scrubline.llm.common import table
 
 
@@ -99,6 +99,21 @@ def op10_piece_encoding(spark, sf_dir):
     return piece_wfst.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "round_trip")
 
 
+def op11_secret_layers(spark, sf_dir):
+    """Secrets of every document, in the text and in the layers encoded in it."""
+    r = secret_layers.scan_secrets(table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["layers"] == "")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return r.select(F.col("id").alias("doc_id"), *map(count, secret_layers.KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    """Two tokenizations of every document, aligned, with corpus-wide link counts."""
+    r = token_align.link_counts(table(spark, sf_dir, "documents"))
+    return r.withColumnRenamed("id", "doc_id")
+
+
 def op13_importance_resample(spark, sf_dir):
     """Documents drawn by importance towards the hashed unigrams of benchmark."""
     r = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=resample.MAX_N)
@@ -111,5 +126,5 @@ def registry():
            "op13_importance_resample": resample.ORACLE_SQL}
     return {name: (g[name], sql.get(name)) for name in (
         "op1_suffix_repeats", "op2_source_mixing", "op3_embedding_caps", "op4_language_id", "op5_exact_dedup", "op6_page_diff", "op7_quality", "op8_minhash_odd", "op9_chat_formatting", "op10_piece_encoding",
-        "op13_importance_resample",
+        "op11_secret_layers", "op12_token_alignment", "op13_importance_resample",
         "llm_language_id_pages")}
