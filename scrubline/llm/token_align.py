@@ -109,11 +109,14 @@ class Batch:
         self.base[doc] = np.cumsum([0, *size])[:-1]
         self.a, self.b = self._frame(doc, a, side_a), self._frame(doc, b, side_b)
         self.overlaps = self._overlaps()
-        x, y = self.a["end"].to_numpy()[self.overlaps[0]], self.b["end"].to_numpy()[self.overlaps[1]]
+        ends = self.a["end"].to_numpy()
+        both = ends[self.overlaps[0]] == self.b["end"].to_numpy()[self.overlaps[1]]
+        for f, at in zip((self.a, self.b), self.overlaps):
+            last = np.zeros(len(f), np.int64)
+            last[at[both]] = 1  # overlapping tokens with equal ends are the last of a group
+            f["group"] = np.cumsum(last) - last
         #: where tokens of both sides end
-        self.cuts = np.sort(x[x == y])
-        for f in (self.a, self.b):
-            f["group"] = np.searchsorted(self.cuts, f["end"].to_numpy())
+        self.cuts = np.sort(ends[self.overlaps[0][both]])
 
     @staticmethod
     def _frame(doc: list[int], ids: list[list[int]], side: Side) -> pd.DataFrame:
@@ -169,8 +172,8 @@ class Batch:
         own = doc[ga] * size_a + a
         o = np.argsort(own, kind="stable")  # all groups of one id of one text stand together
         ga, a, ca, own = ga[o], a[o], ca[o], own[o]
-        first = np.searchsorted(gb, ga)
-        many = np.searchsorted(gb, ga, side="right") - first
+        size = np.bincount(gb, minlength=len(self.cuts))  # every group has tokens of both sides
+        first, many = (np.cumsum(size) - size)[ga], size[ga]
         total = np.concatenate([[0], np.cumsum(many)])
         x = 0
         while x < len(ga):
