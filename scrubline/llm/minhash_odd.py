@@ -15,6 +15,7 @@ never listed, so a bucket of m copies costs m links, not m^2.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -34,13 +35,16 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 1024
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 6.0
-#: Members of a bucket that one task compares; larger buckets are dealt out in pairs of blocks.
-BLOCK = 2048
+#: Members of a bucket, and words of their texts, that one task compares with as many others;
+#: larger buckets are dealt out in pairs of blocks.
+BLOCK, BLOCK_WORDS = 2048, 1 << 21
 _rng = np.random.default_rng(8)
 MUL = (_rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 RADIX = 0x9E3779B97F4A7C15
 TEXT_BLOCK = 1 << 16
+#: Words of more bytes are hashed by a keyed hash of their own.
+LONG_WORD = 256
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,10 @@ def _hash_words(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     n = len(b)
     up = _POWERS if n < len(_POWERS[0]) else _powers(n + 1)
     s = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[1][:n])])
-    return _mix((s[end] - s[start]) * up[0][end] ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    out = _mix((s[end] - s[start]) * up[0][end] ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    for i in np.nonzero(end - start > LONG_WORD)[0]:  # sums of powers of two coincide on some long strings
+        out[i] = int.from_bytes(hashlib.blake2b(b[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -191,38 +198,79 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: in
     return p.mapInArrow(run, "a long, b long")
 
 
+def _frame(g: pd.DataFrame):
+    """(ids, components, sizes, odd sketches, whole sketches) of members."""
+    odd, whole = (np.frombuffer(b"".join(g[c]), np.uint64).reshape(len(g), -1) for c in ("odd", "whole"))
+    return g["id"].to_numpy(), g["c"].to_numpy(), g["n"].to_numpy(), odd, whole
+
+
 def _apart(members: DataFrame, sketches: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of bucket members in different components that the sketches let
-    through.  Buckets whose members are all connected drop out before any
-    sketch is moved; a bucket over BLOCK members is dealt out as pairs of
-    blocks, each its own group."""
+    """(g, id, c): groups of bucket members, in different components, that
+    the sketches connect; one row a member, however many pairs pass.  Buckets
+    whose members are all connected drop out before any sketch is moved; a
+    bucket over BLOCK members is dealt out as pairs of blocks, each its own
+    group.  Equal groups, met in several buckets, have one ``g``."""
     m = members.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    open_ = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    open_ = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("words")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
     m = m.join(open_.select("key", blocks.alias("nb")), "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     m = m.select("key", "id", "c", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk")
     m = m.join(sketches, "id").select("key", "b1", "b2", "blk", "id", "c", "n", "odd", "whole")
 
     def one(g: pd.DataFrame) -> pd.DataFrame | None:
-        ids, c, n = g["id"].to_numpy(), g["c"].to_numpy(), g["n"].to_numpy()
-        odd = np.frombuffer(b"".join(g["odd"]), np.uint64).reshape(len(g), -1)
-        whole = np.frombuffer(b"".join(g["whole"]), np.uint64).reshape(len(g), -1)
-        split = g["b1"].iloc[0] != g["b2"].iloc[0]
-        first = g["blk"].to_numpy() == g["b1"].iloc[0]
-        a, b = [], []
-        for i in (np.nonzero(first)[0] if split else range(len(g))):
-            other = np.nonzero(~first & (c != c[i]))[0] if split else i + 1 + np.nonzero(c[i + 1:] != c[i])[0]
+        ids, c, n, odd, whole = _frame(g)
+        split, first = g["b1"].iloc[0] != g["b2"].iloc[0], (g["blk"] == g["b1"]).to_numpy()
+        lab = np.arange(len(g))
+        for i in np.nonzero(first)[0] if split else range(len(g)):
+            # members that this one may link and that no chain of such pairs has reached yet
+            other = np.nonzero((c != c[i]) & (lab != lab[i]) & (~first if split else np.arange(len(g)) > i))[0]
             if len(other):
                 ok = other[_may_link(odd[i], whole[i], n[i], odd[other], whole[other], n[other], num, den)]
-                a.extend([ids[i]] * len(ok))
-                b.extend(ids[ok].tolist())
-        if not a:
+                if len(ok):
+                    lab[np.isin(lab, lab[ok])] = lab[i]
+        root, size = np.unique(lab, return_counts=True)
+        keep = np.isin(lab, root[size > 1])
+        if not keep.any():
             return None
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out = pd.DataFrame({"lab": lab[keep], "id": ids[keep], "c": c[keep]}).sort_values(["lab", "id"])
+        sign = {k: hashlib.blake2b(v.to_numpy().tobytes(), digest_size=16).digest() for k, v in out.groupby("lab")["id"]}
+        return pd.DataFrame({"g": out["lab"].map(sign), "id": out["id"], "c": out["c"]})
+
+    return map_runs(m, ["key", "b1", "b2"], one, "g binary, id long, c long").distinct()
+
+
+def _joined(groups: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): components joined by links confirmed on full shingle sets.  A
+    task holds the texts of one group; pairs that are connected already are
+    skipped, so at most a spanning forest comes out."""
+    rows = groups.join(sketches, "id").join(texts.withColumnRenamed("__text", "text"), "id").select("g", "id", "c", "n", "odd", "whole", "text")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame | None:
+        g = g.sort_values(["n", "id"])  # likely partners are near each other in size
+        ids, c, n, odd, whole = _frame(g)
+        text, sets, lab, edges = g["text"].tolist(), {}, c.copy(), []
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingle_set(text[i], width)
+            return sets[i]
+
+        for i in range(len(g) - 1):
+            other = i + 1 + np.nonzero(lab[i + 1:] != lab[i])[0]
+            if not len(other):
+                continue
+            for j in other[_may_link(odd[i], whole[i], n[i], odd[other], whole[other], n[other], num, den)].tolist():
+                if lab[i] == lab[j]:
+                    continue
+                both = len(np.intersect1d(full(i), full(j), assume_unique=True))
+                if den * both >= num * (n[i] + n[j] - both):
+                    edges.append((lab[i], lab[j]))
+                    lab[lab == lab[j]] = lab[i]
+            sets.pop(i, None)
+        return pd.DataFrame(edges, columns=["a", "b"]) if edges else None
 
-    return map_runs(m, ["key", "b1", "b2"], one, "a long, b long").distinct()
+    return map_runs(rows, ["g"], one, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -242,10 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one representative per set: copies link to it and take no part in the search
     rep = real.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("keys", "odd", "whole"), "id").alias("s"))
     rep = cut(rep.select("n", "digest", F.col("rep").alias("id"), "s.*"), "rep")
-    copies = real.join(rep.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    keys = rep.select("id", F.explode("keys").alias("key"))
+    copies = real.join(rep.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"]).where("id <> rep").select("rep", "id")
+    keys = rep.select("id", "n", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    members = cut(keys.join(buckets, "key").select("key", "id", "hub"), "members")
+    members = cut(keys.join(buckets, "key").select("key", "id", "n", "hub"), "members")
     near = members.select("id").distinct()
     text = docs.select(F.col(q(id_col)).cast("long").alias("id"), F.col(q(text_col)).cast("string").alias("__text"))
     # texts of bucket members only, written once for both confirmations
@@ -257,11 +305,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .join(sketches.select(F.col("id").alias("b"), F.struct("n", "odd", "whole").alias("sb")), "b")
     links = cut(_confirmed(_screen(s1, num, den), texts, width, num, den), "links")
     comp = cut(components(links), "comp")
-    # then the members that are still apart
-    more = _confirmed(_apart(members.drop("hub"), sketches, comp, num, den), texts, width, num, den)
-    edges = links.unionByName(more).unionByName(copies)
-    comp = components(edges)
-    return (sig.select("id", F.col("n").alias("n_shingles")).join(comp, "id", "left")
+    # then the members that are still apart: their links join components
+    groups = cut(_apart(members.drop("hub"), sketches, comp, num, den), "groups")
+    joined = cut(components(cut(_joined(groups, sketches, texts, width, num, den), "joined")), "comp2")
+    found = rep.select("id").join(comp, "id", "left").select("id", F.coalesce("component_id", "id").alias("c"))
+    found = found.join(joined.select(F.col("id").alias("c"), "component_id"), "c", "left").select("id", F.coalesce("component_id", "c").alias("component_id"))
+    found = found.unionByName(copies.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "component_id"))
+    return (sig.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
             .select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
 
 
