@@ -19,6 +19,8 @@ import functools
 import hashlib
 import json
 import os
+import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -31,20 +33,67 @@ from scrubline.llm.common import cut, q, small_batches
 TOKENIZERS = "/opt/tokenizers"
 #: Pairs looked up by a broadcast table: its size bound.
 HOT_PAIRS = 1 << 17
+#: Chunks remembered by a worker, and the longest of them.
+KNOWN, SHORT = 300_000, 32
 #: Link pairs expanded at once.
 BLOCK = 1 << 21
 
 
 class Side:
-    """One tokenizer: its encoder, and the bytes of each id."""
+    """One tokenizer: its encoder, and the bytes of each id.
+
+    Neither kind of vocabulary joins a character to a space that follows it,
+    so a text falls into chunks (see ``chunks``) that are encoded by
+    themselves; short ones are remembered, as words repeat."""
 
     def __init__(self, encode, pieces: list[bytes | None]):
         self.encode, self.pieces = encode, pieces
         self.size = len(pieces)
         self.lengths = np.array([len(p or b"") for p in pieces], np.int64)
-
-    def tokens(self, texts: list[str]) -> list[list[int]]:
-        return self.encode(texts)
+        self.known: dict[str, bytes] = {}  # the ids of a chunk as 32-bit numbers
+        self.changed: set[str] = set()  # chunks whose bytes their ids do not give back
+
+    def tokens(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """The ids of each text, given as its chunks; None for a text whose
+        bytes the ids do not give back."""
+        if len(self.known) > KNOWN:
+            self.known.clear(), self.changed.clear()
+        known = self.known
+        new = list(set().union(*texts).difference(known))
+        for c, ids in zip(new, self.encode([c[1:] for c in new])):
+            parts = [self.pieces[i] for i in ids]
+            if None in parts or b"".join(parts) != c.encode("utf-8", "surrogatepass"):
+                self.changed.add(c)
+            known[c] = array("I", ids).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, t)), np.uint32) if self.changed.isdisjoint(t) else None for t in texts]
+        for c in new:
+            if len(c) > SHORT:
+                del known[c]
+                self.changed.discard(c)
+        return out
+
+
+#: No mark of Unicode: stands between chunks.
+_CUT = "\uffff"
+_SPACES = re.compile(r" (?:\s|\Z)|\A ")
+
+
+def chunks(text: str) -> list[str]:
+    """A space and the text, cut before each space that follows no space and
+    that no white space follows.  A byte-level pattern takes a run of white
+    space up to its last character before a word, and a piece holds spaces at
+    its start only, so no token of either kind crosses a cut."""
+    if not _SPACES.search(text) and _CUT not in text:
+        return f" {text}".replace(" ", _CUT + " ").split(_CUT)[1:]
+    out: list[str] = []
+    last = ""
+    for p in text.split(" "):
+        if out and (not last or not p or p[0].isspace()):
+            out[-1] = f"{out[-1]} {p}"
+        else:
+            out.append(" " + p)
+        last = p
+    return out
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -81,6 +130,8 @@ def piece_side(model: bytes) -> Side:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    if any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size())):
+        raise ValueError("the model has pieces with a space inside: texts cannot be cut at spaces")
     pieces = [bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
               for i in range(sp.get_piece_size())]
     return Side(lambda texts: sp.encode(texts, num_threads=1), pieces)
@@ -97,14 +148,12 @@ class Batch:
 
     def __init__(self, texts: list[str | None], side_a: Side, side_b: Side):
         real = [i for i, t in enumerate(texts) if t]
-        ids_a, ids_b = side_a.tokens([texts[i] for i in real]), side_b.tokens([texts[i] for i in real])
+        cut_ = [chunks(texts[i]) for i in real]
         doc, a, b, size = [], [], [], []
-        for i, x, y in zip(real, ids_a, ids_b):
-            want = b" " + texts[i].encode("utf-8", "surrogatepass")
-            pa_, pb = ([side.pieces[k] for k in ids] for side, ids in ((side_a, x), (side_b, y)))
-            if None in pa_ or None in pb or b"".join(pa_) != want or b"".join(pb) != want:
+        for i, x, y in zip(real, side_a.tokens(cut_), side_b.tokens(cut_)):
+            if x is None or y is None:
                 continue  # one side changed the text: no tokens
-            doc.append(i), a.append(x), b.append(y), size.append(len(want))
+            doc.append(i), a.append(x), b.append(y), size.append(int(side_a.lengths[x].sum()))
         self.rows, self.base = len(texts), np.zeros(len(texts), np.int64)
         self.base[doc] = np.cumsum([0, *size])[:-1]
         self.a, self.b = self._frame(doc, a, side_a), self._frame(doc, b, side_b)
@@ -119,8 +168,8 @@ class Batch:
         self.cuts = np.sort(ends[self.overlaps[0][both]])
 
     @staticmethod
-    def _frame(doc: list[int], ids: list[list[int]], side: Side) -> pd.DataFrame:
-        flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.empty(0, np.int64)
+    def _frame(doc: list[int], ids: list[np.ndarray], side: Side) -> pd.DataFrame:
+        flat = np.concatenate(ids).astype(np.int64) if ids else np.empty(0, np.int64)
         end = np.cumsum(side.lengths[flat])
         return pd.DataFrame({"doc": np.repeat(np.array(doc, np.int64), [len(x) for x in ids]) if doc else np.empty(0, np.int64),
                              "id": flat, "at": end - side.lengths[flat], "end": end})

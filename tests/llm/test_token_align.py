@@ -114,3 +114,19 @@ def test_given_documents(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert T.link_counts(none).collect() == [] and T.align_tokens(none).collect() == []
+
+
+def test_chunks_change_no_token():
+    """White space of all kinds: chunks encoded alone give the ids of the whole text."""
+    import random
+    with open(f"{T.TOKENIZERS}/byte_bpe_50k.json") as f, open(f"{T.TOKENIZERS}/piece_bpe_32k.model", "rb") as g:
+        sides = T._sides(f.read(), g.read())
+    rnd = random.Random(12)
+    marks = [" ", "  ", "   ", "\n", "\t", " ", " ", "\x1c", "\r\n", "a", "Word", "don't", "'s", "12", "!?", "é", "\U0001f600", "中", "<s>", "▁"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(marks) for _ in range(rnd.randint(1, 14)))
+        parts = T.chunks(t)
+        assert "".join(parts) == " " + t
+        for side in sides:
+            whole, each = side.encode([t])[0], side.encode([p[1:] for p in parts])
+            assert "▁" in t or [i for ids in each for i in ids] == whole, t
