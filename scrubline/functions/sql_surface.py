@@ -6,7 +6,10 @@ get the JVM-side pipeline (no Python UDF on the row path):
 
 * ``<prefix>_text(x)``  -- sanitize a string under the given rules (E2),
 * ``<prefix>_mask(x)``  -- the word mask (G11),
-* ``<prefix>_hash(x)``  -- the 31-bit value hash used to seed fakes (G1).
+* ``<prefix>_hash(x)``  -- the 31-bit value hash used to seed fakes (G1),
+* ``<prefix>_detections(x)`` -- a table function (``register_detections``):
+  the resolved detections as rows, for use with LATERAL.  Spark turns the
+  lateral call into a generator on the calling row: no join, no shuffle.
 
 Defining and planning ``<prefix>_text`` costs as much analysis as the
 DataFrame pipeline (seconds, independent of data size).
@@ -18,7 +21,8 @@ from pyspark.sql import SparkSession
 
 from scrubline.functions.generators import mask_word
 from scrubline.functions.rng import js_hash
-from scrubline.operators.detect import Options, compile_rules, sanitized_sql
+from scrubline.functions.sqlx import ident
+from scrubline.operators.detect import PUBLIC, Options, compile_rules, detections_sql, sanitized_sql
 from scrubline.operators.rules import Rule
 
 
@@ -35,3 +39,15 @@ def register_sql_functions(spark: SparkSession, rules: list[Rule], opts: Options
     for fname, body in defs.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {fname}(x STRING) RETURNS {types[fname]} RETURN {body}")
     return list(defs)
+
+
+def register_detections(spark: SparkSession, rules: list[Rule], opts: Options | None = None, prefix: str = "scrub") -> str:
+    """Defines the table function ``<prefix>_detections(x STRING)``; it gives
+    no row for null or empty text and text without detections."""
+    body = detections_sql("x", compile_rules(rules, spark), opts or Options())
+    cols = ", ".join(f"{ident(k)} {t}" for k, t in PUBLIC.items())
+    names = ", ".join(ident(k) for k in PUBLIC)
+    # an outer generator and a filter on what it makes: see hits._inline
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_detections(x STRING) RETURNS TABLE({cols}) "
+              f"RETURN SELECT {names} FROM (SELECT inline_outer({body})) WHERE `start` IS NOT NULL")
+    return f"{prefix}_detections"

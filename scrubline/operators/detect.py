@@ -80,6 +80,8 @@ class Compiled:
     ranked: list[Rule]
     prio: list[int]
     specs: list[Spec] = field(default_factory=list)
+    word_rank: int | None = None   # the rank that all words of a word table share
+    strategy: str = "generic"
 
 
 _PLAIN_KEY = re.compile(r"^[A-Za-z0-9_]+$")
@@ -123,14 +125,22 @@ def _kv_specs(rank: int, key: str) -> list[Spec]:
     return specs
 
 
-def compile_rules(rules: list[Rule], spark=None) -> Compiled:
-    """Rank enabled rules (B6), assign priorities (B7) and build specs."""
-    ranked = rank_rule_list(rules)
+#: Stands for all words of a word table in the ranking: after the literal rules.
+WORDS_RULE = Rule(id=None, type="literal", pattern="", category=None)
+
+
+def compile_rules(rules: list[Rule], spark=None, words: bool = False, strategy: str = "generic") -> Compiled:
+    """Rank enabled rules (B6), assign priorities (B7) and build specs (D5);
+    with ``words``, a word table takes part as one more literal."""
+    ranked = rank_rule_list([*rules, WORDS_RULE] if words else rules)
     first_prio: dict[str | None, int] = {}
     for r in ranked:
         first_prio.setdefault(r.id, global_priority(r.type, r.pattern))
     prio = [first_prio[r.id] for r in ranked]
-    comp = Compiled(ranked, prio)
+    comp = Compiled(ranked, prio, strategy=strategy)
+    if words:
+        comp.word_rank = next(k for k, r in enumerate(ranked) if r is WORDS_RULE)
+        prio[comp.word_rank] = global_priority("literal", None)
     for rank, r in enumerate(ranked):
         if r.type == "builtin":
             b = BUILTINS.get(r.pattern)
@@ -298,24 +308,39 @@ def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
     return df3.selectExpr(*base, f"{let(flat, _dedup_kv)} AS `__cands`")
 
 
+#: Candidates that one inner fold of the conflict walk handles.
+WALK_BLOCK = 256
+
+
 def resolve(cands: str) -> str:
     """D8 over candidates sorted by start: keep a single current survivor;
     an overlapping candidate replaces it only with a strictly smaller
-    priority number.  The fold state holds indices only."""
-    c, i, acc, k = name("c"), name("i"), name("acc"), name("k")
-    idx = f"transform({cands}, ({c}, {i}) -> named_struct('i', {i}, 's', {c}.start, 'e', {c}.`end`, 'p', {c}.prio))"
-    init = "named_struct('keep', CAST(array() AS ARRAY<INT>), 'ci', -1, 'ce', 0, 'cp', 0)"
-    has = f"({acc}.ci >= 0)"
-    overlap = f"({has} AND {c}.s < {acc}.ce)"
-    stay = f"({overlap} AND NOT ({c}.p < {acc}.cp))"
-    step = (f"named_struct('keep', CASE WHEN {has} AND NOT {overlap} THEN concat({acc}.keep, array({acc}.ci)) "
-            f"ELSE {acc}.keep END, "
-            f"'ci', CASE WHEN {stay} THEN {acc}.ci ELSE {c}.i END, "
-            f"'ce', CASE WHEN {stay} THEN {acc}.ce ELSE {c}.e END, "
-            f"'cp', CASE WHEN {stay} THEN {acc}.cp ELSE {c}.p END)")
-    finish = f"CASE WHEN {acc}.ci >= 0 THEN concat({acc}.keep, array({acc}.ci)) ELSE {acc}.keep END"
-    kept = f"aggregate({idx}, {init}, ({acc}, {c}) -> {step}, {acc} -> {finish})"
-    return f"transform({kept}, {k} -> get({cands}, {k}))"
+    priority number.  The fold state holds indices only, and it is a fold
+    over blocks: a block's survivors grow in an array of their own, so no
+    array is copied once per survivor of the row."""
+    c, i, acc, k, o, b = (name(v) for v in ("c", "i", "acc", "k", "o", "b"))
+
+    def walk(cs):
+        idx = f"transform({cs}, ({c}, {i}) -> named_struct('i', {i}, 's', {c}.start, 'e', {c}.`end`, 'p', {c}.prio))"
+        has = f"({acc}.ci >= 0)"
+        overlap = f"({has} AND {c}.s < {acc}.ce)"
+        stay = f"({overlap} AND NOT ({c}.p < {acc}.cp))"
+        step = (f"named_struct('keep', CASE WHEN {has} AND NOT {overlap} THEN concat({acc}.keep, array({acc}.ci)) "
+                f"ELSE {acc}.keep END, "
+                f"'ci', CASE WHEN {stay} THEN {acc}.ci ELSE {c}.i END, "
+                f"'ce', CASE WHEN {stay} THEN {acc}.ce ELSE {c}.e END, "
+                f"'cp', CASE WHEN {stay} THEN {acc}.cp ELSE {c}.p END)")
+
+        def blocks(all_):
+            cut = (f"transform(sequence(0, CAST(ceil(size({all_}) / {WALK_BLOCK}.0D) AS INT) - 1), "
+                   f"{b} -> slice({all_}, {b} * {WALK_BLOCK} + 1, {WALK_BLOCK}))")
+            inner = (f"aggregate({b}, named_struct('keep', CAST(array() AS ARRAY<INT>), 'ci', {o}.ci, 'ce', {o}.ce, 'cp', {o}.cp), "
+                     f"({acc}, {c}) -> {step})")
+            outer = let(inner, lambda v: (f"named_struct('keep', concat({o}.keep, array({v}.keep)), 'ci', {v}.ci, 'ce', {v}.ce, 'cp', {v}.cp)"))
+            init = "named_struct('keep', CAST(array() AS ARRAY<ARRAY<INT>>), 'ci', -1, 'ce', 0, 'cp', 0)"
+            return f"aggregate({cut}, {init}, ({o}, {b}) -> {outer}, {o} -> concat(flatten({o}.keep), array({o}.ci)))"
+        return f"CASE WHEN size({cs}) < 2 THEN {cs} ELSE transform({let(idx, blocks)}, {k} -> get({cs}, {k})) END"
+    return let(cands, walk) if not cands.startswith("`") else walk(cands)
 
 
 def replacement_sql(comp: Compiled, c: str, opts: Options) -> str:
@@ -325,6 +350,8 @@ def replacement_sql(comp: Compiled, c: str, opts: Options) -> str:
     groups: dict[tuple, list[int]] = {}
     fixed = {}
     for rank, r in enumerate(comp.ranked):
+        if rank == comp.word_rank:
+            continue  # see wordscan.word_fields
         if r.type == "kv" and not opts.kv_fixed_replacement:
             key = ("kv", G.key_branch(r.pattern or ""))
         elif r.replacement is not None:
@@ -392,11 +419,19 @@ def dets_sql(res: str, x: str, comp: Compiled, opts: Options) -> str:
     cats = arr([r.category for r in comp.ranked])
     pats = arr([r.pattern for r in comp.ranked])
     c = name("d")
+    own = {}
+    if comp.word_rank is not None:
+        from scrubline.operators.wordscan import word_fields
+        own = word_fields(c, comp.strategy)
+
+    def of_rule(field, expr):
+        return f"CASE WHEN {c}.rank = {comp.word_rank} THEN {own[field]} ELSE {expr} END" if own else expr
+    repl = of_rule("replacement", replacement_sql(comp, c, opts)) if opts.generate_replacements else "CAST(NULL AS STRING)"
     fields = [
-        f"'rule_id', element_at({ids}, {c}.rank + 1)", f"'rule_name', element_at({names}, {c}.rank + 1)",
-        f"'category', element_at({cats}, {c}.rank + 1)", f"'pattern', element_at({pats}, {c}.rank + 1)",
+        f"'rule_id', {of_rule('rule_id', f'element_at({ids}, {c}.rank + 1)')}", f"'rule_name', {of_rule('rule_name', f'element_at({names}, {c}.rank + 1)')}",
+        f"'category', {of_rule('category', f'element_at({cats}, {c}.rank + 1)')}", f"'pattern', {of_rule('pattern', f'element_at({pats}, {c}.rank + 1)')}",
         f"'match', {c}.match", f"'start', {c}.start", f"'end', {c}.`end`",
-        f"'replacement', {replacement_sql(comp, c, opts) if opts.generate_replacements else 'CAST(NULL AS STRING)'}",
+        f"'replacement', {repl}",
         "'selected', true",
         f"'bstart', {c}.bstart", f"'bend', {c}.bend", f"'priority', {c}.prio",
     ]
@@ -442,13 +477,9 @@ def splice_sql(x: str, dets: str) -> str:
     return let(srt, body)
 
 
-def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
-    """The whole pipeline (guards, candidates, resolution, generation,
-    selection, splice) as one expression over the string expression ``x``
-    -- for strings nested inside arrays and maps.  Null and
-    empty strings come back unchanged (E1)."""
-    if not comp.specs:
-        return x
+def _pipeline_sql(x: str, comp: Compiled, opts: Options, use) -> str:
+    """``use(detections)`` with the whole pipeline (guards, candidates,
+    resolution, generation) as one expression over the string expression ``x``."""
     gkeys: dict[tuple, str] = {}
     for s in comp.specs:
         if s.guard and (s.guard, s.guard_lower) not in gkeys:
@@ -462,43 +493,107 @@ def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
             z = name("z")
             flat = f"array_sort(flatten(transform({specs}, {z} -> {_spec_candidates(z, x)})))"
             cands = let(flat, _dedup_kv)
-
-            def with_dets(dv):
-                chosen = dv
-                if opts.selected_rule_ids:
-                    ids = "array(" + ", ".join(q(r) for r in opts.selected_rule_ids) + ")"
-                    e = name("e")
-                    chosen = f"filter({dv}, {e} -> array_contains({ids}, {e}.rule_id))"
-                return splice_sql(x, chosen)
-            return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), with_dets)
+            return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), use)
         if not gkeys:
             return with_guards("NULL")
         gstruct = "named_struct(" + ", ".join(
             f"{q(k)}, (" + " OR ".join(f"contains({xl if low else x}, {q(l)})" for l in lits) + ")"
             for (lits, low), k in gkeys.items()) + ")"
         return let(gstruct, with_guards)
-    body = let(f"lower({x})", with_lower)
-    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {body} END"
+    return let(f"lower({x})", with_lower)
+
+
+def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:
+    """The whole pipeline, selection and splice as one expression over the
+    string expression ``x`` -- for strings nested inside arrays and maps.
+    Null and empty strings come back unchanged (E1)."""
+    if not comp.specs:
+        return x
+
+    def spliced(dv):
+        chosen = dv
+        if opts.selected_rule_ids:
+            ids = "array(" + ", ".join(q(r) for r in opts.selected_rule_ids) + ")"
+            e = name("e")
+            chosen = f"filter({dv}, {e} -> array_contains({ids}, {e}.rule_id))"
+        return splice_sql(x, chosen)
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {_pipeline_sql(x, comp, opts, spliced)} END"
+
+
+#: A detection's public fields and their SQL types.
+PUBLIC = {"rule_id": "STRING", "rule_name": "STRING", "category": "STRING", "pattern": "STRING", "match": "STRING",
+          "start": "INT", "end": "INT", "replacement": "STRING", "selected": "BOOLEAN"}
+
+
+def detections_sql(x: str, comp: Compiled, opts: Options) -> str:
+    """The public detections of the string expression ``x`` as one expression
+    (an empty array for null and empty strings)."""
+    e = name("e")
+    empty = f"CAST(array() AS ARRAY<STRUCT<{', '.join(f'{ident(k)}: {t}' for k, t in PUBLIC.items())}>>)"
+    if not comp.specs:
+        return empty
+    fields = ", ".join(f"{q(k)}, {e}.{ident(k)}" for k in PUBLIC)
+    body = _pipeline_sql(x, comp, opts, lambda dv: f"transform({dv}, {e} -> named_struct({fields}))")
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN {empty} ELSE {body} END"
+
+
+def candidate_rows(df: DataFrame, text: str, rules: list[Rule], keys: list[str]) -> DataFrame:
+    """Candidates before conflict resolution, one a row: ``keys``, rule_id
+    and the candidate's fields."""
+    comp = compile_rules(rules, df.sparkSession)
+    ids = "CAST(array(" + ", ".join(q(r.id) for r in comp.ranked) + ") AS ARRAY<STRING>)"
+    k = [ident(c) for c in keys]
+    rows = candidate_columns(df, text, comp).selectExpr(*k, "inline_outer(`__cands`)").where("start IS NOT NULL")
+    return rows.selectExpr(*k, f"element_at({ids}, rank + 1) AS rule_id", "start", "`end`", "rank", "sub", "seq", "prio", "match")
+
+
+def _pair_counts(start, end, rank, row):
+    """{(a, b): n} of overlapping candidates, a before b, for candidates in
+    order of (row, start, ...).  Per rule b the sorted starts tell, by
+    bisection, how many of b's candidates start before a candidate ends; those
+    up to its own place are subtracted.  So the cost is the candidates times
+    the rules that occur, however many pairs overlap."""
+    import numpy as np
+    wide = row.astype(np.int64) << 32  # rows cannot overlap each other
+    start, end, place = start + wide, end + wide, np.arange(len(start))
+    ranks, code = np.unique(rank, return_inverse=True)
+    out = {}
+    for b, r in enumerate(ranks.tolist()):
+        own = place[code == b]
+        later = np.searchsorted(start[own], end) - np.searchsorted(own, place, side="right")
+        total = np.zeros(len(ranks), np.int64)
+        np.add.at(total, code, later)
+        out.update({(a, r): int(n) for a, n in zip(ranks.tolist(), total) if n})
+    return out
 
 
 def overlap_pairs(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
     """D7 as a table operator: how often the candidates of two rules overlap
-    (half-open intervals), before conflict resolution.  Per row, the
-    candidates are sorted by start, so a candidate's partners are the later
-    ones that start before it ends; pairs are counted per (rule_a, rule_b)
-    with a partial aggregate.  Only overlapping pairs are formed, never all
-    pairs of a row."""
+    (half-open intervals), before conflict resolution.  Pairs are counted and
+    never formed: a row's candidates, sorted by start, are swept rule by
+    rule; each task sends one row per pair of rules."""
+    import numpy as np
+    import pyarrow as pa
     comp = compile_rules(rules, df.sparkSession)
-    cands = candidate_columns(df, text, comp)
-    c, i, o = name("c"), name("i"), name("o")
-    pairs = (f"flatten(transform(`__cands`, ({c}, {i}) -> transform(filter(slice(`__cands`, {i} + 2, "
-             f"greatest(size(`__cands`) - {i} - 1, 0)), {o} -> {o}.start < {c}.`end`), "
-             f"{o} -> named_struct('a', {c}.rank, 'b', {o}.rank))))")
+    c = name("c")
+    cands = candidate_columns(df.selectExpr(f"{ident(text)}"), text, comp).selectExpr(
+        f"transform(`__cands`, {c} -> named_struct('s', {c}.start, 'e', {c}.`end`, 'r', {c}.rank)) AS c")
+
+    def run(batches):
+        total: dict = {}
+        for t in batches:
+            col = t.column(0)
+            v, at = col.flatten(), col.offsets.to_numpy()
+            s, e, r = (v.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("s", "e", "r"))
+            for pair, n in _pair_counts(s, e, r, np.repeat(np.arange(len(col)), np.diff(at))).items():
+                total[pair] = total.get(pair, 0) + n
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
+                                          pa.array([total[k] for k in keys], pa.int64())], ["a", "b", "n"])
+
     ids = "CAST(array(" + ", ".join(q(r.id) for r in comp.ranked) + ") AS ARRAY<STRING>)"
-    exploded = cands.selectExpr(f"inline_outer({pairs})").where("a IS NOT NULL")
-    return (exploded.groupBy("a", "b").count()
-            .selectExpr(f"element_at({ids}, a + 1) AS rule_a", f"element_at({ids}, b + 1) AS rule_b",
-                        "`count` AS n"))
+    counts = cands.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counts.selectExpr(f"element_at({ids}, a + 1) AS rule_a", f"element_at({ids}, b + 1) AS rule_b", "n")
 
 
 def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -517,12 +612,23 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target, F.monotonically_increasing_id())
 
 
+def word_candidates(df: DataFrame, text: str, comp: Compiled, words: DataFrame | None, key: str | None = None) -> DataFrame:
+    """Stages 1-3, with the hits of a word table of any size among them."""
+    if words is None:
+        return candidate_columns(df, text, comp)
+    from scrubline.operators.wordscan import candidates_sql, word_hits
+    cands = candidate_columns(word_hits(df, text, words, key), text, comp)
+    merged = candidates_sql("`__w`", comp.word_rank, comp.prio[comp.word_rank], "`__cands`")
+    return cands.selectExpr(*[ident(c) for c in df.columns], f"{merged} AS `__cands`")
+
+
 def detect(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
-           balance: bool = False) -> DataFrame:
+           balance: bool = False, words: DataFrame | None = None, strategy: str = "generic", key: str | None = None) -> DataFrame:
     """Adds ``detections`` (and internal ``__dets``) for column ``text``.
-    Null or empty text gives an empty list."""
+    Null or empty text gives an empty list.  ``words`` is a word table (B11)
+    of any size, found by an automaton; see ``wordscan.word_hits`` for ``key``."""
     opts = opts or Options()
-    comp = compile_rules(rules, df.sparkSession)
+    comp = compile_rules(rules, df.sparkSession, words is not None, strategy)
     if balance:
         df = balanced(df)
-    return detection_columns(candidate_columns(df, text, comp), text, comp, opts)
+    return detection_columns(word_candidates(df, text, comp, words, key), text, comp, opts)

@@ -18,7 +18,7 @@ from scrubline import fixed as FX
 from scrubline.functions.generators import builtin_generator
 from scrubline.functions.sqlx import ident, name, q
 from scrubline.operators.detect import (Options, balanced, candidate_columns, compile_rules, detection_columns, replacement_sql, resolve,
-                                        sanitized_sql, splice_sql)
+                                        sanitized_sql, splice_sql, word_candidates)
 from scrubline.operators.rules import Rule
 
 # JavaScript's String.prototype.trim removes these (ECMAScript WhiteSpace +
@@ -55,8 +55,10 @@ REPORT = ["detections", "detections_count", "patterns_replaced", "status", "inpu
 
 
 def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None = None,
-             out: str = "sanitized", balance: bool = False) -> DataFrame:
-    """E2 + E1 + E3 + E4/E5 on column ``text``.
+             out: str = "sanitized", balance: bool = False, words: DataFrame | None = None, strategy: str = "generic",
+             key: str | None = None) -> DataFrame:
+    """E2 + E1 + E3 + E4/E5 on column ``text``; ``words``, ``strategy`` and
+    ``key`` as in ``detect``.
 
     Adds ``out`` (sanitized text), ``detections`` (all resolved detections,
     by priority), ``detections_count``, ``patterns_replaced`` (selected),
@@ -69,10 +71,10 @@ def sanitize(df: DataFrame, text: str, rules: list[Rule], opts: Options | None =
     if clash:
         raise ValueError(f"input columns clash with the result: {sorted(clash)}")
     opts = opts or Options()
-    comp = compile_rules(rules, df.sparkSession)
+    comp = compile_rules(rules, df.sparkSession, words is not None, strategy)
     if balance:
         df = balanced(df)
-    det = detection_columns(candidate_columns(df, text, comp), text, comp, opts)
+    det = detection_columns(word_candidates(df, text, comp, words, key), text, comp, opts)
     x, base = ident(text), [ident(c) for c in df.columns]
     spliced = det.selectExpr(*base, "detections", f"{_selected('`__dets`', opts.selected_rule_ids)} AS `__chosen`")
     spliced = spliced.selectExpr(*base, "detections", "size(`__chosen`) AS patterns_replaced", f"{splice_sql(x, '`__chosen`')} AS `__out`")

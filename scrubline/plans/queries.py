@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from scrubline import fixed as FX
 from scrubline.functions import rng as R
-from scrubline.functions.generators import mask_word_col
+from scrubline.functions.generators import key_branch, mask_word_col
+from scrubline.functions.sql_surface import register_detections
 from scrubline.operators import audit as A
-from scrubline.operators.detect import Options, detect
+from scrubline.operators import islands
+from scrubline.operators.detect import Options, candidate_rows, detect
 from scrubline.operators.hits import explode_detections, js_regex_hits, pattern_hits
+from scrubline.operators.json_text import sanitize_json
 from scrubline.operators.nested import sanitize_nested
 from scrubline.operators.patterns import BUILTIN_NAMES
 from scrubline.operators.rules import Rule, default_rules
@@ -121,6 +124,47 @@ def detect_words_nation_sql():
       SELECT lower(m) AS word, count(*) AS hits FROM h GROUP BY 1"""
 
 
+def _part_words(spark, sf_dir):
+    """A word table that grows with ``part``: nations, part names, one word a part."""
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    row = lambda word, cat, place: [F.lower(word).alias("word"), F.lit(cat).alias("word_category"), F.col(place).cast("int").alias("ordinal")]
+    names = part.groupBy("p_name").agg(F.min("p_partkey").alias("p"))
+    return (nation.select(*row(F.col("n_name"), "competitor", "n_nationkey")).unionByName(names.select(*row(F.col("p_name"), "project", "p")))
+            .unionByName(part.select(*row(F.concat(F.lit("sku"), F.col("p_partkey").cast("string")), "custom", "p_partkey"))))
+
+
+_PART_LINE = "'SKU'||cast(p_partkey as string)||' is a '||upper(p_name)||' from Nation_'||cast(p_partkey % 25 as string)"
+
+
+def detect_words_part(spark, sf_dir):
+    """A word list that grows with the data (past MAX_RULES at larger
+    scales), found by the automaton in documents and in a line about each
+    part; resolved detections with their replacements."""
+    text = _docs(spark, sf_dir).select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text").unionByName(
+        table(spark, sf_dir, "part").selectExpr("'part' AS src", "p_partkey AS id", f"{_PART_LINE} AS text"))
+    d = detect(text, "text", [], words=_part_words(spark, sf_dir))
+    return explode_detections(d, ["src", "id"]).select("src", "id", "rule_id", "start", "end", "match", "replacement")
+
+
+def detect_words_part_sql():
+    keys = ["src", "id"]
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    cands = f"""
+      SELECT src, id, rank, sub, CAST(i - 1 AS INTEGER) AS seq, start, start + n AS "end", 2000 AS prio, substr(text, start + 1, n) AS match, rule_id FROM (
+        SELECT *, CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + (i - 1) * n AS INTEGER) AS start FROM (
+          SELECT *, unnest(range(1, len(gs))) AS i FROM (
+            SELECT t.*, w.*, length(w.word) AS n, string_split(t.low, w.word) AS gs FROM part_text t JOIN part_words w ON contains(t.low, w.word))))"""
+    kept = O.resolved(cands, keys)
+    return f"""WITH part_text AS MATERIALIZED (SELECT *, {low.format('text')} AS low FROM (
+        SELECT 'doc' AS src, doc_id AS id, text FROM documents UNION ALL SELECT 'part', p_partkey, {_PART_LINE} FROM part)),
+      part_words AS MATERIALIZED (SELECT word, rank, CAST(o AS INTEGER) AS sub, prefix || o AS rule_id FROM (
+        SELECT lower(n_name) AS word, 1 AS rank, n_nationkey AS o, 'custom_competitor_' AS prefix FROM nation
+        UNION ALL SELECT lower(p_name), 2, min(p_partkey), 'custom_project_' FROM part GROUP BY p_name
+        UNION ALL SELECT 'sku' || p_partkey, 3, p_partkey, 'custom_word_' FROM part))
+      SELECT src, id, rule_id, start, "end", match,
+        CASE rank WHEN 1 THEN 'CompetitorName' WHEN 2 THEN 'ProjectName' ELSE '[REDACTED]' END AS replacement FROM ({kept}) k"""
+
+
 def detect_regex_custom(spark, sf_dir):
     """A user regex rule (global) over documents: every match."""
     return js_regex_hits(_docs(spark, sf_dir), "text", CUSTOM_REGEX, "g", ["doc_id"])
@@ -184,6 +228,15 @@ def resolve_conflicts_sql():
     return f'SELECT doc_id, rule_id, start, "end", match FROM ({kept}) k'
 
 
+def resolve_islands(spark, sf_dir):
+    """The same conflicts resolved on candidate rows, island by island."""
+    rows = candidate_rows(_docs(spark, sf_dir), "text", CONFLICT_RULES, ["doc_id"])
+    return islands.resolve_islands(rows, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match")
+
+
+resolve_islands_sql = resolve_conflicts_sql
+
+
 def overlap_pairs(spark, sf_dir):
     """How often the four conflicting rules' candidates overlap."""
     from scrubline.operators.detect import overlap_pairs as op
@@ -253,6 +306,20 @@ def sanitize_default_conversations(spark, sf_dir):
     return sanitize(conv, "text", default_rules()).select("conv_id", "turn", "sanitized", "detections_count")
 
 
+def sanitize_default_sql():
+    keys = ["doc_id"]
+    src = "SELECT doc_id, text FROM documents"
+    kept = O.resolved(O.candidates(src, _rule_tuples(default_rules()), keys), keys)
+    spliced = O.spliced(src, O.replaced("SELECT * FROM found", default_rules(), key_branch), keys, "repl")
+    t = "trim(text, ' \t\n\r')"
+    return f"""WITH found AS MATERIALIZED ({kept}), s AS ({spliced}),
+      n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM found GROUP BY doc_id)
+      SELECT d.doc_id, s.sanitized, coalesce(n.n, 0) AS detections_count, coalesce(n.n, 0) AS patterns_replaced,
+        CASE WHEN text IS NULL THEN 'null' WHEN text = '' THEN 'empty' ELSE 'ok' END AS status,
+        CASE WHEN coalesce((starts_with({t}, '{{') OR starts_with({t}, '[')) AND json_valid({t}), FALSE) THEN 'json' ELSE 'text' END AS input_type
+      FROM documents d JOIN s USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def detect_default(spark, sf_dir):
     """All 60 default rules over documents: every resolved detection."""
     d = detect(_docs(spark, sf_dir), "text", default_rules(), SPANS_ONLY)
@@ -281,6 +348,17 @@ def detect_default_planted_sql():
             f'SELECT src, doc_id, rule_id, start, "end", match FROM ({kept}) k')
 
 
+def sql_detections(spark, sf_dir):
+    """The detections of all documents under the default rules, asked for
+    in SQL alone."""
+    register_detections(spark, default_rules(), SPANS_ONLY)
+    _docs(spark, sf_dir).createOrReplaceTempView("scrub_documents")
+    return spark.sql("SELECT d.doc_id, t.rule_id, t.start, t.`end`, t.match FROM scrub_documents d, LATERAL scrub_detections(d.text) t")
+
+
+sql_detections_sql = detect_default_sql
+
+
 def rule_hit_counts(spark, sf_dir):
     """B16 over a table: resolved detections per rule under the default
     rules (a partial aggregate on a handful of keys)."""
@@ -304,9 +382,7 @@ def pseudonym_email_sql():
             f"FROM (SELECT DISTINCT match FROM ({hits}) h) d")
 
 
-FAKE_PATTERNS = ["ip", "phone", "ssn", "aws_secret_key", "hex_key", "github_token", "aws_access_key", "slack_token",
-                 "ipv6", "twilio_account_sid", "stripe_secret_key", "gcp_service_key", "gcp_kms_path",
-                 "repository_url", "cvv", "sendgrid_api_key", "discord_token"]
+FAKE_PATTERNS = [p for p in BUILTIN_NAMES if p != "email"]  # email has a query of its own
 
 
 def _pseudonym(pattern: str) -> Query:
@@ -319,6 +395,46 @@ def _pseudonym(pattern: str) -> Query:
     return q
 
 
+KV_RULES = [r for r in default_rules() if r.type == "kv"]
+# a key-value pair of every key and document, in one of five forms with one of three values
+_KV_VALUE = "(CASE doc_id % 3 WHEN 0 THEN md5(cast(doc_id as string)) WHEN 1 THEN 'sk_'||md5(cast(doc_id as string)) ELSE 'Pw9x'||cast(doc_id as string)||'z' END)"
+_KV_TEXT = (f"CASE doc_id % 5 WHEN 0 THEN 'x \"'||k||'\": \"'||{_KV_VALUE}||'\" y' WHEN 1 THEN 'x '||k||': '||{_KV_VALUE}||', y' "
+            f"WHEN 2 THEN 'x '||upper(k)||'='||{_KV_VALUE}||' y' WHEN 3 THEN 'x my'||k||' = '||{_KV_VALUE}||'; y' "
+            f"ELSE 'x '||k||'=\"'||{_KV_VALUE}||'\" y' END")
+_KV_KEYS = ", ".join(f"'{r.pattern}'" for r in KV_RULES)
+
+
+def sanitize_kv_keys(spark, sf_dir):
+    """Pairs of all 15 keys, planted for each document in five
+    forms, sanitized by the 15 key-value rules."""
+    pairs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"explode(array({_KV_KEYS})) AS k").selectExpr("k", "doc_id", f"{_KV_TEXT} AS text")
+    return sanitize(pairs, "text", KV_RULES).select("k", "doc_id", "sanitized")
+
+
+def _sanitized_by(source: str, rules: list[Rule], keys: list[str]) -> str:
+    """The source's texts sanitized by builtin and key-value rules, in DuckDB."""
+    kept = O.resolved(O.candidates(source, _rule_tuples(rules), keys), keys)
+    return O.spliced(source, O.replaced(kept, rules, key_branch), keys, "repl")
+
+
+def sanitize_kv_keys_sql():
+    return (f"WITH kv_pairs AS MATERIALIZED (SELECT k, doc_id, {_KV_TEXT} AS text FROM (SELECT doc_id, unnest([{_KV_KEYS}]) AS k FROM documents)) "
+            f"SELECT k, doc_id, sanitized FROM ({_sanitized_by('SELECT * FROM kv_pairs', KV_RULES, ['k', 'doc_id'])}) z")
+
+
+def preserve_shape(spark, sf_dir):
+    """The shape-preserving fakes of part names, customer names and
+    document starts."""
+    words = (table(spark, sf_dir, "part").select(F.col("p_name").alias("s")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("s")))
+             .unionByName(_docs(spark, sf_dir).select(F.substring("text", 1, 60).alias("s"))))
+    return words.where("s IS NOT NULL").distinct().select("s", R.preserve_shape_col("s").alias("shaped"))
+
+
+def preserve_shape_sql():
+    return ("WITH src0 AS (SELECT DISTINCT s FROM (SELECT p_name AS s FROM part UNION ALL SELECT c_name FROM customer UNION ALL "
+            f"SELECT substr(text, 1, 60) FROM documents) w WHERE s IS NOT NULL) SELECT s, shaped FROM ({O.preserve_shape_sql()}) z")
+
+
 def safe_hash(spark, sf_dir):
     """G1 over whole document texts."""
     return _docs(spark, sf_dir).select("doc_id", R.js_hash_col("text").alias("h"))
@@ -350,6 +466,36 @@ def is_json_events_sql():
             f"AS is_json FROM events")
 
 
+# JSON text with keys, nested values, escapes and a whole document in it
+_BS, _NL = "chr(92)", "chr(10)"
+_ESCAPED = (f"replace(replace(replace(replace(replace(text, {_BS}, {_BS}||{_BS}), '\"', {_BS}||'\"'), {_NL}, {_BS}||'n'), chr(9), {_BS}||'t'), chr(13), {_BS}||'r')")
+_MADE_JSON = (f"""'{{"id": '||cast(doc_id as string)||', "who@key.example.com": "u'||cast(doc_id as string)||'@mail.example.com", "n": [1.50, null, """
+              f"""{{"ip" : "10.0.'||cast(doc_id % 256 as string)||'.7", "say": "to '||{_BS}||'"b'||cast(doc_id as string)||'@c.de'||{_BS}||'" '||{_BS}||'u0021"}}], """
+              f""""text": "'||{_ESCAPED}||'"}}'""")
+
+
+def sanitize_json_text(spark, sf_dir):
+    """JSON text of no known shape, the event properties and an object
+    made of each document, with its string values sanitized."""
+    made = _docs(spark, sf_dir).where("text IS NOT NULL").selectExpr("'doc' AS src", "doc_id AS id", f"{_MADE_JSON} AS json")
+    props = table(spark, sf_dir, "events").selectExpr("'event' AS src", "event_id AS id", "props AS json")
+    return sanitize_json(made.unionByName(props), "json", FIXED_RULES).select("src", "id", "sanitized", "output_valid_json")
+
+
+def sanitize_json_text_sql():
+    string = r"""'"(?:[^"\\]|\\.)*"'"""
+    keys = ["src", "id", "pos"]
+    return f"""WITH j AS MATERIALIZED (SELECT *, regexp_extract_all(x, {string}) AS m, regexp_split_to_array(x, {string}) AS g FROM (
+        SELECT 'doc' AS src, doc_id AS id, {_MADE_JSON} AS x FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'event', event_id, props FROM events)),
+      l AS MATERIALIZED (SELECT src, id, pos, m[pos] AS lit, g[pos] AS gap, starts_with(ltrim(g[pos + 1]), ':') AS is_key
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS pos FROM j)),
+      leaf AS MATERIALIZED (SELECT src, id, pos, json_extract_string('[' || lit || ']', '$[0]') AS text FROM l WHERE NOT is_key),
+      s AS ({_fixed_sanitized_sql('SELECT * FROM leaf', keys)}),
+      p AS (SELECT l.src, l.id, string_agg(gap || CASE WHEN is_key OR s.sanitized = leaf.text THEN lit ELSE CAST(to_json(s.sanitized) AS VARCHAR) END, '' ORDER BY pos) AS head
+        FROM l LEFT JOIN leaf USING (src, id, pos) LEFT JOIN s USING (src, id, pos) GROUP BY l.src, l.id)
+      SELECT src, id, coalesce(p.head || j.g[len(j.g)], j.x) AS sanitized, TRUE AS output_valid_json FROM j LEFT JOIN p USING (src, id)"""
+
+
 # ---------------------------------------------------------------- audit
 
 def _audit(spark, sf_dir) -> DataFrame:
@@ -497,6 +643,38 @@ def replacement_map_default(spark, sf_dir):
     return replacement_map(_docs(spark, sf_dir), "text", default_rules()).select("rule_id", "match", "replacement")
 
 
+def _default_found(source: str, keys: list[str]) -> str:
+    return O.resolved(O.candidates(source, _rule_tuples(default_rules()), keys), keys)
+
+
+def _sanitize_default_sql(table_: str, keys: list[str], text: str) -> str:
+    src = f"SELECT {', '.join(keys)}, {text} AS text FROM {table_}"
+    k = ", ".join(keys)
+    spliced = O.spliced(src, O.replaced("SELECT * FROM found", default_rules(), key_branch), keys, "repl")
+    return f"""WITH found AS MATERIALIZED ({_default_found(src, keys)}), s AS ({spliced})
+      SELECT {k}, s.sanitized, CAST(coalesce(n.n, 0) AS INTEGER) AS detections_count
+      FROM s LEFT JOIN (SELECT {k}, count(*) AS n FROM found GROUP BY {k}) n USING ({k})"""
+
+
+def sanitize_default_pages_sql():
+    return _sanitize_default_sql("pages", ["page_id"], "html")
+
+
+def sanitize_default_conversations_sql():
+    return _sanitize_default_sql("conversations", ["conv_id", "turn"], "text")
+
+
+def rule_hit_counts_sql():
+    cat = "CASE rule_id " + " ".join(f"WHEN {O.lit(r.id)} THEN {O.lit(r.category)}" for r in default_rules()) + " END"
+    return f"SELECT rule_id, {cat} AS category, count(*) AS n FROM ({_default_found('SELECT doc_id, text FROM documents', ['doc_id'])}) k GROUP BY ALL"
+
+
+def replacement_map_default_sql():
+    found = _default_found("SELECT doc_id, text FROM documents", ["doc_id"])
+    distinct = f"SELECT DISTINCT rule_id, match, grp, tq FROM ({found}) f"
+    return f"SELECT rule_id, match, repl AS replacement FROM ({O.replaced(distinct, default_rules(), key_branch)}) r"
+
+
 # ---------------------------------------------------------------- registry
 
 def registry() -> dict[str, tuple[Query, str | None]]:
@@ -504,14 +682,12 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     for name in BUILTIN_NAMES:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
-    for qn in ("detect_literal_ci", "detect_words_nation", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
-               "sanitize_kv_token", "resolve_conflicts", "overlap_pairs", "detect_default", "detect_default_planted", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
-               "safe_hash", "mask_word", "is_json_events", "audit_stats", "audit_search", "audit_page",
+    for qn in ("detect_literal_ci", "detect_words_nation", "detect_words_part", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
+               "sanitize_kv_token", "resolve_conflicts", "resolve_islands", "overlap_pairs", "detect_default", "sql_detections", "detect_default_planted", "sanitize_default", "sanitize_kv_keys", "preserve_shape", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
+               "safe_hash", "mask_word", "is_json_events", "sanitize_json_text", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_delete", "audit_by_category", "sanitize_nested_customer",
-               "stream_sanitize"):
+               "stream_sanitize", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts", "replacement_map_default"):
         reg[qn] = (g[qn], g[qn + "_sql"]())
     for p in FAKE_PATTERNS:
         reg[f"pseudonym_{p}"] = (_pseudonym(p), O.pseudonyms(oracle_documents_with_planted(p), p, ["src", "doc_id"]))
-    for qn in ("sanitize_default", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts", "replacement_map_default"):
-        reg[qn] = (g[qn], None)
     return reg
