@@ -30,11 +30,19 @@ def js_trim(s: Column) -> Column:
     return F.trim(s, F.lit(_JS_WS))
 
 
+def _parses(t: Column) -> Column:
+    """Whether the whole text is one JSON value.  The parser stops behind the
+    first value, so the text is parsed as the first of two elements; the
+    second is the text's hash, which the text cannot hold."""
+    two = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), F.md5(t), F.lit('"]'))).cast("array<variant>")
+    return (F.size(two) == 2) & (F.get(two, F.lit(1)).cast("string") == F.md5(t))
+
+
 def is_json(s: Column) -> Column:
     """Trimmed text starts with '{' or '[' and parses as JSON."""
     t = js_trim(s)
     starts = t.startswith("{") | t.startswith("[")
-    return F.coalesce(F.when(starts, F.try_parse_json(t).isNotNull()), F.lit(False))
+    return F.coalesce(F.when(starts, _parses(t)), F.lit(False))
 
 
 def input_status(s: Column) -> Column:
@@ -164,7 +172,7 @@ def sanitize_table(df: DataFrame, columns: list[str] | None, rules: list[Rule],
 
 def output_valid_json(s: Column) -> Column:
     """E5 report: does the sanitized JSON text still parse?"""
-    return F.try_parse_json(s).isNotNull()
+    return F.coalesce(_parses(js_trim(s)), F.lit(False))
 
 
 def replacement_for(match: Column, pattern: str, jwt_epoch: int = FX.DEFAULT_JWT_EPOCH) -> Column:
