@@ -77,17 +77,19 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def map_runs(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] | None = None) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """``fn(pandas frame) -> pandas frame`` for every group of ``keys``.
 
     The rows are dealt out by key and sorted, and each task walks the runs
     of equal keys in its stream, so very many small groups cost no call into
     Python each.  Only one group at a time is held: callers bound its size.
+    ``tasks`` deals the rows to so many tasks, where the work of a row is far
+    more than its bytes tell.
     """
     import pandas as pd
 
     ship(df.sparkSession)
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
+    dealt = df.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *(order or []))
 
     def run(frames):
         rest = None

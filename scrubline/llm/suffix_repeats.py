@@ -35,6 +35,8 @@ from scrubline.llm.common import cut, map_runs, q, small_batches, text_or_empty
 WIDTH = 200
 #: Rows of a group that one task holds and sorts.
 BLOCK = 1 << 15
+#: Rows of a group beyond which it is reduced to one row a context first, and rows of small groups a task gets.
+ROWS, TASK_ROWS = 1 << 11, 1 << 14
 #: Bytes of a text handled at once when anchors are chosen.
 PIECE = 1 << 18
 RADIX = 0x9E3779B97F4A7C15
@@ -227,24 +229,29 @@ def _group(length: int):
     return one
 
 
-def _covers(ctx: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, s, e): what each context covers, relative to its anchor."""
+def _covers(ctx: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, s, e): what each context covers, relative to its anchor.
+
+    Groups are sized on narrow rows first.  The rows with their bytes are then
+    only joined by key, so adaptive execution can split a key with very many
+    rows, and such a key is reduced to one row a context by an aggregate that
+    works map-side, before its rows are dealt out by key."""
     source = ctx.where("ctx is not null").select("key", "c1", "c2", "l", "r", "ctx")
     source = source.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - WIDTH))
-    members = source.join(mixed, "key", "left_semi")
+    cover, limit = "c1 long, c2 long, s int, e int", min(ROWS, BLOCK)
     result = None
     while True:
         g = ["key", "lo", "hi"]
-        size = members.groupBy(*g).agg(F.countDistinct("c1", "c2").alias("m"), F.count("*").alias("n")).where("m > 1")
-        many = size.where(f"n > {BLOCK}").select(*g, "m")
-        small = members.join(size.where(f"n <= {BLOCK}").select(*g), g)
-        if many.isEmpty():
-            part = map_runs(small, g, _group(length), "c1 long, c2 long, s int, e int")
+        size = cut(source.groupBy(*g).agg(F.countDistinct("c1", "c2").alias("m"), F.count("*").alias("n")).where("m > 1"), "size")
+        rows, many = size.agg(F.coalesce(F.sum(F.least("n", F.greatest("m", F.lit(limit)))), F.lit(0)), F.count_if(F.col("n") > limit)).first()
+        tasks = max(1, -(-rows // TASK_ROWS))
+        small = source.join(size.where(f"n <= {limit}").select(*g), g)
+        if not many:
+            part = map_runs(small, g, _group(length), cover, tasks=tasks)
             return part if result is None else result.unionByName(part)
-        # many rows may carry few contexts: one row of each, reduced before they are dealt out
-        # (at most one group for every BLOCK rows is broadcast)
-        once = cut(source.join(F.broadcast(many), g).groupBy(*g, "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("m", "l", "r", "ctx")]), "hot")
-        part = map_runs(small.unionByName(once.where(f"m <= {BLOCK}").select(*small.columns)), g, _group(length), "c1 long, c2 long, s int, e int")
+        once = source.join(size.where(f"n > {limit}").select(*g, "m"), g)
+        once = cut(once.groupBy(*g, "m", "c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("l", "r", "ctx")]), "hot")
+        part = map_runs(small.unionByName(once.where(f"m <= {BLOCK}").select(*small.columns)), g, _group(length), cover, tasks=tasks)
         result = part if result is None else result.unionByName(part)
         hot = once.where(f"m > {BLOCK}").drop("m")
         if hot.isEmpty():
@@ -258,7 +265,7 @@ def _covers(ctx: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
         # the bytes that all windows of the half share
         split = split.where(F.col("l") >= F.col("lo")).where(F.col("r") >= F.lit(length) - F.col("hi"))
         shared = F.substring(F.col("ctx"), (F.col("l") - F.col("lo") + 1).cast("int"), (F.col("lo") + F.lit(length) - F.col("hi")).cast("int"))
-        source = members = split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi")
+        source = split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -282,9 +289,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = (at.join(met, "key").groupBy("h").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
               .join(cls.select("h", "id"), "h"))
     ctx = cut(_contexts(docs, places, length), "ctx")
-    # keys whose anchors all have one context need no sorting
-    mixed = ctx.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b")).where("a < b").select("key")
-    covers = cut(_covers(ctx, mixed, length), "covers")
+    covers = cut(_covers(ctx, length), "covers")
     where = ctx.select("c1", "c2", "h", "pos", "l", "r")
     once = cls.where("copies = 1").select("h", "id")
     # a context that occurs twice is covered whole; covers found by sorting concern the others

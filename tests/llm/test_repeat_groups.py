@@ -16,9 +16,9 @@ def test_rows_of_a_group_are_bounded(spark, monkeypatch):
     texts = [junk(20) + heads[i % 12] + passage + junk(40) for i in range(500)]
     most, plain = [], suffix_repeats.map_runs
 
-    def counted(df, keys, *args):
+    def counted(df, keys, *args, **tasks):
         most.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
-        return plain(df, keys, *args)
+        return plain(df, keys, *args, **tasks)
 
     monkeypatch.setattr(suffix_repeats, "BLOCK", 16)
     monkeypatch.setattr(suffix_repeats, "map_runs", counted)
