@@ -6,9 +6,15 @@ aligned by a longest common subsequence, and lines they share are deleted:
 menus, notices and footers repeat from page to page, the article does not.
 A check by the markup follows: lines that the page marks as navigation,
 footer, sidebar, advert, form or comment go even if no neighbour has them.
-What stands inside a marked article and is shared goes too, and what stands
-beside it and is not shared stays.  A neighbour that shares nearly all of
-the text is a copy of the page and says nothing of its lines.
+A neighbour that shares nearly all of the text is a copy of the page and
+says nothing of its lines.
+
+One neighbour is little evidence, and a line should fare alike on all pages
+of its host, so what the pairs found is put to the vote of the host: a line
+beside a marked article goes if at least half of the pages that have it
+share it with their neighbour; a line inside a marked article goes only if
+that holds for at least WIDE_PAGES pages and half of all pages of the host,
+as for a notice that stands in the article of every page.
 
 Ordering is a global range sort of narrow rows, so a host with a third of
 all pages is spread over tasks like any other, and neighbours meet by an
@@ -49,6 +55,10 @@ TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"
 HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: A page that shares more than this part of another's text (in characters) is a copy of it.
 COPY = 0.8
+#: Pages of a host that must share a line of their articles before it counts as no part of them (and half of all its pages).
+WIDE_PAGES = 3
+#: Parts that the rows of a line that very many pages hold are dealt into.
+SALT = 16
 #: What the markup says of a line; DOUBT is a block inside the article with a class or id of WORDS.
 APART, OPEN, ARTICLE, DOUBT = 1, 2, 3, 4
 #: How an element is marked as apart: by what it is, or only by the words of its class or id.
@@ -210,19 +220,23 @@ def nearest(path: str, before: str | None, after: str | None) -> list[int]:
     return [i for i, p in sorted(have, key=lambda x: near(x[1]), reverse=True)] if len(have) < 2 or near(before) != near(after) else [0, 1]
 
 
-def kept_lines(zones: bytes, hashes: list[int], sizes: list[int], mates: list[list[int]]) -> list[int]:
-    """Positions of the lines that stay: those that the nearest mate does not
-    share, without the ones marked as apart.  A mate that shares nearly all
-    text is the same article at another address and says nothing; then the
-    next one is compared.  A block of the article that only its class or id
-    marks goes if the mate shares it, or if there is no mate to ask."""
+def shared_lines(zones: bytes, hashes: list[int], sizes: list[int], mates: list[list[int]]) -> set[int] | None:
+    """Positions of the lines that the nearest mate shares.  A mate that
+    shares nearly all text is the same article at another address and says
+    nothing; then the next one is compared.  None if there is no mate to ask."""
     rest = [i for i, z in enumerate(zones) if z != APART]
     most = COPY * sum(sizes[i] for i in rest)
     for mate in filter(None, mates):
         found = set(common_positions(hashes, mate))
         if sum(sizes[i] for i in rest if i in found) <= most:
-            return [i for i in rest if i not in found]
-    return [i for i in rest if zones[i] != DOUBT]
+            return found
+    return None
+
+
+def goes(zone: int, shared: bool, asked: bool) -> bool:
+    """Whether a line goes by what its own page knows.  A block of the
+    article that only its class or id marks goes if there is no mate to ask."""
+    return zone == APART or zone != ARTICLE and shared or zone == DOUBT and not asked
 
 
 def _path_key(path: str) -> str:
@@ -276,7 +290,8 @@ def _ranked(lines: DataFrame) -> DataFrame:
 
 
 def _decisions(lines: DataFrame) -> DataFrame:
-    """(k1, k2, keep): for every page with a host, the lines that stay, as a bitmap."""
+    """(k1, k2, keep): for every page with a host, which of its lines that are
+    not marked as apart stay, as a bitmap."""
     paged = lines.where("host is not null")
     once = paged.dropDuplicates(["d1", "d2"]).select("d1", "d2", "zones", "hashes", "sizes")
     rank = _ranked(lines)
@@ -287,16 +302,45 @@ def _decisions(lines: DataFrame) -> DataFrame:
     met = mates.join(mate(1, "before"), "rank", "left").join(mate(-1, "after"), "rank", "left")
     same = lambda n, c: F.when(F.col(f"{n}_host") == F.col("host"), F.col(c))
     met = met.select("rank", "path", "zones", "hashes", "sizes", same("before", "before_path").alias("bp"), same("before", "before").alias("before"),
-                     same("after", "after_path").alias("ap"), same("after", "after").alias("after"))
+                     same("after", "after_path").alias("ap"), same("after", "after").alias("after"), F.xxhash64("host").alias("hk"))
+
+    def compare(batches):
+        for t in batches:
+            asked, marks, lines, bits = [], [], [], []
+            for _, path, zones, hashes, sizes, bp, before, ap, after, _ in zip(*(c.to_pylist() for c in t.columns)):
+                found = shared_lines(zones, hashes, sizes, [(before, after)[i] or [] for i in nearest(path or "", bp, ap)])
+                rest = [i for i, z in enumerate(zones) if z != APART]
+                asked.append(found is not None)
+                marks.append([zones[i] for i in rest])
+                lines.append([hashes[i] for i in rest])
+                bits.append([found is not None and i in found for i in rest])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(9), pa.array(asked, pa.bool_()), pa.array(marks, pa.list_(pa.int8())),
+                                              pa.array(lines, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.bool_()))], ["rank", "hk", "asked", "zone", "line", "shared"])
+
+    shared = cut(met.mapInArrow(compare, "rank long, hk long, asked boolean, zone array<tinyint>, line array<long>, shared array<boolean>"), "shared")
+    rows = shared.select("rank", "hk", F.inline(F.arrays_zip("zone", "line", "shared")))
+    salted = lambda df: df.withColumn("salt", F.pmod("rank", F.lit(SALT)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")
+    # beside the article: lines on which the pages disagree follow the majority
+    loose = rows.where(F.col("zone") != ARTICLE)
+    votes = loose.groupBy("hk", "line").agg(F.count("*").alias("n"), F.count_if("shared").alias("s")).where("s > 0 AND s < n")
+    votes = votes.select("hk", "line", (F.col("s") * 2 >= F.col("n")).alias("go"), parts)
+    judged = salted(loose.select("rank", "hk", "line")).join(votes, ["hk", "line", "salt"])
+    judged = judged.groupBy("rank").agg(F.collect_set(F.struct("line", "go")).alias("votes"))
+    # inside: lines that half of a host's pages share, so a host has no more of them than two average pages have lines
+    pages = shared.groupBy("hk").agg(F.count("*").alias("pages"))
+    wide = rows.where((F.col("zone") == ARTICLE) & F.col("shared")).select("rank", "hk", "line").distinct().groupBy("hk", "line").agg(F.count("*").alias("s"))
+    wide = wide.where(F.col("s") >= WIDE_PAGES).join(pages, "hk").where("s * 2 >= pages").groupBy("hk").agg(F.collect_list("line").alias("wide"))
+    wide = salted(shared.select("rank", "hk")).join(wide.select("hk", "wide", parts), ["hk", "salt"]).select("rank", "wide")
+    met = shared.join(judged, "rank", "left").join(wide, "rank", "left").select("rank", "asked", "zone", "line", "shared", "votes", "wide")
 
     def run(batches):
         for t in batches:
             keep = []
-            for _, path, zones, hashes, sizes, bp, before, ap, after in zip(*(c.to_pylist() for c in t.columns)):
-                near = [(before, after)[i] or [] for i in nearest(path or "", bp, ap)]
-                bits = np.zeros(len(hashes), bool)
-                bits[kept_lines(zones, hashes, sizes, near)] = True
-                keep.append(np.packbits(bits).tobytes())
+            for _, asked, zones, hashes, own, said, wide_ in zip(*(c.to_pylist() for c in t.columns)):
+                said, wide_ = {v["line"]: v["go"] for v in said or ()}, set(wide_ or ())
+                gone = [h in wide_ if z == ARTICLE else said.get(h, goes(z, s, asked)) for z, h, s in zip(zones, hashes, own)]
+                keep.append(np.packbits(~np.array(gone, bool)).tobytes())
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(keep, pa.binary())], ["rank", "keep"])
 
     keep = rank.join(met.mapInArrow(run, "rank long, keep binary"), "rank").select("d1", "d2", "keep")
@@ -326,6 +370,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             packed = []
             for page in t.column(4).to_pylist():
                 lines, zones = page_lines(page)
+                rest = [i for i, z in enumerate(zones) if z != APART]
+                lines, zones = [lines[i] for i in rest], [zones[i] for i in rest]
                 packed.append(zlib.compress("\n".join([bytes(zones).hex(), *lines]).encode("utf-8", "surrogatepass"), 6))
             yield pa.RecordBatch.from_arrays([*t.columns[:4], pa.array(packed, pa.binary())], ["k1", "k2", "page_id", "url", "packed"])
 
@@ -338,7 +384,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             for packed, kept in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
                 zones, *lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
                 if kept is None:  # no neighbours
-                    at = kept_lines(bytes.fromhex(zones), [], [len(x) for x in lines], [])
+                    at = [i for i, z in enumerate(bytes.fromhex(zones)) if not goes(z, False, False)]
                 else:
                     at = np.nonzero(np.unpackbits(np.frombuffer(kept, np.uint8))[:len(lines)])[0].tolist()
                 texts.append(" ".join(lines[i] for i in at))
