@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_held: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that ``cut`` writes inside the block are deleted at its end,
+    but for those the block removes from the list it is given."""
+    _held.append([])
+    try:
+        yield _held[-1]
+    finally:
+        for t in _held.pop():
+            drop_cut(t)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as a table in the shared folder named by
     ``spark.checkpoint.dir`` and reads it back, so a lost executor costs a
@@ -55,6 +71,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _held:
+        _held[-1].append(out)
     return out
 
 

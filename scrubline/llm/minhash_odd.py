@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import cut, map_runs, q, small_batches
+from scrubline.llm.common import cut, drop_cut, map_runs, q, small_batches
 from scrubline.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = rep.select("id", "n", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
     members = cut(keys.join(buckets, "key").select("key", "id", "n", "hub"), "members")
-    near = members.select("id").distinct()
+    near = cut(members.select("id").distinct(), "near")  # written, so Spark knows its size when it picks the joins
     text = docs.select(F.col(q(id_col)).cast("long").alias("id"), F.col(q(text_col)).cast("string").alias("__text"))
     # texts of bucket members only, written once for both confirmations
     texts = cut(text.join(near, "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -308,6 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # then the members that are still apart: their links join components
     groups = cut(_apart(members.drop("hub"), sketches, comp, num, den), "groups")
     joined = cut(components(cut(_joined(groups, sketches, texts, width, num, den), "joined")), "comp2")
+    for t in (members, near, texts, links, groups):
+        drop_cut(t)  # all that is left to read is ids
     found = rep.select("id").join(comp, "id", "left").select("id", F.coalesce("component_id", "id").alias("c"))
     found = found.join(joined.select(F.col("id").alias("c"), "component_id"), "c", "left").select("id", F.coalesce("component_id", "c").alias("component_id"))
     found = found.unionByName(copies.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "component_id"))

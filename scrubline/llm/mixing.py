@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import q
+from scrubline.llm.common import cut, q
 
 #: Largest mean inverted in one piece.
 CHUNK = 8.0
@@ -75,9 +75,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy_no", "shuffle_key")])
     cols = [F.col(q(c)) for c in docs.columns]
-    rates = repetition_rates(docs, source_col, weights, alpha)
+    # a row a source, written: Spark knows its size and moves no text for the join while it is small
+    rates = cut(repetition_rates(docs, source_col, weights, alpha), "rates")
     key = F.coalesce(F.col(q(id_col)).cast("string"), F.md5(F.coalesce(F.col(q(text_col)), F.lit(""))))
-    # narrow on the right: one row per source; a hot source on the left is split by adaptive execution
+    # with very many sources a shuffle join, where adaptive execution splits a hot one
     joined = docs.join(rates, docs[q(source_col)].eqNullSafe(rates["__source"]))
     counted = joined.withColumn("__k", poisson_count(F.col("__rate"), key, seed)).where("__k > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
