@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.llm import exact_dedup, language_id, minhash_odd, mixing, piece_wfst
-from scrubline.llm.common import cut, table
+from scrubline.llm.common import cut, drop_cut, scratch, table
 
 #: Not expressible in SQL: trained text model, MinHash, transducer.
 ORACLE_SQL = None
@@ -46,7 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     r = minhash_odd.near_duplicates(rows, "row", at["text"]).select(F.col("id").alias("row"), "component_id")
     r = cut(r.join(rows.select("row", F.col(at["doc_id"]).alias("id")), "row"), "near")
     first = r.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
-    out = rows.join(r.select("row").join(first, "row", "left_anti"), "row", "left_anti")
+    # written, so Spark knows its size and moves no text while it is small
+    gone = cut(r.select("row").join(first, "row", "left_anti"), "gone")
+    out = rows.join(gone, "row", "left_anti")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -75,8 +77,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; returns the encoded documents."""
+    """All stages over ``documents``; returns the encoded documents.  What a
+    stage writes for itself goes when its result is written, and a result
+    when the next one is; the last is read by the rows returned."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch() as written:
+            out = cut(stage(spark, docs, sf_dir), name)
+            written.remove(out)
+        drop_cut(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
