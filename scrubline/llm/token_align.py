@@ -20,7 +20,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,10 +46,12 @@ class Side:
     so a text falls into chunks (see ``chunks``) that are encoded by
     themselves; short ones are remembered, as words repeat."""
 
-    def __init__(self, encode, pieces: list[bytes | None]):
-        self.encode, self.pieces = encode, pieces
+    def __init__(self, encode, pieces: list[bytes | None], joined: bool):
+        self.encode, self.joined = encode, joined  # whether many short texts are encoded faster as one
         self.size = len(pieces)
         self.lengths = np.array([len(p or b"") for p in pieces], np.int64)
+        self.bytes = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
+        self.at = np.cumsum(self.lengths) - self.lengths
         self.known: dict[str, bytes] = {}  # the ids of a chunk as 32-bit numbers
         self.changed: set[str] = set()  # chunks whose bytes their ids do not give back
 
@@ -60,11 +62,14 @@ class Side:
             self.known.clear(), self.changed.clear()
         known = self.known
         new = list(set().union(*texts).difference(known))
-        for c, ids in zip(new, self.encode([c[1:] for c in new])):
-            parts = [self.pieces[i] for i in ids]
-            if None in parts or b"".join(parts) != c.encode("utf-8", "surrogatepass"):
+        # chunks of one run of letters behind a space can stand behind each other like words of a text
+        plain = [c for c in new if len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
+        if not self._learn(plain):
+            plain = []
+        for c in set(new).difference(plain):
+            if not self._learn([c]):
                 self.changed.add(c)
-            known[c] = array("I", ids).tobytes()
+                known[c] = b""
         out = [np.frombuffer(b"".join(map(known.__getitem__, t)), np.uint32) if self.changed.isdisjoint(t) else None for t in texts]
         for c in new:
             if len(c) > SHORT:
@@ -72,6 +77,27 @@ class Side:
                 self.changed.discard(c)
         return out
 
+    def _learn(self, chunks: list[str]) -> bool:
+        """Remembers the ids of chunks; False (and nothing remembered) unless
+        the ids give back each chunk's bytes."""
+        if not chunks:
+            return True
+        text = "".join(chunks)
+        found = self.encode([text[1:]] if self.joined else [c[1:] for c in chunks])
+        ids = np.array(found[0] if self.joined else list(chain.from_iterable(found)), np.uint32)
+        want = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        size = self.lengths[ids]
+        end = np.cumsum(size)
+        if not len(ids) or end[-1] != len(want) or not np.array_equal(self.bytes[np.repeat(self.at[ids] - end + size, size) + np.arange(len(want))], want):
+            return False
+        cut_ = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in chunks])
+        place = np.searchsorted(end, cut_)
+        if not np.array_equal(end[place], cut_):
+            return False
+        data, stops = ids.tobytes(), ((place + 1) * 4).tolist()
+        self.known.update(zip(chunks, [data[x:y] for x, y in zip([0, *stops], stops)]))
+        return True
+
 
 #: No mark of Unicode: stands between chunks.
 _CUT = "\uffff"
@@ -122,7 +148,7 @@ def byte_level_side(spec: str) -> Side:
     def encode(texts):
         return [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    return Side(encode, pieces)
+    return Side(encode, pieces, joined=True)
 
 
 def piece_side(model: bytes) -> Side:
@@ -134,7 +160,7 @@ def piece_side(model: bytes) -> Side:
         raise ValueError("the model has pieces with a space inside: texts cannot be cut at spaces")
     pieces = [bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
               for i in range(sp.get_piece_size())]
-    return Side(lambda texts: sp.encode(texts, num_threads=1), pieces)
+    return Side(lambda texts: sp.encode(texts, num_threads=1), pieces, joined=False)
 
 
 @functools.lru_cache(maxsize=2)
