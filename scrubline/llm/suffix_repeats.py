@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.functions.stored import bitmap, maybe_in
 from scrubline.llm.common import cut, map_runs, q, small_batches, text_or_empty
 
 #: Bytes of the strings an anchor is chosen by; a longer string means fewer false meetings and more anchors.
@@ -140,7 +141,8 @@ def _classes(docs: DataFrame, length: int) -> DataFrame:
 def _contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """(key, c1, c2, h, pos, l, r, ctx): every anchor that met another, with
     the bytes around it.  Of equal contexts in a batch only one carries them."""
-    held = (docs.join(places.withColumnRenamed("h", "h2").withColumnRenamed("id", "id2"),
+    # a fixed-size bitmap of the documents in question keeps the others' texts out of the shuffle
+    held = (maybe_in(docs, bitmap(places, ["h"]), ["h"]).join(places.withColumnRenamed("h", "h2").withColumnRenamed("id", "id2"),
                       (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")))
             .select("h", "id", "places", "text").dropDuplicates(["h", "id"]).select("h", "places", "text"))
 
@@ -286,8 +288,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = cls.select("h", F.explode(F.arrays_zip("keys", "pos")).alias("x")).select("h", F.col("x.keys").alias("key"), F.col("x.pos").alias("pos"))
     place = F.xxhash64("h", "pos")
     met = at.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("key")
-    places = (at.join(met, "key").groupBy("h").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
-              .join(cls.select("h", "id"), "h"))
+    places = cut(at.join(met, "key").groupBy("h").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
+                 .join(cls.select("h", "id"), "h"), "places")
     ctx = cut(_contexts(docs, places, length), "ctx")
     covers = cut(_covers(ctx, length), "covers")
     where = ctx.select("c1", "c2", "h", "pos", "l", "r")
@@ -312,7 +314,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  all_.cast("long").alias("n_spans"), F.when(all_, F.lit(EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"),
                  F.when(all_, F.array(F.lit(0), F.col("n_bytes").cast("int"))).otherwise(F.array().cast("array<int>")).alias("spans")))
     p = partial.select(F.col("h").alias("h2"), F.col("id").alias("id2"), "runs")
-    rest = docs.join(p, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "runs", "text")
+    rest = maybe_in(docs, bitmap(partial, ["h"]), ["h"]).join(p, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "runs", "text")
 
     def run(batches):
         for t in batches:
