@@ -11,9 +11,11 @@ every row; only the trigram model is fitted on a bounded sample
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,9 @@ from scrubline.llm.common import cut, q, small_batches
 FIT_DOCS = 1000
 #: Documents with letters that a declared language needs to be a class: with fewer there is nothing to fit a model on.
 MIN_DOCS = 10
-#: Hash buckets of the trigram model.
-BUCKETS = 1 << 14
+#: Hash buckets of the trigram model, and the most cells (buckets by classes) that the driver and a
+#: worker hold (128 MB): with more than MODEL_CELLS / BUCKETS classes there are fewer buckets.
+BUCKETS, MODEL_CELLS = 1 << 14, 1 << 25
 #: Weight of the text: log likelihoods count as TEXT_SCALE * sqrt(trigrams) independent ones.
 TEXT_SCALE = 4.0
 #: Pseudo-observations each level of the host hierarchy lends to the next.
@@ -58,19 +61,28 @@ def _blocks(text: str):
         yield text[i:i + BLOCK]
 
 
+def subtag(declared: Column) -> Column:
+    """The primary language subtag of a declared value, in lower case
+    ('en-US', 'EN_gb' and 'en' are 'en'); null unless two or three letters."""
+    t = F.lower(F.regexp_extract(F.trim(declared.cast("string")), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    return F.when(t != "", t)
+
+
 def languages(df: DataFrame, text_col: str, declared_col: str) -> list[str]:
-    """The classes: declared languages of at least ``MIN_DOCS`` texts with
-    letters, whatever their share of the rows; only they reach the driver."""
-    d = df.where(F.col(q(declared_col)).isNotNull() & F.col(q(text_col)).rlike(r"\p{L}"))
-    n = d.groupBy(F.col(q(declared_col)).cast("string").alias("l")).agg(F.count("*").alias("n"))
+    """The classes: language subtags declared by at least ``MIN_DOCS`` texts
+    with letters, whatever their share of the rows.  Two or three letters
+    bound their number; only the names reach the driver."""
+    d = df.where(F.col(q(text_col)).rlike(r"\p{L}")).select(subtag(F.col(q(declared_col))).alias("l")).where("l IS NOT NULL")
+    n = d.groupBy("l").agg(F.count("*").alias("n"))
     return sorted(r.l for r in n.where(F.col("n") >= MIN_DOCS).select("l").collect())
 
 
 def fit_text_model(df: DataFrame, text_col: str, declared_col: str, langs: list[str]) -> np.ndarray:
     """log P(bucket | language), one column per language and a flat last one
-    for texts in none of them.  BUCKETS x languages counts reach the driver."""
+    for texts in none of them.  At most MODEL_CELLS counts reach the driver."""
+    buckets = min(BUCKETS, 1 << (MODEL_CELLS // (len(langs) + 1)).bit_length() - 1)
     classes = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(langs)), "l int, name string"))
-    d = (df.select(F.col(q(declared_col)).cast("string").alias("name"), F.col(q(text_col)).alias("x")).where(F.col("x").isNotNull())
+    d = (df.select(subtag(F.col(q(declared_col))).alias("name"), F.col(q(text_col)).alias("x")).where(F.col("x").isNotNull())
          .join(classes, "name").select("l", "x"))
     n = d.groupBy("l").count()
     u = F.pmod(F.xxhash64("x", F.lit(7)), F.lit(1 << 30)).cast("double") / float(1 << 30)
@@ -80,26 +92,28 @@ def fit_text_model(df: DataFrame, text_col: str, declared_col: str, langs: list[
         acc = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = acc.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                a = acc.setdefault(lang, np.zeros(buckets, np.int32))
                 for part in _blocks(text):
-                    a += np.bincount(trigram_buckets(part), minlength=BUCKETS)
+                    a += np.bincount(trigram_buckets(part) & (buckets - 1), minlength=buckets).astype(np.int32)
         for lang, a in acc.items():
             at = np.nonzero(a)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.int32()), pa.array(at), pa.array(a[at])], ["l", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(a[at], pa.int32())], ["l", "b", "n"])
 
-    counts = sample.mapInArrow(count, "l int, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((BUCKETS, len(langs) + 1), 0.0)
+    counts = sample.mapInArrow(count, "l int, b int, n int").groupBy("l", "b").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    table = np.zeros((buckets, len(langs) + 1), np.float32)
     table[counts["b"].to_numpy(), counts["l"].to_numpy()] = counts["n"].to_numpy()
-    table = np.log((table + 0.05) / (table.sum(0) + 0.05 * BUCKETS))
-    table[:, -1] = -np.log(BUCKETS)
-    return table.astype(np.float32)
+    total = table.sum(0, dtype=np.float64) + 0.05 * buckets
+    for c in range(len(langs)):  # column by column: no second table of its size
+        table[:, c] = np.log((table[:, c].astype(np.float64) + 0.05) / total[c])
+    table[:, -1] = -np.log(buckets)
+    return table
 
 
 def text_scores(df: DataFrame, text_col: str, model: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``__ll`` (tempered log likelihood by class) and
     ``__tri`` (number of trigrams)."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x classes floats: fixed size
+    shared = spark.sparkContext.broadcast(model)  # MODEL_CELLS floats at most
     out = T.StructType([df.schema[c] for c in keep] + [T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__tri", T.LongType())])
     src = df.select(*[F.col(q(c)) for c in keep], F.col(q(text_col)).alias("__text"))
 
@@ -110,7 +124,7 @@ def text_scores(df: DataFrame, text_col: str, model: np.ndarray, keep: list[str]
             for text in b.column(b.num_columns - 1).to_pylist():
                 s, n = np.zeros(table.shape[1]), 0
                 for part in _blocks(text or ""):
-                    ids = trigram_buckets(part)
+                    ids = trigram_buckets(part) & (len(table) - 1)
                     s += table[ids].sum(0, dtype=np.float64)
                     n += len(ids)
                 lls.append((s * (min(n, TEXT_SCALE * n ** 0.5) / n)).tolist() if n else s.tolist())
@@ -133,8 +147,9 @@ def _totals(rows: DataFrame, k: int) -> list[int]:
     return [n.get(i, 0) for i in range(k)]
 
 
-def _numbers(values) -> F.Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _numbers(values) -> Column:
+    """One constant array, whatever its length."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 def _log_table(rows: DataFrame, col: str, k: int) -> DataFrame:
@@ -178,8 +193,10 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
     posterior of the best class on the other evidence, not kept.  So is a
     text that a flat trigram distribution explains better than every
     language, and one whose best posterior is below ``MIN_POSTERIOR``.  A
-    language declared by fewer than ``MIN_DOCS`` texts is no class: its texts
-    get the class that explains them best, or 'und'.  Very
+    declared value counts by its language subtag ('en-US' is 'en'); one that
+    is no such tag, or is declared by fewer than ``MIN_DOCS`` texts, is no
+    class: its texts get the class that explains them best, or 'und'.  The
+    raw values stay evidence, however many there are.  Very
     long texts are scored whole in blocks.  Ties go to the first language in
     alphabetical order.  An empty table, or one without declared languages,
     gives rows that are all undetermined.  Repeated rows score alike; an
@@ -215,13 +232,13 @@ def identify_language(df: DataFrame, text_col: str = "text", declared_col: str |
         out = _joined(out, cut(host_priors(rows, k), "hosts"), "__host", k)
     for have, name in ((declared_col, "__declared_lp"), (suffix_col, "__suffix_lp"), (host_col, "__prior")):
         out = out if have else out.withColumn(name, F.lit(None).cast("array<double>"))
-    zero = F.array(*[F.lit(0.0)] * k)
+    zero = F.array_repeat(F.lit(0.0), k)
     lp = F.zip_with(F.slice("__ll", 1, k), F.coalesce("__declared_lp", zero), lambda a, b: a + b)
     lp = F.zip_with(lp, F.coalesce("__suffix_lp", zero), lambda a, b: a + b)
     lp = F.zip_with(lp, F.coalesce(F.transform("__prior", lambda p: F.log(p)), zero), lambda a, b: a + b)
     out = out.withColumn("__lp", lp).withColumn("__max", F.array_max("__lp"))
     post = 1.0 / F.aggregate("__lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__max")))
-    name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("__lp", F.col("__max")).cast("int"))
+    name = F.element_at(F.from_json(F.lit(json.dumps(langs)), "array<string>"), F.array_position("__lp", F.col("__max")).cast("int"))
     kept = F.col("__ok") & (F.col("lang_posterior") >= MIN_POSTERIOR)
     return (out.withColumn("lang_posterior", post).withColumn("lang_kept", kept)
             .select(*cols, F.when(F.col("lang_kept"), name).otherwise(F.lit(UNDETERMINED)).alias("lang_id"), "lang_posterior", "lang_kept"))

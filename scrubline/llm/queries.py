@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scrubline.llm import chat_format, embed_caps, exact_dedup, language_id, minhash_odd, mixing, page_diff, piece_wfst, quality, resample, secret_layers, suffix_repeats, token_align
-from scrubline.llm.common import table
+from scrubline.llm.common import small_batches, table
 
 
 def op1_suffix_repeats(spark, sf_dir):
@@ -32,14 +33,30 @@ def op4_language_id(spark, sf_dir):
     return language_id.identify_language(docs, keep=["doc_id"])
 
 
+def page_evidence(pages):
+    """(page_id, text, declared, host, suffix): the text of a page without its
+    markup, the language its html element declares, its host and what the
+    address says of a language (top-level domain, two-letter first folder).
+    A null page is empty; a null or other address gives no host or suffix."""
+    small_batches(pages.sparkSession)
+
+    def run(batches):
+        for t in batches:
+            texts = ["\n".join(page_diff.page_lines(p)[0]) for p in t.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(texts, pa.string()), *t.columns[2:]], ["page_id", "text", "declared", "url"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    d = pages.select("page_id", html.alias("html"), F.nullif(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z][A-Za-z0-9_-]*)", 1), F.lit("")).alias("declared"), url.alias("url"))
+    d = d.mapInArrow(run, f"page_id {kind}, text string, declared string, url string")
+    host = F.nullif(F.lower(F.regexp_extract("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    folder = F.lower(F.regexp_extract("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1))
+    return d.select("page_id", "text", "declared", host.alias("host"), F.when(host.isNotNull(), F.concat_ws("/", F.substring_index(host, ".", -1), folder)).alias("suffix"))
+
+
 def llm_language_id_pages(spark, sf_dir):
     """Language of every page: markup text, html lang attribute, address suffix and host prior."""
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ").alias("text"),
-        F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit("")).alias("declared"),
-        F.nullif(host, F.lit("")).alias("host"),
-        F.concat_ws("/", F.substring_index(host, ".", -1), F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)).alias("suffix"))
+    pages = page_evidence(table(spark, sf_dir, "pages"))
     return language_id.identify_language(pages, "text", "declared", "host", "suffix", keep=["page_id"])
 
 
