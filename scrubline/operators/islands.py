@@ -14,25 +14,17 @@ reaches into a chunk from before.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.sqlx import ident
+from scrubline.functions.stored import stored
 from scrubline.operators.detect import resolve
-from scrubline.session import checkpoint_dir
 
 #: Code points of a text whose candidates are ordered by one task.
 CHUNK = 1 << 16
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/islands-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _before(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """(keys, __chunk, out): the largest ``col`` of all earlier chunks of the text."""
     per = df.groupBy(*keys, "__chunk").agg(F.max(col).alias("m"))
@@ -43,13 +35,13 @@ def _before(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
 def islands(cands: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
     """``cands`` with ``island``, the start of the island a candidate is in.
     ``cands`` holds ``keys`` (not null) and start, end, rank, sub, seq."""
-    rows = _stored(cands.withColumn("__chunk", F.floor(F.col("start") / (chunk or CHUNK)).cast("long")))
+    rows = stored(cands.withColumn("__chunk", F.floor(F.col("start") / (chunk or CHUNK)).cast("long")), "islands")
     cols = [ident(c) for c in cands.columns]
     inner = Window.partitionBy(*keys, "__chunk").orderBy("start", "rank", "sub", "seq")
     reach = F.greatest(F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
     flagged = rows.join(_before(rows, keys, "end", "__reach"), [*keys, "__chunk"])
     flagged = flagged.withColumn("__first", F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), F.col("start")))
-    flagged = _stored(flagged.drop("__reach"))
+    flagged = stored(flagged.drop("__reach"), "islands")
     carried = flagged.join(_before(flagged, keys, "__first", "__open"), [*keys, "__chunk"])
     own = F.max("__first").over(inner.rowsBetween(Window.unboundedPreceding, 0))
     return carried.select(*cols, F.coalesce(own, "__open").alias("island"))

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline import fixed as FX
+from scrubline.functions.stored import global_rank
 from scrubline.operators.patterns import BUILTINS
 
 RULE_SCHEMA = T.StructType([
@@ -94,18 +95,17 @@ def collect_rules(df: DataFrame) -> list[Rule]:
 def validate_rules(df: DataFrame) -> DataFrame:
     """B1: adds ``validation struct<is_valid, errors array<string>, warnings>``.
 
-    All checks are column expressions except the regex compile check, which
-    is decided on the driver for the distinct regex patterns of the table
-    (rule tables are small) and joined back as a literal map.
+    All checks are column expressions except the regex compile check: the
+    distinct regex patterns pass the driver one partition at a time, and the
+    ones that do not compile come back as a table to join.
     """
     spark = df.sparkSession
-    pats = [(r["pattern"], r["flags"]) for r in
-            df.where(F.col("type") == "regex").select("pattern", "flags").distinct().limit(MAX_RULES + 1).collect()]
-    if len(pats) > MAX_RULES:
-        raise ValueError(f"rule set larger than {MAX_RULES} rules")
-    bad = [f"{p}\u0000{f or ''}" for p, f in pats if not _java_compiles(spark, p, f)]
-    key = F.concat(F.coalesce(F.col("pattern"), F.lit("")), F.lit("\u0000"), F.coalesce(F.col("flags"), F.lit("")))
-    bad_regex = (F.col("type") == "regex") & (key.isin(bad) if bad else F.lit(False))
+    pats = df.where(F.col("type") == "regex").select("pattern", "flags").distinct()
+    bad = [(r["pattern"], r["flags"]) for r in pats.toLocalIterator() if not _java_compiles(spark, r["pattern"], r["flags"])]
+    wrong = spark.createDataFrame(bad, "__p string, __f string").withColumn("__bad", F.lit(True))
+    cols = list(df.columns)
+    df = df.join(wrong, (F.col("type") == "regex") & F.col("pattern").eqNullSafe(F.col("__p")) & F.col("flags").eqNullSafe(F.col("__f")), "left")
+    bad_regex = F.col("__bad").isNotNull()
     errors = F.filter(F.array(
         F.when(F.col("type").isNull() | ~F.col("type").isin(*FX.RULE_TYPES), F.lit(FX.ERR_TYPE)),
         F.when(F.col("pattern").isNull() | (F.col("pattern") == ""), F.lit(FX.ERR_PATTERN)),
@@ -115,7 +115,7 @@ def validate_rules(df: DataFrame) -> DataFrame:
     ), lambda e: e.isNotNull())
     return df.withColumn("validation", F.struct(
         (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"),
-        F.array().cast("array<string>").alias("warnings")))
+        F.array().cast("array<string>").alias("warnings"))).select(*cols, "validation")
 
 
 def _java_compiles(spark: SparkSession, pattern: str | None, flags: str | None) -> bool:
@@ -195,13 +195,12 @@ def global_priority_col(t: Column, p: Column) -> Column:
 
 def rank_rules(df: DataFrame) -> DataFrame:
     """Rank by type priority, then builtin priority (builtins only),
-    then input order.  The window has no partition key: a rule set is one
-    small table, and the order is global by definition."""
+    then input order (id for rules of one place).  The order is global, so it
+    is a range sort; see ``functions.stored.global_rank``."""
     t = F.col("type")
     key2 = F.when(t == "builtin", builtin_priority_col(F.col("pattern"))).otherwise(F.lit(0))
-    w = Window.orderBy(type_priority_col(t), key2, F.col("ordinal"))
-    return df.withColumn("rank", F.row_number().over(w) - 1).withColumn(
-        "global_priority", global_priority_col(t, F.col("pattern")))
+    keyed = df.withColumn("global_priority", global_priority_col(t, F.col("pattern"))).withColumn("__type", type_priority_col(t)).withColumn("__own", key2)
+    return global_rank(keyed, "__type", "__own", "ordinal", "id").drop("__type", "__own").select(*df.columns, F.col("rank").cast("int").alias("rank"), "global_priority")
 
 
 def rank_rule_list(rules: list[Rule]) -> list[Rule]:

@@ -10,10 +10,11 @@ detection path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline import fixed as FX
+from scrubline.functions.stored import global_rank
 from scrubline.operators.rules import RULE_SCHEMA, Rule, collect_rules
 
 LISTS = ("company", "competitor", "project", "custom")
@@ -35,8 +36,7 @@ def word_table(spark: SparkSession, **lists) -> DataFrame:
 def words_from(df: DataFrame, col: str, category: str = "custom") -> DataFrame:
     """The distinct values of a column as a word table, in their own order."""
     words = normalize_words(df.select(F.col(col).alias("word"), F.lit(category).alias("word_category"), F.lit(0).alias("ordinal")))
-    w = Window.partitionBy("word_category").orderBy("word")  # a rule set: bounded by MAX_RULES where it is compiled
-    return words.withColumn("ordinal", F.row_number().over(w) - 1)
+    return global_rank(words.drop("ordinal"), "word", out="ordinal").select("word", "word_category", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 def normalize_words(words: DataFrame) -> DataFrame:
@@ -49,19 +49,20 @@ def normalize_words(words: DataFrame) -> DataFrame:
 
 def add_words(words: DataFrame, new: DataFrame) -> DataFrame:
     """B13 add: normalised new words that their list lacks come after its
-    last; a new company replaces the old one.  One grouping of the union and
-    one window per list (a rule set, bounded by MAX_RULES)."""
+    last; a new company replaces the old one.  One grouping of the union; new
+    words are numbered by a range sort, and four lists are looked up."""
     both = words.select("word", "word_category", "ordinal", F.lit(0).alias("new")).unionByName(
         normalize_words(new).select("word", "word_category", "ordinal", F.lit(1).alias("new")))
     once = both.groupBy("word", "word_category").agg(F.min("new").alias("new"), F.min_by("ordinal", "new").alias("ordinal"))
-    of_list = Window.partitionBy("word_category")
-    k = F.row_number().over(Window.partitionBy("word_category", "new").orderBy("ordinal", "word"))
-    placed = once.select("word", "word_category", "new", "ordinal", k.alias("k"), F.max("new").over(of_list).alias("any_new"),
-                         F.max(F.when(F.col("new") == 0, F.col("ordinal"))).over(of_list).alias("last"))
-    replaced = (F.col("word_category") == "company") & (F.col("new") < F.col("any_new"))
-    at = F.when(F.col("new") == 0, F.col("ordinal")).when(F.col("word_category") == "company", F.col("k") - 1).otherwise(
-        F.coalesce("last", F.lit(-1)) + F.col("k"))
-    return placed.where(~replaced).select("word", "word_category", at.cast("int").alias("ordinal"))
+    old = once.where("new = 0").select("word", "word_category", "ordinal")
+    added = global_rank(once.where("new = 1").select("word", "word_category", "ordinal"), "word_category", "ordinal", "word")
+    first = added.groupBy("word_category").agg(F.min("rank").alias("first"))
+    last = old.groupBy("word_category").agg(F.max("ordinal").alias("last"))
+    k = F.col("rank") - F.col("first")
+    at = F.when(F.col("word_category") == "company", k).otherwise(F.coalesce("last", F.lit(-1)) + 1 + k)
+    added = added.join(F.broadcast(first), "word_category").join(F.broadcast(last), "word_category", "left").select("word", "word_category", at.cast("int").alias("ordinal"))
+    replaced = F.broadcast(first.where("word_category = 'company'").select("word_category"))
+    return old.join(replaced, "word_category", "left_anti").select("word", "word_category", "ordinal").unionByName(added)
 
 
 def remove_words(words: DataFrame, gone: DataFrame) -> DataFrame:
@@ -107,21 +108,41 @@ def word_rules(words: DataFrame, strategy: str = "generic") -> DataFrame:
     listed = F.array(*[F.lit(c) for c in LISTS])
     rid = F.when(cat == "company", pick("id")).otherwise(F.concat(pick("id"), F.lit("_"), F.col("ordinal").cast("string")))
     name = F.when(cat == "company", pick("name")).otherwise(F.concat(pick("name"), F.lit(": "), word))
-    order = Window.orderBy(F.array_position(listed, cat), "ordinal", "word")  # a rule set, bounded by MAX_RULES
     fixed = {"id": rid, "type": F.lit("literal"), "pattern": word, "replacement": word_replacement(word, cat, strategy),
              "category": pick("category"), "enabled": F.lit(True), "name": name, "description": pick("description"),
-             "case_sensitive": F.lit(False), "ordinal": (F.row_number().over(order) + 9_999)}
-    return words.where(F.array_contains(listed, cat)).select(
-        *[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields])
+             "case_sensitive": F.lit(False), "ordinal": F.col("rank") + 10_000}
+    ranked = global_rank(words.where(F.array_contains(listed, cat)).withColumn("__list", F.array_position(listed, cat)), "__list", "ordinal", "word")
+    return ranked.select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RULE_SCHEMA.fields])
 
 
-def with_custom_words(rules: list[Rule], words: DataFrame | None, strategy: str = "generic") -> list[Rule]:
-    """A rule list with the rules of a word table, added once; the rule
-    set is compiled on the driver and bounded by MAX_RULES."""
+def word_rule_list(lists: dict[str, list[str]], strategy: str = "generic") -> list[Rule]:
+    """B11 for a few words given as lists by category: the rules of
+    ``word_rules``, made without a Spark job (the competitor strategy hashes
+    as Spark does: use a table for it)."""
+    if strategy == "competitor":
+        raise ValueError("the competitor strategy needs a word table")
+    out = []
+    for cat in LISTS:
+        label = FX.WORD_RULE_LABELS[cat]
+        for i, w in enumerate(lists.get(cat, ())):
+            mask = "".join("X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c for c in w)
+            repl = mask if strategy == "custom" else FX.GENERIC_WORD_REPLACEMENT.get(cat, FX.REDACTED) if strategy == "generic" else FX.REDACTED
+            own = cat == "company"
+            out.append(Rule(id=label["id"] if own else f"{label['id']}_{i}", type="literal", pattern=w, replacement=repl, category=label["category"],
+                            name=label["name"] if own else f"{label['name']}: {w}", description=label["description"], case_sensitive=False, ordinal=10_000 + len(out)))
+    return out
+
+
+def with_custom_words(rules: list[Rule], words: DataFrame | dict | None, strategy: str = "generic") -> list[Rule]:
+    """A rule list with the rules of a word table or of lists by
+    category, added once.  This compiles a rule a word, which suits a few
+    hundred (MAX_RULES at most); a table of any size goes to ``detect`` and
+    ``sanitize`` as ``words``."""
     if words is None:
         return list(rules)
     have = {r.id for r in rules}
-    return list(rules) + [r for r in collect_rules(word_rules(words, strategy)) if r.id not in have]
+    new = word_rule_list(words, strategy) if isinstance(words, dict) else collect_rules(word_rules(words, strategy))
+    return list(rules) + [r for r in new if r.id not in have]
 
 
 def rules_with_words(rules: DataFrame, words: DataFrame, strategy: str = "generic") -> DataFrame:

@@ -30,7 +30,7 @@ from scrubline.operators.nested import sanitize_nested
 from scrubline.operators.patterns import BUILTIN_NAMES
 from scrubline.operators.rules import Rule, default_rules
 from scrubline.operators.sanitize import is_json, replacement_map, sanitize
-from scrubline.operators.words import with_custom_words, word_table, words_from
+from scrubline.operators.words import with_custom_words, words_from
 from scrubline.plans import oracles as O
 from scrubline.plans.inputs import documents_with_planted, oracle_documents_with_planted, table
 
@@ -95,7 +95,7 @@ def _detect_builtin_sql(name: str) -> str:
 def detect_literal_ci(spark, sf_dir):
     """Custom words (company, project, word) as case-insensitive literal
     rules over documents; resolved detections, one row per detection."""
-    d = detect(_docs(spark, sf_dir), "text", with_custom_words([], word_table(spark, **WORDS)))
+    d = detect(_docs(spark, sf_dir), "text", with_custom_words([], WORDS))
     return explode_detections(d, ["doc_id"]).select("doc_id", "rule_id", "start", "end", "match", "replacement")
 
 
@@ -278,7 +278,7 @@ def sanitize_fixed_pages_sql():
 
 def sanitize_words(spark, sf_dir):
     """Custom words (generic strategy) sanitized out of documents."""
-    return sanitize(_docs(spark, sf_dir), "text", with_custom_words([], word_table(spark, **WORDS))).select("doc_id", "sanitized")
+    return sanitize(_docs(spark, sf_dir), "text", with_custom_words([], WORDS)).select("doc_id", "sanitized")
 
 
 def sanitize_words_sql():

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline import fixed as FX
+from scrubline.functions.stored import global_rank
 from scrubline.operators import audit as A
 from scrubline.operators.sanitize import run_statistics
 from scrubline.operators.rules import MAX_RULES, RULE_SCHEMA, validate_rules
@@ -26,11 +27,11 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     the file, after the given ones."""
     df = spark.read.schema(RULE_SCHEMA).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start",
                                                           F.monotonically_increasing_id().alias("__at"))
-    # a rule set is one small table; the place within a file is the order of the reader's ids in a block
-    w = Window.orderBy(F.col("ordinal").asc_nulls_last(), "file_path", "file_block_start", "__at")
-    last = df.agg(F.max("ordinal").alias("__last"), F.count("ordinal").alias("__given"))
-    return (df.withColumn("__row", F.row_number().over(w)).join(F.broadcast(last))
-            .withColumn("ordinal", F.coalesce(F.col("ordinal"), (F.coalesce("__last", F.lit(-1)) + F.col("__row") - F.col("__given")).cast("int")))
+    # the place within a file is the order of the reader's ids in a block
+    last = df.agg(F.max("ordinal").alias("__last"), F.count("ordinal").alias("__given"))  # one row
+    ranked = global_rank(df, F.col("ordinal").asc_nulls_last(), "file_path", "file_block_start", "__at", out="__row")
+    return (ranked.join(F.broadcast(last))
+            .withColumn("ordinal", F.coalesce(F.col("ordinal"), (F.coalesce("__last", F.lit(-1)) + 1 + F.col("__row") - F.col("__given")).cast("int")))
             .select(*[f.name for f in RULE_SCHEMA.fields]))
 
 
