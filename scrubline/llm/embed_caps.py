@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scrubline.llm.common import cut, map_runs, q, small_batches
 from scrubline.llm.components import components
@@ -59,13 +60,17 @@ def list_decode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[hit], (tab[hit] * CODES + i[hit]) * CODES + j
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component is taken out
+    first, so no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(classes: DataFrame) -> DataFrame:
-    """(label, dim, filter, id, size, vec): a row for every filter a class passes."""
+def _filters(classes: DataFrame, kind: str) -> DataFrame:
+    """(label, dim, filter, id, size, vec): a row for every filter a class
+    passes, with its components as ``kind`` (float32 or float64)."""
     small_batches(classes.sparkSession, 1024)
 
     def run(batches):
@@ -75,9 +80,8 @@ def _filters(classes: DataFrame) -> DataFrame:
             for k, e in enumerate(emb):
                 by_dim.setdefault(len(e), []).append(k)
             for dim, at in by_dim.items():
-                raw = np.array([emb[k] for k in at], np.float32)
-                x = raw.astype(np.float64)
-                row, f = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                raw = np.array([emb[k] for k in at], kind)
+                row, f = list_decode(_unit(raw))
                 at = np.array(at)[row]
                 vec = pa.array([v.tobytes() for v in raw], pa.binary()).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), pa.array(np.full(len(f), dim, np.int32)), pa.array(f.astype(np.int32)),
@@ -104,7 +108,7 @@ def _roots(near: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(filters: DataFrame, threshold: float) -> DataFrame:
+def linked(filters: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(id, w, root): for every bucket and member with a link, the rows that
     it links with for the first time there, and a member of its component."""
     key = ["label", "dim", "filter"]
@@ -118,7 +122,7 @@ def linked(filters: DataFrame, threshold: float) -> DataFrame:
     def one(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:
             return None
-        x = _unit(g["vec"].tolist())
+        x = _unit(np.frombuffer(b"".join(g["vec"]), kind).reshape(len(g), -1))
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         b1, b2, blk = g["b1"].iloc[0], g["b2"].iloc[0], g["blk"].to_numpy()
@@ -151,17 +155,22 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     A null id, label or vector, an empty or zero vector and one with a null
     or non-finite component links with nothing.  A repeated row counts as
-    another vector.  Pairs exactly at the threshold link.  An empty table
-    gives an empty result; other columns are ignored.
+    another vector.  Pairs exactly at the threshold link.  Components are
+    used as they are given, floats or doubles, however large or small.  An
+    empty table gives an empty result; other columns are ignored.
     """
-    v = df.select(F.col(q(id_col)).cast("long").alias("id"), F.col(q(label_col)).alias("label"),
-                  F.col(q(vec_col)).cast("array<float>").alias("embedding"))
+    double = getattr(df.schema[vec_col].dataType, "elementType", None) == DoubleType()
+    kind = "float64" if double else "float32"
+    given = F.col(q(vec_col)) if double else F.col(q(vec_col)).cast("array<float>")
+    v = df.select(F.col(q(id_col)).cast("long").alias("id"), F.col(q(label_col)).alias("label"), given.alias("embedding"))
+    # in one dimension only the sign counts: the vectors of a sign are one class
+    v = v.withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", lambda x: F.signum(x).cast("double" if double else "float"))).otherwise(F.col("embedding")))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(~bad, F.lit(False))
             & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)))
     v = v.withColumn("good", F.coalesce(good, F.lit(False)))
     classes = cut(v.where("good").groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("size")), "vec")
-    pairs = cut(linked(cut(_filters(classes), "caps"), threshold), "links")
+    pairs = cut(linked(cut(_filters(classes, kind), "caps"), threshold, kind), "links")
     degree = pairs.groupBy("id").agg(F.sum("w").alias("w"))
     comp = components(pairs.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = (classes.join(degree, "id", "left").join(comp, "id", "left")
