@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scrubline import fixed as FX
 from scrubline.functions import rng as R
-from scrubline.functions.sqlx import ident, let, q
+from scrubline.functions.sqlx import ident, let, name, q
 
 # JavaScript's '.' excludes these line terminators.
 _NOT_EOL = r"[^\n\r\u2028\u2029]"
@@ -142,6 +142,21 @@ def fake_value(branch: str, v: str) -> str:
 _SPECIAL_SCHEMES = ("http", "https", "ws", "wss", "ftp", "file")
 
 
+def normal_path(path: str) -> str:
+    """A path with its dot segments resolved as URL parsers do: '.' goes,
+    '..' takes the segment before it along ('%2e' is a dot too)."""
+    o, p, x, i = name("o"), name("p"), name("x"), name("i")
+
+    def body(segs):
+        dots = f"replace(lower({p}.x), '%2e', '.')"
+        closed = lambda e: f"CASE WHEN {p}.i = size({segs}) - 1 THEN concat({e}, array('')) ELSE {e} END"
+        step = (f"CASE WHEN {dots} = '..' THEN {let(f'slice({o}, 1, greatest(size({o}) - 1, 0))', closed)} "
+                f"WHEN {dots} = '.' THEN {closed(o)} ELSE concat({o}, array({p}.x)) END")
+        return (f"aggregate(transform({segs}, ({x}, {i}) -> named_struct('x', {x}, 'i', {i})), CAST(array() AS ARRAY<STRING>), ({o}, {p}) -> {step}, "
+                f"{o} -> concat('/', array_join({o}, '/')))")
+    return let(path, lambda v: f"CASE WHEN {v} RLIKE {q('(?i)/([.]|%2e)')} THEN {let(f'split(substr({v}, 2), {q('/')}, -1)', body)} ELSE {v} END")
+
+
 def _service_url(m: str, default_port: str | None, fb_head: str, fb_host: str, fb_tail) -> str:
     """Rebuild ``scheme://[userinfo@]host[:port][path]`` with fake
     credentials.  The authority ends at the first '/', '?' or '#'; userinfo
@@ -167,6 +182,7 @@ def _service_url(m: str, default_port: str | None, fb_head: str, fb_host: str, f
                 path = f"regexp_extract({r}, '^[^/?#]*([^?#]*)', 1)"
                 for ch, enc in (('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D")):
                     path = f"replace({path}, {q(ch)}, {q(enc)})"
+                path = normal_path(path)
                 hostv = f"CASE WHEN {host} = '' THEN 'localhost' ELSE {host} END"
                 good = f"concat({scheme}, '://', {user}, '@', {hostv}, {port_txt}, {path})"
                 bad = f"concat({q(fb_head)}, {user}, {q(fb_host)}, {fb_tail(vals)})"
@@ -213,7 +229,7 @@ def internal_url(m: str) -> str:
         scheme = f"lower(regexp_extract({m}, '^([a-zA-Z]+):', 1))"
         host = f"lower(regexp_extract({m}, '^[a-zA-Z]+://([^:/]*)', 1))"
         port = f"regexp_extract({m}, '^[a-zA-Z]+://[^:/]*:([0-9]+)', 1)"
-        path = f"regexp_extract({m}, '^[a-zA-Z]+://[^/]*(/.*)$', 1)"
+        path = normal_path(f"regexp_extract({m}, '^[a-zA-Z]+://[^/]*(/.*)$', 1)")
         last = f"regexp_extract({host}, '([^.]*)\\\\.?$', 1)"
         ok = (f"(NOT ({last} RLIKE '^([0-9]+|0[xX][0-9a-fA-F]*)$') AND "
               f"({port} = '' OR try_cast({port} AS BIGINT) <= 65535))")

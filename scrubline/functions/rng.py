@@ -1,7 +1,7 @@
 """Seeded pseudo-random helpers as Spark SQL expressions.
 
 The fake values are a pure function of the matched text: ``js_hash`` turns
-the text into a 31-bit seed (djb2 over UTF-16 code units, first 1000 units),
+the whole text into a 31-bit seed (djb2 over its UTF-16 code units),
 and ``rng_values`` runs xorshift128 on 32-bit integer state from that seed.
 Both are higher-order SQL functions (``aggregate``), evaluated in the
 executor JVM; there is no Python per row.

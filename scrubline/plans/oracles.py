@@ -314,6 +314,16 @@ def fake_sql(pattern: str, m: str = "match") -> tuple[str, str]:
     raise KeyError(pattern)
 
 
+def normal_path_sql(path: str) -> str:
+    """A path without dot segments, in DuckDB."""
+    segs = f"string_split(substr({path}, 2), '/')"
+    dots = "replace(lower(p.x), '%2e', '.')"
+    end = f"CASE WHEN p.i = len({segs}) THEN [''] ELSE CAST([] AS VARCHAR[]) END"
+    return (f"CASE WHEN regexp_matches({path}, '(?i)/([.]|%2e)') THEN '/' || array_to_string(list_reduce(list_transform({segs}, lambda x, i: {{'x': x, 'i': i, 'o': CAST([] AS VARCHAR[])}}), "
+            f"lambda a, p: {{'x': '', 'i': 0::BIGINT, 'o': CASE WHEN {dots} = '..' THEN a.o[:-2] || {end} WHEN {dots} = '.' THEN a.o || {end} ELSE a.o || [p.x] END}}, "
+            f"{{'x': '', 'i': 0::BIGINT, 'o': CAST([] AS VARCHAR[])}}).o, '/') ELSE {path} END")
+
+
 def _url_fake_sql(pattern: str, m: str) -> tuple[str, str]:
     """Fakes of URLs and hosts, for matches of the builtin's own shape."""
     user = f"'user' || {_draw_int('v', 0, 1000, 9999)} || ':' || " + _draw_chars("v", 1, "12", _ALNUM)
@@ -328,6 +338,7 @@ def _url_fake_sql(pattern: str, m: str) -> tuple[str, str]:
         usual = {"database_connection": "''", "redis_url": "':6379'", "rabbitmq_url": "':5672'"}[pattern]
         fixed = {"database_connection": f"'postgresql://' || {user} || '@localhost:5432/db' || {_draw_int('v', 13, 100, 999)}",
                  "redis_url": f"'redis://' || {user} || '@localhost:6379/0'", "rabbitmq_url": f"'amqp://' || {user} || '@localhost:5672/'"}[pattern]
+        path = normal_path_sql(path)
         return "14", (f"CASE WHEN {too_big(port)} THEN {fixed} ELSE {scheme} || '://' || {user} || '@' || CASE WHEN {host} = '' THEN 'localhost' ELSE {host} END || "
                       f"CASE WHEN {port} = '' THEN {usual} ELSE ':' || CAST({port} AS BIGINT) END || {path} END")
 
@@ -338,7 +349,7 @@ def _url_fake_sql(pattern: str, m: str) -> tuple[str, str]:
         port = f"regexp_extract({m}, ':[0-9]+$')"
         return "1", swapped(f"left({m}, length({m}) - length({port}))", "corp") + f" || {port}"
     host, port = f"lower(regexp_extract({m}, '^[a-zA-Z]+://([^:/]*)', 1))", f"regexp_extract({m}, '^[a-zA-Z]+://[^:/]*:([0-9]+)', 1)"
-    path = f"regexp_extract({m}, '^[a-zA-Z]+://[^/]*(/.*)$', 1)"
+    path = normal_path_sql(f"regexp_extract({m}, '^[a-zA-Z]+://[^/]*(/.*)$', 1)")
     bad = f"regexp_full_match(string_split({host}, '.')[-1], '[0-9]+|0[xX][0-9a-fA-F]*') OR {too_big(port)}"
     return "1", (f"CASE WHEN {bad} THEN 'https://app' || {_draw_int('v', 0, 1000, 9999)} || '.example.com' "
                  f"ELSE {scheme} || '://' || {swapped(host, 'company')} || CASE WHEN {path} = '' THEN '/' ELSE {path} END END")

@@ -422,6 +422,30 @@ def sanitize_kv_keys_sql():
             f"SELECT k, doc_id, sanitized FROM ({_sanitized_by('SELECT * FROM kv_pairs', KV_RULES, ['k', 'doc_id'])}) z")
 
 
+_PATHS = "CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/a/./b' WHEN 3 THEN '/a/../b/..' WHEN 4 THEN '/..' WHEN 5 THEN '/x/%2e%2E/y/.' WHEN 6 THEN '/.../a.b/' WHEN 7 THEN '/../../q' ELSE '/d'||doc_id END"
+_URLS = {"internal_url": "'https://api.dev.acme'||doc_id||'.com:80'", "database_connection": "'postgresql://u:p@db'||doc_id||':5432'", "redis_url": "'redis://cache'||doc_id", "rabbitmq_url": "'amqps://u:p@mq'||doc_id"}
+
+
+def pseudonym_url_paths(spark, sf_dir):
+    """Fakes of URLs whose paths hold dot segments, one of each kind a document."""
+    from scrubline.functions.generators import builtin_fake_col
+    docs = table(spark, sf_dir, "documents")
+    out = None
+    for kind, head in _URLS.items():
+        one = docs.selectExpr(f"{head}||{_PATHS} AS match").select(F.lit(kind).alias("kind"), "match", builtin_fake_col("match", kind).alias("fake"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pseudonym_url_paths_sql():
+    parts = []
+    for kind, head in _URLS.items():
+        n, expr = O.fake_sql(kind)
+        v = O.rng_first_values_sql(O.js_hash_sql("match"), n)
+        parts.append(f"SELECT '{kind}' AS kind, match, {expr} AS fake FROM (SELECT match, {v} AS v FROM (SELECT {head}||{_PATHS} AS match FROM documents) a) b")
+    return " UNION ALL ".join(parts)
+
+
 def preserve_shape(spark, sf_dir):
     """The shape-preserving fakes of part names, customer names and
     document starts."""
@@ -683,7 +707,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         reg[f"detect_{name}"] = (_detect_builtin(name), _detect_builtin_sql(name))
     g = globals()
     for qn in ("detect_literal_ci", "detect_words_nation", "detect_words_part", "detect_regex_custom", "detect_regex_first", "detect_kv_token",
-               "sanitize_kv_token", "resolve_conflicts", "resolve_islands", "overlap_pairs", "detect_default", "sql_detections", "detect_default_planted", "sanitize_default", "sanitize_kv_keys", "preserve_shape", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
+               "sanitize_kv_token", "resolve_conflicts", "resolve_islands", "overlap_pairs", "detect_default", "sql_detections", "detect_default_planted", "sanitize_default", "sanitize_kv_keys", "pseudonym_url_paths", "preserve_shape", "sanitize_fixed", "sanitize_fixed_pages", "sanitize_words", "pseudonym_email",
                "safe_hash", "mask_word", "is_json_events", "sanitize_json_text", "audit_stats", "audit_search", "audit_page",
                "audit_retain", "audit_date_week", "audit_delete", "audit_by_category", "sanitize_nested_customer",
                "stream_sanitize", "sanitize_default_pages", "sanitize_default_conversations", "rule_hit_counts", "replacement_map_default"):
