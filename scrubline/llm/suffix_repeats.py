@@ -287,7 +287,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cls = cut(_classes(docs, length), "cls")
     at = cls.select("h", F.explode(F.arrays_zip("keys", "pos")).alias("x")).select("h", F.col("x.keys").alias("key"), F.col("x.pos").alias("pos"))
     place = F.xxhash64("h", "pos")
-    met = at.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("key")
+    # written, so that the join by key is one of two scans and adaptive execution can split a key that very many rows have
+    met = cut(at.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("key"), "met")
     places = cut(at.join(met, "key").groupBy("h").agg(F.collect_list(F.struct("key", "pos")).alias("places"))
                  .join(cls.select("h", "id"), "h"), "places")
     ctx = cut(_contexts(docs, places, length), "ctx")
