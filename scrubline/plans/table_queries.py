@@ -479,16 +479,34 @@ def results_exported_sql():
 
 # ---------------------------------------------------------------- streams (H2, H3, F2 on a stream)
 
-def stream_audit(spark, sf_dir):
-    """H2: conversations streamed into an audit log."""
+def _conversation_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    src = src.withColumn("id", F.concat_ws("-", "conv_id", "turn")).withColumn("ts", F.lit(Q.AUDIT_BASE))
+    return src.withColumn("id", F.concat_ws("-", "conv_id", "turn")).withColumn("ts", F.lit(Q.AUDIT_BASE))
+
+
+def stream_audit(spark, sf_dir):
+    """H2: conversations streamed into an audit log."""
     path = _folder(spark, "audit-stream")
-    audit_stream(spark, src, "text", "id", "ts", Q.FIXED_RULES, path, f"query-{uuid.uuid4().hex}", available_now=True).awaitTermination()
+    audit_stream(spark, _conversation_stream(spark, sf_dir), "text", "id", "ts", Q.FIXED_RULES, path, f"query-{uuid.uuid4().hex}", available_now=True).awaitTermination()
     return A.read(spark, path).select("id", "sanitized_text", "detections_count")
 
 
+def stream_trigger(spark, sf_dir):
+    """H3: the same under the processing-time trigger that stands for the debounce."""
+    path = _folder(spark, "audit-stream")
+    q = audit_stream(spark, _conversation_stream(spark, sf_dir), "text", "id", "ts", Q.FIXED_RULES, path, f"query-{uuid.uuid4().hex}", trigger="200 milliseconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return A.read(spark, path).select("id", "sanitized_text", "detections_count")
+
+
+def stream_trigger_sql():
+    return stream_audit_sql()
+
+
 def stream_audit_sql():
     keys = ["conv_id", "turn"]
     src = "SELECT conv_id, turn, text FROM conversations"
