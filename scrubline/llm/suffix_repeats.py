@@ -15,8 +15,10 @@ contexts in a group are one member, and a group with more than BLOCK rows is
 reduced to one row a member.  A group with more than BLOCK members
 is split by longer keys: windows that start far left of the anchor share
 more bytes there, windows that end far right share more on that side, so
-both halves are smaller groups of their own, down to single windows, whose
-groups are only counted.
+both halves are smaller groups of their own.  Members that agree on the
+bytes of all windows of a half are done with it, and one of them stands for
+all; so a passage in very many documents costs a row a document and half,
+not a row a window.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from scrubline.llm.common import cut, map_runs, q, small_batches, text_or_empty
 #: Bytes of the strings an anchor is chosen by; a longer string means fewer false meetings and more anchors.
 WIDTH = 200
 #: Rows of a group that one task holds and sorts.
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 #: Rows of a group beyond which it is reduced to one row a context first, and rows of small groups a task gets.
 ROWS, TASK_ROWS = 1 << 11, 1 << 14
 #: Bytes of a text handled at once when anchors are chosen.
@@ -258,16 +260,21 @@ def _covers(ctx: DataFrame, length: int) -> DataFrame:
         hot = once.where(f"m > {BLOCK}").drop("m")
         if hot.isEmpty():
             return result
-        # one window left: the group itself is the repeat
-        single = hot.where("lo = hi").select("c1", "c2", (-F.col("lo")).alias("s"), (F.lit(length) - F.col("lo")).cast("int").alias("e"))
-        result = result.unionByName(single)
+        # the bytes of all windows from lo to hi: members that share them share every window, and one of them stands for all
+        whole = (F.col("l") >= F.col("hi")) & (F.col("r") >= F.lit(length) - F.col("lo"))
+        span = F.substring(F.col("ctx"), (F.col("l") - F.col("hi") + 1).cast("int"), (F.col("hi") + F.lit(length) - F.col("lo")).cast("int"))
+        hot = hot.select("*", *[F.when(whole, F.xxhash64(F.lit(k), span)).alias(f"u{k}") for k in (1, 2)])
+        same = hot.where("u1 IS NOT NULL").groupBy(*g, "u1", "u2").agg(F.count("*").alias("k"), F.min(F.struct("c1", "c2")).alias("one")).where("k > 1").drop("k")
+        hot = cut(hot.join(cut(same, "same"), [*g, "u1", "u2"], "left"), "told")
+        result = result.unionByName(hot.where("one IS NOT NULL").select("c1", "c2", (-F.col("hi")).alias("s"), (F.lit(length) - F.col("lo")).cast("int").alias("e")))
+        rest = hot.where((F.col("one").isNull() | (F.col("one") == F.struct("c1", "c2"))) & (F.col("lo") < F.col("hi"))).drop("u1", "u2", "one")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
-        split = hot.where("lo < hi").withColumn("half", F.explode(halves)).drop("lo", "hi").select("*", "half.*").drop("half")
+        split = rest.withColumn("half", F.explode(halves)).drop("lo", "hi").select("*", "half.*").drop("half")
         # the bytes that all windows of the half share
         split = split.where(F.col("l") >= F.col("lo")).where(F.col("r") >= F.lit(length) - F.col("hi"))
         shared = F.substring(F.col("ctx"), (F.col("l") - F.col("lo") + 1).cast("int"), (F.col("lo") + F.lit(length) - F.col("hi")).cast("int"))
-        source = split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi")
+        source = cut(split.withColumn("key", F.xxhash64("key", shared)).select("key", "c1", "c2", "l", "r", "ctx", "lo", "hi"), "halves")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
