@@ -175,9 +175,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Labels (id, 0/1) are learned from rows that are not held out; null ids,
     null labels and labels without a document are ignored, repeated labels
-    count again.  The score depends on the text alone: null and empty texts
-    have the features of no words, equal texts score alike, very long texts
-    are pooled whole.  With no usable labels or one class only, every score
+    count again.  A label whose id stands on several documents counts for
+    each; at most about twice FIT_ROWS rows are fitted on.  The score depends
+    on the text alone: null and empty texts have the features of no words,
+    equal texts score alike, very long texts are pooled whole.  With no usable labels or one class only, every score
     is the share of label 1 (0.5 without any).  An empty table gives an
     empty result; other columns are ignored.
     """
@@ -190,6 +191,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     u = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     sample = known.where(u < F.lit(FIT_ROWS / max(total, 1)))
     small_batches(spark)
+    # an id may stand on very many documents: beyond twice the bound they are thinned by a hash of the text
+    met = docs.select(F.col(q(id_col)).alias("__id")).join(F.broadcast(sample), "__id").count()
+    thin = F.pmod(F.xxhash64(F.col(q(text_col)).cast("string"), F.monotonically_increasing_id()), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    some = docs if met <= 2 * FIT_ROWS else docs.where(thin < F.lit(2 * FIT_ROWS / met))
 
     def features(batches):
         for t in batches:
@@ -197,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     # FIT_ROWS narrow rows: a broadcast of a proven size
-    rows = (docs.join(F.broadcast(sample), docs[q(id_col)] == sample["__id"])
+    rows = (some.join(F.broadcast(sample), some[q(id_col)] == sample["__id"])
             .select("__y", F.col(q(text_col)).cast("string").alias("t")).mapInArrow(features, "y int, x array<double>").toPandas())
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), FEATURES)
     order = np.lexsort(np.column_stack([x, rows["y"].to_numpy()]).T) if len(rows) else np.empty(0, np.int64)  # the order of arrival does not matter
