@@ -47,7 +47,6 @@ def register_detections(spark: SparkSession, rules: list[Rule], opts: Options |
     body = detections_sql("x", compile_rules(rules, spark), opts or Options())
     cols = ", ".join(f"{ident(k)} {t}" for k, t in PUBLIC.items())
     names = ", ".join(ident(k) for k in PUBLIC)
-    # an outer generator and a filter on what it makes: see hits._inline
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_detections(x STRING) RETURNS TABLE({cols}) "
-              f"RETURN SELECT {names} FROM (SELECT inline_outer({body})) WHERE `start` IS NOT NULL")
+    # no filter around the generator: Spark would then join the texts back instead of generating on the calling row
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_detections(x STRING) RETURNS TABLE({cols}) RETURN SELECT {names} FROM (SELECT inline({body}))")
     return f"{prefix}_detections"
