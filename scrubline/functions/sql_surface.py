@@ -43,7 +43,9 @@ def register_sql_functions(spark: SparkSession, rules: list[Rule], opts: Options
 
 def register_detections(spark: SparkSession, rules: list[Rule], opts: Options | None = None, prefix: str = "scrub") -> str:
     """Defines the table function ``<prefix>_detections(x STRING)``; it gives
-    no row for null or empty text and text without detections."""
+    no row for null or empty text and text without detections.  Call it in an
+    inner lateral join: Spark 4.1 drops rows without detections from a left
+    one too."""
     body = detections_sql("x", compile_rules(rules, spark), opts or Options())
     cols = ", ".join(f"{ident(k)} {t}" for k, t in PUBLIC.items())
     names = ", ".join(ident(k) for k in PUBLIC)
