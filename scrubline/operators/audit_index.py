@@ -40,22 +40,24 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
 
 
-def append_indexed(entries: DataFrame, path: str, block_entries: int = BLOCK_ENTRIES) -> None:
+def append_indexed(entries: DataFrame, path: str, block_entries: int = BLOCK_ENTRIES, computed: bool = True) -> None:
     """A5 with an index: appends entries to the log at ``path`` in blocks
     ordered by time, and their trigrams to its index.  The index is written
     last; a log block without one is found by no indexed search, so an append
-    that failed is simply repeated."""
-    entries = stored(entries, "entries")
+    that failed is simply repeated.  Entries are counted, sampled and written:
+    unless they are a plain read (``computed=False``), they are stored once
+    before."""
+    entries = stored(entries, "entries") if computed else entries
     blocks = max(1, -(-entries.count() // block_entries))
     batch = uuid.uuid4().hex
     name = F.concat(F.lit(batch + "-"), F.spark_partition_id().cast("string"))
     placed = entries.repartitionByRange(blocks, F.col("timestamp").asc_nulls_first(), "id").withColumn("block", name)
-    placed.write.mode("append").partitionBy("block").parquet(f"{path}/log")
+    placed.write.mode("append").option("compression", "zstd").partitionBy("block").parquet(f"{path}/log")
     spark = entries.sparkSession
     new = _log(spark, path).where(F.col("block").startswith(batch))
     grams = new.select("block", F.explode(_searched()).alias("s")).select("block", F.explode(_grams(F.col("s"))).alias("gram")).distinct()
-    # a few thousand grams a block, so the folders are written by few tasks each
-    grams.withColumn("folder", _folder(F.col("gram"))).repartition(FOLDERS, "folder").write.mode("append").partitionBy("folder").parquet(f"{path}/grams")
+    # a few thousand grams a block, so a folder is written by one task
+    grams.withColumn("folder", _folder(F.col("gram"))).repartition(FOLDERS, "folder").write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/grams")
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
