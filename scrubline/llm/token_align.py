@@ -34,43 +34,80 @@ TOKENIZERS = "/opt/tokenizers"
 #: Pairs looked up by a broadcast table: its size bound.
 HOT_PAIRS = 1 << 17
 #: Chunks remembered by a worker, and the longest of them.
-KNOWN, SHORT = 300_000, 32
+KNOWN, SHORT = 400_000, 32
 #: Link pairs expanded at once.
 BLOCK = 1 << 21
 
 
 class Side:
-    """One tokenizer: its encoder, and the bytes of each id.
-
-    Neither kind of vocabulary joins a character to a space that follows it,
-    so a text falls into chunks (see ``chunks``) that are encoded by
-    themselves; short ones are remembered, as words repeat."""
+    """One tokenizer: its encoder, and the bytes of each id."""
 
     def __init__(self, encode, pieces: list[bytes | None], joined: bool):
         self.encode, self.joined = encode, joined  # whether many short texts are encoded faster as one
+        self.pieces = pieces
         self.size = len(pieces)
         self.lengths = np.array([len(p or b"") for p in pieces], np.int64)
         self.bytes = np.frombuffer(b"".join(p or b"" for p in pieces), np.uint8)
         self.at = np.cumsum(self.lengths) - self.lengths
-        self.known: dict[str, bytes] = {}  # the ids of a chunk as 32-bit numbers
-        self.changed: set[str] = set()  # chunks whose bytes their ids do not give back
-
-    def tokens(self, texts: list[list[str]]) -> list[np.ndarray | None]:
-        """The ids of each text, given as its chunks; None for a text whose
-        bytes the ids do not give back."""
-        if len(self.known) > KNOWN:
-            self.known.clear(), self.changed.clear()
-        known = self.known
+
+    def ids(self, chunks: list[str], text: str, want: np.ndarray, stops: np.ndarray) -> list[bytes] | None:
+        """The ids of each chunk as 32-bit numbers; None unless they give back
+        each chunk's bytes.  ``want`` are the bytes of the chunks behind each
+        other, ``stops`` where each ends."""
+        found = self.encode([text[1:]] if self.joined else [c[1:] for c in chunks])
+        ids = np.array(found[0] if self.joined else list(chain.from_iterable(found)), np.uint32)
+        size = self.lengths[ids]
+        end = np.cumsum(size)
+        if not len(ids) or end[-1] != len(want) or not np.array_equal(self.bytes[np.repeat(self.at[ids] - end + size, size) + np.arange(len(want))], want):
+            return None
+        place = np.searchsorted(end, stops)
+        if not np.array_equal(end[place], stops):
+            return None
+        data, cuts = ids.tobytes(), ((place + 1) * 4).tolist()
+        return [data[x:y] for x, y in zip([0, *cuts], cuts)]
+
+
+class Pair:
+    """Both tokenizers on one text.
+
+    Neither kind of vocabulary joins a character to a space that follows it,
+    so a text falls into chunks (see ``chunks``) that are encoded by
+    themselves; short ones are remembered, as words repeat, in two
+    generations: what the younger has met again outlives the older."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.changed: set[str] = set()  # chunks whose bytes one side does not give back
+
+    def tokens(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of each text, given as its chunks, on both sides; None for
+        a text whose bytes one side does not give back."""
+        if 2 * len(self.known) > KNOWN:
+            self.old, self.known = self.known, {}
+            self.changed.intersection_update(self.old)
+        known, old = self.known, self.old
         new = list(set().union(*texts).difference(known))
+        again = [c for c in new if c in old]
+        if again:
+            known.update((c, old[c]) for c in again)
+            new = [c for c in new if c not in old]
         # chunks of one run of letters behind a space can stand behind each other like words of a text
         plain = [c for c in new if len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         if not self._learn(plain):
             plain = []
-        for c in set(new).difference(plain):
-            if not self._learn([c]):
+        for c in new if len(plain) < len(new) else ():
+            if c not in known and not self._learn([c]):
                 self.changed.add(c)
-                known[c] = b""
-        out = [np.frombuffer(b"".join(map(known.__getitem__, t)), np.uint32) if self.changed.isdisjoint(t) else None for t in texts]
+                known[c] = b"", b""
+        out = []
+        for t in texts:
+            if t and self.changed.isdisjoint(t):
+                a, b = zip(*map(known.__getitem__, t))
+                out.append((np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)))
+            else:
+                out.append(None)
         for c in new:
             if len(c) > SHORT:
                 del known[c]
@@ -79,26 +116,26 @@ class Side:
 
     def _learn(self, chunks: list[str]) -> bool:
         """Remembers the ids of chunks; False (and nothing remembered) unless
-        the ids give back each chunk's bytes."""
+        both sides give back each chunk's bytes."""
         if not chunks:
             return True
         text = "".join(chunks)
-        found = self.encode([text[1:]] if self.joined else [c[1:] for c in chunks])
-        ids = np.array(found[0] if self.joined else list(chain.from_iterable(found)), np.uint32)
         want = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        size = self.lengths[ids]
-        end = np.cumsum(size)
-        if not len(ids) or end[-1] != len(want) or not np.array_equal(self.bytes[np.repeat(self.at[ids] - end + size, size) + np.arange(len(want))], want):
-            return False
-        cut_ = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in chunks])
-        place = np.searchsorted(end, cut_)
-        if not np.array_equal(end[place], cut_):
+        sizes = map(len, chunks) if text.isascii() else (len(c.encode("utf-8", "surrogatepass")) for c in chunks)
+        stops = np.cumsum(np.fromiter(sizes, np.int64, len(chunks)))
+        a = self.a.ids(chunks, text, want, stops)
+        b = a and self.b.ids(chunks, text, want, stops)
+        if not b:
             return False
-        data, stops = ids.tobytes(), ((place + 1) * 4).tolist()
-        self.known.update(zip(chunks, [data[x:y] for x, y in zip([0, *stops], stops)]))
+        self.known.update(zip(chunks, zip(a, b)))
         return True
 
 
+@functools.lru_cache(maxsize=4)
+def _pair(a: Side, b: Side) -> Pair:
+    return Pair(a, b)
+
+
 #: No mark of Unicode: stands between chunks.
 _CUT = "\uffff"
 _SPACES = re.compile(r" (?:\s|\Z)|\A ")
@@ -174,12 +211,11 @@ class Batch:
 
     def __init__(self, texts: list[str | None], side_a: Side, side_b: Side):
         real = [i for i, t in enumerate(texts) if t]
-        cut_ = [chunks(texts[i]) for i in real]
         doc, a, b, size = [], [], [], []
-        for i, x, y in zip(real, side_a.tokens(cut_), side_b.tokens(cut_)):
-            if x is None or y is None:
+        for i, found in zip(real, _pair(side_a, side_b).tokens([chunks(texts[i]) for i in real])):
+            if found is None:
                 continue  # one side changed the text: no tokens
-            doc.append(i), a.append(x), b.append(y), size.append(int(side_a.lengths[x].sum()))
+            doc.append(i), a.append(found[0]), b.append(found[1]), size.append(int(side_a.lengths[found[0]].sum()))
         self.rows, self.base = len(texts), np.zeros(len(texts), np.int64)
         self.base[doc] = np.cumsum([0, *size])[:-1]
         self.a, self.b = self._frame(doc, a, side_a), self._frame(doc, b, side_b)
@@ -202,13 +238,13 @@ class Batch:
 
     def _overlaps(self) -> tuple[np.ndarray, np.ndarray]:
         """(token of A, token of B) positions of all pairs that share a byte."""
-        a = self.a[["doc", "at"]].assign(a=np.arange(len(self.a)), at_a=self.a["at"])
-        b = self.b[["doc", "at"]].assign(b=np.arange(len(self.b)), at_b=self.b["at"])
-        ab = pd.merge_asof(a, b, on="at", by="doc")
-        ba = pd.merge_asof(b, a, on="at", by="doc")
-        ba = ba[ba["at_a"] != ba["at_b"]]  # equal starts are in both directions
-        return (np.concatenate([ab["a"].to_numpy(np.int64), ba["a"].to_numpy(np.int64)]),
-                np.concatenate([ab["b"].to_numpy(np.int64), ba["b"].to_numpy(np.int64)]))
+        a = self.a[["doc", "at"]].assign(a=np.arange(len(self.a)))
+        b = self.b[["doc", "at"]].assign(b=np.arange(len(self.b)))
+        over = pd.merge_asof(a, b, on="at", by="doc")["b"].to_numpy(np.int64)  # the token of B over each start of A
+        under = pd.merge_asof(b, a, on="at", by="doc")["a"].to_numpy(np.int64)
+        twice = self.a["at"].to_numpy()[under] == self.b["at"].to_numpy()  # equal starts are in both directions
+        other = np.nonzero(~twice)[0]
+        return np.concatenate([np.arange(len(over)), under[other]]), np.concatenate([over, other])
 
     def counts(self):
         """(tokens of A, tokens of B, groups, links) of each text."""
@@ -237,33 +273,49 @@ class Batch:
     def links(self, size_a: int, size_b: int):
         """Yields (text, pair, links): the distinct id pairs of each text with
         the number of their linked occurrences, pair = a * size_b + b."""
+        def tokens(f, size):
+            return f["group"].to_numpy(), f["id"].to_numpy(), np.ones(len(f), np.int64)
+
         def distinct(f, size):
             k, n = np.unique(f["group"].to_numpy() * size + f["id"].to_numpy(), return_counts=True)
             return k // size, k % size, n
-        ga, a, ca = distinct(self.a, size_a)
-        gb, b, cb = distinct(self.b, size_b)
+
+        def per_group(gb):
+            size = np.bincount(gb, minlength=len(self.cuts))  # every group has tokens of both sides
+            return np.cumsum(size) - size, size
         doc = np.zeros(len(self.cuts), np.int64)
         doc[self.a["group"]] = self.a["doc"]
-        own = doc[ga] * size_a + a
-        o = np.argsort(own, kind="stable")  # all groups of one id of one text stand together
-        ga, a, ca, own = ga[o], a[o], ca[o], own[o]
-        size = np.bincount(gb, minlength=len(self.cuts))  # every group has tokens of both sides
-        first, many = (np.cumsum(size) - size)[ga], size[ga]
-        total = np.concatenate([[0], np.cumsum(many)])
-        x = 0
-        while x < len(ga):
-            y = max(x + 1, int(np.searchsorted(total, total[x] + BLOCK, side="right")) - 1)
-            y = int(np.searchsorted(own, own[y - 1], side="right"))
-            n = many[x:y]
+        ga, a, ca = tokens(self.a, size_a)
+        gb, b, cb = tokens(self.b, size_b)
+        start, size = per_group(gb)
+        if size[ga].sum() <= BLOCK:
+            blocks = [(0, len(ga))]
+        else:  # very many links: of equal ids of a group one stands for all, and an id's rows of one text are in one block
+            ga, a, ca = distinct(self.a, size_a)
+            gb, b, cb = distinct(self.b, size_b)
+            start, size = per_group(gb)
+            own = doc[ga] * size_a + a
+            o = np.argsort(own, kind="stable")
+            ga, a, ca, own = ga[o], a[o], ca[o], own[o]
+            total = np.concatenate([[0], np.cumsum(size[ga])])
+            blocks, x = [], 0
+            while x < len(ga):
+                y = max(x + 1, int(np.searchsorted(total, total[x] + BLOCK, side="right")) - 1)
+                blocks.append((x, int(np.searchsorted(own, own[y - 1], side="right"))))
+                x = blocks[-1][1]
+        for x, y in blocks:
+            n = size[ga[x:y]]
             i = np.repeat(np.arange(x, y), n)
-            j = np.arange(len(i)) - np.repeat(total[x:y] - total[x], n) + first[i]
+            if not len(i):
+                continue
+            at = np.cumsum(n) - n
+            j = np.arange(len(i)) + np.repeat(start[ga[x:y]] - at, n)
             key, weight = (doc[ga[i]] * size_a + a[i]) * size_b + b[j], ca[i] * cb[j]
-            s = np.argsort(key, kind="stable")
+            s = np.argsort(key)
             key, weight = key[s], weight[s]
             new = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             key, weight = key[new], np.add.reduceat(weight, new)
             yield key // (size_a * size_b), key % (size_a * size_b), weight
-            x = y
 
 
 def _labels(size: int) -> np.ndarray:
