@@ -30,8 +30,13 @@ class Builtin:
 
 # Necessary literals per pattern (derived from each regex's mandatory text).
 # Case-sensitive patterns use exact text; case-insensitive ones lower case.
+_DIGITS = tuple("0123456789")
 _GUARDS: dict[str, tuple[tuple[str, ...], bool]] = {
     "email": (("@",), False),
+    "phone": (_DIGITS, False),
+    "ip": (_DIGITS, False),
+    "credit_card": (_DIGITS, False),
+    "ssn": (_DIGITS, False),
     "aws_access_key": (("AKIA", "ASIA", "AROA", "AIDA", "AGPA", "AIPA", "ANPA", "ANVA", "APKA"), False),
     "jwt_token": (("eyJ",), False),
     "github_client_id": (("Iv1.",), False),
