@@ -1,6 +1,6 @@
 """F6 over a large audit log: substring search by a trigram index.
 
-The log is kept in blocks of entries close in time.  For each block the
+The log is kept in blocks of entries that came together.  For each block the
 index holds the trigrams of everything a search looks at, as rows (gram,
 block) in folders by a hash of the gram.  A search reads the folders of its
 term's trigrams, keeps the blocks that have all of them, reads only those
@@ -40,19 +40,16 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
 
 
-def append_indexed(entries: DataFrame, path: str, block_entries: int = BLOCK_ENTRIES, computed: bool = True) -> None:
-    """A5 with an index: appends entries to the log at ``path`` in blocks
-    ordered by time, and their trigrams to its index.  The index is written
-    last; a log block without one is found by no indexed search, so an append
-    that failed is simply repeated.  Entries are counted, sampled and written:
-    unless they are a plain read (``computed=False``), they are stored once
-    before."""
-    entries = stored(entries, "entries") if computed else entries
-    blocks = max(1, -(-entries.count() // block_entries))
+def append_indexed(entries: DataFrame, path: str, block_entries: int = BLOCK_ENTRIES) -> None:
+    """A5 with an index: appends entries to the log at ``path`` in blocks, as
+    they come (a stream comes in the order of time), and their trigrams to its
+    index.  No entry is shuffled.  The index is written last; a log block
+    without one is found by no indexed search, so an append that failed is
+    simply repeated."""
     batch = uuid.uuid4().hex
-    name = F.concat(F.lit(batch + "-"), F.spark_partition_id().cast("string"))
-    placed = entries.repartitionByRange(blocks, F.col("timestamp").asc_nulls_first(), "id").withColumn("block", name)
-    placed.write.mode("append").option("compression", "zstd").partitionBy("block").parquet(f"{path}/log")
+    at = F.monotonically_increasing_id()  # partition and place in it
+    name = F.concat_ws("-", F.lit(batch), F.shiftright(at, 33), F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / block_entries))
+    entries.withColumn("block", name).write.mode("append").option("compression", "zstd").partitionBy("block").parquet(f"{path}/log")
     spark = entries.sparkSession
     new = _log(spark, path).where(F.col("block").startswith(batch))
     grams = new.select("block", F.explode(_searched()).alias("s")).select("block", F.explode(_grams(F.col("s"))).alias("gram")).distinct()

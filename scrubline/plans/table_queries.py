@@ -328,7 +328,7 @@ def audit_filtered_sql():
 def audit_search_indexed(spark, sf_dir):
     """F6 by the trigram index: the rows of audit_search, from the blocks that can hold them."""
     path = _folder(spark, "log")
-    audit_index.append_indexed(Q._audit(spark, sf_dir), path, 500, computed=False)
+    audit_index.append_indexed(Q._audit(spark, sf_dir), path, 500)
     return audit_index.search_indexed(spark, path, "Example").select("id")
 
 

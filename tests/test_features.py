@@ -33,8 +33,8 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     texts[60] = "needle in here"
     entries = log(spark, texts)
     path = str(tmp_path / "log")
-    X.append_indexed(entries.where("id < '5'"), path, 10)
-    X.append_indexed(entries.where("id >= '5'"), path, 10)
+    X.append_indexed(entries.where("id < '5'").coalesce(1), path, 10)
+    X.append_indexed(entries.where("id >= '5'").coalesce(2), path, 10)
     assert X.read_log(spark, path).count() == 122
     for term in ("needle", "ALPHA bravo", "über", "\U0001f600", "x\U0001f600Y", "ip", "[EMAIL]", "email", "%_'", "nothing like it", "ab", "", "u7@mail.com u7"):
         want = sorted(r.id for r in A.search(entries, term).collect())
