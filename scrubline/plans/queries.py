@@ -32,7 +32,7 @@ from scrubline.operators.rules import Rule, default_rules
 from scrubline.operators.sanitize import is_json, replacement_map, sanitize
 from scrubline.operators.words import with_custom_words, words_from
 from scrubline.plans import oracles as O
-from scrubline.plans.inputs import documents_with_planted, oracle_documents_with_planted, table
+from scrubline.plans.inputs import documents_with_planted, oracle_documents_with_planted, stream_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -653,8 +653,8 @@ def stream_sanitize(spark, sf_dir):
     (stateless), written with an exactly-once file sink; returns the sink."""
     import uuid
     from scrubline.streaming.stream import run_file_stream
-    return run_file_stream(spark, sf_dir, "text", FIXED_RULES, keys=["conv_id", "turn"], name=f"query-{uuid.uuid4().hex}",
-                           glob="conversations.parquet").select("conv_id", "turn", "sanitized")
+    return run_file_stream(spark, stream_path(sf_dir, "conversations"), "text", FIXED_RULES, keys=["conv_id", "turn"],
+                           name=f"query-{uuid.uuid4().hex}").select("conv_id", "turn", "sanitized")
 
 
 def stream_sanitize_sql():

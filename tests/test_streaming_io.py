@@ -68,3 +68,16 @@ def test_sql_functions(spark):
                   "t_hash('john@company.com') AS h, t_text(NULL) AS n").collect()[0]
     assert r["s"] == "mail [EMAIL] from [IP]" and r["m"] == "Xxxxx000!" and r["n"] is None
     assert r["h"] == 2127814104
+
+
+def _folder_tables(spark, tmp_path):
+    """Conversations as a folder of files, as large tables come."""
+    rows = [(f"c{i}", i % 3, "user", None if i % 5 == 0 else f"mail u{i}@b.co from 10.0.0.{i}") for i in range(20)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_stream_sanitize_reads_a_folder(spark, tmp_path):
+    from scrubline.plans.queries import stream_sanitize
+    out = {r.conv_id: r.sanitized for r in stream_sanitize(spark, _folder_tables(spark, tmp_path)).collect()}
+    assert len(out) == 20 and out["c0"] is None and out["c7"] == "mail [EMAIL] from [IP]"
