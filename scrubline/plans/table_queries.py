@@ -21,7 +21,7 @@ from scrubline.operators.rules import Rule, default_rules
 from scrubline.operators.sanitize import sanitize, sanitize_table
 from scrubline.plans import oracles as O
 from scrubline.plans import queries as Q
-from scrubline.plans.inputs import table
+from scrubline.plans.inputs import stream_path, table
 from scrubline.session import checkpoint_dir
 from scrubline.sources import committed
 from scrubline.sources import io as IO
@@ -481,7 +481,7 @@ def results_exported_sql():
 
 def _conversation_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    src = spark.readStream.schema(schema).parquet(stream_path(sf_dir, "conversations"))
     return src.withColumn("id", F.concat_ws("-", "conv_id", "turn")).withColumn("ts", F.lit(Q.AUDIT_BASE))
 
 

@@ -81,3 +81,11 @@ def test_stream_sanitize_reads_a_folder(spark, tmp_path):
     from scrubline.plans.queries import stream_sanitize
     out = {r.conv_id: r.sanitized for r in stream_sanitize(spark, _folder_tables(spark, tmp_path)).collect()}
     assert len(out) == 20 and out["c0"] is None and out["c7"] == "mail [EMAIL] from [IP]"
+
+
+def test_audit_streams_read_a_folder(spark, tmp_path):
+    from scrubline.plans.table_queries import stream_audit, stream_trigger
+    src = _folder_tables(spark, tmp_path)
+    for q in (stream_audit, stream_trigger):
+        out = {r.id: (r.sanitized_text, r.detections_count) for r in q(spark, src).collect()}
+        assert len(out) == 20 and out["c0-0"] == (None, 0) and out["c7-1"] == ("mail [EMAIL] from [IP]", 2)
