@@ -16,7 +16,10 @@ from scrubline import fixed as FX
 from scrubline.functions.stored import global_rank
 from scrubline.operators import audit as A
 from scrubline.operators.sanitize import run_statistics
-from scrubline.operators.rules import MAX_RULES, RULE_SCHEMA, validate_rules
+from scrubline.operators.rules import RULE_SCHEMA, validate_rules
+
+#: Rules of one document of an export.
+EXPORT_RULES = 5000
 
 _JSON_RULE = T.StructType([f for f in RULE_SCHEMA.fields if f.name not in ("ordinal", "profile")])
 
@@ -36,30 +39,38 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A3: an export file ``{"rules": [...], ...}``; rejects a file whose
-    ``rules`` is not an array; returns the rules with their ``validation``
-    (B1) so callers keep ``validation.is_valid`` rows."""
+    """A3: an export ``{"rules": [...], ...}``, in one document or several;
+    rejects one whose ``rules`` is not an array; returns the rules with their
+    ``validation`` (B1) so callers keep ``validation.is_valid`` rows.  A
+    document's ``offset`` is the place of its first rule (0 if not given)."""
     raw = spark.read.option("multiLine", True).json(path)
     if "rules" not in raw.columns or not isinstance(raw.schema["rules"].dataType, T.ArrayType):
         raise ValueError("invalid rules file: 'rules' must be an array")
-    typed = raw.select(F.from_json(F.to_json("rules"), T.ArrayType(_JSON_RULE)).alias("rules"))
-    rules = typed.select(F.posexplode("rules").alias("ordinal", "r")).select(
-        *[F.col(f"r.{f.name}").alias(f.name) for f in _JSON_RULE.fields], F.col("ordinal").cast("int"),
+    offset = F.coalesce(F.col("offset").cast("int"), F.lit(0)) if "offset" in raw.columns else F.lit(0)
+    typed = raw.select(offset.alias("offset"), F.from_json(F.to_json("rules"), T.ArrayType(_JSON_RULE)).alias("rules"))
+    rules = typed.select("offset", F.posexplode("rules").alias("at", "r")).select(
+        *[F.col(f"r.{f.name}").alias(f.name) for f in _JSON_RULE.fields], (F.col("offset") + F.col("at")).cast("int").alias("ordinal"),
         F.lit(None).cast("string").alias("profile"))
     return validate_rules(rules)
 
 
 def export_rules(rules: DataFrame, path: str, export_date: dt.datetime | None = None) -> None:
-    """A4: one JSON document ``{rules, exportDate, version}``."""
+    """A4: one JSON document ``{rules, exportDate, version}``.  Of more than
+    EXPORT_RULES rules, several such documents, a file each, with the place
+    of their first rule as ``offset``: no task gathers more than one."""
     when = (export_date or dt.datetime.now(dt.timezone.utc)).isoformat()
     cols = [f.name for f in _JSON_RULE.fields]
-    size = rules.limit(MAX_RULES + 1).count()
-    if size > MAX_RULES:
-        raise ValueError(f"rule set larger than {MAX_RULES} rules")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", F.struct(*cols).alias("rule"))))
-    doc = rules.agg(F.transform(ordered, lambda x: x["rule"]).alias("rules")).select(
-        "rules", F.lit(when).alias("exportDate"), F.lit(FX.EXPORT_VERSION).alias("version"))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    rule = F.struct(*cols).alias("rule")
+    head = [F.lit(when).alias("exportDate"), F.lit(FX.EXPORT_VERSION).alias("version")]
+    if rules.limit(EXPORT_RULES + 1).count() <= EXPORT_RULES:
+        ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id", rule)))
+        doc = rules.agg(F.transform(ordered, lambda x: x["rule"]).alias("rules")).select("rules", *head)
+        doc.coalesce(1).write.mode("overwrite").json(path)
+        return
+    placed = global_rank(rules.select("ordinal", "id", rule), "ordinal", "id", "rule", out="__at")
+    parts = placed.groupBy(F.floor(F.col("__at") / EXPORT_RULES).alias("__part")).agg(F.array_sort(F.collect_list(F.struct("__at", "rule"))).alias("placed"))
+    docs = parts.select(F.transform("placed", lambda x: x["rule"]).alias("rules"), *head, (F.col("__part") * EXPORT_RULES).alias("offset"))
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)  # a document read as such is a whole file
 
 
 def export_audit(audit: DataFrame, path: str) -> None:

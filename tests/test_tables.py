@@ -162,3 +162,16 @@ def test_rule_io_roundtrip(spark, tmp_path):
     IO.backup(str(tmp_path / "bk"), rules=df)
     parts = IO.restore(spark, str(tmp_path / "bk"))
     assert set(parts) == {"rules"} and parts["rules"].count() == 60
+
+
+def test_export_of_many_rules(spark, tmp_path):
+    """More rules than one document holds: all come back, in order."""
+    from scrubline.sources import io as IO
+    n = 2 * IO.EXPORT_RULES + 3
+    rules = spark.range(n).selectExpr("concat('r', id) AS id", "'literal' AS type", "concat('p', id) AS pattern", "cast(NULL AS string) AS flags", "'x' AS replacement",
+                                      "'custom' AS category", "true AS enabled", "cast(NULL AS int) AS priority", "cast(NULL AS string) AS name",
+                                      "cast(NULL AS string) AS description", "false AS case_sensitive", f"cast({n} - id AS int) AS ordinal", "cast(NULL AS string) AS profile")
+    IO.export_rules(rules, str(tmp_path / "many"))
+    back = IO.import_rules(spark, str(tmp_path / "many")).orderBy("ordinal").collect()
+    assert [r.ordinal for r in back] == list(range(n))
+    assert [r.id for r in back] == [f"r{k}" for k in reversed(range(n))] and all(r.validation.is_valid for r in back)
