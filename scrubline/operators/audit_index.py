@@ -12,28 +12,68 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.functions.stored import stored
 from scrubline.operators.audit import AUDIT_SCHEMA, search
+from scrubline.operators.wordscan import BATCH_ROWS, NONE, code_points
 
 #: Entries of a block, and folders of the index.
 BLOCK_ENTRIES, FOLDERS = 1000, 64
-
-
-def _grams(s: Column) -> Column:
-    """The distinct trigrams of a string."""
-    c = F.split(s, "", -1)
-    c = F.filter(c, lambda x: x != "")
-    return F.when(F.size(c) >= 3, F.array_distinct(F.zip_with(F.zip_with(F.slice(c, 1, F.size(c) - 2), F.slice(c, 2, F.size(c) - 2), lambda a, b: F.concat(a, b)),
-                                                              F.slice(c, 3, F.size(c) - 2), lambda a, b: F.concat(a, b)))).otherwise(F.array().cast("array<string>"))
+#: Trigrams that a table of flags may tell apart; of larger alphabets they are sorted.
+TABLE = 1 << 26
 
 
 def _searched() -> Column:
-    """All strings that ``audit.search`` looks at, in lower case."""
+    """The distinct strings that ``audit.search`` looks at, in lower case."""
     dets = F.coalesce(F.flatten(F.transform("detections", lambda d: F.array(d["rule_name"], d["match"]))), F.array().cast("array<string>"))
-    return F.transform(F.concat(F.array("original_text", "sanitized_text"), dets), lambda s: F.lower(F.coalesce(s, F.lit(""))))
+    return F.array_distinct(F.transform(F.concat(F.array("original_text", "sanitized_text"), dets), lambda s: F.lower(F.coalesce(s, F.lit("")))))
+
+
+def _trigrams(texts: list[str]) -> list[str]:
+    """The distinct trigrams of some strings; none crosses from one into the next."""
+    cps = np.full(sum(len(t) + 1 for t in texts), NONE, np.int64)
+    at = 0
+    for t in texts:
+        cps[at:at + len(t)] = code_points(t)
+        at += len(t) + 1
+    if len(cps) < 3:
+        return []
+    met = np.zeros(NONE + 1, bool)
+    met[cps] = True
+    alphabet = np.flatnonzero(met)
+    n, place = len(alphabet), np.zeros(NONE + 1, np.int32)
+    place[alphabet] = np.arange(n, dtype=np.int32)
+    c = place[cps].astype(np.int64)
+    code = (c[:-2] * n + c[1:-1]) * n + c[2:]
+    if n ** 3 <= TABLE:
+        seen = np.zeros(n ** 3, bool)
+        seen[code] = True
+        code = np.flatnonzero(seen)
+    else:
+        code = np.unique(code)
+    three = alphabet[np.stack([code // (n * n), code // n % n, code % n], axis=1)]
+    three = three[(three != NONE).all(axis=1)]
+    joined = three.astype("<u4").tobytes().decode("utf-32-le")
+    return [joined[i:i + 3] for i in range(0, len(joined), 3)]
+
+
+def _block_grams(log: DataFrame) -> DataFrame:
+    """(block, gram): the trigrams of the blocks of a log, distinct within a
+    batch of rows."""
+    def run(batches):
+        for t in batches:
+            block, texts = t.column(0).to_pylist(), t.column(1)
+            cuts = [i for i in range(len(block)) if i == 0 or block[i] != block[i - 1]] + [len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                grams = _trigrams(texts.slice(a, b - a).flatten().to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([block[a]] * len(grams), pa.string()), pa.array(grams, pa.string())], ["block", "gram"])
+
+    log.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return log.select("block", _searched().alias("texts")).mapInArrow(run, "block string, gram string")
 
 
 def _folder(gram: Column) -> Column:
@@ -52,9 +92,9 @@ def append_indexed(entries: DataFrame, path: str, block_entries: int = BLOCK_ENT
     entries.withColumn("block", name).write.mode("append").option("compression", "zstd").partitionBy("block").parquet(f"{path}/log")
     spark = entries.sparkSession
     new = _log(spark, path).where(F.col("block").startswith(batch))
-    grams = new.select("block", F.explode(_searched()).alias("s")).select("block", F.explode(_grams(F.col("s"))).alias("gram")).distinct()
-    # a few thousand grams a block, so a folder is written by one task
-    grams.withColumn("folder", _folder(F.col("gram"))).repartition(FOLDERS, "folder").write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/grams")
+    grams = _block_grams(new).withColumn("folder", _folder(F.col("gram")))
+    # dealt by folder, so a folder is written by one task; equal rows meet there
+    grams.repartition(FOLDERS, "folder").distinct().write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(f"{path}/grams")
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:

@@ -179,3 +179,12 @@ def test_exports_are_visible_whole_or_not_at_all(spark, tmp_path):
     assert C.read_committed(spark, path).collect() == []
     C.export_committed(df.select("t"), path, "text")
     assert C.read_committed(spark, path).count() == 100
+
+
+def test_trigrams_of_a_block():
+    """Distinct, none across two strings, also by sorting when the alphabet is large."""
+    plain = lambda texts: {t[i:i + 3] for t in texts for i in range(len(t) - 2)}
+    wide = "".join(chr(0x4E00 + 7 * i % 900) for i in range(3000))  # 900^3 trigrams are possible
+    for texts in ([], ["ab", "", "c"], ["abcabc", "bcd", "x\U0001f600yz", "\x00\x00\x00"], [wide, "abc"]):
+        got = X._trigrams(texts)
+        assert len(got) == len(set(got)) and set(got) == plain(texts)
