@@ -202,24 +202,35 @@ _SPEC_TYPE = ("ARRAY<STRUCT<rank:INT, sub:INT, prio:INT, kv:BOOLEAN, tq:BOOLEAN,
               "g:ARRAY<STRING>, v2:ARRAY<STRING>, v1:ARRAY<STRING>>>")
 
 
-def _spec_entry(s: Spec, prio: int, x: str, guard: str | None) -> str:
+def _spec_entry(s: Spec, prio: int, x: str) -> str:
     """``array(spec struct)`` when spec ``s`` matched the row, else an empty
     (constant) array.  The struct carries the generic candidate builder's
     inputs: rule rank, template, priority, kv flags, the matches, the gaps
-    (split) and the value groups.  The regex runs only when the guard
-    passes; split and group extraction only when it matched."""
-    def body(m):
-        v2 = f"regexp_extract_all({x}, {q(s.java)}, 2)" if s.kv else _SPEC_EMPTY
-        v1 = f"regexp_extract_all({x}, {q(s.java)}, 1)" if s.kv and s.key_groups else _SPEC_EMPTY
-        st = (f"named_struct('rank', {s.rank}, 'sub', {s.sub}, 'prio', {prio}, 'kv', {str(s.kv).lower()}, "
-              f"'tq', {str(s.trail_quote).lower()}, 'kg', {str(s.key_groups).lower()}, 'm', {m}, "
-              f"'g', split({x}, {q(s.java)}, -1), 'v2', {v2}, 'v1', {v1})")
-        return f"CASE WHEN size({m}) > 0 THEN array({st}) ELSE CAST(array() AS {_SPEC_TYPE}) END"
-    found = f"regexp_extract_all({x}, {q(s.java)}, 0)"
-    entry = let(f"slice({found}, 1, 1)" if s.first_only else found, body)
-    if guard is None:
-        return f"coalesce({entry}, CAST(array() AS {_SPEC_TYPE}))"
-    return f"CASE WHEN {guard} THEN coalesce({entry}, CAST(array() AS {_SPEC_TYPE})) ELSE CAST(array() AS {_SPEC_TYPE}) END"
+    (split) and the value groups, which are taken only when the regex is
+    found."""
+    m = f"regexp_extract_all({x}, {q(s.java)}, 0)"
+    v2 = f"regexp_extract_all({x}, {q(s.java)}, 2)" if s.kv else _SPEC_EMPTY
+    v1 = f"regexp_extract_all({x}, {q(s.java)}, 1)" if s.kv and s.key_groups else _SPEC_EMPTY
+    st = (f"named_struct('rank', {s.rank}, 'sub', {s.sub}, 'prio', {prio}, 'kv', {str(s.kv).lower()}, "
+          f"'tq', {str(s.trail_quote).lower()}, 'kg', {str(s.key_groups).lower()}, 'm', {f'slice({m}, 1, 1)' if s.first_only else m}, "
+          f"'g', split({x}, {q(s.java)}, -1), 'v2', {v2}, 'v1', {v1})")
+    return f"CASE WHEN {x} RLIKE {q(s.java)} THEN array({st}) ELSE CAST(array() AS {_SPEC_TYPE}) END"
+
+
+def _flat(arrays: list[str]) -> str:
+    # an interpreted ``concat`` of many arrays costs far more than its parts
+    return arrays[0] if len(arrays) == 1 else f"flatten(array({', '.join(arrays)}))"
+
+
+def _spec_entries(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
+    """The entries of all specs as one array.  Specs with one guard (the
+    templates of a key-value rule) stand behind it together, so a row without
+    the guard's literal passes them at the cost of one test.  Their order is
+    of no account: candidates are sorted."""
+    groups: dict[tuple, list[str]] = {}
+    for s in comp.specs:
+        groups.setdefault((s.guard, s.guard_lower) if s.guard else (), []).append(_spec_entry(s, comp.prio[s.rank], x))
+    return _flat([f"CASE WHEN {guards[g]} THEN {_flat(es)} ELSE CAST(array() AS {_SPEC_TYPE}) END" if g else _flat(es) for g, es in groups.items()])
 
 
 def _spec_candidates(z: str, x: str) -> str:
@@ -232,12 +243,18 @@ def _spec_candidates(z: str, x: str) -> str:
     but marked (vstart = -2): they still take part in the (start, match)
     de-duplication before they are dropped.  Non-kv candidates carry
     vstart = vend = -1."""
-    a, b, acc, p = name("a"), name("b"), name("s"), name("p")
+    a, b, acc, p, one = name("a"), name("b"), name("s"), name("p"), name("p")
     pairs = (f"zip_with({z}.m, slice({z}.g, 1, greatest(size({z}.m), 1)), "
              f"({a}, {b}) -> named_struct('m', {a}, 'g', {b}))")
-    st = f"({acc}.pos + length({p}.g))"
-    bs = f"({acc}.bpos + octet_length({p}.g))"
-    j = f"({acc}.n0 + size({acc}.out))"
+    item = _candidate(z, p, f"({acc}.pos + length({p}.g))", f"({acc}.bpos + octet_length({p}.g))", f"({acc}.n0 + size({acc}.out))")
+    single = _candidate(z, one, f"length({one}.g)", f"octet_length({one}.g)", "0")
+    return (f"CASE WHEN size({z}.m) = 1 THEN transform(array(named_struct('m', get({z}.m, 0), 'g', get({z}.g, 0))), {one} -> {single}) "
+            f"ELSE {block_fold(pairs, acc, p, item, CAND_TYPE)} END")
+
+
+def _candidate(z: str, p: str, st: str, bs: str, j: str) -> str:
+    """The candidate of the (match, gap) pair ``p`` of spec ``z``, number
+    ``j``, that starts at ``st`` (byte ``bs``)."""
     val = (f"CASE WHEN {z}.kg AND coalesce(get({z}.v2, {j}), '') = '' THEN get({z}.v1, {j}) "
            f"ELSE get({z}.v2, {j}) END")
 
@@ -254,8 +271,7 @@ def _spec_candidates(z: str, x: str) -> str:
                     f"'end', {st} + length({p}.m), 'bstart', {bs}, 'bend', {bs} + octet_length({p}.m), "
                     f"'prio', {z}.prio, 'match', {p}.m, 'vstart', {vstart}, 'vend', {vend})")
         return let(vs, with_vs)
-    item = let(f"CASE WHEN {z}.kv THEN {val} ELSE '' END", with_value)
-    return block_fold(pairs, acc, p, item, CAND_TYPE)
+    return let(f"CASE WHEN {z}.kv THEN {val} ELSE '' END", with_value)
 
 
 def _dedup_kv(srt: str) -> str:
@@ -268,7 +284,8 @@ def _dedup_kv(srt: str) -> str:
     window = f"slice({srt}, greatest({i} - {width - 1}, 1), least({i}, {width}))"
     dup = (f"({c}.vstart != -1 AND exists({window}, {o} -> {o}.rank = {c}.rank AND {o}.start = {c}.start "
            f"AND {o}.match = {c}.match))")
-    return f"filter({srt}, ({c}, {i}) -> NOT {dup} AND {c}.vstart != -2)"
+    return (f"CASE WHEN size({srt}) < 2 THEN filter({srt}, {c} -> {c}.vstart != -2) "
+            f"ELSE filter({srt}, ({c}, {i}) -> NOT {dup} AND {c}.vstart != -2) END")
 
 
 def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
@@ -299,13 +316,19 @@ def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
         src = "`__xl`" if lower else x
         g_sql.append("(" + " OR ".join(f"contains({src}, {q(l)})" for l in lits) + f") AS {col}")
     df1 = df0.selectExpr(*base, *g_sql)
-    entries = [_spec_entry(s, comp.prio[s.rank], x, guards.get((s.guard, s.guard_lower)) if s.guard else None)
-               for s in comp.specs]
-    specs = entries[0] if len(entries) == 1 else f"concat({', '.join(entries)})"
-    df3 = df1.selectExpr(*base, f"{specs} AS `__specs`")
-    z2 = name("z")
-    flat = f"array_sort(flatten(transform(`__specs`, {z2} -> {_spec_candidates(z2, x)})))"
-    return df3.selectExpr(*base, f"{let(flat, _dedup_kv)} AS `__cands`")
+    return df1.selectExpr(*base, f"{_all_candidates(comp, x, guards)} AS `__cands`")
+
+
+def _all_candidates(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
+    """Stages 2-3 as one expression; a row without a match ends after stage 2.
+    (It stays below a lambda on purpose: compiled, hundreds of specs make
+    methods too long for the JVM's own compiler, which then are slower.)"""
+    z = name("z")
+
+    def build(specs):
+        flat = f"array_sort(flatten(transform({specs}, {z} -> {_spec_candidates(z, x)})))"
+        return f"CASE WHEN size({specs}) = 0 THEN CAST(array() AS {CAND_TYPE}) ELSE {let(flat, _dedup_kv)} END"
+    return let(_spec_entries(comp, x, guards), build)
 
 
 #: Candidates that one inner fold of the conflict walk handles.
@@ -487,12 +510,7 @@ def _pipeline_sql(x: str, comp: Compiled, opts: Options, use) -> str:
 
     def with_lower(xl):
         def with_guards(gv):
-            entries = [_spec_entry(s, comp.prio[s.rank], x, f"{gv}.{gkeys[(s.guard, s.guard_lower)]}" if s.guard else None)
-                       for s in comp.specs]
-            specs = entries[0] if len(entries) == 1 else f"concat({', '.join(entries)})"
-            z = name("z")
-            flat = f"array_sort(flatten(transform({specs}, {z} -> {_spec_candidates(z, x)})))"
-            cands = let(flat, _dedup_kv)
+            cands = _all_candidates(comp, x, {g: f"{gv}.{k}" for g, k in gkeys.items()})
             return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), use)
         if not gkeys:
             return with_guards("NULL")
