@@ -41,8 +41,8 @@ from scrubline.session import checkpoint_dir
 PART_BYTES, CHAR_BYTES = 256 << 20, 40
 #: Characters of a word in the automaton; the rest of a longer word is compared where its beginning is found.
 HEAD = 64
-#: Rows of an Arrow batch.
-BATCH_ROWS = 256
+#: Rows of an Arrow batch; batches of short texts are walked together until they have these bytes.
+BATCH_ROWS, WALK_BYTES = 256, 1 << 20
 #: No character: stands between texts.
 NONE = 0x110000
 _SHIFT = 21
@@ -319,6 +319,20 @@ def compile_part(words: DataFrame, part: int = 0, parts: int = 1) -> WordIndex:
     return WordIndex(list(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist())))
 
 
+def _gathered(batches):
+    """Batches put together up to WALK_BYTES of text: a walk costs the same
+    steps for few lanes as for many."""
+    held, size = [], 0
+    for t in batches:
+        held.append(t)
+        size += t.column(0).nbytes
+        if size >= WALK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _walked(df: DataFrame, text: str, index: WordIndex, keep: list[str], out: str) -> DataFrame:
     """``keep`` and the hits of ``text`` as column ``out``; no shuffle."""
     spark = df.sparkSession
@@ -328,7 +342,7 @@ def _walked(df: DataFrame, text: str, index: WordIndex, keep: list[str], out: st
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.DataType.fromDDL(HIT_TYPE))])
 
     def run(batches):
-        for t in batches:
+        for t in _gathered(batches):
             yield pa.RecordBatch.from_arrays([*t.columns[1:], _batch_hits(shared.value, t.column(0).to_pylist())], [*keep, out])
 
     return src.mapInArrow(run, schema)

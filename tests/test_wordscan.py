@@ -90,3 +90,13 @@ def test_a_million_words(spark):
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
     d = detect(text, "text", [], Options(generate_replacements=False), words=words, key="id")
     assert d.selectExpr("sum(size(detections)) AS n").first().n == want.count()
+
+
+def test_short_texts_are_walked_together():
+    """Small batches meet up to a size, in order; a large one stays alone; empty ones vanish."""
+    import pyarrow as pa
+    one = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], ["t", "n"])
+    small, large = [one([f"a{i}", None]) for i in range(5)], one(["x" * S.WALK_BYTES])
+    got = list(S._gathered([*small, large, one([]), small[0]]))
+    assert [t.num_rows for t in got] == [11, 2]
+    assert got[0].column(0).to_pylist()[:4] == ["a0", None, "a1", None] and list(S._gathered([one([])])) == []
