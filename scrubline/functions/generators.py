@@ -114,13 +114,14 @@ def fake_value(branch: str, v: str) -> str:
         return _with_vals(v, 2, lambda vals: (
             f"concat(coalesce(try_element_at({words}, CAST({R.next_int(vals, 0, 0, len(FX.PASSWORD_WORDS) - 1)} + 1 AS INT)), "
             f"'undefined'), 'Pass', {_str(R.next_int(vals, 1, 100, 999))}, '!')"))
-    need = f"greatest(length({v}), 40) + 1"
+    def need(n):
+        return f"greatest(length({v}), {n})"
     if branch == "secret_token":
-        return _with_vals(v, need, lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,4}_)", 8, 16))
+        return _with_vals(v, need(16), lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,4}_)", 8, 16))
     if branch == "api":
-        return _with_vals(v, need, lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,6}_)", 12, 20))
+        return _with_vals(v, need(20), lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,6}_)", 12, 20))
     if branch == "access_key":
-        return _with_vals(v, need, lambda vals: (
+        return _with_vals(v, 16, lambda vals: (
             f"CASE WHEN upper(left({v}, 4)) RLIKE '^A[KS]IA' THEN concat(upper(left({v}, 4)), {R.alnum(vals, 0, 16)}) "
             f"ELSE concat('AKIA', {R.alnum(vals, 0, 16)}) END"))
     if branch == "private":
@@ -128,13 +129,13 @@ def fake_value(branch: str, v: str) -> str:
             return let(f"regexp_extract({v}, '(?i)^(sk_|priv_)', 1)", lambda p: (
                 f"CASE WHEN {p} != '' THEN concat({p}, {R.alnum(vals, 0, f'greatest(16, length({v}) - length({p}))')}) "
                 f"ELSE concat('sk_', {R.alnum(vals, 0, 24)}) END"))
-        return _with_vals(v, need, body)
+        return _with_vals(v, need(24), body)
     if branch == "bearer":
-        return _with_vals(v, need, lambda vals: f"concat('Bearer ', {R.alnum(vals, 0, 32)})")
+        return _with_vals(v, 32, lambda vals: f"concat('Bearer ', {R.alnum(vals, 0, 32)})")
     if branch == "connection":
-        return _with_vals(v, need, lambda vals: (
+        return _with_vals(v, need(40), lambda vals: (
             f"CASE WHEN contains({v}, '://') THEN {db_connection(v)} ELSE {R.alnum(vals, 0, f'length({v})')} END"))
-    return _with_vals(v, need, lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,6}_)", 8, 12))
+    return _with_vals(v, need(12), lambda vals: _prefixed(v, vals, r"^([a-zA-Z]{2,6}_)", 8, 12))
 
 
 # ---------------------------------------------------------------- URLs

@@ -45,10 +45,12 @@ def js_hash(s: str) -> str:
     lo = f"(56320 + (({cp} - 65536) & 1023))"
     step = (f"CASE WHEN {cp} >= 65536 THEN (((({a} * 33 + {hi}) & {_M31}) * 33 + {lo}) & {_M31}) "
             f"ELSE (({a} * 33 + {cp}) & {_M31}) END")
-    e = name("e")
-    chars = f"filter(split({s}, '', -1), {e} -> {e} != '')"
-    return (f"aggregate({chars}, CAST({FX.HASH_START} AS BIGINT), ({a}, {c}) -> {step}, "
-            f"{a} -> CASE WHEN {a} = 0 THEN CAST(1 AS BIGINT) ELSE {a} END)")
+    def fold(step):
+        return (f"aggregate(split({s}, '', -1), CAST({FX.HASH_START} AS BIGINT), ({a}, {c}) -> {step}, "
+                f"{a} -> CASE WHEN {a} = 0 THEN CAST(1 AS BIGINT) ELSE {a} END)")
+    # a text of single bytes holds no surrogates
+    return (f"CASE WHEN {s} = '' THEN CAST({FX.HASH_START} AS BIGINT) WHEN octet_length({s}) = length({s}) "
+            f"THEN {fold(f'(({a} * 33 + ascii({c})) & {_M31})')} ELSE {fold(step)} END")
 
 
 def _seed(seed: str) -> str:
@@ -73,13 +75,13 @@ def rng_values(seed: str, n: str | int) -> str:
     """``array<double>``: the first ``n`` outputs after the 10 warm-up steps
     of xorshift128 seeded with ``seed`` (a positive BIGINT expression)."""
     def body(s):
-        acc, i = name("r"), name("i")
-        na = _next_a(acc)
-        step = (f"named_struct('a', {na}, 'b', {acc}.a, 'c', {acc}.b, 'd', {acc}.c, "
-                f"'v', CASE WHEN {i} > {FX.RNG_WARMUP} THEN concat({acc}.v, array({_value(na)})) ELSE {acc}.v END)")
-        init = _init_state(s, ", 'v', CAST(array() AS ARRAY<DOUBLE>)")
-        return (f"aggregate(sequence(1, greatest({n}, 0) + {FX.RNG_WARMUP}), {init}, "
-                f"({acc}, {i}) -> {step}, {acc} -> {acc}.v)")
+        # the word drawn by a step is put down by the next one, so that it is made once
+        acc, i, z = name("r"), name("i"), name("z")
+        step = (f"named_struct('a', {_next_a(acc)}, 'b', {acc}.a, 'c', {acc}.b, 'd', {acc}.c, "
+                f"'v', CASE WHEN {i} > {FX.RNG_WARMUP + 1} THEN concat({acc}.v, array({acc}.a)) ELSE {acc}.v END)")
+        init = _init_state(s, ", 'v', CAST(array() AS ARRAY<INT>)")
+        return (f"transform(aggregate(sequence(1, greatest({n}, 0) + {FX.RNG_WARMUP + 1}), {init}, "
+                f"({acc}, {i}) -> {step}, {acc} -> {acc}.v), {z} -> {_value(z)})")
     return let(_seed(seed), body)
 
 
@@ -88,16 +90,18 @@ def next_int(vals: str, k: int | str, lo: int, hi: int) -> str:
     return f"CAST(floor(get({vals}, {k}) * {hi - lo + 1}) + {lo} AS BIGINT)"
 
 
+def _pick(val: str, alphabet: str) -> str:
+    """The character of ``alphabet`` that the draw ``val`` picks."""
+    return f"coalesce(get(split({q(alphabet)}, '', -1), CAST(floor({val} * {len(alphabet)}) AS INT)), 'undefined')"
+
+
 def pick_chars(vals: str, k: int | str, n: int | str, alphabet: str) -> str:
     """String of ``n`` characters of ``alphabet`` from draws k, k+1, ...
     (n <= 0 gives ''); a draw of exactly 1.0 indexes past the
     alphabet and yields 'undefined', as in JavaScript."""
     z = name("z")
-    size = len(alphabet)
     n_ok = f"greatest({n}, 0)"
-    pick = (f"CASE WHEN floor({z} * {size}) >= {size} THEN 'undefined' "
-            f"ELSE substr({q(alphabet)}, CAST(floor({z} * {size}) AS INT) + 1, 1) END")
-    return f"array_join(transform(slice({vals}, ({k}) + 1, {n_ok}), {z} -> {pick}), '')"
+    return f"array_join(transform(slice({vals}, ({k}) + 1, {n_ok}), {z} -> {_pick(z, alphabet)}), '')"
 
 
 def alnum(vals: str, k: int | str, n: int | str) -> str:
@@ -127,9 +131,7 @@ def preserve_shape(s: str) -> str:
         draw = f"({lower} OR {upper} OR {digit})"
 
         def pick(alpha):
-            n = len(alpha)
-            return (f"CASE WHEN floor({val} * {n}) >= {n} THEN 'undefined' "
-                    f"ELSE substr({q(alpha)}, CAST(floor({val} * {n}) AS INT) + 1, 1) END")
+            return _pick(val, alpha)
         newch = (f"CASE WHEN {lower} THEN {pick(FX.LOWER_ALPHABET)} WHEN {upper} THEN {pick(FX.UPPER_ALPHABET)} "
                  f"WHEN {digit} THEN {pick(FX.DIGIT_ALPHABET)} ELSE {ch} END")
         step = (f"named_struct("

@@ -73,6 +73,7 @@ class Spec:
     kv: bool = False
     trail_quote: bool = False   # template may end with a closing quote after the value
     key_groups: bool = False    # key pattern has its own capture groups
+    sign: str = ""              # a literal that every match holds besides the guard
 
 
 @dataclass
@@ -115,7 +116,7 @@ def _kv_specs(rank: int, key: str) -> list[Spec]:
             elif cls and t_no == 4:
                 java = java.replace(r"(?:API\s+)?", rf"(?:API\s+|{start})", 1)
             specs.append(Spec(rank, sub, java, guard=guard, guard_lower=True, kv=True,
-                              trail_quote=t_no in (0, 1, 2, 3), key_groups=groups))
+                              trail_quote=t_no in (0, 1, 2, 3), key_groups=groups, sign=":" if t_no < 2 else "="))
             sub += 1
     if key.lower() == "secret":
         # the template's nested loop is any run of two or more that ends alphanumerically
@@ -190,11 +191,20 @@ def _compiles_nonempty(spark, java: str) -> bool:
 
 # ---------------------------------------------------------------- stages
 
-def _guard(spec: Spec, x: str, xl: str | None) -> str | None:
-    if not spec.guard:
-        return None
-    base = xl if spec.guard_lower else x
-    return "(" + " OR ".join(f"contains({base}, {q(g)})" for g in spec.guard) + ")"
+#: Letters from rare to frequent; all other characters are rarer in text.
+_FREQUENT = "zqxjkvbpygwfmucldrhsnioate"
+
+
+def _contains(x: str, g: str) -> str:
+    """``contains(x, g)``.  Spark compares ``g`` wherever its first byte
+    stands, which in a long text costs far more than the walk; so the end of
+    ``g`` from its rarest character on is looked for first."""
+    at = min(range(max(len(g) - 2, 1)), key=lambda i: (_FREQUENT.find(g[i]), i))
+    return f"contains({x}, {q(g)})" if at == 0 else f"(contains({x}, {q(g[at:])}) AND contains({x}, {q(g)}))"
+
+
+def _any_of(x: str, lits: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(_contains(x, g) for g in lits) + ")"
 
 
 _SPEC_EMPTY = "CAST(NULL AS ARRAY<STRING>)"
@@ -225,12 +235,17 @@ def _flat(arrays: list[str]) -> str:
 def _spec_entries(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
     """The entries of all specs as one array.  Specs with one guard (the
     templates of a key-value rule) stand behind it together, so a row without
-    the guard's literal passes them at the cost of one test.  Their order is
-    of no account: candidates are sorted."""
-    groups: dict[tuple, list[str]] = {}
+    the guard's literal passes them at the cost of one test; so do, behind
+    the guard, the templates with one sign (':' or '=').  Their order is of
+    no account: candidates are sorted."""
+    groups: dict[tuple, dict[str, list[str]]] = {}
     for s in comp.specs:
-        groups.setdefault((s.guard, s.guard_lower) if s.guard else (), []).append(_spec_entry(s, comp.prio[s.rank], x))
-    return _flat([f"CASE WHEN {guards[g]} THEN {_flat(es)} ELSE CAST(array() AS {_SPEC_TYPE}) END" if g else _flat(es) for g, es in groups.items()])
+        groups.setdefault((s.guard, s.guard_lower) if s.guard else (), {}).setdefault(s.sign, []).append(_spec_entry(s, comp.prio[s.rank], x))
+
+    def behind(test, entries):
+        return f"CASE WHEN {test} THEN {entries} ELSE CAST(array() AS {_SPEC_TYPE}) END" if test else entries
+    signed = {g: _flat([behind(f"contains({x}, {q(sign)})" if sign else "", _flat(es)) for sign, es in signs.items()]) for g, signs in groups.items()}
+    return _flat([behind(guards[g] if g else "", entries) for g, entries in signed.items()])
 
 
 def _spec_candidates(z: str, x: str) -> str:
@@ -314,7 +329,7 @@ def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
     g_sql = []
     for (lits, lower), col, _ in gexprs:
         src = "`__xl`" if lower else x
-        g_sql.append("(" + " OR ".join(f"contains({src}, {q(l)})" for l in lits) + f") AS {col}")
+        g_sql.append(f"{_any_of(src, lits)} AS {col}")
     df1 = df0.selectExpr(*base, *g_sql)
     return df1.selectExpr(*base, f"{_all_candidates(comp, x, guards)} AS `__cands`")
 
@@ -326,11 +341,20 @@ def _all_candidates(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
     z = name("z")
 
     def build(specs):
-        flat = f"array_sort(flatten(transform({specs}, {z} -> {_spec_candidates(z, x)})))"
+        flat = f"sort_array(flatten(transform({_distinct_kv(specs) if any(s.kv for s in comp.specs) else specs}, {z} -> {_spec_candidates(z, x)})))"
         return f"CASE WHEN size({specs}) = 0 THEN CAST(array() AS {CAND_TYPE}) ELSE {let(flat, _dedup_kv)} END"
     return let(_spec_entries(comp, x, guards), build)
 
 
+def _distinct_kv(specs: str) -> str:
+    """``specs`` without the key-value entries that found just what an earlier
+    template of the same rule found: ``_dedup_kv`` would drop all of their
+    candidates, here they are not built."""
+    z, o = name("z"), name("o")
+    same = f"{o}.rank = {z}.rank AND {o}.sub < {z}.sub AND {o}.m = {z}.m AND {o}.g = {z}.g"
+    return f"filter({specs}, {z} -> NOT ({z}.kv AND exists({specs}, {o} -> {same})))"
+
+
 #: Candidates that one inner fold of the conflict walk handles.
 WALK_BLOCK = 256
 
@@ -515,7 +539,7 @@ def _pipeline_sql(x: str, comp: Compiled, opts: Options, use) -> str:
         if not gkeys:
             return with_guards("NULL")
         gstruct = "named_struct(" + ", ".join(
-            f"{q(k)}, (" + " OR ".join(f"contains({xl if low else x}, {q(l)})" for l in lits) + ")"
+            f"{q(k)}, {_any_of(xl if low else x, lits)}"
             for (lits, low), k in gkeys.items()) + ")"
         return let(gstruct, with_guards)
     return let(f"lower({x})", with_lower)
