@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -74,6 +75,8 @@ class Spec:
     trail_quote: bool = False   # template may end with a closing quote after the value
     key_groups: bool = False    # key pattern has its own capture groups
     sign: str = ""              # a literal that every match holds besides the guard
+    shape: str = ""             # a regex found in every text that holds a match
+    prefixed: str = ""          # a regex; where it is not found, earlier templates of the rule find all of these matches
 
 
 @dataclass
@@ -106,6 +109,9 @@ def _kv_specs(rank: int, key: str) -> list[Spec]:
     specs = []
     groups = RX.capture_group_count(key) > 0
     guard = (key.lower(),) if _PLAIN_KEY.match(key) else ()
+    # A text where no key has a prefix: the prefixed templates find there
+    # just what the plain ones find, start for start.
+    prefixed = f"(?i)[a-zA-Z_]{key}" if guard else ""
     sub = 0
     for kvar, cls in zip(distinct, classes):
         start = rf"(?:(?<![{cls}])|\G|(?<=https?:[{cls}])|(?<=ftp:[{cls}]))"
@@ -116,7 +122,8 @@ def _kv_specs(rank: int, key: str) -> list[Spec]:
             elif cls and t_no == 4:
                 java = java.replace(r"(?:API\s+)?", rf"(?:API\s+|{start})", 1)
             specs.append(Spec(rank, sub, java, guard=guard, guard_lower=True, kv=True,
-                              trail_quote=t_no in (0, 1, 2, 3), key_groups=groups, sign=":" if t_no < 2 else "="))
+                              trail_quote=t_no in (0, 1, 2, 3), key_groups=groups, sign=":" if t_no < 2 else "=",
+                              prefixed=prefixed if cls else ""))
             sub += 1
     if key.lower() == "secret":
         # the template's nested loop is any run of two or more that ends alphanumerically
@@ -148,7 +155,7 @@ def compile_rules(rules: list[Rule], spark=None, words: bool = False, strategy:
             if b is None:
                 warnings.warn(f"unknown builtin pattern: {r.pattern}")
                 continue
-            comp.specs.append(Spec(rank, 0, b.java, guard=b.guard, guard_lower=b.guard_lower))
+            comp.specs.append(Spec(rank, 0, b.java, guard=b.guard, guard_lower=b.guard_lower, shape=b.shape))
         elif r.type == "literal":
             if not r.pattern:
                 continue
@@ -203,8 +210,72 @@ def _contains(x: str, g: str) -> str:
     return f"contains({x}, {q(g)})" if at == 0 else f"(contains({x}, {q(g[at:])}) AND contains({x}, {q(g)}))"
 
 
-def _any_of(x: str, lits: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(_contains(x, g) for g in lits) + ")"
+def _guard_key(s: Spec):
+    """What specs with one guard share; "" for a spec that runs on every row."""
+    return (s.guard, s.guard_lower) if s.guard else s.shape
+
+
+#: Characters that few texts hold and that lower case leaves as they are;
+#: literals with the same one share its test.
+_SIGNS = '_:@/"-'
+
+
+def _hint(g: str, lits: set[str]) -> str:
+    """A part of the literal ``g`` to look for first: a sign, the shortest
+    other literal inside ``g``, or ``g`` itself."""
+    inside = (g[i:i + n] for n in range(1, min(len(g), 32)) for i in range(len(g) - n + 1))
+    return next((c for c in _SIGNS if c in g), None) or next((h for h in inside if h in lits), g)
+
+
+def _guards(comp: Compiled) -> dict:
+    """The tests of a row that specs stand behind: key -> (literals, whether
+    in lower case, shape).  One of the literals and the shape must be there."""
+    out: dict = {}
+    for s in comp.specs:
+        if key := _guard_key(s):
+            same = out.get(key, (s.guard, s.guard_lower, s.shape))
+            out[key] = (s.guard, s.guard_lower, s.shape if s.shape == same[2] else "")
+        if s.prefixed:
+            out[s.prefixed] = (s.guard, s.guard_lower, s.prefixed)
+    return out
+
+
+def _hints(guards: dict) -> dict:
+    """(literal, lower) -> (hint, lower), and shape -> shape, for what at
+    least two guards need: a row answers each of these tests once."""
+    pairs = [(g, lower) for lits, lower, _ in guards.values() for g in lits]
+    shapes = [shape for _, _, shape in guards.values() if shape]
+    every = {low: {g for g, lower in pairs if lower == low} for low in (False, True)}
+    of = {}
+    for g, lower in dict.fromkeys(pairs):
+        hint = _hint(g, every[lower])
+        of[g, lower] = (hint, lower and hint not in _SIGNS)
+    uses = Counter(of[p] for p in pairs) + Counter(shapes)
+    return {k: h for k, h in [*of.items(), *((s, s) for s in shapes)] if uses[h] > 1}
+
+
+def _hint_sql(hint, x: str, xl: str) -> str:
+    return f"{x} RLIKE {q(hint)}" if isinstance(hint, str) else _contains(xl if hint[1] else x, hint[0])
+
+
+def _guard_sql(guard: tuple, x: str, xl: str, hints: dict, held: dict) -> str:
+    """The test of one guard; ``held`` has the answers to the hints."""
+    lits, lower, shape = guard
+
+    def one(g):
+        hint = hints.get((g, lower))
+        test = _contains(xl if lower else x, g)
+        return test if hint is None else held[hint] if hint[0] == g else f"({held[hint]} AND {test})"
+    tests = ["(" + " OR ".join(map(one, lits)) + ")"] if lits else []
+    if shape in hints:
+        tests.insert(0, held[hints[shape]])
+    elif shape:
+        tests.append(f"{x} RLIKE {q(shape)}")
+    return "(" + " AND ".join(tests) + ")"
+
+
+def _needs_lower(guards: dict) -> bool:
+    return any(lower and lits for lits, lower, _ in guards.values())
 
 
 _SPEC_EMPTY = "CAST(NULL AS ARRAY<STRING>)"
@@ -232,20 +303,25 @@ def _flat(arrays: list[str]) -> str:
     return arrays[0] if len(arrays) == 1 else f"flatten(array({', '.join(arrays)}))"
 
 
-def _spec_entries(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
+def _spec_entries(comp: Compiled, x: str, guards: dict) -> str:
     """The entries of all specs as one array.  Specs with one guard (the
     templates of a key-value rule) stand behind it together, so a row without
     the guard's literal passes them at the cost of one test; so do, behind
-    the guard, the templates with one sign (':' or '=').  Their order is of
-    no account: candidates are sorted."""
-    groups: dict[tuple, dict[str, list[str]]] = {}
+    the guard, the templates with one sign (':' or '=') and, behind the sign,
+    those for keys with a prefix, if ``guards`` tests for one.  Their order is
+    of no account: candidates are sorted."""
+    groups: dict = {}
     for s in comp.specs:
-        groups.setdefault((s.guard, s.guard_lower) if s.guard else (), {}).setdefault(s.sign, []).append(_spec_entry(s, comp.prio[s.rank], x))
+        signs = groups.setdefault(_guard_key(s), {})
+        signs.setdefault(s.sign, {}).setdefault(guards.get(s.prefixed, ""), []).append(_spec_entry(s, comp.prio[s.rank], x))
 
     def behind(test, entries):
         return f"CASE WHEN {test} THEN {entries} ELSE CAST(array() AS {_SPEC_TYPE}) END" if test else entries
-    signed = {g: _flat([behind(f"contains({x}, {q(sign)})" if sign else "", _flat(es)) for sign, es in signs.items()]) for g, signs in groups.items()}
-    return _flat([behind(guards[g] if g else "", entries) for g, entries in signed.items()])
+
+    def signed(signs):
+        return _flat([behind(f"contains({x}, {q(sign)})" if sign else "", _flat([behind(test, _flat(es)) for test, es in tests.items()]))
+                      for sign, tests in signs.items()])
+    return _flat([behind(guards[g] if g else "", signed(signs)) for g, signs in groups.items()])
 
 
 def _spec_candidates(z: str, x: str) -> str:
@@ -307,34 +383,25 @@ def candidate_columns(df: DataFrame, text: str, comp: Compiled) -> DataFrame:
     """Stages 1-3: adds ``__cands`` (sorted, de-duplicated candidates).
 
     Stage 1 evaluates each distinct guard once per row (many specs share
-    one: the 15 templates of a key-value rule, '://' for URL patterns);
+    one: the 15 templates of a key-value rule, '://' for URL patterns), and
+    before it what several guards need ('_', 'key', a long run);
     stage 2 gathers the specs that matched; stage 3 builds candidates."""
     x = ident(text)
     base = [ident(c) for c in df.columns]
     if not comp.specs:
         return df.selectExpr(*base, f"CAST(array() AS {CAND_TYPE}) AS `__cands`")
-    guards: dict[tuple, str] = {}
-    gexprs = []
-    need_lower = any(s.guard_lower and s.guard for s in comp.specs)
-    for s in comp.specs:
-        key = (s.guard, s.guard_lower)
-        if s.guard and key not in guards:
-            col = f"`__g{len(guards)}`"
-            guards[key] = col
-            src = "lower(" + x + ")" if s.guard_lower else x
-            gexprs.append((key, col, src))
-    df0 = df
-    if need_lower:
-        df0 = df.selectExpr(*base, f"lower({x}) AS `__xl`")
-    g_sql = []
-    for (lits, lower), col, _ in gexprs:
-        src = "`__xl`" if lower else x
-        g_sql.append(f"{_any_of(src, lits)} AS {col}")
-    df1 = df0.selectExpr(*base, *g_sql)
-    return df1.selectExpr(*base, f"{_all_candidates(comp, x, guards)} AS `__cands`")
-
-
-def _all_candidates(comp: Compiled, x: str, guards: dict[tuple, str]) -> str:
+    guards = _guards(comp)
+    hints = _hints(guards)
+    held = {h: f"`__h{i}`" for i, h in enumerate(dict.fromkeys(hints.values()))}
+    cols = {key: f"`__g{i}`" for i, key in enumerate(guards)}
+    df0 = df.selectExpr(*base, f"lower({x}) AS `__xl`") if _needs_lower(guards) else df
+    low = [c for c in ("`__xl`",) if df0 is not df]
+    df1 = df0.selectExpr(*base, *low, *[f"{_hint_sql(h, x, '`__xl`')} AS {col}" for h, col in held.items()])
+    df2 = df1.selectExpr(*base, *[f"{_guard_sql(guard, x, '`__xl`', hints, held)} AS {cols[key]}" for key, guard in guards.items()])
+    return df2.selectExpr(*base, f"{_all_candidates(comp, x, cols)} AS `__cands`")
+
+
+def _all_candidates(comp: Compiled, x: str, guards: dict) -> str:
     """Stages 2-3 as one expression; a row without a match ends after stage 2.
     (It stays below a lambda on purpose: compiled, hundreds of specs make
     methods too long for the JVM's own compiler, which then are slower.)"""
@@ -527,22 +594,29 @@ def splice_sql(x: str, dets: str) -> str:
 def _pipeline_sql(x: str, comp: Compiled, opts: Options, use) -> str:
     """``use(detections)`` with the whole pipeline (guards, candidates,
     resolution, generation) as one expression over the string expression ``x``."""
-    gkeys: dict[tuple, str] = {}
-    for s in comp.specs:
-        if s.guard and (s.guard, s.guard_lower) not in gkeys:
-            gkeys[(s.guard, s.guard_lower)] = f"g{len(gkeys)}"
+    guards = _guards(comp)
+    hints = _hints(guards)
+    hkeys = {h: f"h{i}" for i, h in enumerate(dict.fromkeys(hints.values()))}
+    gkeys = {key: f"g{i}" for i, key in enumerate(guards)}
+
+    def struct(fields):
+        return "named_struct(" + ", ".join(f"{q(k)}, {v}" for k, v in fields) + ")"
+
+    def with_guards(gv):
+        cands = _all_candidates(comp, x, {g: f"{gv}.{k}" for g, k in gkeys.items()})
+        return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), use)
+
+    def with_hints(xl, hv):
+        held = {h: f"{hv}.{k}" for h, k in hkeys.items()}
+        return let(struct((k, _guard_sql(guards[key], x, xl, hints, held)) for key, k in gkeys.items()), with_guards)
 
     def with_lower(xl):
-        def with_guards(gv):
-            cands = _all_candidates(comp, x, {g: f"{gv}.{k}" for g, k in gkeys.items()})
-            return let(let(cands, lambda cv: dets_sql(resolve(cv), x, comp, opts)), use)
-        if not gkeys:
-            return with_guards("NULL")
-        gstruct = "named_struct(" + ", ".join(
-            f"{q(k)}, {_any_of(xl if low else x, lits)}"
-            for (lits, low), k in gkeys.items()) + ")"
-        return let(gstruct, with_guards)
-    return let(f"lower({x})", with_lower)
+        if not hkeys:
+            return with_hints(xl, "NULL")
+        return let(struct((k, _hint_sql(h, x, xl)) for h, k in hkeys.items()), lambda hv: with_hints(xl, hv))
+    if not gkeys:
+        return with_guards("NULL")
+    return let(f"lower({x})", with_lower) if _needs_lower(guards) else with_lower("NULL")
 
 
 def sanitized_sql(x: str, comp: Compiled, opts: Options) -> str:

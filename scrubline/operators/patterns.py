@@ -6,10 +6,14 @@ priority, and a *guard*: literals of which at least one must occur in any
 match.  Rows whose text contains none of them never run the regex.  Guards
 are exact (a necessary condition), so they change cost, never results.
 Guards of case-insensitive patterns are tested against ``lower(text)``.
+Patterns whose matches hold a long run of letters and digits have that run
+as their *shape*, a regex that many patterns share and that a row answers
+once.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from scrubline import fixed as FX
@@ -26,17 +30,13 @@ class Builtin:
     priority: int            # builtin priority (999 when unlisted)
     guard: tuple[str, ...]   # any-of literals; () = no guard
     guard_lower: bool        # test guard on lower(text)
+    shape: str = ""          # regex found in every text that holds a match; "" = none
 
 
 # Necessary literals per pattern (derived from each regex's mandatory text).
 # Case-sensitive patterns use exact text; case-insensitive ones lower case.
-_DIGITS = tuple("0123456789")
 _GUARDS: dict[str, tuple[tuple[str, ...], bool]] = {
     "email": (("@",), False),
-    "phone": (_DIGITS, False),
-    "ip": (_DIGITS, False),
-    "credit_card": (_DIGITS, False),
-    "ssn": (_DIGITS, False),
     "aws_access_key": (("AKIA", "ASIA", "AROA", "AIDA", "AGPA", "AIPA", "ANPA", "ANVA", "APKA"), False),
     "jwt_token": (("eyJ",), False),
     "github_client_id": (("Iv1.",), False),
@@ -53,15 +53,14 @@ _GUARDS: dict[str, tuple[tuple[str, ...], bool]] = {
     "cvv": (("cvv", "cvc", "security"), True),
     "basic_auth": (("://",), False),
     "internal_url": (("://",), False),
-    "internal_hostname": (("internal", "local", "corp", "intranet", "private", "lan", "stag", "stg"), True),
+    "internal_hostname": ((".internal", ".local", ".corp", ".intranet", ".private", ".lan", ".stag", ".stg"), True),
     "log_key_value": (("key", "secret", "password", "token", "credential", "auth"), True),
     "secret_value_log": (("secret",), True),
     "ipv6": ((":",), False),
     "database_connection": (("://",), False),
     "redis_url": (("redis://",), False),
-    "rabbitmq_url": (("amqp",), False),
+    "rabbitmq_url": (("amqp://", "amqps://"), False),
     "slack_token": (("xox",), False),
-    "discord_token": ((".",), False),
     "gitlab_pat": (("glpat-",), False),
     "gitlab_runner_token": (("GR",), False),
     "stripe_secret_key": (("sk_live_", "sk_test_"), False),
@@ -72,7 +71,7 @@ _GUARDS: dict[str, tuple[tuple[str, ...], bool]] = {
     "twilio_auth_token": (("SK",), False),
     "gcp_kms_path": (("/keyRings/",), False),
     "gcp_service_key": ((".iam.gserviceaccount.com",), False),
-    "repository_url": (("github.", "gitlab.", "bitbucket."), False),
+    "repository_url": (tuple(f"{host}.{top}/" for host in ("github", "gitlab", "bitbucket") for top in ("com", "org")), False),
     "api_key": (("key", "token"), True),
     "json_password": (('"password"',), True),
     "json_secret": (("secret",), True),
@@ -83,6 +82,18 @@ _GUARDS: dict[str, tuple[tuple[str, ...], bool]] = {
     "json_secret_access_key": (('key"',), True),
 }
 
+# A run of 20 characters that keys consist of.  One walk from the start of the
+# text, run by run: the loops are possessive, so the walk needs constant stack
+# and fails at once everywhere but at the start.  The characters are listed one
+# by one, which Java tests with a single look-up.
+_KEY = string.ascii_letters + string.digits + "/+"
+_RUN = _KEY + "_"
+LONG_RUN = rf"\A(?:[{_RUN}-]{{0,19}}+[^{_RUN}-]++)*+[{_RUN}-]{{20}}"
+DIGITS = r"\d(?:\d\d|\.\d)"
+_SHAPES = (dict.fromkeys(("aws_access_key", "aws_secret_key", "discord_token", "gitlab_runner_token", "sendgrid_api_key",
+                          "twilio_account_sid", "twilio_auth_token", "hex_key"), LONG_RUN)
+           | dict.fromkeys(("cvv", "phone", "ip", "credit_card", "ssn"), DIGITS))
+
 # RE2 spellings for patterns that use look-arounds (the oracle filters the
 # groups instead; see plans.oracles).
 _RE2_OVERRIDES = {
@@ -115,10 +126,12 @@ _JAVA_OVERRIDES = {
 }
 
 
-# Patterns without a guard run on every text.  The run of characters that
-# each match consists of is looked for ahead of the word boundary: it fails
-# after a character or two where the boundary costs a branch of look-arounds.
-_JAVA_AHEAD = {"aws_secret_key": "(?=[A-Za-z0-9/+]{40})", "hex_key": "(?=[a-fA-F0-9]{32})"}
+# What each match begins with is looked for ahead of the word boundary: it
+# fails after a character or two where the boundary costs a branch of
+# look-arounds.
+_JAVA_AHEAD = {"aws_secret_key": f"(?=[{_KEY}]{{40}})", "hex_key": "(?=[a-fA-F0-9]{32})", "ssn": r"(?=\d{3}[-.\s])",
+               "credit_card": r"(?=[3-6]\d{14})", "ip": r"(?=\d{1,3}\.)", "phone": r"(?=[+(\d])(?=\+1|\(\d|\d{3}[-.\s])",
+               "log_key_value": "(?i)(?=[acpst][aeopru])", "api_key": "(?i)(?=a[cpu])"}
 
 
 def _build() -> dict[str, Builtin]:
@@ -130,7 +143,7 @@ def _build() -> dict[str, Builtin]:
         else:
             re2 = RX.to_re2(js, flags).pattern
         guard, lower = _GUARDS.get(name, ((), False))
-        out[name] = Builtin(name, js, flags, java, re2, FX.BUILTIN_PRIORITY.get(name, FX.UNKNOWN_PRIORITY), guard, lower)
+        out[name] = Builtin(name, js, flags, java, re2, FX.BUILTIN_PRIORITY.get(name, FX.UNKNOWN_PRIORITY), guard, lower, _SHAPES.get(name, ""))
     return out
 
 
