@@ -11,11 +11,11 @@ table has a fixed size.  Only the network is fitted on a bounded sample
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 24, 600, 0.02, 1e-3
 #: Share of the sample that only sets the temperature.
 CALIBRATE = 0.25
 THRESHOLD = 0.7
-#: Code points split at once, and words a worker remembers.
-BLOCK, CACHE = 1 << 20, 300_000
+#: Code points split at once, but for longer words, and bytes of a word beyond which it is coded by itself.
+BLOCK, LONG = 1 << 20, 64
 
 
 def index_vectors() -> np.ndarray:
@@ -43,39 +43,91 @@ def index_vectors() -> np.ndarray:
 
 
 INDEX = index_vectors()
-_RUN = re.compile(r"(.)\1+", re.S)
-
-
-def _codes(word: str) -> int:
-    """The buckets of a word (lower case and shape) and of its shape, in one number."""
-    shape = _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-    s = zlib.crc32(shape.encode("utf-8", "surrogatepass"))
-    return (zlib.crc32(word.lower().encode("utf-8", "surrogatepass"), s) % BUCKETS) * BUCKETS + s * 31 % BUCKETS
-
-
-class Words(dict):
-    """Codes of words, remembered up to CACHE."""
-
-    def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
-        code = self[word] = _codes(word)
-        return code
-
-
-_WORDS = Words()
+#: The places of the entries of each index vector: a positive one by its place, a negative one DIM further on.
+ENTRIES = np.nonzero(np.hstack([INDEX > 0, INDEX < 0]))[1].reshape(BUCKETS, NONZERO)
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+#: What stands for a code point in a shape, plus one; 0 where not asked yet.
+_SHAPES = np.zeros(0x110000, np.uint32)
+
+
+def _crc32(text: str, start: np.ndarray | int = 0) -> np.ndarray:
+    """zlib.crc32 of the UTF-8 of every line of a text, from ``start`` on."""
+    data = text.encode()
+    b = np.frombuffer(data, np.uint8)
+    end = np.append(np.nonzero(b == 10)[0], len(b))
+    first = np.append(0, end[:-1] + 1)
+    size = end - first
+    out = np.zeros(len(end), np.uint32) + np.uint32(start)
+    order = np.argsort(-np.minimum(size, LONG + 1), kind="stable")
+    far = int((size > LONG).sum())
+    for i in order[:far].tolist():
+        out[i] = zlib.crc32(data[first[i]:end[i]], int(out[i]))
+    order = order[far:]
+    at, left, crc = first[order], -size[order], ~out[order]
+    for j in range(LONG):
+        n = int(np.searchsorted(left, -j, "left"))  # words of more than j bytes
+        if not n:
+            break
+        crc[:n] = _CRC[(crc[:n] ^ b[at[:n] + j]) & 255] ^ (crc[:n] >> 8)
+    out[order] = ~crc
+    return out
 
 
-def word_codes(text: str | None):
-    """(word buckets, shape buckets) by block of a text."""
-    text, at = text or "", 0
-    while at < len(text):
-        end = at + BLOCK
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        codes = np.fromiter(map(_WORDS.__getitem__, text[at:end].split()), np.int64)
+def codes_of(words: pa.Array) -> np.ndarray:
+    """The buckets of each word (lower case and shape) and of its shape, in
+    one number; -1 for an empty string.  A shape has A, a and 0 for capitals,
+    other letters and digits, and equal neighbours once."""
+    lines = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", words.type))[0].as_py()
+    points = np.frombuffer(lines.encode("utf-32-le"), np.uint32)
+    for x in np.unique(points[_SHAPES[points] == 0]).tolist():
+        c = chr(x)
+        _SHAPES[x] = ord("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c) + 1
+    shape = _SHAPES[points] - np.uint32(1)
+    shape = shape[np.append(True, (shape[1:] != shape[:-1]) | (shape[1:] == 10))[:len(shape)]]
+    s = _crc32(shape.tobytes().decode("utf-32-le"))
+    code = _crc32(lines.lower(), s).astype(np.int64) % BUCKETS * BUCKETS + s.astype(np.int64) * 31 % BUCKETS
+    return np.where(pc.binary_length(words).to_numpy(zero_copy_only=False) > 0, code, -1)
+
+
+def blocks(column: pa.Array):
+    """(texts, their rows): a column of texts, nulls as empty ones, with texts
+    of more than BLOCK code points cut at white space."""
+    column = column.fill_null("")
+    size = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+    if not (size > BLOCK).any():
+        return column, np.arange(len(column))
+    parts, rows = [], []
+    for row, text in enumerate(column.to_pylist()):
+        at = 0
+        while at < max(len(text), 1):
+            end = at + BLOCK
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            parts.append(text[at:end])
+            rows.append(row)
+            at = end
+    return pa.array(parts, pa.large_string()), np.array(rows)
+
+
+def word_codes(column: pa.Array):
+    """(rows, blocks, word buckets, shape buckets) of all words of a column of
+    texts, for some whole blocks at a time: at most BLOCK code points, or one
+    block.  Each distinct word is coded once."""
+    texts, row = blocks(column)
+    size = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+        words = pc.utf8_split_whitespace(texts.slice(at, end - at))
+        coded = words.flatten().dictionary_encode()
+        codes = codes_of(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
+        block = np.repeat(np.arange(at, end), words.value_lengths().to_numpy(zero_copy_only=False))
+        real = codes >= 0  # white space at an end of a text leaves an empty string there
+        codes, block = codes[real], block[real]
         if len(codes):
-            yield codes // BUCKETS, codes % BUCKETS
+            yield row[block], block, codes // BUCKETS, codes % BUCKETS
         at = end
 
 
@@ -87,17 +139,16 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     names = [f"d{i}" for i in range(DIM)]
 
     def run(batches):
-        acc = np.zeros((BUCKETS, DIM), np.int64)
+        acc = np.zeros(BUCKETS * 2 * DIM, np.int64)
         for t in batches:
-            for text in t.column(0).to_pylist():
-                for w, s in word_codes(text):
-                    own = INDEX[w] + INDEX[s]
-                    ctx = np.zeros_like(own)
-                    ctx[1:] += own[:-1]
-                    ctx[:-1] += own[1:]
-                    o = np.argsort(w, kind="stable")
-                    first = np.nonzero(np.concatenate([[True], np.diff(w[o]) > 0]))[0]
-                    acc[w[o][first]] += np.add.reduceat(ctx[o], first, 0)
+            for _, block, w, s in word_codes(t.column(0)):
+                own = np.concatenate([ENTRIES[w], ENTRIES[s]], 1)
+                near = block[1:] == block[:-1]  # the neighbours of a word stand in its block
+                at = w[:, None] * (2 * DIM)
+                for word, other in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                    acc += np.bincount((at[word][near] + own[other][near]).ravel(), minlength=len(acc))
+        acc = acc.reshape(BUCKETS, 2, DIM)
+        acc = acc[:, 0] - acc[:, 1]
         at = np.nonzero(acc.any(1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at)] + [pa.array(acc[at, i]) for i in range(DIM)], ["b", *names])
 
@@ -109,20 +160,27 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def pooled(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Features of a whole text: the mean word vector, the mean index
-    vector of the shapes, how concentrated the words are, how often a word's
-    vector is that of the word before, and the length."""
-    n, v, s, w, again, last = 0, np.zeros(DIM), np.zeros(DIM), np.zeros(DIM), 0, -1
-    for words, shapes in word_codes(text):
-        n += len(words)
-        again += int((words[1:] == words[:-1]).sum()) + int(words[0] == last)
-        last = words[-1]
-        v += table[words].sum(0, dtype=np.float64)
-        s += INDEX[shapes].sum(0)
-        w += INDEX[words].sum(0)
-    k = max(n, 1)
-    return np.concatenate([v / k, s / k, [np.linalg.norm(w) / k, again / k, np.log1p(n)]])
+def pooled(column: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Features of every whole text of a column: the mean word vector, the
+    mean index vector of the shapes, how concentrated the words are, how often
+    a word's vector is that of the word before, and the length."""
+    rows = len(column)
+    n, again, last, of = np.zeros(rows, np.int64), np.zeros(rows, np.int64), -1, -1
+    v, s, w = np.zeros((rows, DIM)), np.zeros((rows, 2 * DIM), np.int64), np.zeros((rows, 2 * DIM), np.int64)
+    for row, block, words, shapes in word_codes(column):
+        n += np.bincount(row, minlength=rows)
+        again += np.bincount(row[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])], minlength=rows)
+        again[row[0]] += int(of == row[0] and last == words[0])
+        of, last = row[-1], words[-1]
+        first = np.nonzero(np.diff(block, prepend=-1))[0]
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+            v[row[a]] += table[words[a:b]].sum(0, dtype=np.float64)
+        lane = row[:, None] * (2 * DIM)
+        for total, codes in ((s, shapes), (w, words)):
+            total += np.bincount((lane + ENTRIES[codes]).ravel(), minlength=total.size).reshape(total.shape)
+    k = np.maximum(n, 1)
+    s, w = s[:, :DIM] - s[:, DIM:], w[:, :DIM] - w[:, DIM:]
+    return np.column_stack([v / k[:, None], s / k[:, None], np.linalg.norm(w, axis=1) / k, again / k, np.log1p(n)])
 
 
 class Network:
@@ -198,8 +256,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def features(batches):
         for t in batches:
-            x = [pooled(v, shared.value) for v in t.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            x = pooled(t.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     # FIT_ROWS narrow rows: a broadcast of a proven size
     rows = (some.join(F.broadcast(sample), some[q(id_col)] == sample["__id"])
@@ -210,8 +268,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def score(batches):
         for t in batches:
-            x = np.array([pooled(v, shared.value) for v in t.column(2).to_pylist()]).reshape(t.num_rows, FEATURES)
-            s = net.value.score(x)
+            s = net.value.score(pooled(t.column(2), shared.value))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
