@@ -100,3 +100,56 @@ def test_short_texts_are_walked_together():
     got = list(S._gathered([*small, large, one([]), small[0]]))
     assert [t.num_rows for t in got] == [11, 2]
     assert got[0].column(0).to_pylist()[:4] == ["a0", None, "a1", None] and list(S._gathered([one([])])) == []
+
+
+def test_a_list_that_grows_with_the_parts_is_one_index(spark):
+    """7,200,000 part numbers, as at 6 GB, are walked in one pass (13 lists of automata before)."""
+    words = spark.range(7_200_000).selectExpr("concat('sku', id) AS word", "'custom' AS word_category", "CAST(id AS INT) AS ordinal")
+    assert S.word_parts(words) == 1
+    index = S.WordIndex([(f"sku{i}", 3, i) for i in range(700_000, 800_000)])
+    assert index.nbytes() < 100_000 * 30 + S.OWN_BYTES
+
+
+ODD_WORDS = [("aa", "custom", 0), ("AA", "custom", 1), ("aaa", "project", 0), ("É", "custom", 2), ("éa", "custom", 2), ("K", "project", 3), ("k", "project", 3),
+             ("a b", "competitor", 5), ("b" * 70, "custom", 6), ("b" * 33, "custom", 7), ("\U0001f600x", "custom", 8), ("aab", "custom", 0), ("\0", "custom", 9)]
+ODD_TEXTS = ["aaaaa AAab éaÉA kKK", None, "", "a", " b", "B" * 140 + "a b", "x\U0001f600X\U0001f600x", "a\0a\0\0", "aab" * 30, "nothing here"]
+
+
+def test_a_list_too_large_for_an_index_walks_texts_once(spark):
+    """The hits of plain scans, also by the join, with one pass over the texts and one over the words."""
+    words = spark.createDataFrame(ODD_WORDS, "word string, word_category string, ordinal int")
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, text string")
+    want = S.word_hits(df, "text", words, out="h").orderBy("id").collect()
+    standing = [w for w, _, _ in ODD_WORDS if w != "AA"]  # which folds like "aa"
+    for text, r in zip(ODD_TEXTS, want):
+        assert sorted((h.start, h.end, h.word) for h in r.h) == sorted((a, b, standing[i]) for a, b, i in plain(text or "", standing))
+    joined = S.word_hits(df, "text", words, key="id", out="h", part_bytes=1000)
+    assert S.word_parts(words, 1000) > 100
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert joined.orderBy("id").collect() == want
+    assert S.word_hits(df, "text", words, out="h", part_bytes=1000).orderBy("id").collect() == want
+
+
+def test_full_bitmaps_and_small_blocks_change_no_hit(spark, monkeypatch):
+    """Bitmaps that let everything through cost time only; windows across blocks are found."""
+    words = spark.createDataFrame(ODD_WORDS, "word string, word_category string, ordinal int")
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id long, text string")
+    rows = [(w, W.LISTS.index(c), o) for w, c, o in ODD_WORDS]
+    want = S._batch_hits(S.WordIndex(rows), ODD_TEXTS)
+    for block in (1, 3, 64):
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert S._batch_hits(S.WordIndex(rows), ODD_TEXTS).equals(want)
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "MOST_BITS", 1 << 2)
+    assert S._batch_hits(S.WordIndex(rows), ODD_TEXTS).equals(want)
+    got = S.word_hits(df, "text", words, key="id", out="h", part_bytes=1000).orderBy("id").collect()
+    assert [[h.asDict() for h in r.h] for r in got] == want.to_pylist()
+
+
+def test_keys_that_collide_keep_their_words(monkeypatch):
+    """Hashes only lead to words: with one key for all, hits and first places stay."""
+    rows = [("AB", 1, 5), ("cd", 1, 0), ("ab", 1, 2), ("ef", 0, 1), ("CD", 1, 3), ("Ab", 2, 0)]
+    want = S._batch_hits(S.WordIndex(rows), ["abcdef EFab"]).to_pylist()
+    assert [(h["word"], h["cat"], h["ord"]) for h in want[0]] == [("ab", 1, 2), ("cd", 1, 0), ("ef", 0, 1), ("ef", 0, 1), ("ab", 1, 2)]
+    monkeypatch.setattr(S, "_key", lambda window, size: np.zeros(len(window), np.uint64))
+    assert S._batch_hits(S.WordIndex(rows), ["abcdef EFab"]).to_pylist() == want
