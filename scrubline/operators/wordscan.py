@@ -225,10 +225,11 @@ def _spelled(words: pa.Array, ascii_only: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def _classes(words: pa.Array):
-    """(ascii_only, the places of these words): all-ASCII words, then others."""
+    """(ascii_only, the places of these words): all-ASCII words, then others; none empty."""
     plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
     for ascii_only in (True, False):
-        at = np.nonzero(plain == ascii_only)[0]
+        at = np.nonzero(full & (plain == ascii_only))[0]
         if len(at):
             yield ascii_only, at
 
@@ -248,9 +249,9 @@ class _Part:
 
     def __init__(self, ascii_only: bool, words: pa.Array, cat: np.ndarray, place: np.ndarray):
         self.ascii_only = ascii_only
-        chars, at = _spelled(words, ascii_only)
+        self.chars, at = chars, at = _spelled(words, ascii_only)
         keys = _hashed(chars, at, ascii_only)
-        order = self._first_of_equal(np.argsort(keys, kind="stable"), keys, chars, at, cat, place)
+        order = self._first_of_equal(np.argsort(keys, kind="stable"), keys, at, cat, place)
         size = np.diff(at)[order]
         self.automaton = Automaton(size, {g: Bits(_hashed(chars, at, ascii_only, g)) for g in steps(int(size.min()), int(size.max()))})
         self.chars = np.concatenate([chars[_flat(at[o], np.diff(at)[o])] for o in np.array_split(order, -(-len(order) // BLOCK))])
@@ -261,24 +262,32 @@ class _Part:
         self.tag = self._tag(keys)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self._bucket(keys), minlength=1 << self.bits))]).astype(np.int32)
 
-    def _first_of_equal(self, order, keys, chars, at, cat, place):
+    def _first_of_equal(self, order, keys, at, cat, place):
         """``order`` with the first by (category, place, word) of the words that fold alike."""
         k = keys[order]
         alike = np.concatenate([[False], k[1:] == k[:-1]])
         if not alike.any():
             return order
-        drop = np.zeros(len(order), bool)
+        many = alike | np.concatenate([alike[1:], [False]])
+        rows, once = order[many], order[~many]
+        rows = rows[np.lexsort((place[rows], cat[rows], keys[rows]))]
+        head = np.concatenate([[True], keys[rows[1:]] != keys[rows[:-1]]])
+        first = rows[head][np.cumsum(head) - 1]
+        size = np.diff(at)
+        same = size[rows] == size[first]
+        same[same] = _equal(self, at[rows[same]], self, at[first[same]], size[rows[same]])
+        tied = same & (cat[rows] == cat[first]) & (place[rows] == place[first])
+        plain = same & ~tied
+        plain[tied] = _equal(self.chars, at[rows[tied]], self.chars, at[first[tied]], size[rows[tied]])
+        odd = np.isin(keys[rows], keys[rows[~plain]])  # keys of several words, and words listed twice at one place
         best: dict[tuple, tuple] = {}
-        for i in np.nonzero(alike | np.concatenate([alike[1:], [False]]))[0].tolist():
-            w = order[i]
-            word = chars[at[w]:at[w + 1]].astype(np.uint32)
-            mine = (int(cat[w]), int(place[w]), tuple(word.tolist()), i)
-            key = (int(k[i]), fold(word, self.ascii_only).tobytes())
-            old = best.setdefault(key, mine)
-            if old is not mine:
-                best[key] = min(old, mine)
-                drop[max(old, mine)[-1]] = True
-        return order[~drop]
+        for w in rows[odd].tolist():
+            word = self.chars[at[w]:at[w + 1]].astype(np.uint32)
+            key = (int(keys[w]), fold(word, self.ascii_only).tobytes())
+            mine = (int(cat[w]), int(place[w]), word.tolist(), w)
+            best[key] = min(best.get(key, mine), mine)
+        stand = np.concatenate([once, rows[head & ~odd], np.array([b[-1] for b in best.values()], np.int64)])
+        return stand[np.argsort(keys[stand], kind="stable")]
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -355,9 +364,8 @@ class WordIndex:
         if not isinstance(rows, pa.Table):
             rows = pa.table([pa.array(v, t) for v, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32()))] if rows else [pa.array([], pa.string())] * 3, ["word", "cat", "ord"])
         words, cat, place = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns)
-        keep = pc.not_equal(words, "")
-        words, cat, place = words.filter(keep), cat.filter(keep).to_numpy(zero_copy_only=False), place.filter(keep).to_numpy(zero_copy_only=False)
-        self.parts = [_Part(a, words.take(pa.array(at)), cat[at], place[at]) for a, at in _classes(words)]
+        cat, place = cat.to_numpy(zero_copy_only=False), place.to_numpy(zero_copy_only=False)
+        self.parts = [_Part(a, words if len(at) == len(words) else words.take(pa.array(at)), cat[at], place[at]) for a, at in _classes(words)]
         self.base = np.concatenate([[0], np.cumsum([len(p.cat) for p in self.parts])]).astype(np.int64)
 
     def nbytes(self) -> int:

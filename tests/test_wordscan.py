@@ -153,3 +153,16 @@ def test_keys_that_collide_keep_their_words(monkeypatch):
     assert [(h["word"], h["cat"], h["ord"]) for h in want[0]] == [("ab", 1, 2), ("cd", 1, 0), ("ef", 0, 1), ("ef", 0, 1), ("ab", 1, 2)]
     monkeypatch.setattr(S, "_key", lambda window, size: np.zeros(len(window), np.uint64))
     assert S._batch_hits(S.WordIndex(rows), ["abcdef EFab"]).to_pylist() == want
+
+
+def test_words_listed_many_times_stand_once():
+    """Of words that fold alike the first by category, place and word stands."""
+    rnd = random.Random(3)
+    rows = [("".join(rnd.choice("aAbBéÉ") for _ in range(rnd.randint(1, 3))), rnd.randint(0, 1), rnd.randint(0, 2)) for _ in range(400)] + [("", 0, 0)]
+    first = {}
+    for w, c, o in sorted(rows[:-1], key=lambda r: (r[1], r[2], r[0])):
+        first.setdefault((w.isascii(), S.fold(S.code_points(w), w.isascii()).tobytes()), (w, c, o))
+    index = S.WordIndex(rows)
+    got = S._batch_hits(index, [" ".join(sorted({w for w, _, _ in rows}))]).to_pylist()[0]
+    assert {(h["word"], h["cat"], h["ord"]) for h in got} == set(first.values())
+    assert len(index.spelled(np.arange(index.base[-1]))) == len(first)
